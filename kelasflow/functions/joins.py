@@ -1,0 +1,21 @@
+"""Join helpers: broadcast only behind a size check."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+# Largest dimension (rows) we hand-broadcast.  Anything bigger falls back to a
+# shuffle join, and AQE may still convert it at run time from measured sizes
+# (spark.sql.adaptive.autoBroadcastJoinThreshold).
+MAX_BROADCAST_ROWS = 2_000_000
+
+
+def sized_broadcast(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
+    """``broadcast(df)`` if it has at most ``max_rows`` rows, else ``df``.
+
+    The check reads at most ``max_rows + 1`` rows (a bounded job), so it costs
+    little for the small dimensions it is meant for.
+    """
+    n = df.limit(max_rows + 1).count()
+    return F.broadcast(df) if n <= max_rows else df

@@ -30,6 +30,15 @@ class Tables:
         """A new bundle with some tables swapped (used by change jobs)."""
         return Tables(self.spark, {**self.frames, **frames})
 
+    def dim(self, name: str) -> DataFrame:
+        """A dimension table, broadcast when its row count is under the limit
+        (checked once per bundle with a bounded count)."""
+        from kelasflow.functions.joins import sized_broadcast
+        cache = self.__dict__.setdefault("_dims", {})
+        if name not in cache:
+            cache[name] = sized_broadcast(self.frames[name])
+        return cache[name]
+
 
 def conform(df: DataFrame, name: str) -> DataFrame:
     """Project/cast ``df`` to the declared schema of table ``name``."""
