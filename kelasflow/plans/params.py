@@ -10,7 +10,7 @@ TEACHER_KEYWORD = "europe"
 FILTER_JURUSAN = "build"
 FILTER_KELAS = "_1"
 FILTER_MAPEL = "ica"
-FILTER_TEACHER_KELAS = "an"
+FILTER_TEACHER_KELAS = "_2"
 COURSE_KEYWORD = "an"
 DAYS_SOON = 3
 DAYS_CARD = 7
