@@ -1 +1,105 @@
-"""Registered queries (filled in as operators land)."""
+"""Registered derived-column views."""
+
+from kelasflow.operators import derived_views as V
+from kelasflow.plans import params as X
+from kelasflow.plans.reg_progress import _PROGRESS_SQL
+from kelasflow.plans.registry import register
+
+
+def _initials(col):
+    return f"upper(array_to_string(list_transform(string_split({col}, ' '), lambda x: substring(x, 1, 1)), ''))"
+
+
+@register("u01_u09_u16_student_cards", f"""
+SELECT u.id, u.name, {_initials('u.name')} AS initials,
+       coalesce(nullif(sd.nisn, ''), '-') AS nisn, coalesce(nullif(sd.jurusan, ''), '-') AS jurusan,
+       coalesce(nullif(k.nama_kelas, ''), '-') AS kelas, coalesce(nullif(k.nama_kelas, ''), u.email) AS label
+FROM users u LEFT JOIN siswa_details sd ON sd.user_id = u.id LEFT JOIN kelas k ON k.id = sd.kelas_id
+WHERE u.role = 'siswa'
+""")
+def u01(t):
+    return V.student_cards(t)
+
+
+@register("u01_u02_teacher_cards", f"""
+SELECT u.id, u.name, {_initials('u.name')} AS initials, string_split(coalesce(gd.mapel, ''), ',') AS subjects
+FROM users u LEFT JOIN guru_details gd ON gd.user_id = u.id LEFT JOIN guru_kelas gk ON gk.guru_id = gd.id
+LEFT JOIN kelas k ON k.id = gk.kelas_id
+WHERE u.role = 'guru'
+GROUP BY u.id, u.name, u.email, gd.nip, gd.mapel
+""")
+def u02(t):
+    return V.teacher_cards(t)
+
+
+@register("u10_student_search_count", f"""
+SELECT count(*) AS total FROM users u LEFT JOIN siswa_details sd ON sd.user_id = u.id
+LEFT JOIN kelas k ON k.id = sd.kelas_id
+WHERE u.role = 'siswa' AND (u.name ILIKE '%{X.STUDENT_KEYWORD}%' OR u.email ILIKE '%{X.STUDENT_KEYWORD}%'
+  OR sd.nisn ILIKE '%{X.STUDENT_KEYWORD}%' OR sd.jurusan ILIKE '%{X.STUDENT_KEYWORD}%'
+  OR k.nama_kelas ILIKE '%{X.STUDENT_KEYWORD}%')
+""")
+def u10(t):
+    return V.search_count(t, X.STUDENT_KEYWORD)
+
+
+@register("u03_u04_u15_progress_cards", f"""
+SELECT id, created_by, jumlah_kumpul, jumlah_siswa,
+       CASE WHEN jumlah_siswa = 0 THEN 0 ELSE CAST(round(jumlah_kumpul / jumlah_siswa * 100) AS INTEGER) END AS persen,
+       CAST(ceil((epoch(CAST(deadline AS TIMESTAMP)) - epoch(TIMESTAMP '{X.NOW_TASK.isoformat(sep=' ')}')) / 86400)
+            AS INTEGER) AS sisa_hari,
+       strftime(deadline, '%-d/%-m/%Y') AS deadline_text, strftime(created_at, '%-d/%-m/%Y') AS dibuat_text
+FROM p
+""", ctes=f"p AS ({_PROGRESS_SQL.format(cond='')})")
+def u03(t):
+    return V.progress_cards(t, X.NOW_TASK)
+
+
+@register("u05_student_assignment_status", """
+SELECT siswa_id, id, nilai, file_kumpul,
+       CASE WHEN nilai IS NOT NULL THEN 'Graded' WHEN coalesce(file_kumpul, '') <> '' THEN 'Submitted'
+            ELSE 'Pending' END AS status,
+       CASE WHEN nilai IS NOT NULL THEN CAST(nilai AS VARCHAR) || '/100' ELSE '-' END AS nilai_text
+FROM a
+""", ctes="""a AS (
+SELECT sd.siswa_id, t.id, pt.nilai, pt.file_path AS file_kumpul
+FROM (SELECT DISTINCT user_id AS siswa_id, kelas_id FROM siswa_details WHERE kelas_id IS NOT NULL) sd
+JOIN tugas_kelas tk ON tk.kelas_id = sd.kelas_id
+JOIN tugas t ON t.id = tk.tugas_id
+JOIN kelas k ON k.id = tk.kelas_id
+JOIN users u ON u.id = t.created_by
+LEFT JOIN pengumpulan_tugas pt ON pt.tugas_id = t.id AND pt.siswa_id = sd.siswa_id
+)""")
+def u05(t):
+    return V.student_assignment_status(t)
+
+
+@register("u12_grade_bands", """
+SELECT t.created_by AS guru_id,
+       CASE WHEN p.nilai >= 90 THEN 'Sangat Baik (90-100)' WHEN p.nilai >= 80 THEN 'Baik (80-89)'
+            WHEN p.nilai >= 70 THEN 'Cukup (70-79)' ELSE 'Kurang (<70)' END AS band,
+       count(*) AS total
+FROM pengumpulan_tugas p JOIN tugas t ON t.id = p.tugas_id WHERE p.nilai IS NOT NULL
+GROUP BY guru_id, band
+""")
+def u12(t):
+    return V.grade_bands(t)
+
+
+@register("u13_subject_month_average", """
+SELECT p.siswa_id, g.mapel, CAST(month(p.dikumpulkan_at) AS INTEGER) AS bulan, avg(p.nilai) AS rata_rata
+FROM pengumpulan_tugas p JOIN tugas t ON t.id = p.tugas_id JOIN guru_details g ON g.user_id = t.created_by
+WHERE p.nilai IS NOT NULL
+GROUP BY p.siswa_id, g.mapel, bulan
+""")
+def u13(t):
+    return V.subject_month_average(t)
+
+
+@register("u14_submission_links", f"""
+SELECT id, CASE WHEN starts_with(file_path, 'http') THEN file_path ELSE '{X.FILE_BASE_URL}' || file_path END
+       AS file_url
+FROM pengumpulan_tugas
+""")
+def u14(t):
+    return V.submission_links(t, X.FILE_BASE_URL)
