@@ -1 +1,173 @@
-"""Registered queries (filled in as operators land)."""
+"""Registered change jobs (W01, W08, W10, W11, W13) with request frames
+derived from the test tables.  The request builders only shape rows into the
+request schema; the jobs do the work."""
+
+import datetime as dt
+
+from pyspark.sql import functions as F
+
+from kelasflow.operators import changes as W
+from kelasflow.plans.registry import register
+
+SUBMIT_CUTOFF = "1995-06-17 00:00:00"   # submissions before it form the snapshot
+APPLY_AT = dt.datetime(2024, 1, 31, 8, 0)
+
+
+# An admin types class names: subject (region) names padded with
+# blanks (new classes), existing class names in lower case (matched
+# case-insensitively) and blank entries (ignored).
+@register("w01_find_or_create_classes", """
+SELECT raw, k2.id AS kelas_id FROM reqs r
+LEFT JOIN (SELECT id, lower(nama_kelas) AS key FROM kelas
+           UNION ALL SELECT id, key FROM created) k2 ON k2.key = lower(nullif(trim(r.raw), ''))
+""", ctes="""
+subj AS (SELECT DISTINCT mapel FROM guru_details),
+reqs AS (SELECT '  ' || mapel || ' ' AS raw FROM subj
+         UNION ALL SELECT lower(nama_kelas) FROM kelas
+         UNION ALL SELECT '   ' FROM subj),
+wanted AS (SELECT lower(nullif(trim(raw), '')) AS key, min(nullif(trim(raw), '')) AS nama_kelas FROM reqs
+           WHERE nullif(trim(raw), '') IS NOT NULL GROUP BY 1),
+created AS (SELECT (SELECT max(id) FROM kelas) + row_number() OVER (ORDER BY key) AS id, key, nama_kelas
+            FROM wanted w WHERE NOT EXISTS (SELECT 1 FROM kelas k WHERE lower(k.nama_kelas) = w.key))
+""")
+def w01(t):
+    regions = t.guru_details.select("mapel").distinct()
+    reqs = (regions.select(F.concat(F.lit("  "), F.col("mapel"), F.lit(" ")).alias("raw"))
+            .unionByName(t.kelas.select(F.lower("nama_kelas").alias("raw")))
+            .unionByName(regions.select(F.lit("   ").alias("raw"))))
+    _, resolved = W.find_or_create_classes(t, reqs, "raw")
+    return resolved.select("raw", "kelas_id")
+
+
+# Every pending verification gets a reviewer decision; a third are left
+# "pending", which a reviewer may not set (rejected as invalid).
+_DECISION = "CASE id % 3 WHEN 0 THEN 'approved' WHEN 1 THEN 'rejected' ELSE 'pending' END"
+
+
+def _decisions(t):
+    return (t.verifications.where(F.col("status") == "pending")
+            .select(F.col("id").alias("request_id"), F.col("id").alias("verification_id"),
+                    F.expr(_DECISION).alias("status")))
+
+
+@register("w08_verification_transition", f"""
+SELECT request_id, CASE WHEN status IN ('approved', 'rejected') THEN status ELSE 'invalid_status' END AS outcome
+FROM (SELECT id AS request_id, {_DECISION} AS status FROM verifications WHERE status = 'pending')
+""")
+def w08(t):
+    ch = W.verification_transition(t, _decisions(t), APPLY_AT)
+    applied = _decisions(t).join(ch.rejects, "request_id", "left_anti").select("request_id",
+                                                                               F.col("status").alias("outcome"))
+    return applied.unionByName(ch.rejects.withColumnRenamed("reason", "outcome"))
+
+
+@register("w08_verification_logs", f"""
+SELECT (SELECT max(id) FROM activity_logs) + row_number() OVER (ORDER BY id) AS id, user_id,
+       'Verification ' || s AS action
+FROM (SELECT id, user_id, {_DECISION} AS s FROM verifications WHERE status = 'pending')
+WHERE s IN ('approved', 'rejected')
+""")
+def w08_logs(t):
+    ch = W.verification_transition(t, _decisions(t), APPLY_AT)
+    return ch.emitted["activity_logs"].select("id", "user_id", "action")
+
+
+# Submissions before the cutoff are the snapshot, later ones arrive as
+# requests (the same pair may arrive again; first one wins).
+def _submit_split(t):
+    pt = t.pengumpulan_tugas
+    cut = F.expr(f"TIMESTAMP_NTZ'{SUBMIT_CUTOFF}'")
+    snap = t.replace(pengumpulan_tugas=pt.where(F.col("dikumpulkan_at") < cut))
+    reqs = pt.where(F.col("dikumpulkan_at") >= cut).select(
+        F.col("id").alias("request_id"), "tugas_id", "siswa_id", "file_path",
+        F.col("dikumpulkan_at").alias("submitted_at"))
+    return snap, reqs
+
+
+@register("w10_submit_first_wins", f"""
+SELECT request_id, 'already_submitted' AS outcome FROM req r
+WHERE EXISTS (SELECT 1 FROM existing e WHERE e.tugas_id = r.tugas_id AND e.siswa_id = r.siswa_id)
+UNION ALL
+SELECT request_id, CASE WHEN rn = 1 THEN 'accepted' ELSE 'duplicate_in_batch' END
+FROM (SELECT r.*, row_number() OVER (PARTITION BY tugas_id, siswa_id ORDER BY submitted_at, request_id) AS rn
+      FROM req r WHERE NOT EXISTS (SELECT 1 FROM existing e WHERE e.tugas_id = r.tugas_id AND e.siswa_id = r.siswa_id))
+""", ctes=f"""
+existing AS (SELECT * FROM pengumpulan_tugas WHERE dikumpulkan_at < TIMESTAMP '{SUBMIT_CUTOFF}'),
+req AS (SELECT id AS request_id, tugas_id, siswa_id, file_path, dikumpulkan_at AS submitted_at
+        FROM pengumpulan_tugas WHERE dikumpulkan_at >= TIMESTAMP '{SUBMIT_CUTOFF}')
+""")
+def w10(t):
+    snap, reqs = _submit_split(t)
+    ch = W.submit_first_wins(snap, reqs)
+    ok = ch.emitted["accepted"].select("request_id", F.lit("accepted").alias("outcome"))
+    return ok.unionByName(ch.rejects.withColumnRenamed("reason", "outcome"))
+
+
+# A grade arrives for every ungraded submission row.
+def _grade_requests(t):
+    return (t.pengumpulan_tugas.where(F.col("nilai").isNull())
+            .select(F.col("id").alias("request_id"), "tugas_id", "siswa_id",
+                    (F.col("id") % 101).cast("int").alias("nilai")))
+
+
+@register("w11_post_grades", """
+SELECT p.id, p.tugas_id, p.siswa_id, CASE WHEN l.request_id IS NOT NULL THEN l.nilai ELSE p.nilai END AS nilai
+FROM pengumpulan_tugas p
+LEFT JOIN (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY tugas_id, siswa_id ORDER BY request_id DESC) AS rn
+                          FROM req) WHERE rn = 1) l
+  ON l.tugas_id = p.tugas_id AND l.siswa_id = p.siswa_id
+""", ctes="""
+req AS (SELECT id AS request_id, tugas_id, siswa_id, CAST(id % 101 AS INTEGER) AS nilai
+        FROM pengumpulan_tugas WHERE nilai IS NULL)
+""")
+def w11(t):
+    ch = W.post_grades(t, _grade_requests(t))
+    return ch.tables.pengumpulan_tugas.select("id", "tugas_id", "siswa_id", "nilai")
+
+
+# Delete every teacher account that has no class assignment.
+def _idle_teachers(t):
+    with_class = t.guru_details.join(t.guru_kelas.select(F.col("guru_id").alias("id")), "id", "left_semi")
+    return (t.users.where(F.col("role") == "guru")
+            .join(with_class.select(F.col("user_id").alias("id")), "id", "left_anti").select("id"))
+
+
+_COUNTS_AFTER_DELETE = """
+SELECT 'users' AS table_name, count(*) AS n_rows FROM users WHERE id NOT IN (SELECT id FROM del)
+UNION ALL SELECT 'kelas', count(*) FROM kelas
+UNION ALL SELECT 'verifications', count(*) FROM verifications v WHERE NOT EXISTS (SELECT 1 FROM del WHERE del.id = v.user_id)
+UNION ALL SELECT 'activity_logs', count(*) FROM activity_logs a WHERE NOT EXISTS (SELECT 1 FROM del WHERE del.id = a.user_id)
+UNION ALL SELECT 'siswa_details', count(*) FROM siswa_details s WHERE NOT EXISTS (SELECT 1 FROM del WHERE del.id = s.user_id)
+UNION ALL SELECT 'guru_details', count(*) FROM guru_details g WHERE NOT EXISTS (SELECT 1 FROM del WHERE del.id = g.user_id)
+UNION ALL SELECT 'guru_kelas', count(*) FROM guru_kelas gk WHERE NOT EXISTS (SELECT 1 FROM dgd WHERE dgd.id = gk.guru_id)
+UNION ALL SELECT 'courses', count(*) FROM courses
+UNION ALL SELECT 'courses.created_by_null', count(*) FROM courses c
+  WHERE c.created_by IS NULL OR EXISTS (SELECT 1 FROM del WHERE del.id = c.created_by)
+UNION ALL SELECT 'course_kelas', count(*) FROM course_kelas
+UNION ALL SELECT 'course_enrollments', count(*) FROM course_enrollments ce
+  WHERE NOT EXISTS (SELECT 1 FROM del WHERE del.id = ce.student_id)
+UNION ALL SELECT 'tugas', count(*) FROM tugas t WHERE NOT EXISTS (SELECT 1 FROM dtg WHERE dtg.id = t.id)
+UNION ALL SELECT 'tugas_kelas', count(*) FROM tugas_kelas tk WHERE NOT EXISTS (SELECT 1 FROM dtg WHERE dtg.id = tk.tugas_id)
+UNION ALL SELECT 'pengumpulan_tugas', count(*) FROM pengumpulan_tugas p
+  WHERE NOT EXISTS (SELECT 1 FROM dtg WHERE dtg.id = p.tugas_id) AND NOT EXISTS (SELECT 1 FROM del WHERE del.id = p.siswa_id)
+UNION ALL SELECT 'diskusi', count(*) FROM diskusi d WHERE NOT EXISTS (SELECT 1 FROM ddk WHERE ddk.id = d.id)
+UNION ALL SELECT 'diskusi_kelas', count(*) FROM diskusi_kelas dk WHERE NOT EXISTS (SELECT 1 FROM ddk WHERE ddk.id = dk.diskusi_id)
+UNION ALL SELECT 'chat_diskusi', count(*) FROM chat_diskusi c
+  WHERE NOT EXISTS (SELECT 1 FROM ddk WHERE ddk.id = c.diskusi_id) AND NOT EXISTS (SELECT 1 FROM del WHERE del.id = c.user_id)
+"""
+
+
+@register("w13_delete_cascade_counts", _COUNTS_AFTER_DELETE, ctes="""
+del AS (SELECT u.id FROM users u WHERE u.role = 'guru' AND NOT EXISTS (
+          SELECT 1 FROM guru_details g JOIN guru_kelas gk ON gk.guru_id = g.id WHERE g.user_id = u.id)),
+dgd AS (SELECT id FROM guru_details WHERE user_id IN (SELECT id FROM del)),
+dtg AS (SELECT id FROM tugas WHERE created_by IN (SELECT id FROM del)),
+ddk AS (SELECT id FROM diskusi WHERE created_by IN (SELECT id FROM del))
+""")
+def w13(t):
+    ch = W.delete_cascade(t, {"users": _idle_teachers(t)})
+    n = ch.tables
+    counts = W.row_counts(n, [x for x in n.frames])
+    nulls = n.courses.where(F.col("created_by").isNull()).agg(F.count(F.lit(1)).alias("n_rows")) \
+        .select(F.lit("courses.created_by_null").alias("table_name"), "n_rows")
+    return counts.unionByName(nulls)
