@@ -1 +1,67 @@
-"""Registered queries (filled in as operators land)."""
+"""Registered streaming jobs (S01-S05).  Each lands its fixture-derived
+input rows in a parquet folder, drains it with ``availableNow`` and returns
+what the sink holds; the oracle is the batch twin's SQL."""
+
+
+
+from kelasflow.plans import reg_changes as RC
+from kelasflow.plans.reg_progress import _PROGRESS_SQL
+from kelasflow.plans.registry import REGISTRY, register
+from kelasflow.streaming import streams as S
+
+
+def _dirs(t, name):
+    base = S.scratch(t.spark, name)
+    return {k: f"{base}/{k}" for k in ("in", "out", "ckpt", "snap")}
+
+
+@register("s01_daily_activity_stream", """
+SELECT CAST(created_at AS DATE) AS tanggal, count(*) AS total FROM activity_logs GROUP BY 1
+""")
+def s01(t):
+    d = _dirs(t, "s01")
+    S.stage(t.activity_logs, d["in"])
+    return S.run_daily_activity(t.spark, d["in"], d["out"], d["ckpt"], t.activity_logs.schema)
+
+
+@register("s02_message_feed_stream", """
+SELECT c.id, c.diskusi_id, c.user_id, c.isi, c.created_at, u.name, u.role
+FROM chat_diskusi c JOIN users u ON u.id = c.user_id WHERE coalesce(c.isi, '') <> ''
+""")
+def s02(t):
+    d = _dirs(t, "s02")
+    S.stage(t.chat_diskusi, d["in"])
+    return S.run_message_feed(t.spark, t, d["in"], d["out"], d["ckpt"], t.chat_diskusi.schema)
+
+
+def s03(t):
+    d = _dirs(t, "s03")
+    snap, reqs = RC._submit_split(t)
+    S.stage(reqs, d["in"])
+    return S.run_first_wins(t.spark, snap, d["in"], d["snap"], d["out"], d["ckpt"], reqs.schema)
+
+
+@register("s04_live_assignment_progress", """
+SELECT id, jumlah_kumpul, jumlah_siswa FROM p
+""", ctes=f"p AS ({_PROGRESS_SQL.format(cond='')})")
+def s04(t):
+    d = _dirs(t, "s04")
+    subs = t.pengumpulan_tugas.select("id", "tugas_id")
+    S.stage(subs, d["in"])
+    return S.run_live_progress(t.spark, t, d["in"], d["out"], d["ckpt"], subs.schema)
+
+
+def s05(t):
+    d = _dirs(t, "s05")
+    reqs = RC._grade_requests(t)
+    S.stage(reqs, d["in"])
+    snap = S.run_grade_requests(t.spark, t, d["in"], d["snap"], d["ckpt"], reqs.schema)
+    return snap.select("id", "tugas_id", "siswa_id", "nilai")
+
+
+# S03 / S05 share their batch twins' oracle text.
+REGISTRY["s03_submit_first_wins_stream"] = type(REGISTRY["w10_submit_first_wins"])(
+    "s03_submit_first_wins_stream", s03, REGISTRY["w10_submit_first_wins"].sql)
+REGISTRY["s05_grade_requests_stream"] = type(REGISTRY["w11_post_grades"])(
+    "s05_grade_requests_stream", s05, REGISTRY["w11_post_grades"].sql)
+
