@@ -95,3 +95,9 @@ def read_jdbc(spark: SparkSession, url: str, names=None, properties: dict | None
             frames[n] = spark.read.jdbc(url, n, properties=props)
         frames[n] = conform(frames[n], n)
     return Tables(spark, frames)
+
+
+def from_rows(spark: SparkSession, **rows) -> Tables:
+    """Small bundle from Python tuples (tests, examples); tables not given
+    are empty with their declared schema."""
+    return Tables(spark, {n: spark.createDataFrame(rows.get(n, []), SCHEMAS[n]) for n in SCHEMAS})
