@@ -12,16 +12,16 @@ from pyspark.sql import functions as F
 from kelasflow.schema import ROLES, VERIFICATION_STATUSES
 from kelasflow.sources.catalog import Tables
 
-# Unique and de-facto unique keys: (name, table, key expressions).  Text keys
-# of the store compare case-insensitively, so they are lower-cased.
+# Unique and de-facto unique keys: (name, table, key columns, compare
+# lower-cased).  Text keys of the store compare case-insensitively.
 UNIQUE_KEYS = [
-    ("users.email", "users", [F.lower(F.col("email"))]),
-    ("siswa_details.nisn", "siswa_details", [F.lower(F.col("nisn"))]),
-    ("guru_details.nip", "guru_details", [F.lower(F.col("nip"))]),
-    ("kelas.nama_kelas", "kelas", [F.lower(F.col("nama_kelas"))]),
-    ("siswa_details.user_id", "siswa_details", [F.col("user_id")]),
-    ("guru_details.user_id", "guru_details", [F.col("user_id")]),
-    ("pengumpulan_tugas.tugas_id+siswa_id", "pengumpulan_tugas", [F.col("tugas_id"), F.col("siswa_id")]),
+    ("users.email", "users", ["email"], True),
+    ("siswa_details.nisn", "siswa_details", ["nisn"], True),
+    ("guru_details.nip", "guru_details", ["nip"], True),
+    ("kelas.nama_kelas", "kelas", ["nama_kelas"], True),
+    ("siswa_details.user_id", "siswa_details", ["user_id"], False),
+    ("guru_details.user_id", "guru_details", ["user_id"], False),
+    ("pengumpulan_tugas.tugas_id+siswa_id", "pengumpulan_tugas", ["tugas_id", "siswa_id"], False),
 ]
 
 # The 20 live foreign keys of the store: (child table, column, parent table).
@@ -60,8 +60,9 @@ def uniqueness(t: Tables) -> DataFrame:
     """Key values held by more than one row (NULL keys are allowed to repeat).
     Counting is a partial aggregate, so a very hot key costs no more than others."""
     parts = []
-    for name, table, keys in UNIQUE_KEYS:
-        df = t[table].select(*[k.alias(f"k{i}") for i, k in enumerate(keys)])
+    for name, table, keys, fold in UNIQUE_KEYS:
+        df = t[table].select(*[(F.lower(F.col(k)) if fold else F.col(k)).alias(f"k{i}")
+                               for i, k in enumerate(keys)])
         kcols = [f"k{i}" for i in range(len(keys))]
         df = df.where(reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in kcols]))
         parts.append(df.groupBy(*kcols).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)

@@ -112,6 +112,21 @@ def assignment_classes(t: Tables, teacher_ids: DataFrame | None = None) -> DataF
                     F.coalesce("kelas", F.array().cast("array<string>")).alias("kelas")))
 
 
+# Largest class whose submitter list for one assignment may be gathered into
+# a single row by the roster-expansion plans below.
+MAX_CLASS_LIST = 200_000
+# Largest student roster (rows) broadcast for the roster-expansion plans.
+MAX_ROSTER_ROWS = 5_000_000
+
+
+def _roster_plan_ok(t: Tables, roster: DataFrame, key: str) -> DataFrame | None:
+    """Broadcast roster for the expansion plans, or None when the roster or
+    the largest class is too big (then the shuffle plan is used)."""
+    if t.max_class_size() > MAX_CLASS_LIST:
+        return None
+    return t.small(key, roster, MAX_ROSTER_ROWS)
+
+
 def submission_status(t: Tables, teacher_ids: DataFrame | None = None) -> DataFrame:
     """Per assignment: who submitted (``sudah_kumpul``) and who is missing
     (``belum_kumpul``), one long frame tagged by ``status``.
@@ -121,28 +136,42 @@ def submission_status(t: Tables, teacher_ids: DataFrame | None = None) -> DataFr
     = students of the assigned classes minus submitters; it follows SQL
     ``NOT IN``: an assignment with a submission whose student id is NULL has
     no missing list at all.
+
+    The missing list is assignment x class roster, far larger than any
+    input.  When the roster passes its size check, the submitters of each
+    (assignment, class) pair are attached to the pair *before* expanding it
+    against the broadcast roster, so the expansion is produced map-side and
+    never shuffled or sorted; otherwise the expansion is anti-joined with
+    the submitter pairs through a shuffle (AQE splits skewed partitions).
     """
     tg = keyed(t.tugas, "created_by", teacher_ids).select(F.col("id").alias("tugas_id"))
     kelas = t.dim("kelas").select(F.col("id").alias("kelas_id"), F.col("nama_kelas").alias("kelas"))
     people = t.users.select(F.col("id").alias("user_id"), "name")
     placed = (t.siswa_details.select("user_id", "kelas_id")
               .join(kelas, "kelas_id").join(people, "user_id"))          # student x class x name
+    roster = _roster_plan_ok(t, placed, "placed_students")
 
     subs = t.pengumpulan_tugas.join(tg, "tugas_id", "left_semi")
     done = (subs.select("tugas_id", F.col("siswa_id").alias("user_id"), "file_path", "nilai")
-            .join(placed, "user_id")
+            .join(roster if roster is not None else placed, "user_id")
             .select("tugas_id", F.lit("sudah_kumpul").alias("status"), F.col("user_id").alias("id"),
                     "name", "kelas", "file_path", "nilai"))
 
-    assigned = (t.tugas_kelas.join(tg, "tugas_id", "left_semi").select("tugas_id", "kelas_id")
-                .join(placed, "kelas_id"))
-    submitted = subs.where(F.col("siswa_id").isNotNull()).select("tugas_id", F.col("siswa_id").alias("user_id"))
     null_sub = subs.where(F.col("siswa_id").isNull()).select("tugas_id")
-    missing = (assigned.join(submitted, ["tugas_id", "user_id"], "left_anti")
-               .join(null_sub, "tugas_id", "left_anti")
-               .select("tugas_id", F.lit("belum_kumpul").alias("status"), F.col("user_id").alias("id"),
-                       "name", "kelas", F.lit(None).cast("string").alias("file_path"),
-                       F.lit(None).cast("int").alias("nilai")))
+    pairs = (t.tugas_kelas.join(tg, "tugas_id", "left_semi").select("tugas_id", "kelas_id")
+             .join(null_sub, "tugas_id", "left_anti"))
+    submitted = subs.where(F.col("siswa_id").isNotNull()).select("tugas_id", F.col("siswa_id").alias("user_id"))
+    if roster is not None:
+        by_pair = (submitted.join(roster.select("user_id", "kelas_id"), "user_id")
+                   .groupBy("tugas_id", "kelas_id").agg(F.collect_set("user_id").alias("_done")))
+        missing = (pairs.join(by_pair, ["tugas_id", "kelas_id"], "left")
+                   .join(roster, "kelas_id")
+                   .where(~F.coalesce(F.array_contains("_done", F.col("user_id")), F.lit(False))))
+    else:
+        missing = pairs.join(placed, "kelas_id").join(submitted, ["tugas_id", "user_id"], "left_anti")
+    missing = missing.select("tugas_id", F.lit("belum_kumpul").alias("status"), F.col("user_id").alias("id"),
+                             "name", "kelas", F.lit(None).cast("string").alias("file_path"),
+                             F.lit(None).cast("int").alias("nilai"))
     return done.unionByName(missing)
 
 
@@ -150,7 +179,15 @@ def student_assignments(t: Tables, student_ids: DataFrame | None = None) -> Data
     """Per student with a class: every assignment of that class with its
     author, class name and the student's own grade / file (left join on
     assignment AND student, kept in the ON clause; duplicate submissions of
-    one pair repeat the row, as in the reference)."""
+    one pair repeat the row, as in the reference).
+
+    Same plan choice as :func:`submission_status`: with a roster that passes
+    the size check, rows that have a submission are built from the
+    submissions (small), and the assignment x roster expansion -- produced
+    map-side against the broadcast roster, never shuffled -- only keeps the
+    students not in the pair's submitter list; otherwise the expansion is
+    left-joined to the submissions through a shuffle.
+    """
     sd = (keyed(t.siswa_details, "user_id", student_ids).where(F.col("kelas_id").isNotNull())
           .select(F.col("user_id").alias("siswa_id"), "kelas_id").distinct())
     kelas = t.dim("kelas").select(F.col("id").alias("kelas_id"), "nama_kelas")
@@ -160,11 +197,23 @@ def student_assignments(t: Tables, student_ids: DataFrame | None = None) -> Data
              .join(authors, "created_by")
              .join(t.tugas_kelas.select("tugas_id", "kelas_id"), "tugas_id")
              .join(kelas, "kelas_id"))
-    rows = tasks.join(sd, "kelas_id")
     subs = t.pengumpulan_tugas.select("tugas_id", "siswa_id", "nilai", F.col("file_path").alias("file_kumpul"))
-    return (rows.join(subs, ["tugas_id", "siswa_id"], "left")
-            .select("siswa_id", F.col("tugas_id").alias("id"), "judul", "deskripsi", "deadline", "created_at",
-                    "file_path", "guru", "nama_kelas", "nilai", "file_kumpul"))
+    out = ["siswa_id", F.col("tugas_id").alias("id"), "judul", "deskripsi", "deadline", "created_at",
+           "file_path", "guru", "nama_kelas", "nilai", "file_kumpul"]
+    roster = _roster_plan_ok(t, sd, f"class_roster:{student_ids is None}")
+    if roster is None:
+        return tasks.join(sd, "kelas_id").join(subs, ["tugas_id", "siswa_id"], "left").select(*out)
+    # Rows with the student's submission(s): small, built from the submissions.
+    placed_subs = subs.join(roster, "siswa_id")                         # (t, u, k, grade, file)
+    matched = tasks.join(placed_subs, ["tugas_id", "kelas_id"]).select(*out)
+    # Rows without one: the pair carries its submitters' ids and the roster
+    # expansion keeps only the others (NULL grade and file).
+    by_pair = placed_subs.groupBy("tugas_id", "kelas_id").agg(F.collect_set("siswa_id").alias("_done"))
+    unmatched = (tasks.join(by_pair, ["tugas_id", "kelas_id"], "left").join(roster, "kelas_id")
+                 .where(~F.coalesce(F.array_contains("_done", F.col("siswa_id")), F.lit(False)))
+                 .select(*out[:9], F.lit(None).cast("int").alias("nilai"),
+                         F.lit(None).cast("string").alias("file_kumpul")))
+    return matched.unionByName(unmatched)
 
 
 def student_assignment_stats(t: Tables, student_ids: DataFrame | None = None) -> DataFrame:
