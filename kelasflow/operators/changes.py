@@ -21,7 +21,7 @@ import datetime as dt
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kelasflow.functions.ids import assign_ids, next_id
@@ -49,18 +49,26 @@ def _union(frames) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
 
 
-def _latest(df: DataFrame, keys: list[str], order: str = "request_id") -> tuple[DataFrame, DataFrame]:
-    """Split requests into the last one per key and the superseded rest."""
-    w = Window.partitionBy(*keys).orderBy(F.col(order).desc())
-    ranked = df.withColumn("_rn", F.row_number().over(w))
-    return ranked.where("_rn = 1").drop("_rn"), ranked.where("_rn > 1").drop("_rn")
+def _split(df: DataFrame, winners: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows whose request_id is a winner, the rest).  Joins on the unique
+    request id, so no key is hot here."""
+    w = winners.select("request_id")
+    return df.join(w, "request_id", "left_semi"), df.join(w, "request_id", "left_anti")
+
+
+def _latest(df: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Split requests into the last one per key (highest request_id) and the
+    superseded rest.  A mergeable aggregate, not a window: a key holding a
+    large share of the requests is combined map-side instead of sorted in
+    one task."""
+    return _split(df, df.groupBy(*keys).agg(F.max("request_id").alias("request_id")))
 
 
 def _first(df: DataFrame, keys: list[str], order: list[str]) -> tuple[DataFrame, DataFrame]:
-    """Split requests into the first one per key and the later duplicates."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    ranked = df.withColumn("_rn", F.row_number().over(w))
-    return ranked.where("_rn = 1").drop("_rn"), ranked.where("_rn > 1").drop("_rn")
+    """Split requests into the first one per key under ``order`` (which ends
+    with request_id, a total order) and the later duplicates."""
+    win = df.groupBy(*keys).agg(F.min_by("request_id", F.struct(*order)).alias("request_id"))
+    return _split(df, win)
 
 
 # ---------------------------------------------------------------- W01 classes
