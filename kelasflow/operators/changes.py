@@ -177,7 +177,8 @@ def student_create(t: Tables, requests: DataFrame, as_of: dt.datetime) -> Change
     det = det.select("id", "user_id", "jurusan", "nisn", "kelas_id")
     return Change(t.replace(users=t.users.unionByName(users), verifications=t.verifications.unionByName(ver),
                             siswa_details=t.siswa_details.unionByName(det), kelas=kelas), rejects,
-                  {"users": users, "verifications": ver, "siswa_details": det})
+                  {"users": users, "verifications": ver, "siswa_details": det,
+                   "accepted": ok.select("request_id", "user_id")})
 
 
 def teacher_create(t: Tables, requests: DataFrame, as_of: dt.datetime) -> Change:
@@ -189,7 +190,8 @@ def teacher_create(t: Tables, requests: DataFrame, as_of: dt.datetime) -> Change
     det = det.select("id", "user_id", "mapel", "nip")
     return Change(t.replace(users=t.users.unionByName(users), verifications=t.verifications.unionByName(ver),
                             guru_details=t.guru_details.unionByName(det)), rejects,
-                  {"users": users, "verifications": ver, "guru_details": det})
+                  {"users": users, "verifications": ver, "guru_details": det,
+                   "accepted": ok.select("request_id", "user_id")})
 
 
 def register_users(t: Tables, requests: DataFrame, as_of: dt.datetime) -> Change:
@@ -204,7 +206,8 @@ def register_users(t: Tables, requests: DataFrame, as_of: dt.datetime) -> Change
     return Change(t.replace(users=t.users.unionByName(users), verifications=t.verifications.unionByName(ver),
                             activity_logs=t.activity_logs.unionByName(logs)),
                   rejects.unionByName(_reject(admin, "admin_not_allowed")),
-                  {"users": users, "verifications": ver, "activity_logs": logs})
+                  {"users": users, "verifications": ver, "activity_logs": logs,
+                   "accepted": ok.select("request_id", "user_id")})
 
 
 # ---------------------------------------------------------- W05 teacher upsert
@@ -305,7 +308,8 @@ def create_with_classes(t: Tables, parent: str, requests: DataFrame, as_of: dt.d
     if "id" in old.columns:
         links = assign_ids(links, [pcol, "kelas_id"], next_id(old))
     return Change(t.replace(**{parent: t[parent].unionByName(rows), bridge: old.unionByName(links.select(*old.columns))}),
-                  _union(rejects), {parent: rows})
+                  _union(rejects), {parent: rows, "links": links.select("request_id", pcol, "kelas_id"),
+                                    "accepted": ok.select("request_id", "id")})
 
 
 # ---------------------------------------------------- W08 verification status
@@ -471,10 +475,11 @@ def append_messages(t: Tables, requests: DataFrame) -> Change:
     ok = requests.where(F.coalesce(F.col("isi"), F.lit("")) != "")
     unknown = ok.join(t.diskusi.select(F.col("id").alias("diskusi_id")), "diskusi_id", "left_anti")
     ok = ok.join(t.diskusi.select(F.col("id").alias("diskusi_id")), "diskusi_id", "left_semi")
-    rows = assign_ids(ok, ["request_id"], next_id(t.chat_diskusi)).select(*t.chat_diskusi.columns)
+    ided = assign_ids(ok, ["request_id"], next_id(t.chat_diskusi))
+    rows = ided.select(*t.chat_diskusi.columns)
     return Change(t.replace(chat_diskusi=t.chat_diskusi.unionByName(rows)),
                   _union([_reject(blank, "blank_message"), _reject(unknown, "unknown_thread")]),
-                  {"chat_diskusi": rows})
+                  {"chat_diskusi": rows, "accepted": ided.select("request_id", "id")})
 
 
 SIGN_IN_ACTIONS = {"admin": "Admin logged in", "default": "User logged in"}  # fixed texts of the reference

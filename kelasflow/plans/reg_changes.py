@@ -171,3 +171,198 @@ def w13(t):
     nulls = n.courses.where(F.col("created_by").isNull()).agg(F.count(F.lit(1)).alias("n_rows")) \
         .select(F.lit("courses.created_by_null").alias("table_name"), "n_rows")
     return counts.unionByName(nulls)
+
+
+# ---------------------------------------------------------------- create jobs
+# Replay: the snapshot holds the people who joined before the cutoff; every
+# person of the tables then arrives as a request (e-mail upper-cased), so
+# earlier ones collide with the snapshot and later ones are created.
+JOIN_CUTOFF = {"users": "1995-06-21 00:00:00", "siswa": "1995-06-21 00:00:00", "guru": "1995-01-06 00:00:00"}
+
+
+def _joined_before(kind):
+    return F.col("created_at") < F.expr(f"TIMESTAMP_NTZ'{JOIN_CUTOFF[kind]}'")
+
+
+def _outcomes(ch, id_col):
+    ok = ch.emitted["accepted"].select("request_id", F.lit("created").alias("outcome"),
+                                       F.col(id_col).alias("new_id"))
+    return ok.unionByName(ch.rejects.select("request_id", F.col("reason").alias("outcome"),
+                                            F.lit(None).cast("bigint").alias("new_id")))
+
+
+def _create_sql(req_cte: str, detail_check: str = "", kind: str = "users") -> str:
+    """Outcome SQL shared by the create jobs: e-mail (then detail key)
+    collisions with the snapshot, first request per e-mail (then per detail
+    key) in the batch, new ids = snapshot max + rank of request id."""
+    dk = detail_check
+    return f"""
+SELECT request_id, 'created' AS outcome,
+       coalesce((SELECT max(id) FROM snap), 0) + row_number() OVER (ORDER BY request_id) AS new_id
+FROM ok2 WHERE rn2 = 1
+UNION ALL SELECT request_id, reason, NULL FROM cls WHERE reason IS NOT NULL
+UNION ALL SELECT request_id, 'email_taken_in_batch', NULL FROM ok WHERE rn > 1
+UNION ALL SELECT request_id, '{dk}_taken_in_batch', NULL FROM ok2 WHERE rn2 > 1
+""", f"""
+snap AS (SELECT * FROM users WHERE created_at < TIMESTAMP '{JOIN_CUTOFF[kind]}'),
+req AS ({req_cte}),
+cls AS (SELECT r.*, CASE {{admin}} WHEN lower(r.email) IN (SELECT lower(email) FROM snap) THEN 'email_taken'
+                         {{detail}} END AS reason FROM req r),
+ok AS (SELECT *, row_number() OVER (PARTITION BY lower(email) ORDER BY request_id) AS rn FROM cls WHERE reason IS NULL),
+ok2 AS (SELECT *, CASE WHEN {dk if dk else 'NULL'} IS NULL THEN 1 ELSE
+          row_number() OVER (PARTITION BY {dk if dk else 'NULL'}, {dk if dk else 'NULL'} IS NULL ORDER BY request_id) END AS rn2
+        FROM ok WHERE rn = 1)
+"""
+
+
+def _reg(name, body, ctes):
+    return register(name, body, ctes=ctes)
+
+
+_W09_BODY, _W09_CTES = _create_sql("SELECT id AS request_id, name, upper(email) AS email, role FROM users")
+_W09_CTES = _W09_CTES.replace("{admin}", "WHEN r.role = 'admin' THEN 'admin_not_allowed'").replace("{detail}", "")
+_W09_BODY = _W09_BODY.replace("UNION ALL SELECT request_id, '_taken_in_batch', NULL FROM ok2 WHERE rn2 > 1\n", "")
+
+
+@_reg("w09_register_users", _W09_BODY, _W09_CTES)
+def w09(t):
+    snap = t.replace(users=t.users.where(_joined_before("users")))
+    req = t.users.select(F.col("id").alias("request_id"), "name", F.upper("email").alias("email"), "role")
+    return _outcomes(W.register_users(snap, req, APPLY_AT), "user_id")
+
+
+_W03_REQ = """SELECT u.id AS request_id, u.name, upper(u.email) AS email, sd.nisn, sd.jurusan, k.nama_kelas AS kelas
+FROM users u LEFT JOIN siswa_details sd ON sd.user_id = u.id LEFT JOIN kelas k ON k.id = sd.kelas_id
+WHERE u.role = 'siswa'"""
+_W03_BODY, _W03_CTES = _create_sql(_W03_REQ, "nisn", "siswa")
+_W03_CTES = _W03_CTES.replace("{admin}", "").replace(
+    "{detail}", "WHEN r.nisn IN (SELECT nisn FROM siswa_details WHERE user_id IN (SELECT id FROM snap)) "
+                "THEN 'nisn_taken'")
+
+
+def _student_requests(t):
+    sd = t.siswa_details.select(F.col("user_id").alias("request_id"), "nisn", "jurusan", "kelas_id")
+    k = t.kelas.select(F.col("id").alias("kelas_id"), F.col("nama_kelas").alias("kelas"))
+    return (t.users.where(F.col("role") == "siswa")
+            .select(F.col("id").alias("request_id"), "name", F.upper("email").alias("email"))
+            .join(sd, "request_id", "left").join(k, "kelas_id", "left").drop("kelas_id"))
+
+
+@_reg("w03_student_create", _W03_BODY, _W03_CTES)
+def w03(t):
+    before = t.users.where(_joined_before("siswa"))
+    snap = t.replace(users=before,
+                     siswa_details=t.siswa_details.join(before.select(F.col("id").alias("user_id")), "user_id",
+                                                        "left_semi"))
+    return _outcomes(W.student_create(snap, _student_requests(t), APPLY_AT), "user_id")
+
+
+_W04_REQ = """SELECT u.id AS request_id, u.name, upper(u.email) AS email, gd.nip, gd.mapel
+FROM users u LEFT JOIN guru_details gd ON gd.user_id = u.id WHERE u.role = 'guru'"""
+_W04_BODY, _W04_CTES = _create_sql(_W04_REQ, "nip", "guru")
+_W04_CTES = _W04_CTES.replace("{admin}", "").replace(
+    "{detail}", "WHEN r.nip IN (SELECT nip FROM guru_details WHERE user_id IN (SELECT id FROM snap)) "
+                "THEN 'nip_taken'")
+
+
+@_reg("w04_teacher_create", _W04_BODY, _W04_CTES)
+def w04(t):
+    before = t.users.where(_joined_before("guru"))
+    snap = t.replace(users=before,
+                     guru_details=t.guru_details.join(before.select(F.col("id").alias("user_id")), "user_id",
+                                                      "left_semi"))
+    gd = t.guru_details.select(F.col("user_id").alias("request_id"), "nip", "mapel")
+    req = (t.users.where(F.col("role") == "guru")
+           .select(F.col("id").alias("request_id"), "name", F.upper("email").alias("email"))
+           .join(gd, "request_id", "left"))
+    return _outcomes(W.teacher_create(snap, req, APPLY_AT), "user_id")
+
+
+# Assignments created after the cutoff arrive as create requests with
+# their class names as one comma-separated field.
+TASK_CUTOFF = "1996-01-01 00:00:00"
+
+
+@register("w07_create_assignments", f"""
+SELECT a.request_id, a.new_id AS tugas_id, k.id AS kelas_id
+FROM acc a LEFT JOIN names n ON n.request_id = a.request_id
+LEFT JOIN kelas k ON lower(k.nama_kelas) = lower(n.name)
+WHERE n.name IS NULL OR k.id IS NOT NULL
+""", ctes=f"""
+snap AS (SELECT * FROM tugas WHERE created_at < TIMESTAMP '{TASK_CUTOFF}'),
+req AS (SELECT t.id AS request_id, t.judul, t.deskripsi, t.deadline, t.file_path, t.created_by,
+               (SELECT string_agg(k.nama_kelas, ',' ORDER BY k.nama_kelas) FROM tugas_kelas tk
+                  JOIN kelas k ON k.id = tk.kelas_id WHERE tk.tugas_id = t.id) AS kelas
+        FROM tugas t WHERE t.created_at >= TIMESTAMP '{TASK_CUTOFF}'),
+acc AS (SELECT request_id, kelas,
+               coalesce((SELECT max(id) FROM snap), 0) + row_number() OVER (ORDER BY request_id) AS new_id
+        FROM req WHERE coalesce(trim(judul), '') <> '' AND coalesce(trim(deskripsi), '') <> ''
+          AND deadline IS NOT NULL),
+names AS (SELECT DISTINCT request_id, name FROM (
+            SELECT request_id, nullif(trim(s), '') AS name
+            FROM (SELECT request_id, unnest(string_split(kelas, ',')) AS s FROM acc)) WHERE name IS NOT NULL)
+""")
+def w07(t):
+    cut = F.col("created_at") < F.expr(f"TIMESTAMP_NTZ'{TASK_CUTOFF}'")
+    snap_tugas = t.tugas.where(cut)
+    snap = t.replace(tugas=snap_tugas,
+                     tugas_kelas=t.tugas_kelas.join(snap_tugas.select(F.col("id").alias("tugas_id")), "tugas_id",
+                                                    "left_semi"))
+    k = t.kelas.select(F.col("id").alias("kelas_id"), "nama_kelas")
+    csv = (t.tugas_kelas.join(k, "kelas_id").groupBy("tugas_id")
+           .agg(F.array_join(F.array_sort(F.collect_list("nama_kelas")), ",").alias("kelas")))
+    req = (t.tugas.where(~cut).join(csv, t.tugas.id == csv.tugas_id, "left")
+           .select(F.col("id").alias("request_id"), "judul", "deskripsi", "deadline", "file_path", "created_by",
+                   "kelas"))
+    ch = W.create_with_classes(snap, "tugas", req, APPLY_AT)
+    acc = ch.emitted["accepted"].select("request_id", F.col("id").alias("tugas_id"))
+    links = ch.emitted["links"].select("request_id", "kelas_id")
+    return acc.join(links, "request_id", "left").select("request_id", "tugas_id", "kelas_id")
+
+
+# Messages after the cutoff arrive as append requests.
+CHAT_CUTOFF = "2024-01-03 00:00:00"
+
+
+@register("w14_append_messages", f"""
+SELECT request_id, coalesce((SELECT max(id) FROM chat_diskusi WHERE created_at < TIMESTAMP '{CHAT_CUTOFF}'), 0)
+         + row_number() OVER (ORDER BY request_id) AS new_id
+FROM (SELECT id AS request_id FROM chat_diskusi c
+      WHERE c.created_at >= TIMESTAMP '{CHAT_CUTOFF}' AND coalesce(c.isi, '') <> ''
+        AND c.diskusi_id IN (SELECT id FROM diskusi))
+""")
+def w14(t):
+    cut = F.col("created_at") < F.expr(f"TIMESTAMP_NTZ'{CHAT_CUTOFF}'")
+    snap = t.replace(chat_diskusi=t.chat_diskusi.where(cut))
+    req = t.chat_diskusi.where(~cut).select(F.col("id").alias("request_id"), "diskusi_id", "user_id", "isi",
+                                            "created_at")
+    ch = W.append_messages(snap, req)
+    return ch.emitted["accepted"].select("request_id", F.col("id").alias("new_id"))
+
+
+# Every thread's classes are replaced by the classes its author teaches.
+@register("w06_replace_thread_classes", """
+SELECT id, diskusi_id, kelas_id FROM diskusi_kelas WHERE diskusi_id NOT IN (SELECT diskusi_id FROM req)
+UNION ALL
+SELECT (SELECT max(id) FROM diskusi_kelas) + row_number() OVER (ORDER BY diskusi_id, kelas_id), diskusi_id, kelas_id
+FROM pairs
+""", ctes="""
+req AS (SELECT d.id AS request_id, d.id AS diskusi_id,
+               (SELECT string_agg(k.nama_kelas, ',' ORDER BY k.nama_kelas) FROM guru_details g
+                  JOIN guru_kelas gk ON gk.guru_id = g.id JOIN kelas k ON k.id = gk.kelas_id
+                WHERE g.user_id = d.created_by) AS kelas
+        FROM diskusi d),
+names AS (SELECT diskusi_id, nullif(trim(s), '') AS name
+          FROM (SELECT diskusi_id, unnest(string_split(kelas, ',')) AS s FROM req)),
+pairs AS (SELECT DISTINCT n.diskusi_id, k.id AS kelas_id FROM names n JOIN kelas k ON lower(k.nama_kelas) = lower(n.name))
+""")
+def w06(t):
+    k = t.kelas.select(F.col("id").alias("kelas_id"), "nama_kelas")
+    teaches = (t.guru_details.select(F.col("id").alias("guru_id"), F.col("user_id").alias("created_by"))
+               .join(t.guru_kelas.select("guru_id", "kelas_id"), "guru_id").join(k, "kelas_id")
+               .groupBy("created_by").agg(F.array_join(F.array_sort(F.collect_list("nama_kelas")), ",")
+                                          .alias("kelas")))
+    req = (t.diskusi.join(teaches, "created_by", "left")
+           .select(F.col("id").alias("request_id"), F.col("id").alias("diskusi_id"), "kelas"))
+    ch = W.replace_bridge(t, "diskusi_kelas", req)
+    return ch.tables.diskusi_kelas.select("id", "diskusi_id", "kelas_id")
