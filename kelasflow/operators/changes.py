@@ -379,16 +379,17 @@ def post_grades(t: Tables, requests: DataFrame) -> Change:
 # ----------------------------------------------------- W12 owner-checked edit
 def update_owned(t: Tables, parent: str, requests: DataFrame) -> Change:
     """Requests ``(request_id, id, owner_id, <fields>)`` for courses, tugas
-    or diskusi.  Applied only when ``owner_id`` is the row's author; NULL
-    fields (e.g. no new file) keep the old value.  Non-matching requests
-    are rejected (unlike the reference's thread path, class lists are not
-    replaced for non-owners either)."""
-    last, superseded = _latest(requests, ["id"])
+    or diskusi.  A request is applied only when ``owner_id`` is the row's
+    author (others are rejected first, so they cannot shadow the owner's
+    edit); of the owner's requests for one row the last wins.  NULL fields
+    (e.g. no new file) keep the old value.  Unlike the reference's thread
+    path, non-owners cannot replace class lists either."""
     rows = t[parent]
-    owned = last.join(rows.select("id", F.col("created_by").alias("owner_id")), ["id", "owner_id"], "left_semi")
-    denied = last.join(owned.select("request_id"), "request_id", "left_anti")
+    owned = requests.join(rows.select("id", F.col("created_by").alias("owner_id")), ["id", "owner_id"], "left_semi")
+    denied = requests.join(owned.select("request_id"), "request_id", "left_anti")
+    last, superseded = _latest(owned, ["id"])
     fields = [c for c in requests.columns if c in rows.columns and c not in ("id", "created_by")]
-    r = owned.select("id", F.lit(True).alias("_hit"), *[F.col(c).alias(f"_{c}") for c in fields])
+    r = last.select("id", F.lit(True).alias("_hit"), *[F.col(c).alias(f"_{c}") for c in fields])
     new = rows.join(r, "id", "left").select(
         *[F.when(F.col("_hit"), F.coalesce(f"_{c}", c)).otherwise(F.col(c)).alias(c) if c in fields else F.col(c)
           for c in rows.columns])

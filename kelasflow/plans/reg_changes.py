@@ -366,3 +366,73 @@ def w06(t):
            .select(F.col("id").alias("request_id"), F.col("id").alias("diskusi_id"), "kelas"))
     ch = W.replace_bridge(t, "diskusi_kelas", req)
     return ch.tables.diskusi_kelas.select("id", "diskusi_id", "kelas_id")
+
+
+# Every chat message is also a request to replace its thread's body with
+# the message text, sent by the message's author; only the thread's author
+# may do so, and of the author's requests the last one wins.
+@register("w12_owner_checked_thread_edit", """
+SELECT d.id, d.judul, coalesce(l.isi, d.isi) AS isi, d.created_by, d.created_at
+FROM diskusi d LEFT JOIN (
+  SELECT * FROM (SELECT r.*, row_number() OVER (PARTITION BY r.id ORDER BY r.request_id DESC) AS rn
+                 FROM req r JOIN diskusi d2 ON d2.id = r.id AND d2.created_by = r.owner_id) WHERE rn = 1) l
+  ON l.id = d.id
+""", ctes="req AS (SELECT id AS request_id, diskusi_id AS id, user_id AS owner_id, isi FROM chat_diskusi)")
+def w12(t):
+    req = t.chat_diskusi.select(F.col("id").alias("request_id"), F.col("diskusi_id").alias("id"),
+                                F.col("user_id").alias("owner_id"), "isi")
+    ch = W.update_owned(t, "diskusi", req)
+    return ch.tables.diskusi.select("id", "judul", "isi", "created_by", "created_at")
+
+
+# Every user allowed to sign in (Q41's rule) signs in once at APPLY_AT.
+@register("w15_sign_in_logs", """
+SELECT (SELECT max(id) FROM activity_logs) + row_number() OVER (ORDER BY u.id) AS id, u.id AS user_id,
+       CASE WHEN u.role = 'admin' THEN 'Admin logged in' ELSE 'User logged in' END AS action
+FROM users u
+LEFT JOIN (SELECT user_id, status,
+                  row_number() OVER (PARTITION BY user_id ORDER BY requested_at DESC, id DESC) AS rn
+           FROM verifications) lv ON lv.user_id = u.id AND lv.rn = 1
+WHERE u.role = 'admin' OR coalesce(lv.status = 'approved', FALSE)
+""")
+def w15(t):
+    from kelasflow.operators import activity
+    ok = activity.latest_verification(t).where("login_eligible")
+    ev = ok.select(F.col("user_id").alias("request_id"), "user_id",
+                   F.expr(f"TIMESTAMP_NTZ'{APPLY_AT.isoformat(sep=' ')}'").alias("created_at"))
+    ch = W.log_sign_ins(t, ev)
+    return ch.emitted["activity_logs"].select("id", "user_id", "action")
+
+
+# Every student / teacher re-saves the profile form with the
+# values they have now; people without a detail row get one inserted.
+@register("w02_student_profile_upsert", """
+SELECT sd.id, sd.user_id, sd.jurusan, sd.nisn, sd.kelas_id FROM siswa_details sd
+UNION ALL
+SELECT coalesce((SELECT max(id) FROM siswa_details), 0) + row_number() OVER (ORDER BY u.id), u.id,
+       NULL, NULL, NULL
+FROM users u WHERE u.role = 'siswa' AND NOT EXISTS (SELECT 1 FROM siswa_details s WHERE s.user_id = u.id)
+""")
+def w02(t):
+    k = t.kelas.select(F.col("id").alias("kelas_id"), F.col("nama_kelas").alias("kelas"))
+    sd = t.siswa_details.select("user_id", "nisn", "jurusan", "kelas_id").join(k, "kelas_id", "left")
+    req = (t.users.where(F.col("role") == "siswa").select(F.col("id").alias("user_id"))
+           .join(sd, "user_id", "left")
+           .select(F.col("user_id").alias("request_id"), "user_id", "nisn", "jurusan", "kelas"))
+    ch = W.student_upsert(t, req)
+    return ch.tables.siswa_details.select("id", "user_id", "jurusan", "nisn", "kelas_id")
+
+
+@register("w05_teacher_profile_upsert", """
+SELECT gd.id, gd.user_id, gd.mapel, gd.nip FROM guru_details gd
+UNION ALL
+SELECT coalesce((SELECT max(id) FROM guru_details), 0) + row_number() OVER (ORDER BY u.id), u.id, NULL, NULL
+FROM users u WHERE u.role = 'guru' AND NOT EXISTS (SELECT 1 FROM guru_details g WHERE g.user_id = u.id)
+""")
+def w05(t):
+    gd = t.guru_details.select("user_id", "nip", "mapel")
+    req = (t.users.where(F.col("role") == "guru").select(F.col("id").alias("user_id"), "name", "email")
+           .join(gd, "user_id", "left")
+           .select(F.col("user_id").alias("request_id"), "user_id", "name", "email", "nip", "mapel"))
+    ch = W.teacher_upsert(t, req)
+    return ch.tables.guru_details.select("id", "user_id", "mapel", "nip")
