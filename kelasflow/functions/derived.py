@@ -42,9 +42,13 @@ def submission_rate(submitted, students) -> Column:
 
 
 def days_left(deadline, now: dt.datetime) -> Column:
-    """ceil((deadline - now) / 1 day), negative once past."""
-    secs = F.unix_timestamp(_c(deadline).cast("timestamp")) - F.unix_timestamp(F.lit(now.isoformat(sep=" ")))
-    return F.ceil(secs / 86400).cast("int")
+    """ceil((deadline - now) / 1 day), negative once past.
+
+    Date arithmetic only (whole days to ``now``'s date minus the part of
+    that day already gone), so the result does not depend on the session
+    time zone or on daylight-saving changes."""
+    gone = (now - dt.datetime(now.year, now.month, now.day)).total_seconds() / 86400
+    return F.ceil(F.datediff(_c(deadline), F.lit(now.date())) - F.lit(gone)).cast("int")
 
 
 def grade_status(nilai, file_kumpul, ui_rule: bool = False) -> Column:

@@ -94,16 +94,21 @@ def _versions(spark: SparkSession, root: str) -> list[int]:
 
 # ------------------------------------------------------------- S01 daily count
 def daily_activity(logs: DataFrame, lateness: str = "1 day") -> DataFrame:
-    """Streaming count of log rows per UTC day.  Rows later than the
+    """Streaming count of log rows per calendar day.  Rows later than the
     watermark (max event time - ``lateness``) are dropped: our choice, the
-    reference has no late-data rule."""
-    # Watermarks need a zoned TIMESTAMP; the session zone is UTC, so the
-    # wall-clock values are unchanged.
-    return (logs.withColumn("created_at", F.col("created_at").cast("timestamp"))
-            .withWatermark("created_at", lateness)
-            .groupBy(F.window("created_at", "1 day").alias("w"))
+    reference has no late-data rule.
+
+    Watermarks need a zoned TIMESTAMP, so the wall-clock value is mapped to
+    the instant it names in UTC and days are keyed on the UTC epoch day;
+    the result does not depend on the session time zone.
+    """
+    wall_utc = F.from_utc_timestamp(F.col("created_at").cast("timestamp"), F.current_timezone())
+    return (logs.withColumn("_t", wall_utc)
+            .withWatermark("_t", lateness)
+            .groupBy(F.window("_t", "1 day").alias("w"))
             .agg(F.count(F.lit(1)).alias("total"))
-            .select(F.to_date(F.col("w.start")).alias("tanggal"), "total"))
+            .select(F.date_from_unix_date(F.floor(F.unix_seconds(F.col("w.start")) / 86400).cast("int"))
+                    .alias("tanggal"), "total"))
 
 
 def run_daily_activity(spark: SparkSession, logs_path: str, out: str, ckpt: str,
