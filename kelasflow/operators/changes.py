@@ -9,8 +9,8 @@ out; with a table format the same plans become ``MERGE``.  All outputs are
 computed from one snapshot, so a batch is applied atomically and replaying
 it is a no-op where the reference's checks make it one.
 
-Request frames carry a unique ``request_id``; it orders requests inside a
-batch (later wins for updates, first wins for inserts) and seeds the ids of
+Request frames carry a ``request_id`` that must be unique within the batch
+(outcomes are keyed by it); it orders requests inside a batch (later wins for updates, first wins for inserts) and seeds the ids of
 inserted rows, which are ``max(id)`` + rank, assigned without a
 single-partition window.
 """
@@ -35,6 +35,20 @@ class Change:
     rejects: DataFrame
     emitted: dict[str, DataFrame] = field(default_factory=dict)
 
+    def checkpoint(self) -> "Change":
+        """Materialise the touched tables, rejects and emitted rows with a
+        reliable ``checkpoint()`` into the cluster's ``spark.checkpoint.dir``
+        and return a Change over them.  Chain jobs on the result: without it
+        each job's plan embeds the previous jobs' plans, and the plan grows
+        with every step (and a lost executor would recompute all of them)."""
+        from kelasflow.session import ensure_checkpoint_dir
+        ensure_checkpoint_dir(self.tables.spark)
+        changed = self.tables.__dict__.get("changed", set(self.tables.frames))
+        frames = {n: (df.checkpoint() if n in changed else df) for n, df in self.tables.frames.items()}
+        out = Tables(self.tables.spark, frames)
+        out.__dict__["changed"] = set(changed)
+        return Change(out, self.rejects.checkpoint(), {k: v.checkpoint() for k, v in self.emitted.items()})
+
 
 def _reject(df: DataFrame, reason: str | Column) -> DataFrame:
     r = F.lit(reason) if isinstance(reason, str) else reason

@@ -27,8 +27,11 @@ class Tables:
         return self.frames[name]
 
     def replace(self, **frames: DataFrame) -> "Tables":
-        """A new bundle with some tables swapped (used by change jobs)."""
-        return Tables(self.spark, {**self.frames, **frames})
+        """A new bundle with some tables swapped (used by change jobs); it
+        remembers which tables differ from the bundle it came from."""
+        out = Tables(self.spark, {**self.frames, **frames})
+        out.__dict__["changed"] = set(self.__dict__.get("changed", set())) | set(frames)
+        return out
 
     def max_class_size(self) -> int:
         """Largest number of detail rows in one class (one small aggregate,
