@@ -38,11 +38,13 @@ def admin_counts(t: Tables, as_of: dt.date) -> DataFrame:
                        n_today.alias("aktivitas_hari_ini"))
 
 
-def pending_verifications(t: Tables) -> DataFrame:
-    """Pending requests with the requester's name and role."""
+def pending_verifications(t: Tables, ordered: bool = False) -> DataFrame:
+    """Pending requests with the requester's name and role (``ordered``:
+    latest request first, id as tie-break)."""
     v = t.verifications.where(F.col("status") == "pending")
     u = t.users.select(F.col("id").alias("user_id"), "name", "role")
-    return v.join(u, "user_id").select("id", "name", "role", "requested_at")
+    out = v.join(u, "user_id").select("id", "name", "role", "requested_at")
+    return out.orderBy(F.col("requested_at").desc(), F.col("id").desc()) if ordered else out
 
 
 def recent_activity(t: Tables, k: int = 5) -> DataFrame:

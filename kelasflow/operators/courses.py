@@ -93,7 +93,7 @@ def teacher_dashboard(t: Tables, teacher_ids: DataFrame | None = None) -> DataFr
                     F.coalesce("total_siswa", F.lit(0)).cast("bigint").alias("total_siswa")))
 
 
-def teacher_course_classes(t: Tables, teacher_ids: DataFrame | None = None) -> DataFrame:
+def teacher_course_classes(t: Tables, teacher_ids: DataFrame | None = None, ordered: bool = False) -> DataFrame:
     """Per teacher course x linked class: course name, class name and class
     size (0 for an empty class; the correlated COUNT becomes a left join to
     pre-aggregated sizes)."""
@@ -102,10 +102,12 @@ def teacher_course_classes(t: Tables, teacher_ids: DataFrame | None = None) -> D
          .select(F.col("id").alias("course_id"), F.col("created_by").alias("guru_id"),
                  F.col("name").alias("course_name")))
     k = t.dim("kelas").select(F.col("id").alias("kelas_id"), F.col("nama_kelas").alias("jurusan"))
-    return (c.join(t.course_kelas.select("course_id", "kelas_id"), "course_id").join(k, "kelas_id")
-            .join(class_sizes(t), "kelas_id", "left")
-            .select("guru_id", "course_id", "course_name", "jurusan",
-                    F.coalesce("jumlah_siswa", F.lit(0)).alias("jumlah_siswa")))
+    out = (c.join(t.course_kelas.select("course_id", "kelas_id"), "course_id").join(k, "kelas_id")
+           .join(class_sizes(t), "kelas_id", "left")
+           .select("guru_id", "course_id", "course_name", "jurusan",
+                   F.coalesce("jumlah_siswa", F.lit(0)).alias("jumlah_siswa")))
+    # ordered: per teacher by class name (course id as tie-break)
+    return out.orderBy("guru_id", "jurusan", "course_id") if ordered else out
 
 
 def course_class_search(t: Tables, keyword: str) -> DataFrame:
@@ -123,7 +125,7 @@ def class_students(t: Tables, class_names: DataFrame | None = None) -> DataFrame
             .select("kelas", "name", "nisn", "jurusan"))
 
 
-def student_materials(t: Tables, student_ids: DataFrame | None = None) -> DataFrame:
+def student_materials(t: Tables, student_ids: DataFrame | None = None, ordered: bool = False) -> DataFrame:
     """Per student with a class: materials linked to that class, with the
     upload date as dd-MM-yyyy and the author's name (courses without an
     existing author are not shown, as in the reference's inner join)."""
@@ -131,8 +133,11 @@ def student_materials(t: Tables, student_ids: DataFrame | None = None) -> DataFr
           .select(F.col("user_id").alias("siswa_id"), "kelas_id").distinct())
     a = t.users.select(F.col("id").alias("created_by"), F.col("name").alias("guru"))
     c = (t.courses.join(a, "created_by")
-         .select(F.col("id").alias("course_id"), "name", "description", "file_path",
+         .select(F.col("id").alias("course_id"), "name", "description", "file_path", "created_at",
                  F.date_format("created_at", "dd-MM-yyyy").alias("tanggal_upload"), "guru"))
-    return (sd.join(t.course_kelas.select("course_id", "kelas_id"), "kelas_id").join(c, "course_id")
-            .select("siswa_id", F.col("course_id").alias("id"), "name", "description", "file_path",
-                    "tanggal_upload", "guru"))
+    out = (sd.join(t.course_kelas.select("course_id", "kelas_id"), "kelas_id").join(c, "course_id")
+           .select("siswa_id", F.col("course_id").alias("id"), "name", "description", "file_path",
+                   "tanggal_upload", "guru", "created_at"))
+    # ordered: per student, newest material first
+    out = out.orderBy("siswa_id", F.col("created_at").desc(), "id") if ordered else out
+    return out.drop("created_at")

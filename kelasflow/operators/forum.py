@@ -17,14 +17,16 @@ def _thread_classes(t: Tables, sep: str) -> DataFrame:
             .agg(sorted_list("nama_kelas", sep).alias("kelas")))
 
 
-def teacher_threads(t: Tables, teacher_ids: DataFrame | None = None) -> DataFrame:
+def teacher_threads(t: Tables, teacher_ids: DataFrame | None = None, ordered: bool = False) -> DataFrame:
     """Threads with their author's name and ', '-joined class list; threads
     with no class (or no existing author) are not listed."""
     d = keyed(t.diskusi, "created_by", teacher_ids)
     a = t.users.select(F.col("id").alias("created_by"), F.col("name").alias("guru"))
     cls = _thread_classes(t, ", ")
-    return (d.join(a, "created_by").join(cls, d.id == cls.diskusi_id)
-            .select("id", "judul", "isi", "guru", "created_by", "created_at", "kelas"))
+    out = (d.join(a, "created_by").join(cls, d.id == cls.diskusi_id)
+           .select("id", "judul", "isi", "guru", "created_by", "created_at", "kelas"))
+    # ordered: per teacher, newest thread first
+    return out.orderBy("created_by", F.col("created_at").desc(), "id") if ordered else out
 
 
 def thread_detail(t: Tables, ids: DataFrame | None = None) -> DataFrame:

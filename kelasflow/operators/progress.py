@@ -64,7 +64,7 @@ def select_assignments(t: Tables, kind: str | None = None, as_of: dt.date | None
 
 
 def assignment_progress(t: Tables, kind: str | None = None, as_of: dt.date | None = None,
-                        days: int = 3, teacher_ids: DataFrame | None = None) -> DataFrame:
+                        days: int = 3, teacher_ids: DataFrame | None = None, ordered: bool = False) -> DataFrame:
     """Per assignment with at least one class: its columns, the sorted distinct
     class list, submissions received (from anyone) and distinct students in
     the assigned classes.
@@ -94,12 +94,14 @@ def assignment_progress(t: Tables, kind: str | None = None, as_of: dt.date | Non
                .groupBy("tugas_id").agg(F.count(F.lit(1)).alias("n_multi")))
     sub_n = subs.groupBy("tugas_id").agg(F.count_distinct("id").alias("jumlah_kumpul"))
 
-    return (tg.join(per_class, tg.id == per_class.tugas_id).drop("tugas_id")
-            .join(multi_n, F.col("id") == multi_n.tugas_id, "left").drop("tugas_id")
-            .join(sub_n, F.col("id") == sub_n.tugas_id, "left").drop("tugas_id")
-            .select(*TUGAS_COLS, "kelas",
-                    F.coalesce("jumlah_kumpul", F.lit(0)).alias("jumlah_kumpul"),
-                    (F.col("n_single") + F.coalesce("n_multi", F.lit(0))).cast("bigint").alias("jumlah_siswa")))
+    out = (tg.join(per_class, tg.id == per_class.tugas_id).drop("tugas_id")
+           .join(multi_n, F.col("id") == multi_n.tugas_id, "left").drop("tugas_id")
+           .join(sub_n, F.col("id") == sub_n.tugas_id, "left").drop("tugas_id")
+           .select(*TUGAS_COLS, "kelas",
+                   F.coalesce("jumlah_kumpul", F.lit(0)).alias("jumlah_kumpul"),
+                   (F.col("n_single") + F.coalesce("n_multi", F.lit(0))).cast("bigint").alias("jumlah_siswa")))
+    # ordered: per teacher, newest assignment first (the teacher's list view)
+    return out.orderBy("created_by", F.col("created_at").desc(), "id") if ordered else out
 
 
 def assignment_classes(t: Tables, teacher_ids: DataFrame | None = None) -> DataFrame:
@@ -175,7 +177,14 @@ def submission_status(t: Tables, teacher_ids: DataFrame | None = None) -> DataFr
     return done.unionByName(missing)
 
 
-def student_assignments(t: Tables, student_ids: DataFrame | None = None) -> DataFrame:
+def student_assignments(t: Tables, student_ids: DataFrame | None = None, ordered: bool = False) -> DataFrame:
+    """See :func:`_student_assignments`; ``ordered`` sorts per student by
+    deadline, latest first (id, then grade as tie-breaks)."""
+    out = _student_assignments(t, student_ids)
+    return out.orderBy("siswa_id", F.col("deadline").desc(), "id", "nilai") if ordered else out
+
+
+def _student_assignments(t: Tables, student_ids: DataFrame | None = None) -> DataFrame:
     """Per student with a class: every assignment of that class with its
     author, class name and the student's own grade / file (left join on
     assignment AND student, kept in the ON clause; duplicate submissions of

@@ -270,3 +270,20 @@ def test_unique_and_orphan_audits(spark):
     assert ("pengumpulan_tugas.tugas_id", "3", 999) in o and ("activity_logs.user_id", "3", 77) in o
     d = dict(rows(audit.domain_rules(t)))
     assert d["pengumpulan_tugas.nilai in 0..100"] == 1 and d["users.role in domain"] == 0
+
+
+def test_reference_orderings(spark):
+    t = school(spark)
+    p = [(r.created_by, r.id) for r in progress.assignment_progress(t, ordered=True).collect()]
+    assert p == [(10, 500), (10, 501), (10, 502), (11, 503)]   # equal created_at -> id
+    sa = [(r.siswa_id, r.deadline) for r in progress.student_assignments(t, ordered=True).collect()]
+    assert sa == sorted(sa, key=lambda x: (x[0], -x[1].toordinal()))
+    cc = [(r.guru_id, r.jurusan) for r in courses.teacher_course_classes(t, ordered=True).collect()]
+    assert cc == [(10, "XII A"), (10, "XII A"), (10, "XII B")]
+    pv = [r.id for r in activity.pending_verifications(t, ordered=True).collect()]
+    assert pv == [4]
+    m = [(r.siswa_id, r.id) for r in courses.student_materials(t, ordered=True).collect()]
+    assert m == sorted(m) and "created_at" not in courses.student_materials(t).columns
+    from kelasflow.operators import forum
+    assert [r.id for r in forum.thread_messages(t).collect()] == [1, 2]
+    assert [r.id for r in forum.teacher_threads(t, ordered=True).collect()] == [700]
