@@ -64,3 +64,13 @@ def test_message_feed_drops_blank_and_joins_sender(spark):
     land(spark, [b1], f"{base}/in")
     out = S.run_message_feed(spark, t, f"{base}/in", f"{base}/out", f"{base}/ck", schema)
     assert rows(out.select("id", "name", "role")) == [(6, "Guru Satu", "guru")]
+
+
+def test_first_wins_within_bound_drops_repeats(spark):
+    schema = "request_id long, tugas_id long, siswa_id long, file_path string, submitted_at timestamp_ntz"
+    b1 = spark.createDataFrame([(1, 500, 1, "a", ts(2024, 3, 1)), (2, 500, 2, "b", ts(2024, 3, 1))], schema)
+    b2 = spark.createDataFrame([(3, 500, 1, "c", ts(2024, 3, 2)), (4, 501, 1, "d", ts(2024, 3, 2))], schema)
+    base = S.scratch(spark, "t-s03b")
+    land(spark, [b1, b2], f"{base}/in")
+    out = S.run_first_wins_within(spark, f"{base}/in", f"{base}/out", f"{base}/ck", b1.schema, max_files=1)
+    assert sorted(r.request_id for r in out.collect()) == [1, 2, 4]
