@@ -41,8 +41,8 @@ class Change:
         and return a Change over them.  Chain jobs on the result: without it
         each job's plan embeds the previous jobs' plans, and the plan grows
         with every step (and a lost executor would recompute all of them)."""
-        from kelasflow.session import ensure_checkpoint_dir
-        ensure_checkpoint_dir(self.tables.spark)
+        from kelasflow.session import checkpoint_root
+        checkpoint_root(self.tables.spark)
         changed = self.tables.__dict__.get("changed", set(self.tables.frames))
         frames = {n: (df.checkpoint() if n in changed else df) for n, df in self.tables.frames.items()}
         out = Tables(self.tables.spark, frames)
@@ -348,6 +348,8 @@ def verification_transition(t: Tables, requests: DataFrame, as_of: dt.datetime)
 
 
 # ------------------------------------------------- W10 first-write-wins submit
+MAX_BATCH_PAIRS = 2_000_000
+
 def submit_first_wins(t: Tables, requests: DataFrame) -> Change:
     """Requests ``(request_id, tugas_id, siswa_id, file_path, submitted_at)``.
 
@@ -356,6 +358,12 @@ def submit_first_wins(t: Tables, requests: DataFrame) -> Change:
     the request id as its id.  Replaying the batch rejects every request.
     """
     have = t.pengumpulan_tugas.select("tugas_id", "siswa_id")
+    # A request batch is usually far smaller than the submission table: when
+    # its pairs pass the size check they are broadcast, so the table is only
+    # scanned (and filtered to the touched pairs), never shuffled in full.
+    pairs = requests.select("tugas_id", "siswa_id").distinct()
+    if pairs.limit(MAX_BATCH_PAIRS + 1).count() <= MAX_BATCH_PAIRS:
+        have = have.join(F.broadcast(pairs), ["tugas_id", "siswa_id"], "left_semi")
     dup_old = requests.join(have, ["tugas_id", "siswa_id"], "left_semi")
     fresh = requests.join(have, ["tugas_id", "siswa_id"], "left_anti")
     win, dup_new = _first(fresh, ["tugas_id", "siswa_id"], ["submitted_at", "request_id"])

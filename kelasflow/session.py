@@ -43,6 +43,16 @@ def build_session(master: str | None = None, app: str = "kelasflow",
     return spark
 
 
+def checkpoint_root(spark: SparkSession) -> str:
+    """The cluster's checkpoint folder; a fresh local temporary folder is
+    installed only when the session names none (local runs and tests)."""
+    import tempfile
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None):
+        return ensure_checkpoint_dir(spark)
+    return ensure_checkpoint_dir(spark, fallback=tempfile.mkdtemp(prefix="kelasflow-ckpt-"))
+
+
 def ensure_checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str:
     """Return the shared checkpoint folder named by the cluster.
 

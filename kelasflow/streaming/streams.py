@@ -11,7 +11,6 @@ with; the same code runs with a processing-time trigger in production.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -20,7 +19,7 @@ from pyspark.sql import functions as F
 
 from kelasflow.operators import changes as W
 from kelasflow.operators import progress as P
-from kelasflow.session import ensure_checkpoint_dir
+from kelasflow.session import checkpoint_root
 from kelasflow.sources.catalog import Tables
 
 RUN_TIMEOUT_S = 1800
@@ -29,7 +28,7 @@ RUN_TIMEOUT_S = 1800
 def scratch(spark: SparkSession, name: str) -> str:
     """A fresh folder under the cluster's checkpoint dir (a local temp dir is
     installed only when the session names none, i.e. in local tests)."""
-    base = ensure_checkpoint_dir(spark, fallback=tempfile.mkdtemp(prefix="kelasflow-ckpt-"))
+    base = checkpoint_root(spark)
     return f"{base.rstrip('/')}/kelasflow/{name}/{uuid.uuid4().hex}"
 
 
