@@ -90,17 +90,17 @@ def orphans(t: Tables) -> DataFrame:
                       F.col(col).cast("bigint").alias("ref")))
     from kelasflow.functions.joins import MAX_BROADCAST_ROWS
     from kelasflow.session import checkpoint_root
-    parts = []
-    for parent, refs in by_parent.items():
-        ids = t[parent].select(F.col("id").cast("bigint").alias("ref"))
-        rows = reduce(DataFrame.unionByName, refs)
-        missing = rows.select("fk", "ref").distinct().join(ids, "ref", "left_anti")
-        checkpoint_root(t.spark)
-        missing = missing.checkpoint()
-        small = missing.limit(MAX_BROADCAST_ROWS + 1).count() <= MAX_BROADCAST_ROWS
-        parts.append(rows.join(F.broadcast(missing) if small else missing, ["fk", "ref"], "left_semi")
-                     .select("fk", "child_key", "ref"))
-    return reduce(DataFrame.unionByName, parts)
+    rows = {p: reduce(DataFrame.unionByName, refs) for p, refs in by_parent.items()}
+    missing = reduce(DataFrame.unionByName, [
+        r.select("fk", "ref").distinct()
+         .join(t[p].select(F.col("id").cast("bigint").alias("ref")), "ref", "left_anti")
+        for p, r in rows.items()])
+    checkpoint_root(t.spark)
+    missing = missing.checkpoint()                      # one job for all 20 keys
+    small = missing.limit(MAX_BROADCAST_ROWS + 1).count() <= MAX_BROADCAST_ROWS
+    m = F.broadcast(missing) if small else missing
+    return reduce(DataFrame.unionByName, [
+        r.join(m, ["fk", "ref"], "left_semi").select("fk", "child_key", "ref") for r in rows.values()])
 
 
 def _rules(t: Tables) -> dict[str, list[tuple[str, object]]]:
