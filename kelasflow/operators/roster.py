@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kelasflow.functions.aggregates import sorted_list
-from kelasflow.functions.predicates import all_of, ilike_any, keyed, optional_contains
+from kelasflow.functions.predicates import ilike_any, keyed, optional_contains
 from kelasflow.sources.catalog import Tables
 
 STUDENT_SEARCH_COLS = ["name", "email", "nisn", "jurusan", "kelas"]

@@ -2,11 +2,9 @@
 input rows in a parquet folder, drains it with ``availableNow`` and returns
 what the sink holds; the oracle is the batch twin's SQL."""
 
-
-
 from kelasflow.plans import reg_changes as RC
 from kelasflow.plans.reg_progress import _PROGRESS_SQL
-from kelasflow.plans.registry import REGISTRY, register
+from kelasflow.plans.registry import register, register_twin
 from kelasflow.streaming import streams as S
 
 
@@ -34,6 +32,7 @@ def s02(t):
     return S.run_message_feed(t.spark, t, d["in"], d["out"], d["ckpt"], t.chat_diskusi.schema)
 
 
+@register_twin("s03_submit_first_wins_stream", "w10_submit_first_wins")
 def s03(t):
     d = _dirs(t, "s03")
     snap, reqs = RC._submit_split(t)
@@ -51,17 +50,10 @@ def s04(t):
     return S.run_live_progress(t.spark, t, d["in"], d["out"], d["ckpt"], subs.schema)
 
 
+@register_twin("s05_grade_requests_stream", "w11_post_grades")
 def s05(t):
     d = _dirs(t, "s05")
     reqs = RC._grade_requests(t)
     S.stage(reqs, d["in"])
     snap = S.run_grade_requests(t.spark, t, d["in"], d["snap"], d["ckpt"], reqs.schema)
     return snap.select("id", "tugas_id", "siswa_id", "nilai")
-
-
-# S03 / S05 share their batch twins' oracle text.
-REGISTRY["s03_submit_first_wins_stream"] = type(REGISTRY["w10_submit_first_wins"])(
-    "s03_submit_first_wins_stream", s03, REGISTRY["w10_submit_first_wins"].sql)
-REGISTRY["s05_grade_requests_stream"] = type(REGISTRY["w11_post_grades"])(
-    "s05_grade_requests_stream", s05, REGISTRY["w11_post_grades"].sql)
-

@@ -34,6 +34,15 @@ def register(name: str, sql: str | None = None, ctes: str = ""):
     return deco
 
 
+def register_twin(name: str, batch_twin: str):
+    """Decorator: register a streaming job whose oracle is the SQL of an
+    already registered batch job."""
+    def deco(fn):
+        REGISTRY[name] = Registered(name, fn, REGISTRY[batch_twin].sql)
+        return fn
+    return deco
+
+
 def load_all() -> dict[str, Registered]:
     from kelasflow.plans import (reg_activity, reg_audit, reg_changes, reg_courses,  # noqa: F401
                                  reg_derived, reg_forum, reg_progress, reg_roster, reg_streams)
