@@ -50,6 +50,17 @@ class Change:
         return Change(out, self.rejects.checkpoint(), {k: v.checkpoint() for k, v in self.emitted.items()})
 
 
+def _cut(df: DataFrame) -> DataFrame:
+    """Materialise an intermediate result with a reliable ``checkpoint()``
+    under the cluster's checkpoint dir.  Used at the stage boundaries of the
+    multi-step jobs: later steps reference the result several times, and
+    without the cut each reference would carry (and recompute) the whole
+    chain of dedupe joins before it."""
+    from kelasflow.session import checkpoint_root
+    checkpoint_root(df.sparkSession)
+    return df.checkpoint()
+
+
 def _reject(df: DataFrame, reason: str | Column) -> DataFrame:
     r = F.lit(reason) if isinstance(reason, str) else reason
     return df.select(F.col("request_id").cast("bigint").alias("request_id"), r.alias("reason"))
@@ -98,7 +109,7 @@ def find_or_create_classes(t: Tables, requests: DataFrame, name_col: str = "kela
     known = t.kelas.select(F.col("id").alias("_kid"), F.lower("nama_kelas").alias("_key"))
     wanted = (req.where(F.col("_nama").isNotNull())
               .groupBy(F.lower("_nama").alias("_key")).agg(F.min("_nama").alias("nama_kelas")))
-    new = assign_ids(wanted.join(known, "_key", "left_anti"), ["_key"], next_id(t.kelas), name="id")
+    new = _cut(assign_ids(wanted.join(known, "_key", "left_anti"), ["_key"], next_id(t.kelas), name="id"))
     kelas = t.kelas.unionByName(new.select(F.col("id").cast("int"), "nama_kelas"))
     lookup = known.unionByName(new.select(F.col("id").alias("_kid"), "_key"))
     resolved = (req.join(lookup, F.lower("_nama") == lookup._key, "left")
@@ -125,6 +136,7 @@ def student_upsert(t: Tables, requests: DataFrame, check_nisn: bool = True) -> C
         keep, dup = _first(last.where(F.col("nisn").isNotNull()), ["nisn"], ["request_id"])
         last = keep.unionByName(last.where(F.col("nisn").isNull()))
         rejects.append(_reject(dup, "nisn_taken_in_batch"))
+    last = _cut(last)
     kelas, resolved = find_or_create_classes(t, last)
     resolved = resolved.select("user_id", F.col("nisn").alias("_nisn"), F.col("jurusan").alias("_jurusan"),
                                F.col("kelas_id").alias("_kelas_id"), "request_id")
@@ -137,7 +149,7 @@ def student_upsert(t: Tables, requests: DataFrame, check_nisn: bool = True) -> C
     inserts = assign_ids(resolved.join(sd.select("user_id"), "user_id", "left_anti"), ["request_id"], next_id(sd))
     inserted = inserts.select("id", "user_id", F.col("_jurusan").alias("jurusan"), F.col("_nisn").alias("nisn"),
                               F.col("_kelas_id").alias("kelas_id"))
-    return Change(t.replace(siswa_details=updated.unionByName(inserted), kelas=kelas), _union(rejects))
+    return Change(t.replace(siswa_details=updated.unionByName(inserted), kelas=kelas), _cut(_union(rejects)))
 
 
 # ------------------------------------------------- W03 / W04 / W09 user create
@@ -162,10 +174,10 @@ def _create_users(t: Tables, requests: DataFrame, role: Column, unique_detail: t
         keep, dup2 = _first(ok.where(F.col(col).isNotNull()), [col], ["request_id"])
         ok = keep.unionByName(ok.where(F.col(col).isNull()))
         rej.append(_reject(dup2, f"{col}_taken_in_batch"))
-    ok = assign_ids(ok, ["request_id"], next_id(t.users), name="user_id")
+    ok = _cut(assign_ids(ok, ["request_id"], next_id(t.users), name="user_id"))
     users = ok.select(F.col("user_id").alias("id"), "name", "email", F.col("_role").alias("role"),
                       F.lit(None).cast("string").alias("foto"), ntz(as_of).alias("created_at"))
-    return ok, users, _union(rej)
+    return ok, users, _cut(_union(rej))
 
 
 def _verifications(t: Tables, ok: DataFrame, status: str, as_of: dt.datetime) -> DataFrame:
@@ -233,7 +245,7 @@ def teacher_upsert(t: Tables, requests: DataFrame) -> Change:
     others = t.users.select(F.col("id").alias("_holder"), F.lower("email").alias("_e"))
     clash = (last.join(others, F.lower(last.email) == others._e)
              .where(F.col("_holder") != F.col("user_id")).select("request_id"))
-    last = last.join(clash, "request_id", "left_anti")
+    last = _cut(last.join(clash, "request_id", "left_anti"))
     r = last.select(F.col("user_id").alias("id"), F.col("name").alias("_name"), F.col("email").alias("_email"))
     users = (t.users.join(r, "id", "left")
              .select("id", F.coalesce("_name", "name").alias("name"), F.coalesce("_email", "email").alias("email"),
