@@ -19,3 +19,12 @@ def sized_broadcast(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFr
     """
     n = df.limit(max_rows + 1).count()
     return F.broadcast(df) if n <= max_rows else df
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash-spread a small frame over 2x the cluster's cores before a
+    map-side expansion: AQE would otherwise coalesce it into one or two
+    partitions and the (much larger) expansion would run in that many tasks.
+    An explicit partition count is not coalesced by AQE."""
+    n = max(2 * df.sparkSession.sparkContext.defaultParallelism, 8)
+    return df.repartition(n, *keys)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kelasflow.functions.aggregates import sorted_list
+from kelasflow.functions.joins import spread
 from kelasflow.functions.predicates import contains_ci, keyed
 from kelasflow.sources.catalog import Tables
 
@@ -135,7 +136,16 @@ def student_materials(t: Tables, student_ids: DataFrame | None = None, ordered:
     c = (t.courses.join(a, "created_by")
          .select(F.col("id").alias("course_id"), "name", "description", "file_path", "created_at",
                  F.date_format("created_at", "dd-MM-yyyy").alias("tanggal_upload"), "guru"))
-    out = (sd.join(t.course_kelas.select("course_id", "kelas_id"), "kelas_id").join(c, "course_id")
+    # Course x class rows carry the course columns; they are spread over the
+    # cluster and expanded against the broadcast roster (when it passes the
+    # size check), so the large result is produced map-side in parallel.
+    cc = t.course_kelas.select("course_id", "kelas_id").join(c, "course_id")
+    roster = t.small(f"material_roster:{student_ids is None}", sd, 5_000_000)
+    if roster is not None:
+        joined = spread(cc, "course_id", "kelas_id").join(roster, "kelas_id")
+    else:
+        joined = sd.join(cc, "kelas_id")
+    out = (joined
            .select("siswa_id", F.col("course_id").alias("id"), "name", "description", "file_path",
                    "tanggal_upload", "guru", "created_at"))
     # ordered: per student, newest material first

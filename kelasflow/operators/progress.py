@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kelasflow.functions.aggregates import sorted_array, sorted_list
+from kelasflow.functions.joins import spread
 from kelasflow.functions.predicates import keyed
 from kelasflow.sources.catalog import Tables
 
@@ -166,7 +167,7 @@ def submission_status(t: Tables, teacher_ids: DataFrame | None = None) -> DataFr
     if roster is not None:
         by_pair = (submitted.join(roster.select("user_id", "kelas_id"), "user_id")
                    .groupBy("tugas_id", "kelas_id").agg(F.collect_set("user_id").alias("_done")))
-        missing = (pairs.join(by_pair, ["tugas_id", "kelas_id"], "left")
+        missing = (spread(pairs.join(by_pair, ["tugas_id", "kelas_id"], "left"), "tugas_id", "kelas_id")
                    .join(roster, "kelas_id")
                    .where(~F.coalesce(F.array_contains("_done", F.col("user_id")), F.lit(False))))
     else:
@@ -218,7 +219,8 @@ def _student_assignments(t: Tables, student_ids: DataFrame | None = None) -> Dat
     # Rows without one: the pair carries its submitters' ids and the roster
     # expansion keeps only the others (NULL grade and file).
     by_pair = placed_subs.groupBy("tugas_id", "kelas_id").agg(F.collect_set("siswa_id").alias("_done"))
-    unmatched = (tasks.join(by_pair, ["tugas_id", "kelas_id"], "left").join(roster, "kelas_id")
+    unmatched = (spread(tasks.join(by_pair, ["tugas_id", "kelas_id"], "left"), "tugas_id", "kelas_id")
+                 .join(roster, "kelas_id")
                  .where(~F.coalesce(F.array_contains("_done", F.col("siswa_id")), F.lit(False)))
                  .select(*out[:9], F.lit(None).cast("int").alias("nilai"),
                          F.lit(None).cast("string").alias("file_kumpul")))
