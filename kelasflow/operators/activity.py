@@ -60,12 +60,15 @@ def recent_activity(t: Tables, k: int = 5) -> DataFrame:
     order = [F.col("created_at").desc(), F.col("id").desc()]
     u = t.users.select(F.col("id").alias("user_id"), "name")
     logs = t.activity_logs.select("id", "user_id", "action", "created_at")
+    from kelasflow.functions.joins import MAX_BROADCAST_ROWS
     from kelasflow.session import checkpoint_root
     checkpoint_root(t.spark)
     n = max(4 * k, 64)
     while True:
         cand = logs.orderBy(*order).limit(n).checkpoint()     # one scan of the log, n rows kept
-        joined = cand.join(u, "user_id")
+        # the candidates have at most n rows by construction: broadcast them
+        # (a checkpoint carries no size statistics for the planner to use)
+        joined = (F.broadcast(cand) if n <= MAX_BROADCAST_ROWS else cand).join(u, "user_id")
         if joined.limit(k).count() >= k or cand.count() < n:
             return joined.orderBy(*order).limit(k).select("action", "name", "created_at")
         n *= 2
