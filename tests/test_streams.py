@@ -74,3 +74,16 @@ def test_first_wins_within_bound_drops_repeats(spark):
     land(spark, [b1, b2], f"{base}/in")
     out = S.run_first_wins_within(spark, f"{base}/in", f"{base}/out", f"{base}/ck", b1.schema, max_files=1)
     assert sorted(r.request_id for r in out.collect()) == [1, 2, 4]
+
+
+def test_daily_activity_drops_rows_behind_the_watermark(spark):
+    schema = from_rows(spark).activity_logs.schema
+    b1 = spark.createDataFrame([(1, 1, "x", ts(2024, 1, 1, 9)), (2, 1, "x", ts(2024, 1, 5, 9))], schema)
+    b2 = spark.createDataFrame([(3, 1, "x", ts(2024, 1, 5, 10))], schema)     # moves nothing
+    b3 = spark.createDataFrame([(4, 1, "x", ts(2024, 1, 1, 10)),              # > 1 day late: dropped
+                                (5, 1, "x", ts(2024, 1, 4, 23))], schema)     # within lateness: kept
+    base = S.scratch(spark, "t-s01-late")
+    land(spark, [b1, b2, b3], f"{base}/in")
+    got = dict(rows(S.run_daily_activity(spark, f"{base}/in", f"{base}/out", f"{base}/ck", schema, max_files=1)))
+    import datetime as dt
+    assert got == {dt.date(2024, 1, 1): 1, dt.date(2024, 1, 4): 1, dt.date(2024, 1, 5): 2}
