@@ -191,53 +191,51 @@ def _outcomes(ch, id_col):
                                             F.lit(None).cast("bigint").alias("new_id")))
 
 
-def _create_sql(req_cte: str, detail_check: str = "", kind: str = "users") -> str:
-    """Outcome SQL shared by the create jobs: e-mail (then detail key)
-    collisions with the snapshot, first request per e-mail (then per detail
-    key) in the batch, new ids = snapshot max + rank of request id."""
-    dk = detail_check
-    return f"""
+def _create_sql(req_cte: str, kind: str, admin_rule: bool = False,
+                detail: str | None = None, held_sql: str | None = None) -> tuple[str, str]:
+    """(body, ctes) of the oracle shared by the create jobs: refusals against
+    the snapshot (admin role, known e-mail, held detail key), then the first
+    request per e-mail and per detail key within the batch; new ids =
+    snapshot max + rank of request id."""
+    rules = (["WHEN r.role = 'admin' THEN 'admin_not_allowed'"] if admin_rule else []) + \
+        ["WHEN lower(r.email) IN (SELECT lower(email) FROM snap) THEN 'email_taken'"] + \
+        ([f"WHEN r.{detail} IN ({held_sql}) THEN '{detail}_taken'"] if detail else [])
+    rn2 = (f"CASE WHEN {detail} IS NULL THEN 1 ELSE row_number() OVER (PARTITION BY {detail} "
+           f"ORDER BY request_id) END" if detail else "1")
+    body = """
 SELECT request_id, 'created' AS outcome,
        coalesce((SELECT max(id) FROM snap), 0) + row_number() OVER (ORDER BY request_id) AS new_id
 FROM ok2 WHERE rn2 = 1
 UNION ALL SELECT request_id, reason, NULL FROM cls WHERE reason IS NOT NULL
 UNION ALL SELECT request_id, 'email_taken_in_batch', NULL FROM ok WHERE rn > 1
-UNION ALL SELECT request_id, '{dk}_taken_in_batch', NULL FROM ok2 WHERE rn2 > 1
-""", f"""
+""" + (f"UNION ALL SELECT request_id, '{detail}_taken_in_batch', NULL FROM ok2 WHERE rn2 > 1\n" if detail else "")
+    ctes = f"""
 snap AS (SELECT * FROM users WHERE created_at < TIMESTAMP '{JOIN_CUTOFF[kind]}'),
 req AS ({req_cte}),
-cls AS (SELECT r.*, CASE {{admin}} WHEN lower(r.email) IN (SELECT lower(email) FROM snap) THEN 'email_taken'
-                         {{detail}} END AS reason FROM req r),
-ok AS (SELECT *, row_number() OVER (PARTITION BY lower(email) ORDER BY request_id) AS rn FROM cls WHERE reason IS NULL),
-ok2 AS (SELECT *, CASE WHEN {dk if dk else 'NULL'} IS NULL THEN 1 ELSE
-          row_number() OVER (PARTITION BY {dk if dk else 'NULL'}, {dk if dk else 'NULL'} IS NULL ORDER BY request_id) END AS rn2
-        FROM ok WHERE rn = 1)
+cls AS (SELECT r.*, CASE {' '.join(rules)} END AS reason FROM req r),
+ok AS (SELECT *, row_number() OVER (PARTITION BY lower(email) ORDER BY request_id) AS rn
+       FROM cls WHERE reason IS NULL),
+ok2 AS (SELECT *, {rn2} AS rn2 FROM ok WHERE rn = 1)
 """
+    return body, ctes
 
 
-def _reg(name, body, ctes):
-    return register(name, body, ctes=ctes)
+_W09 = _create_sql("SELECT id AS request_id, name, upper(email) AS email, role FROM users", "users",
+                   admin_rule=True)
 
 
-_W09_BODY, _W09_CTES = _create_sql("SELECT id AS request_id, name, upper(email) AS email, role FROM users")
-_W09_CTES = _W09_CTES.replace("{admin}", "WHEN r.role = 'admin' THEN 'admin_not_allowed'").replace("{detail}", "")
-_W09_BODY = _W09_BODY.replace("UNION ALL SELECT request_id, '_taken_in_batch', NULL FROM ok2 WHERE rn2 > 1\n", "")
-
-
-@_reg("w09_register_users", _W09_BODY, _W09_CTES)
+@register("w09_register_users", _W09[0], ctes=_W09[1])
 def w09(t):
     snap = t.replace(users=t.users.where(_joined_before("users")))
     req = t.users.select(F.col("id").alias("request_id"), "name", F.upper("email").alias("email"), "role")
     return _outcomes(W.register_users(snap, req, APPLY_AT), "user_id")
 
 
-_W03_REQ = """SELECT u.id AS request_id, u.name, upper(u.email) AS email, sd.nisn, sd.jurusan, k.nama_kelas AS kelas
+_W03 = _create_sql("""SELECT u.id AS request_id, u.name, upper(u.email) AS email, sd.nisn, sd.jurusan,
+       k.nama_kelas AS kelas
 FROM users u LEFT JOIN siswa_details sd ON sd.user_id = u.id LEFT JOIN kelas k ON k.id = sd.kelas_id
-WHERE u.role = 'siswa'"""
-_W03_BODY, _W03_CTES = _create_sql(_W03_REQ, "nisn", "siswa")
-_W03_CTES = _W03_CTES.replace("{admin}", "").replace(
-    "{detail}", "WHEN r.nisn IN (SELECT nisn FROM siswa_details WHERE user_id IN (SELECT id FROM snap)) "
-                "THEN 'nisn_taken'")
+WHERE u.role = 'siswa'""", "siswa", detail="nisn",
+                   held_sql="SELECT nisn FROM siswa_details WHERE user_id IN (SELECT id FROM snap)")
 
 
 def _student_requests(t):
@@ -248,7 +246,7 @@ def _student_requests(t):
             .join(sd, "request_id", "left").join(k, "kelas_id", "left").drop("kelas_id"))
 
 
-@_reg("w03_student_create", _W03_BODY, _W03_CTES)
+@register("w03_student_create", _W03[0], ctes=_W03[1])
 def w03(t):
     before = t.users.where(_joined_before("siswa"))
     snap = t.replace(users=before,
@@ -257,15 +255,12 @@ def w03(t):
     return _outcomes(W.student_create(snap, _student_requests(t), APPLY_AT), "user_id")
 
 
-_W04_REQ = """SELECT u.id AS request_id, u.name, upper(u.email) AS email, gd.nip, gd.mapel
-FROM users u LEFT JOIN guru_details gd ON gd.user_id = u.id WHERE u.role = 'guru'"""
-_W04_BODY, _W04_CTES = _create_sql(_W04_REQ, "nip", "guru")
-_W04_CTES = _W04_CTES.replace("{admin}", "").replace(
-    "{detail}", "WHEN r.nip IN (SELECT nip FROM guru_details WHERE user_id IN (SELECT id FROM snap)) "
-                "THEN 'nip_taken'")
+_W04 = _create_sql("""SELECT u.id AS request_id, u.name, upper(u.email) AS email, gd.nip, gd.mapel
+FROM users u LEFT JOIN guru_details gd ON gd.user_id = u.id WHERE u.role = 'guru'""", "guru", detail="nip",
+                   held_sql="SELECT nip FROM guru_details WHERE user_id IN (SELECT id FROM snap)")
 
 
-@_reg("w04_teacher_create", _W04_BODY, _W04_CTES)
+@register("w04_teacher_create", _W04[0], ctes=_W04[1])
 def w04(t):
     before = t.users.where(_joined_before("guru"))
     snap = t.replace(users=before,
