@@ -287,3 +287,20 @@ def test_reference_orderings(spark):
     from kelasflow.operators import forum
     assert [r.id for r in forum.thread_messages(t).collect()] == [1, 2]
     assert [r.id for r in forum.teacher_threads(t, ordered=True).collect()] == [700]
+
+
+def test_keyed_variants_narrow_to_the_given_keys(spark):
+    from kelasflow.operators import forum
+    t = school(spark)
+    k10 = spark.createDataFrame([(10,)], "id long")
+    k2 = spark.createDataFrame([(2,)], "id long")
+    assert {r.created_by for r in progress.assignment_progress(t, teacher_ids=k10).collect()} == {10}
+    assert {r.tugas_id for r in progress.submission_status(t, teacher_ids=k10).collect()} <= {500, 501, 502}
+    assert {r.siswa_id for r in progress.student_assignments(t, student_ids=k2).collect()} == {2}
+    assert {r.siswa_id for r in progress.student_assignment_stats(t, student_ids=k2).collect()} == {2}
+    assert {r.siswa_id for r in courses.student_materials(t, student_ids=k2).collect()} == {2}
+    assert {r.siswa_id for r in forum.student_threads(t, student_ids=k2).collect()} == {2}
+    assert {r.id for r in roster.student_roster(t, k2).collect()} == {2}
+    assert {r.id for r in roster.teacher_roster(t, k10).collect()} == {10}
+    assert {r.guru_id for r in courses.teacher_dashboard(t, k10).collect()} == {10}
+    assert {r.id for r in forum.thread_detail(t, spark.createDataFrame([(700,)], "id long")).collect()} == {700}
