@@ -26,5 +26,9 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     map-side expansion: AQE would otherwise coalesce it into one or two
     partitions and the (much larger) expansion would run in that many tasks.
     An explicit partition count is not coalesced by AQE."""
-    n = max(2 * df.sparkSession.sparkContext.defaultParallelism, 8)
-    return df.repartition(n, *keys)
+    spark = df.sparkSession
+    try:
+        cores = spark.sparkContext.defaultParallelism
+    except Exception:           # sessions without a local SparkContext handle
+        cores = int(spark.conf.get("spark.sql.shuffle.partitions", "200")) // 2
+    return df.repartition(max(2 * cores, 8), *keys)
