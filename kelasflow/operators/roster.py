@@ -58,8 +58,20 @@ def _teacher_group(rows: DataFrame) -> DataFrame:
 
 def teacher_roster(t: Tables, ids: DataFrame | None = None) -> DataFrame:
     """id, name, email, nip, mapel and the sorted class list per teacher
-    (one row per teacher and distinct nip/mapel)."""
-    return _teacher_group(_teacher_rows(t, ids))
+    (one row per teacher and distinct nip/mapel).
+
+    Class names are first gathered per teacher-detail row (keyed by its
+    id, map-side combined), so the final grouping on the dependent columns
+    sees one row per detail row instead of one per class."""
+    u = keyed(t.users.where(F.col("role") == "guru"), "id", ids).select("id", "name", "email")
+    gd = t.guru_details.select(F.col("user_id").alias("id"), F.col("id").alias("gd_id"), "nip", "mapel")
+    k = t.dim("kelas").select(F.col("id").alias("kelas_id"), "nama_kelas")
+    per_gd = (t.guru_kelas.select(F.col("guru_id").alias("gd_id"), "kelas_id").join(k, "kelas_id")
+              .groupBy("gd_id").agg(F.collect_list("nama_kelas").alias("_names")))
+    names = F.array_sort(F.flatten(F.collect_list("_names")))
+    return (u.join(gd, "id", "left").join(per_gd, "gd_id", "left")
+            .groupBy("id", "name", "email", "nip", "mapel")
+            .agg(F.when(F.size(names) > 0, F.array_join(names, ", ")).alias("kelas")))
 
 
 def teacher_search(t: Tables, keyword: str) -> DataFrame:
