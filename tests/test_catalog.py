@@ -25,3 +25,28 @@ def test_write_read_round_trip(spark):
 def test_cache_follows_session(spark):
     a = tables_for(spark, SF001)
     assert tables_for(spark, SF001) is a
+
+
+def test_filters_and_pruning_reach_the_parquet_scan(spark):
+    import contextlib
+    import datetime as dt
+    import io
+
+    from kelasflow.operators import activity, progress
+    t = tables_for(spark, SF001)
+    root = f"{checkpoint_root(spark)}/catalog-{uuid.uuid4().hex}"
+    write_tables(t, root)
+    back = read_tables(spark, root)
+
+    def plan(df):
+        buf = io.StringIO()
+        with contextlib.redirect_stdout(buf):
+            df.explain("formatted")
+        return buf.getvalue()
+
+    p = plan(progress.assignment_progress(back, "deadline", dt.date(1998, 6, 15), 3))
+    assert "GreaterThanOrEqual(deadline,1998-06-15)" in p and "LessThanOrEqual(deadline,1998-06-18)" in p
+    p = plan(activity.admin_counts(back, dt.date(2024, 1, 30)))
+    assert "GreaterThanOrEqual(created_at,2024-01-30T00:00)" in p
+    assert "ReadSchema: struct<role:string>" in p              # only the column the count needs
+    assert "BatchEvalPython" not in p and "ArrowEvalPython" not in p
