@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 
 from pyspark.sql import SparkSession
 
@@ -44,11 +45,13 @@ def build_session(master: str | None = None, app: str = "kelasflow",
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; a fresh local temporary folder is
-    installed only when the session names none (local runs and tests)."""
+    """The cluster's checkpoint folder.  A local-mode session that names none
+    gets a fresh temporary folder; any other master must name one, because its
+    executors could not read a folder of the driver's machine."""
     import tempfile
     sc = spark.sparkContext
-    if sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None):
+    named = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if named or not re.match(r"local(\[|$)", sc.master):
         return ensure_checkpoint_dir(spark)
     return ensure_checkpoint_dir(spark, fallback=tempfile.mkdtemp(prefix="kelasflow-ckpt-"))
 
