@@ -1,13 +1,13 @@
-"""Tables, shared-folder materialisation and names common to the operators."""
+"""Tables and expressions common to the operators."""
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kelasflow.session import checkpoint_root
+from kelasflow.functions.shared import materialize
+
+__all__ = ["ascii_lower", "id_bucket", "materialize", "table", "text_of"]
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -16,15 +16,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet in the cluster's shared checkpoint folder and
-    read it back: the lineage is cut, and a lost executor loses nothing."""
-    spark = df.sparkSession
-    path = f"{checkpoint_root(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def text_of(col: str | Column) -> Column:
     """The text with null as empty."""
     return F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit(""))
