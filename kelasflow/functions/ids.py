@@ -5,23 +5,29 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kelasflow.functions.shared import materialize
+
 
 def assign_ids(df: DataFrame, order_cols: list[str], start: Column, name: str = "id") -> DataFrame:
     """Add ``name`` = ``start`` + 1-based rank of each row under ``order_cols``.
 
-    ``order_cols`` must be a total order (unique per row) so the result does
-    not depend on partitioning.  The rows are range-partitioned and ranked
-    inside each partition; only the per-partition row counts (one row per
-    partition) are summed into offsets, so no task ever holds more than its
-    own range.
+    ``order_cols`` must be a total order (unique per row).  The rows are
+    range-partitioned and sorted once, each takes its partition and its place
+    there from that one evaluation, and the result is written to the shared
+    folder: ranks and counts are read from the same frame, so neither a
+    second evaluation nor the number of partitions can change them.  Only
+    one row per partition is summed into offsets.
     """
-    ranged = df.repartitionByRange(*order_cols).withColumn("_p", F.spark_partition_id())
-    ranged = ranged.withColumn("_r", F.row_number().over(Window.partitionBy("_p").orderBy(*order_cols)))
+    place = F.monotonically_increasing_id()         # partition in the upper 31 bits, place in the lower 33
+    ranged = materialize(
+        df.repartitionByRange(*order_cols).sortWithinPartitions(*order_cols).withColumn("_m", place), "ids")
+    ranged = (ranged.withColumn("_p", F.shiftright("_m", 33))
+              .withColumn("_r", F.col("_m").bitwiseAND(F.lit((1 << 33) - 1)) + 1))
     counts = ranged.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))
     offsets = counts.select("_p", (F.sum("_n").over(Window.orderBy("_p")) - F.col("_n")).alias("_off"))
     return (ranged.join(F.broadcast(offsets), "_p")
             .withColumn(name, (start + F.col("_off") + F.col("_r")).cast("bigint"))
-            .drop("_p", "_r", "_off"))
+            .drop("_m", "_p", "_r", "_off"))
 
 
 def next_id(df: DataFrame, col: str = "id") -> Column:
