@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kelasflow.llm import chat_format, decontamination, exact_dedup, mixing, pii, url_filter
-from kelasflow.llm.common import table
+from kelasflow.llm import chat_format, decontamination, exact_dedup, mixing, pii, quality, url_filter
+from kelasflow.llm.common import id_bucket, table
+
+
+QUALITY_THRESHOLD = 0.3
 
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -89,6 +92,15 @@ FROM n WINDOW w AS (PARTITION BY t)
 """
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every whole text, learned without the held-out fifth of the ids."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.train(docs, table(spark, sf_dir, "labels"), id_bucket(F.col("id"), 5) != 0)
+    return quality.score(docs, model).select(
+        "doc_id", (id_bucket(F.col("doc_id"), 5) == 0).alias("held_out"), "score",
+        (F.col("score") >= QUALITY_THRESHOLD).cast("int").alias("predicted"))
+
+
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdict on every page's url, by rule or by the trees."""
     judged = url_filter.judge_urls(table(spark, sf_dir, "pages").select("page_id", "url"))
@@ -138,6 +150,7 @@ QUERIES = {
     "op2_chat_format": op2_chat_format,
     "op3_mixing": op3_mixing,
     "op6_exact_dedup": op6_exact_dedup,
+    "op8_quality": op8_quality,
     "op9_url_filter": op9_url_filter,
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
 }
