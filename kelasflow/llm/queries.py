@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kelasflow.llm import chat_format, decontamination, exact_dedup, mixing, pii, quality, url_filter
+from kelasflow.llm import chat_format, decontamination, exact_dedup, language_id, mixing, near_dup, pii, quality, url_filter
 from kelasflow.llm.common import id_bucket, table
 
 
@@ -75,6 +75,19 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every whole text, learned without the held-out quarter of the ids."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = language_id.train(docs, id_bucket(F.col("id"), 4) != 2)
+    return language_id.identify(docs.select("doc_id", "text"), model).select(
+        "doc_id", (id_bucket(F.col("doc_id"), 4) == 2).alias("held_out"), "lang_pred", "score")
+
+
+def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents linked by 0.8 of their 5-word shingles."""
+    return near_dup.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact duplicates of every document after lower-casing A-Z; the largest id stays."""
     docs = table(spark, sf_dir, "documents")
@@ -149,6 +162,8 @@ QUERIES = {
     "op1_pii": op1_pii,
     "op2_chat_format": op2_chat_format,
     "op3_mixing": op3_mixing,
+    "op4_language_id": op4_language_id,
+    "op5_ngram_jaccard": op5_ngram_jaccard,
     "op6_exact_dedup": op6_exact_dedup,
     "op8_quality": op8_quality,
     "op9_url_filter": op9_url_filter,
