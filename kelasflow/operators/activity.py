@@ -50,28 +50,13 @@ def pending_verifications(t: Tables, ordered: bool = False) -> DataFrame:
 def recent_activity(t: Tables, k: int = 5) -> DataFrame:
     """The ``k`` latest log rows that have a user (ties broken by log id).
 
-    The log is the largest table, so it is not joined as a whole: the latest
-    ``n`` log rows are taken first (TakeOrderedAndProject -- each task keeps
-    its own top n, no shuffle of the log), joined to users, and if orphan
-    rows leave fewer than ``k`` matches, ``n`` doubles (until it covers the
-    whole log).  Exact: any joined row from outside the latest ``n`` logs
-    sorts below all of them.
+    One join with a top-k on top: every task keeps its own latest ``k`` joined
+    rows, and only those meet.  Only the columns shown are read from the log.
     """
     order = [F.col("created_at").desc(), F.col("id").desc()]
     u = t.users.select(F.col("id").alias("user_id"), "name")
     logs = t.activity_logs.select("id", "user_id", "action", "created_at")
-    from kelasflow.functions.joins import MAX_BROADCAST_ROWS
-    from kelasflow.session import checkpoint_root
-    checkpoint_root(t.spark)
-    n = max(4 * k, 64)
-    while True:
-        cand = logs.orderBy(*order).limit(n).checkpoint()     # one scan of the log, n rows kept
-        # the candidates have at most n rows by construction: broadcast them
-        # (a checkpoint carries no size statistics for the planner to use)
-        joined = (F.broadcast(cand) if n <= MAX_BROADCAST_ROWS else cand).join(u, "user_id")
-        if joined.limit(k).count() >= k or cand.count() < n:
-            return joined.orderBy(*order).limit(k).select("action", "name", "created_at")
-        n *= 2
+    return logs.join(u, "user_id").orderBy(*order).limit(k).select("action", "name", "created_at")
 
 
 def monthly_signups(t: Tables, by_year: bool = False) -> DataFrame:

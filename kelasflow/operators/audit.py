@@ -74,33 +74,25 @@ def uniqueness(t: Tables) -> DataFrame:
 def orphans(t: Tables) -> DataFrame:
     """Child rows whose non-NULL reference has no parent row.
 
-    References to the same parent are unioned (one anti join per parent, 6
-    instead of 20).  Only the *distinct* (fk, ref) values are shuffled --
-    pre-aggregated map-side, so a very hot reference costs one row -- and
-    anti-joined with the parent ids; the missing set is checkpointed and,
-    when it passes the size check, broadcast to pick the orphan rows out of
-    a plain scan of the children.
+    Each child table is read once: its references are unpivoted to (fk,
+    child_key, ref) rows, and the rows of one parent meet its ids in one anti
+    join.  A reference that very many children share is split by the skew
+    join.
     """
-    by_parent: dict[str, list[DataFrame]] = {}
+    columns: dict[str, list[tuple[str, str]]] = {}
     for child, col, parent in FOREIGN_KEYS:
+        columns.setdefault(child, []).append((col, parent))
+    refs = []
+    for child, cols in columns.items():
         df = t[child]
-        by_parent.setdefault(parent, []).append(
-            df.where(F.col(col).isNotNull())
-              .select(F.lit(f"{child}.{col}").alias("fk"), _child_key(df).alias("child_key"),
-                      F.col(col).cast("bigint").alias("ref")))
-    from kelasflow.functions.joins import MAX_BROADCAST_ROWS
-    from kelasflow.session import checkpoint_root
-    rows = {p: reduce(DataFrame.unionByName, refs) for p, refs in by_parent.items()}
-    missing = reduce(DataFrame.unionByName, [
-        r.select("fk", "ref").distinct()
-         .join(t[p].select(F.col("id").cast("bigint").alias("ref")), "ref", "left_anti")
-        for p, r in rows.items()])
-    checkpoint_root(t.spark)
-    missing = missing.checkpoint()                      # one job for all 20 keys
-    small = missing.limit(MAX_BROADCAST_ROWS + 1).count() <= MAX_BROADCAST_ROWS
-    m = F.broadcast(missing) if small else missing
-    return reduce(DataFrame.unionByName, [
-        r.join(m, ["fk", "ref"], "left_semi").select("fk", "child_key", "ref") for r in rows.values()])
+        entries = F.array(*[F.struct(F.lit(f"{child}.{c}").alias("fk"), F.lit(p).alias("parent"),
+                                     F.col(c).cast("bigint").alias("ref")) for c, p in cols])
+        refs.append(df.select(_child_key(df).alias("child_key"), F.inline(entries)).where(F.col("ref").isNotNull()))
+    rows = reduce(DataFrame.unionByName, refs)
+    parents = reduce(DataFrame.unionByName, [
+        t[p].select(F.lit(p).alias("parent"), F.col("id").cast("bigint").alias("ref"))
+        for p in sorted({p for _, _, p in FOREIGN_KEYS})])
+    return rows.join(parents, ["parent", "ref"], "left_anti").select("fk", "child_key", "ref")
 
 
 def _rules(t: Tables) -> dict[str, list[tuple[str, object]]]:

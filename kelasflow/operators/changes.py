@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from kelasflow.functions.ids import assign_ids, next_id
 from kelasflow.operators.activity import ntz
+from kelasflow.schema import ROLES
 from kelasflow.sources.catalog import Tables
 
 
@@ -117,39 +118,78 @@ def find_or_create_classes(t: Tables, requests: DataFrame, name_col: str = "kela
     return kelas, resolved
 
 
-# ---------------------------------------------------------- W02 student upsert
-def student_upsert(t: Tables, requests: DataFrame, check_nisn: bool = True) -> Change:
-    """Requests ``(request_id, user_id, nisn, jurusan, kelas)``.
+# ------------------------------------------------- refusals shared by the jobs
+def _existing(req: DataFrame, col: str, parent: DataFrame, reason: str) -> tuple[DataFrame, DataFrame]:
+    """(requests whose ``col`` is an id of ``parent``, rejects of the others)."""
+    ids = parent.select(F.col("id").alias(col))
+    return req.join(ids, col, "left_semi"), _reject(req.join(ids, col, "left_anti"), reason)
+
+
+def _unique_claims(req: DataFrame, held: DataFrame, col: str, reason: str) -> tuple[DataFrame, list[DataFrame]]:
+    """Refuse claims of a unique value that another user holds.
 
-    The last request per user wins.  With ``check_nisn`` (the admin path) a
-    NISN already held by another user's detail row, or by an earlier request
-    of this batch, is rejected; the self-service path skips the check.  A
-    user with detail rows has all of them updated; others get a new row.
+    ``held`` has (_holder, _key), compared lower-cased.  A value held in the
+    snapshot by another user is ``<reason>``; within the batch the user of
+    the first request for a value may have it, other users' requests are
+    ``<reason>_in_batch``.  NULL claims nothing.
     """
-    last, superseded = _latest(requests, ["user_id"])
-    rejects = [_reject(superseded, "superseded")]
-    if check_nisn:
-        held = t.siswa_details.select(F.col("user_id").alias("_holder"), "nisn")
-        clash = last.join(held, "nisn").where(F.col("_holder") != F.col("user_id")).select("request_id")
-        rejects.append(_reject(clash, "nisn_taken"))
-        last = last.join(clash, "request_id", "left_anti")
-        keep, dup = _first(last.where(F.col("nisn").isNotNull()), ["nisn"], ["request_id"])
-        last = keep.unionByName(last.where(F.col("nisn").isNull()))
-        rejects.append(_reject(dup, "nisn_taken_in_batch"))
+    r = req.withColumn("_key", F.lower(F.col(col).cast("string")))
+    taken = r.join(held, "_key").where(F.col("_holder") != F.col("user_id")).select("request_id").distinct()
+    r = r.join(taken, "request_id", "left_anti")
+    owner = r.where(F.col("_key").isNotNull()).groupBy("_key").agg(F.min_by("user_id", "request_id").alias("_owner"))
+    late = r.join(owner, "_key").where(F.col("_owner") != F.col("user_id")).select("request_id").distinct()
+    return (_cut(r.join(late, "request_id", "left_anti").drop("_key")),
+            [_reject(taken, reason), _reject(late, f"{reason}_in_batch")])
+
+
+def _held(df: DataFrame, holder: str, col: str) -> DataFrame:
+    return df.where(F.col(col).isNotNull()).select(F.col(holder).alias("_holder"), F.lower(col).alias("_key"))
+
+
+def _updated_users(t: Tables, last: DataFrame) -> DataFrame:
+    """``users`` with name and e-mail of the accepted requests; NULL keeps the old value."""
+    given = [c for c in ("name", "email") if c in last.columns]
+    if not given:
+        return t.users
+    r = last.select(F.col("user_id").alias("id"), *[F.col(c).alias(f"_{c}") for c in given])
+    return t.users.join(r, "id", "left").select(
+        *[F.coalesce(f"_{c}", c).alias(c) if c in given else F.col(c) for c in t.users.columns])
+
+
+# ---------------------------------------------------------- W02 student upsert
+def student_upsert(t: Tables, requests: DataFrame) -> Change:
+    """Requests ``(request_id, user_id, nisn, jurusan, kelas)``; the
+    self-service form also sends ``name`` and ``email``.
+
+    Requests are validated first: the user must exist, and neither NISN nor
+    e-mail may be another user's, in the snapshot or by an earlier request
+    of the batch.  Of a user's valid requests the last one wins.  A user with
+    detail rows has all of them updated; others get a new row.  Name and
+    e-mail of the user row follow, NULL keeps the old value.
+    """
+    ok, unknown = _existing(requests, "user_id", t.users, "unknown_user")
+    rejects = [unknown]
+    if "email" in requests.columns:
+        ok, refused = _unique_claims(ok, _held(t.users, "id", "email"), "email", "email_taken")
+        rejects += refused
+    ok, refused = _unique_claims(ok, _held(t.siswa_details, "user_id", "nisn"), "nisn", "nisn_taken")
+    rejects += refused
+    last, superseded = _latest(ok, ["user_id"])
+    rejects.append(_reject(superseded, "superseded"))
     last = _cut(last)
     kelas, resolved = find_or_create_classes(t, last)
     resolved = resolved.select("user_id", F.col("nisn").alias("_nisn"), F.col("jurusan").alias("_jurusan"),
                                F.col("kelas_id").alias("_kelas_id"), "request_id")
     sd = t.siswa_details
+    hit = F.col("request_id").isNotNull()
     updated = (sd.join(resolved, "user_id", "left")
-               .select("id", "user_id",
-                       F.when(F.col("request_id").isNotNull(), F.col("_jurusan")).otherwise(F.col("jurusan")).alias("jurusan"),
-                       F.when(F.col("request_id").isNotNull(), F.col("_nisn")).otherwise(F.col("nisn")).alias("nisn"),
-                       F.when(F.col("request_id").isNotNull(), F.col("_kelas_id")).otherwise(F.col("kelas_id")).alias("kelas_id")))
+               .select("id", "user_id", *[F.when(hit, F.col(f"_{c}")).otherwise(F.col(c)).alias(c)
+                                          for c in ("jurusan", "nisn", "kelas_id")]))
     inserts = assign_ids(resolved.join(sd.select("user_id"), "user_id", "left_anti"), ["request_id"], next_id(sd))
     inserted = inserts.select("id", "user_id", F.col("_jurusan").alias("jurusan"), F.col("_nisn").alias("nisn"),
                               F.col("_kelas_id").alias("kelas_id"))
-    return Change(t.replace(siswa_details=updated.unionByName(inserted), kelas=kelas), _cut(_union(rejects)))
+    return Change(t.replace(siswa_details=updated.unionByName(inserted), kelas=kelas, users=_updated_users(t, last)),
+                  _cut(_union(rejects)), {"accepted": last.select("request_id", "user_id")})
 
 
 # ------------------------------------------------- W03 / W04 / W09 user create
@@ -222,44 +262,55 @@ def teacher_create(t: Tables, requests: DataFrame, as_of: dt.datetime) -> Change
 
 def register_users(t: Tables, requests: DataFrame, as_of: dt.datetime) -> Change:
     """Requests ``(request_id, name, email, role)``.  Admin role refused,
-    known e-mail refused; others fan out to a user, a *pending*
-    verification and a ``User registered as <role>`` log row."""
+    unknown and missing roles refused, known e-mail refused; others fan out
+    to a user, a *pending* verification and a ``User registered as <role>``
+    log row."""
     admin = requests.where(F.col("role") == "admin")
-    rest = requests.where(~F.coalesce(F.col("role") == "admin", F.lit(False)))
+    known = F.coalesce(F.col("role").isin(*ROLES), F.lit(False))
+    strange = requests.where(~known)
+    rest = requests.where(known & (F.col("role") != "admin"))
     ok, users, rejects = _create_users(t, rest, F.col("role"), None, as_of)
     ver = _verifications(t, ok, "pending", as_of)
     logs = _logs(t, ok, F.concat(F.lit("User registered as "), F.col("role")), as_of)
     return Change(t.replace(users=t.users.unionByName(users), verifications=t.verifications.unionByName(ver),
                             activity_logs=t.activity_logs.unionByName(logs)),
-                  rejects.unionByName(_reject(admin, "admin_not_allowed")),
+                  _union([rejects, _reject(admin, "admin_not_allowed"), _reject(strange, "unknown_role")]),
                   {"users": users, "verifications": ver, "activity_logs": logs,
                    "accepted": ok.select("request_id", "user_id")})
 
 
 # ---------------------------------------------------------- W05 teacher upsert
 def teacher_upsert(t: Tables, requests: DataFrame) -> Change:
-    """Requests ``(request_id, user_id, name, email, nip, mapel)``; last per
-    user wins.  Name/e-mail are updated (NULL keeps the old value; an e-mail
-    held by another user is rejected); detail rows are updated or inserted."""
-    last, superseded = _latest(requests, ["user_id"])
-    others = t.users.select(F.col("id").alias("_holder"), F.lower("email").alias("_e"))
-    clash = (last.join(others, F.lower(last.email) == others._e)
-             .where(F.col("_holder") != F.col("user_id")).select("request_id"))
-    last = _cut(last.join(clash, "request_id", "left_anti"))
-    r = last.select(F.col("user_id").alias("id"), F.col("name").alias("_name"), F.col("email").alias("_email"))
-    users = (t.users.join(r, "id", "left")
-             .select("id", F.coalesce("_name", "name").alias("name"), F.coalesce("_email", "email").alias("email"),
-                     "role", "foto", "created_at"))
+    """Requests ``(request_id, user_id, name, email, nip, mapel)``, and
+    optionally ``kelas`` (array or CSV).
+
+    Validated as in :func:`student_upsert`, with e-mail and NIP as the unique
+    values; of a user's valid requests the last one wins.  Name and e-mail
+    are updated (NULL keeps the old value), detail rows updated or inserted.
+    With ``kelas`` not NULL the class list of the teacher is replaced, for
+    accepted requests only.
+    """
+    ok, unknown = _existing(requests, "user_id", t.users, "unknown_user")
+    ok, by_mail = _unique_claims(ok, _held(t.users, "id", "email"), "email", "email_taken")
+    ok, by_nip = _unique_claims(ok, _held(t.guru_details, "user_id", "nip"), "nip", "nip_taken")
+    last, superseded = _latest(ok, ["user_id"])
+    last = _cut(last)
     d = last.select("user_id", F.col("nip").alias("_nip"), F.col("mapel").alias("_mapel"), "request_id")
     gd = t.guru_details
+    hit = F.col("request_id").isNotNull()
     upd = (gd.join(d, "user_id", "left")
-           .select("id", "user_id",
-                   F.when(F.col("request_id").isNotNull(), F.col("_mapel")).otherwise(F.col("mapel")).alias("mapel"),
-                   F.when(F.col("request_id").isNotNull(), F.col("_nip")).otherwise(F.col("nip")).alias("nip")))
+           .select("id", "user_id", F.when(hit, F.col("_mapel")).otherwise(F.col("mapel")).alias("mapel"),
+                   F.when(hit, F.col("_nip")).otherwise(F.col("nip")).alias("nip")))
     ins = assign_ids(d.join(gd.select("user_id"), "user_id", "left_anti"), ["request_id"], next_id(gd))
     ins = ins.select("id", "user_id", F.col("_mapel").alias("mapel"), F.col("_nip").alias("nip"))
-    return Change(t.replace(users=users, guru_details=upd.unionByName(ins)),
-                  _union([_reject(superseded, "superseded"), _reject(clash, "email_taken")]))
+    new = t.replace(users=_updated_users(t, last), guru_details=upd.unionByName(ins))
+    if "kelas" in requests.columns:
+        lists = (last.where(F.col("kelas").isNotNull())
+                 .join(new.guru_details.select(F.col("id").alias("guru_id"), "user_id"), "user_id")
+                 .select("request_id", "guru_id", "kelas"))
+        new = replace_bridge(new, "guru_kelas", lists).tables
+    return Change(new, _cut(_union([unknown, *by_mail, *by_nip, _reject(superseded, "superseded")])),
+                  {"accepted": last.select("request_id", "user_id")})
 
 
 # ------------------------------------------------------ W06 / W07 bridge tables
@@ -269,6 +320,7 @@ BRIDGES = {  # bridge table -> (parent key column, parent table)
     "tugas_kelas": ("tugas_id", "tugas"),
     "diskusi_kelas": ("diskusi_id", "diskusi"),
 }
+BRIDGE_OF = {parent: bridge for bridge, (_, parent) in BRIDGES.items()}
 
 
 def _exploded_classes(requests: DataFrame, parent_col: str) -> DataFrame:
@@ -284,9 +336,11 @@ def _exploded_classes(requests: DataFrame, parent_col: str) -> DataFrame:
 def replace_bridge(t: Tables, bridge: str, requests: DataFrame) -> Change:
     """For every parent named in a request (last request per parent
     wins), drop all its class pairs and insert the given classes; unknown
-    class names are ignored, duplicates collapse."""
-    pcol, _ = BRIDGES[bridge]
-    last, superseded = _latest(requests, [pcol])
+    class names are ignored, duplicates collapse.  Requests for a parent that
+    does not exist are refused."""
+    pcol, parent = BRIDGES[bridge]
+    known, unknown = _existing(requests, pcol, t[parent], "unknown_parent")
+    last, superseded = _latest(known, [pcol])
     names = _exploded_classes(last, pcol)
     k = t.kelas.select(F.col("id").alias("kelas_id"), F.lower("nama_kelas").alias("_key"))
     pairs = (names.join(k, F.lower("_name") == k._key).select("request_id", pcol, "kelas_id")
@@ -296,7 +350,7 @@ def replace_bridge(t: Tables, bridge: str, requests: DataFrame) -> Change:
     if "id" in old.columns:
         pairs = assign_ids(pairs, [pcol, "kelas_id"], next_id(old))
     new = kept.unionByName(pairs.select(*old.columns))
-    return Change(t.replace(**{bridge: new}), _reject(superseded, "superseded"))
+    return Change(t.replace(**{bridge: new}), _union([_reject(superseded, "superseded"), unknown]))
 
 
 REQUIRED = {  # parent table -> fields that must be non-blank (W07)
@@ -309,22 +363,27 @@ REQUIRED = {  # parent table -> fields that must be non-blank (W07)
 def create_with_classes(t: Tables, parent: str, requests: DataFrame, as_of: dt.datetime) -> Change:
     """Insert parents (course, assignment, thread) with their class
     pairs.  Requests carry the parent's columns (no id) plus ``kelas``
-    (array or CSV).  Missing required fields are rejected; a course must
-    name at least one existing class."""
-    bridge = {"courses": "course_kelas", "tugas": "tugas_kelas", "diskusi": "diskusi_kelas"}[parent]
+    (array or CSV).  Missing required fields and authors that do not exist
+    are rejected; a course must name at least one class.  Names of unknown
+    classes make no pair, and a course that names only such ones is stored
+    without pairs."""
+    bridge = BRIDGE_OF[parent]
     pcol = BRIDGES[bridge][0]
     blank = reduce(lambda a, b: a | b,
                    [F.coalesce(F.trim(F.col(c).cast("string")), F.lit("")) == "" for c in REQUIRED[parent]])
     bad = requests.where(blank)
     ok = requests.where(~blank)
+    authors = t.users.select(F.col("id").alias("created_by"))
+    stray = ok.where(F.col("created_by").isNotNull()).join(authors, "created_by", "left_anti")
+    ok = ok.join(stray.select("request_id"), "request_id", "left_anti")
     names = _exploded_classes(ok.withColumn(pcol, F.lit(None).cast("bigint")), pcol)
     k = t.kelas.select(F.col("id").alias("kelas_id"), F.lower("nama_kelas").alias("_key"))
     pairs = names.join(k, F.lower("_name") == k._key).select("request_id", "kelas_id").dropDuplicates()
-    rejects = [_reject(bad, "missing_required_field")]
+    rejects = [_reject(bad, "missing_required_field"), _reject(stray, "unknown_author")]
     if parent == "courses":
-        no_cls = ok.join(pairs, "request_id", "left_anti")
-        rejects.append(_reject(no_cls, "no_class"))
-        ok = ok.join(pairs, "request_id", "left_semi")
+        named = names.where(F.col("_name").isNotNull()).select("request_id").distinct()
+        rejects.append(_reject(ok.join(named, "request_id", "left_anti"), "no_class"))
+        ok = ok.join(named, "request_id", "left_semi")
     ok = assign_ids(ok, ["request_id"], next_id(t[parent]))
     cols = t[parent].columns
     rows = ok.select(*[F.col(c) if c in ok.columns else (ntz(as_of) if c == "created_at" else F.lit(None))
@@ -360,30 +419,29 @@ def verification_transition(t: Tables, requests: DataFrame, as_of: dt.datetime)
 
 
 # ------------------------------------------------- W10 first-write-wins submit
-MAX_BATCH_PAIRS = 2_000_000
-
-def submit_first_wins(t: Tables, requests: DataFrame) -> Change:
+def submit_first_wins(t: Tables, requests: DataFrame, after: int | None = None) -> Change:
     """Requests ``(request_id, tugas_id, siswa_id, file_path, submitted_at)``.
 
-    A pair that already has a submission is rejected; within the batch the
-    earliest request (by time, then id) of a pair wins.  The new row keeps
-    the request id as its id.  Replaying the batch rejects every request.
+    The assignment and the student must exist.  A pair that already has a
+    submission is rejected; within the batch the earliest request (by time,
+    then id) of a pair wins.  New rows get ids after the largest stored one
+    (``after``, where the caller keeps it), in request order.  Replaying the batch rejects every request.
     """
-    have = t.pengumpulan_tugas.select("tugas_id", "siswa_id")
-    # A request batch is usually far smaller than the submission table: when
-    # its pairs pass the size check they are broadcast, so the table is only
-    # scanned (and filtered to the touched pairs), never shuffled in full.
-    pairs = requests.select("tugas_id", "siswa_id").distinct()
-    if pairs.limit(MAX_BATCH_PAIRS + 1).count() <= MAX_BATCH_PAIRS:
-        have = have.join(F.broadcast(pairs), ["tugas_id", "siswa_id"], "left_semi")
-    dup_old = requests.join(have, ["tugas_id", "siswa_id"], "left_semi")
-    fresh = requests.join(have, ["tugas_id", "siswa_id"], "left_anti")
-    win, dup_new = _first(fresh, ["tugas_id", "siswa_id"], ["submitted_at", "request_id"])
-    rows = win.select(F.col("request_id").alias("id"), "tugas_id", "siswa_id", "file_path",
-                      F.lit(None).cast("int").alias("nilai"), F.col("submitted_at").alias("dikumpulkan_at"))
+    key = ["tugas_id", "siswa_id"]
+    known, stray = _existing(requests, "tugas_id", t.tugas, "unknown_assignment")
+    known, nobody = _existing(known, "siswa_id", t.users, "unknown_student")
+    # only the pairs asked for are looked up in the table, whichever side Spark moves
+    have = t.pengumpulan_tugas.select(*key).join(known.select(*key).distinct(), key, "left_semi").distinct()
+    dup_old = known.join(have, key, "left_semi")
+    fresh = known.join(have, key, "left_anti")
+    win, dup_new = _first(fresh, key, ["submitted_at", "request_id"])
+    ided = _cut(assign_ids(win, ["request_id"], next_id(t.pengumpulan_tugas) if after is None else F.lit(after)))
+    rows = ided.select("id", "tugas_id", "siswa_id", "file_path",
+                       F.lit(None).cast("int").alias("nilai"), F.col("submitted_at").alias("dikumpulkan_at"))
     return Change(t.replace(pengumpulan_tugas=t.pengumpulan_tugas.unionByName(rows)),
-                  _union([_reject(dup_old, "already_submitted"), _reject(dup_new, "duplicate_in_batch")]),
-                  {"accepted": win.select("request_id", "tugas_id", "siswa_id")})
+                  _cut(_union([stray, nobody, _reject(dup_old, "already_submitted"),
+                               _reject(dup_new, "duplicate_in_batch")])),
+                  {"accepted": ided.select("request_id", "tugas_id", "siswa_id", "id"), "pengumpulan_tugas": rows})
 
 
 def duplicate_submissions(t: Tables) -> DataFrame:
@@ -416,8 +474,9 @@ def update_owned(t: Tables, parent: str, requests: DataFrame) -> Change:
     or diskusi.  A request is applied only when ``owner_id`` is the row's
     author (others are rejected first, so they cannot shadow the owner's
     edit); of the owner's requests for one row the last wins.  NULL fields
-    (e.g. no new file) keep the old value.  Unlike the reference's thread
-    path, non-owners cannot replace class lists either."""
+    (e.g. no new file) keep the old value.  With a column ``kelas`` (array or
+    CSV) the row's class list is replaced by the same request where it is not
+    NULL; a refused request changes neither the fields nor the classes."""
     rows = t[parent]
     owned = requests.join(rows.select("id", F.col("created_by").alias("owner_id")), ["id", "owner_id"], "left_semi")
     denied = requests.join(owned.select("request_id"), "request_id", "left_anti")
@@ -427,20 +486,38 @@ def update_owned(t: Tables, parent: str, requests: DataFrame) -> Change:
     new = rows.join(r, "id", "left").select(
         *[F.when(F.col("_hit"), F.coalesce(f"_{c}", c)).otherwise(F.col(c)).alias(c) if c in fields else F.col(c)
           for c in rows.columns])
-    return Change(t.replace(**{parent: new}),
-                  _union([_reject(superseded, "superseded"), _reject(denied, "not_owner_or_missing")]))
+    out = t.replace(**{parent: new})
+    if "kelas" in requests.columns:
+        bridge = BRIDGE_OF[parent]
+        lists = last.where(F.col("kelas").isNotNull()).select(
+            "request_id", F.col("id").alias(BRIDGES[bridge][0]), "kelas")
+        out = replace_bridge(out, bridge, lists).tables
+    return Change(out, _union([_reject(superseded, "superseded"), _reject(denied, "not_owner_or_missing")]),
+                  {"accepted": last.select("request_id", "id")})
 
 
 # ---------------------------------------------------------- W13 delete cascade
+def delete_owned(t: Tables, parent: str, requests: DataFrame) -> Change:
+    """Requests ``(request_id, id, owner_id)`` to delete assignments, threads
+    or courses.  Only the row's author may; others, and ids that do not
+    exist, are refused.  The accepted rows go with all that hangs on them."""
+    own = t[parent].select("id", F.col("created_by").alias("owner_id"))
+    ok = _cut(requests.join(own, ["id", "owner_id"], "left_semi"))
+    denied = requests.join(ok.select("request_id"), "request_id", "left_anti")
+    gone = delete_cascade(t, {parent: ok.select("id")})
+    return Change(gone.tables, _reject(denied, "not_owner_or_missing"), {"accepted": ok.select("request_id", "id")})
+
+
 def delete_cascade(t: Tables, deletes: dict[str, DataFrame]) -> Change:
     """Delete rows by id (``deletes``: table -> frame with an ``id`` column)
     and follow every foreign key: CASCADE removes child rows, SET NULL
     (course author, student class) clears the reference.  Parents are
     resolved top-down (users -> details/assignments/threads -> bridges and
-    leaves), each level an anti join against the deleted key set."""
+    leaves), each level an anti join against the deleted key set, which is
+    written once and read by all its children."""
     def ids(name):
         d = deletes.get(name)
-        return None if d is None else d.select(F.col("id").cast("bigint").alias("id")).distinct()
+        return None if d is None else _cut(d.select(F.col("id").cast("bigint").alias("id")).distinct())
 
     def gone(df, col, *key_sets):
         sets = [k for k in key_sets if k is not None]
@@ -465,7 +542,7 @@ def delete_cascade(t: Tables, deletes: dict[str, DataFrame]) -> Change:
         by_user = t[table].join(d_users.withColumnRenamed("id", owner_col), owner_col, "left_semi").select("id") \
             if d_users is not None else None
         parts = [p for p in (own, by_user) if p is not None]
-        return reduce(DataFrame.unionByName, parts).distinct() if parts else None
+        return _cut(reduce(DataFrame.unionByName, parts).distinct()) if parts else None
 
     d_guru = cascaded("guru_details", "user_id")
     d_tugas = cascaded("tugas", "created_by")
@@ -505,15 +582,16 @@ def row_counts(t: Tables, names=None) -> DataFrame:
 # ------------------------------------------------------- W14 / W15 appends
 def append_messages(t: Tables, requests: DataFrame) -> Change:
     """Requests ``(request_id, diskusi_id, user_id, isi, created_at)``; blank
-    messages and unknown threads are refused; ids = max + rank."""
+    messages, unknown threads and unknown users are refused; ids = max + rank."""
     blank = requests.where(F.coalesce(F.col("isi"), F.lit("")) == "")
     ok = requests.where(F.coalesce(F.col("isi"), F.lit("")) != "")
     unknown = ok.join(t.diskusi.select(F.col("id").alias("diskusi_id")), "diskusi_id", "left_anti")
     ok = ok.join(t.diskusi.select(F.col("id").alias("diskusi_id")), "diskusi_id", "left_semi")
+    ok, nobody = _existing(ok, "user_id", t.users, "unknown_user")
     ided = assign_ids(ok, ["request_id"], next_id(t.chat_diskusi))
     rows = ided.select(*t.chat_diskusi.columns)
     return Change(t.replace(chat_diskusi=t.chat_diskusi.unionByName(rows)),
-                  _union([_reject(blank, "blank_message"), _reject(unknown, "unknown_thread")]),
+                  _union([_reject(blank, "blank_message"), _reject(unknown, "unknown_thread"), nobody]),
                   {"chat_diskusi": rows, "accepted": ided.select("request_id", "id")})
 
 
@@ -522,11 +600,11 @@ SIGN_IN_ACTIONS = {"admin": "Admin logged in", "default": "User logged in"}  # f
 
 def log_sign_ins(t: Tables, events: DataFrame) -> Change:
     """``(request_id, user_id, created_at)`` sign-ins -> log rows with
-    the role-dependent action text."""
+    the role-dependent action text; users that do not exist are refused."""
     role = t.users.select(F.col("id").alias("user_id"), "role")
-    ev = events.join(role, "user_id", "left")
+    known, nobody = _existing(events, "user_id", t.users, "unknown_user")
+    ev = known.join(role, "user_id")
     act = F.when(F.col("role") == "admin", SIGN_IN_ACTIONS["admin"]).otherwise(SIGN_IN_ACTIONS["default"])
     rows = assign_ids(ev.withColumn("action", act), ["request_id"], next_id(t.activity_logs))
     rows = rows.select(*t.activity_logs.columns)
-    return Change(t.replace(activity_logs=t.activity_logs.unionByName(rows)), _no_rejects(t),
-                  {"activity_logs": rows})
+    return Change(t.replace(activity_logs=t.activity_logs.unionByName(rows)), nobody, {"activity_logs": rows})

@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kelasflow.functions.aggregates import sorted_list
-from kelasflow.functions.joins import spread
 from kelasflow.functions.predicates import contains_ci, keyed
 from kelasflow.sources.catalog import Tables
 
@@ -49,13 +48,13 @@ def enrolled_students(t: Tables, course_ids: DataFrame | None = None) -> DataFra
     ce = keyed(t.course_enrollments, "course_id", course_ids)
     u = t.users.select(F.col("id").alias("student_id"), "name", "email")
     sd = t.siswa_details.select(F.col("user_id").alias("student_id"), "jurusan", "nisn", "kelas_id")
-    k = t.dim("kelas").select(F.col("id").alias("kelas_id"), F.col("nama_kelas").alias("kelas"))
+    k = t.kelas.select(F.col("id").alias("kelas_id"), F.col("nama_kelas").alias("kelas"))
     return (ce.join(u, "student_id").join(sd, "student_id", "left").join(k, "kelas_id", "left")
             .select("course_id", F.col("student_id").alias("id"), "name", "email", "kelas", "jurusan", "nisn"))
 
 
 def _course_class_names(t: Tables, sep: str = ", ") -> DataFrame:
-    k = t.dim("kelas").select(F.col("id").alias("kelas_id"), "nama_kelas")
+    k = t.kelas.select(F.col("id").alias("kelas_id"), "nama_kelas")
     return (t.course_kelas.join(k, "kelas_id").groupBy("course_id")
             .agg(sorted_list("nama_kelas", sep).alias("kelas")))
 
@@ -102,7 +101,7 @@ def teacher_course_classes(t: Tables, teacher_ids: DataFrame | None = None, orde
     c = (t.courses.join(g, "created_by", "left_semi")
          .select(F.col("id").alias("course_id"), F.col("created_by").alias("guru_id"),
                  F.col("name").alias("course_name")))
-    k = t.dim("kelas").select(F.col("id").alias("kelas_id"), F.col("nama_kelas").alias("jurusan"))
+    k = t.kelas.select(F.col("id").alias("kelas_id"), F.col("nama_kelas").alias("jurusan"))
     out = (c.join(t.course_kelas.select("course_id", "kelas_id"), "course_id").join(k, "kelas_id")
            .join(class_sizes(t), "kelas_id", "left")
            .select("guru_id", "course_id", "course_name", "jurusan",
@@ -119,7 +118,7 @@ def course_class_search(t: Tables, keyword: str) -> DataFrame:
 
 def class_students(t: Tables, class_names: DataFrame | None = None) -> DataFrame:
     """Per class: its students' names, student numbers and programmes."""
-    k = keyed(t.dim("kelas"), "nama_kelas", class_names).select(F.col("id").alias("kelas_id"),
+    k = keyed(t.kelas, "nama_kelas", class_names).select(F.col("id").alias("kelas_id"),
                                                                   F.col("nama_kelas").alias("kelas"))
     u = t.users.select(F.col("id").alias("user_id"), "name")
     return (t.siswa_details.join(k, "kelas_id").join(u, "user_id")
@@ -136,15 +135,8 @@ def student_materials(t: Tables, student_ids: DataFrame | None = None, ordered:
     c = (t.courses.join(a, "created_by")
          .select(F.col("id").alias("course_id"), "name", "description", "file_path", "created_at",
                  F.date_format("created_at", "dd-MM-yyyy").alias("tanggal_upload"), "guru"))
-    # Course x class rows carry the course columns; they are spread over the
-    # cluster and expanded against the broadcast roster (when it passes the
-    # size check), so the large result is produced map-side in parallel.
-    cc = t.course_kelas.select("course_id", "kelas_id").join(c, "course_id")
-    roster = t.small(f"material_roster:{student_ids is None}", sd, 5_000_000)
-    if roster is not None:
-        joined = spread(cc, "course_id", "kelas_id").join(roster, "kelas_id")
-    else:
-        joined = sd.join(cc, "kelas_id")
+    # a class with very many students or courses is split by the skew join
+    joined = sd.join(t.course_kelas.select("course_id", "kelas_id"), "kelas_id").join(c, "course_id")
     out = (joined
            .select("siswa_id", F.col("course_id").alias("id"), "name", "description", "file_path",
                    "tanggal_upload", "guru", "created_at"))

@@ -13,7 +13,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kelasflow.functions.aggregates import sorted_array, sorted_list
-from kelasflow.functions.joins import spread
 from kelasflow.functions.predicates import keyed
 from kelasflow.sources.catalog import Tables
 
@@ -23,7 +22,7 @@ TUGAS_COLS = ["id", "judul", "deskripsi", "deadline", "created_at", "file_path",
 def assigned_pairs(t: Tables) -> DataFrame:
     """Distinct (tugas_id, kelas_id) pairs whose class exists."""
     return (t.tugas_kelas.select("tugas_id", "kelas_id")
-            .join(t.dim("kelas").select(F.col("id").alias("kelas_id")), "kelas_id", "left_semi")
+            .join(t.kelas.select(F.col("id").alias("kelas_id")), "kelas_id", "left_semi")
             .dropDuplicates(["tugas_id", "kelas_id"]))
 
 
@@ -57,7 +56,8 @@ def select_assignments(t: Tables, kind: str | None = None, as_of: dt.date | None
         lo = F.lit(as_of)
         tg = tg.where(F.col("deadline").between(lo, F.date_add(lo, days)))
     elif kind == "ungraded":
-        open_ = t.pengumpulan_tugas.where(F.col("nilai").isNull()).select("tugas_id")
+        open_ = (t.pengumpulan_tugas.groupBy("tugas_id").agg(F.count_if(F.col("nilai").isNull()).alias("n_open"))
+                 .where("n_open > 0").select("tugas_id"))
         tg = tg.join(open_, tg.id == open_.tugas_id, "left_semi")
     elif kind == "completed":
         tg = tg.where(F.col("deadline") < F.lit(as_of))
@@ -75,29 +75,32 @@ def assignment_progress(t: Tables, kind: str | None = None, as_of: dt.date | Non
     the work is linear in the tables instead of assignments x students x
     submissions.
     """
-    tg = select_assignments(t, kind, as_of, days, teacher_ids).select(*TUGAS_COLS)
-    narrowed = kind in ("deadline", "ungraded", "completed") or teacher_ids is not None
-    ids = tg.select(F.col("id").alias("tugas_id"))
-
+    ungraded = kind == "ungraded"       # told from the same aggregate that counts the submissions
+    tg = select_assignments(t, None if ungraded else kind, as_of, days, teacher_ids).select(*TUGAS_COLS)
     pairs = assigned_pairs(t)
-    subs = t.pengumpulan_tugas.select("tugas_id", "id")
-    if narrowed:
+    subs = t.pengumpulan_tugas.select("tugas_id", "id", "nilai")
+    if kind in ("deadline", "completed") or teacher_ids is not None:
+        ids = tg.select(F.col("id").alias("tugas_id"))
         pairs = pairs.join(ids, "tugas_id", "left_semi")
         subs = subs.join(ids, "tugas_id", "left_semi")
 
     class_size, multi = class_membership(t)
-    per_class = (pairs.join(t.dim("kelas").select(F.col("id").alias("kelas_id"), "nama_kelas"), "kelas_id")
+    per_class = (pairs.join(t.kelas.select(F.col("id").alias("kelas_id"), "nama_kelas"), "kelas_id")
                  .join(class_size, "kelas_id", "left")
                  .groupBy("tugas_id")
                  .agg(sorted_list("nama_kelas", ", ", distinct=True).alias("kelas"),
                       F.sum(F.coalesce("n_single", F.lit(0))).alias("n_single")))
     multi_n = (pairs.join(multi, "kelas_id").select("tugas_id", "user_id").distinct()
                .groupBy("tugas_id").agg(F.count(F.lit(1)).alias("n_multi")))
-    sub_n = subs.groupBy("tugas_id").agg(F.count_distinct("id").alias("jumlah_kumpul"))
+    # a submission id is unique: rows are counted, so the partial counts merge
+    sub_n = subs.groupBy("tugas_id").agg(F.count("id").alias("jumlah_kumpul"),
+                                         F.count_if(F.col("nilai").isNull()).alias("n_open"))
+    if ungraded:
+        sub_n = sub_n.where("n_open > 0")
 
     out = (tg.join(per_class, tg.id == per_class.tugas_id).drop("tugas_id")
            .join(multi_n, F.col("id") == multi_n.tugas_id, "left").drop("tugas_id")
-           .join(sub_n, F.col("id") == sub_n.tugas_id, "left").drop("tugas_id")
+           .join(sub_n, F.col("id") == sub_n.tugas_id, "inner" if ungraded else "left").drop("tugas_id")
            .select(*TUGAS_COLS, "kelas",
                    F.coalesce("jumlah_kumpul", F.lit(0)).alias("jumlah_kumpul"),
                    (F.col("n_single") + F.coalesce("n_multi", F.lit(0))).cast("bigint").alias("jumlah_siswa")))
@@ -108,28 +111,13 @@ def assignment_progress(t: Tables, kind: str | None = None, as_of: dt.date | Non
 def assignment_classes(t: Tables, teacher_ids: DataFrame | None = None) -> DataFrame:
     """Every assignment with the sorted array of its class names (empty if none)."""
     tg = keyed(t.tugas, "created_by", teacher_ids)
-    names = (t.tugas_kelas.join(t.dim("kelas").select(F.col("id").alias("kelas_id"), "nama_kelas"), "kelas_id")
+    names = (t.tugas_kelas.join(t.kelas.select(F.col("id").alias("kelas_id"), "nama_kelas"), "kelas_id")
              .groupBy("tugas_id").agg(sorted_array("nama_kelas").alias("kelas")))
     return (tg.join(names, tg.id == names.tugas_id, "left")
             .select("id", "judul", "deskripsi", "deadline", "file_path", "created_by", "created_at",
                     F.coalesce("kelas", F.array().cast("array<string>")).alias("kelas")))
 
 
-# Largest class whose submitter list for one assignment may be gathered into
-# a single row by the roster-expansion plans below.
-MAX_CLASS_LIST = 200_000
-# Largest student roster (rows) broadcast for the roster-expansion plans.
-MAX_ROSTER_ROWS = 5_000_000
-
-
-def _roster_plan_ok(t: Tables, roster: DataFrame, key: str) -> DataFrame | None:
-    """Broadcast roster for the expansion plans, or None when the roster or
-    the largest class is too big (then the shuffle plan is used)."""
-    if t.max_class_size() > MAX_CLASS_LIST:
-        return None
-    return t.small(key, roster, MAX_ROSTER_ROWS)
-
-
 def submission_status(t: Tables, teacher_ids: DataFrame | None = None) -> DataFrame:
     """Per assignment: who submitted (``sudah_kumpul``) and who is missing
     (``belum_kumpul``), one long frame tagged by ``status``.
@@ -140,23 +128,21 @@ def submission_status(t: Tables, teacher_ids: DataFrame | None = None) -> DataFr
     ``NOT IN``: an assignment with a submission whose student id is NULL has
     no missing list at all.
 
-    The missing list is assignment x class roster, far larger than any
-    input.  When the roster passes its size check, the submitters of each
-    (assignment, class) pair are attached to the pair *before* expanding it
-    against the broadcast roster, so the expansion is produced map-side and
-    never shuffled or sorted; otherwise the expansion is anti-joined with
-    the submitter pairs through a shuffle (AQE splits skewed partitions).
+    The missing list is assignment x class roster.  It is expanded on the
+    class and anti-joined with the submissions on (assignment, student), a
+    key that no single row makes hot; a class with very many students or
+    assignments is split by the skew join, and Spark decides from measured
+    sizes whether a side is broadcast.
     """
     tg = keyed(t.tugas, "created_by", teacher_ids).select(F.col("id").alias("tugas_id"))
-    kelas = t.dim("kelas").select(F.col("id").alias("kelas_id"), F.col("nama_kelas").alias("kelas"))
+    kelas = t.kelas.select(F.col("id").alias("kelas_id"), F.col("nama_kelas").alias("kelas"))
     people = t.users.select(F.col("id").alias("user_id"), "name")
     placed = (t.siswa_details.select("user_id", "kelas_id")
               .join(kelas, "kelas_id").join(people, "user_id"))          # student x class x name
-    roster = _roster_plan_ok(t, placed, "placed_students")
 
     subs = t.pengumpulan_tugas.join(tg, "tugas_id", "left_semi")
     done = (subs.select("tugas_id", F.col("siswa_id").alias("user_id"), "file_path", "nilai")
-            .join(roster if roster is not None else placed, "user_id")
+            .join(placed, "user_id")
             .select("tugas_id", F.lit("sudah_kumpul").alias("status"), F.col("user_id").alias("id"),
                     "name", "kelas", "file_path", "nilai"))
 
@@ -164,14 +150,7 @@ def submission_status(t: Tables, teacher_ids: DataFrame | None = None) -> DataFr
     pairs = (t.tugas_kelas.join(tg, "tugas_id", "left_semi").select("tugas_id", "kelas_id")
              .join(null_sub, "tugas_id", "left_anti"))
     submitted = subs.where(F.col("siswa_id").isNotNull()).select("tugas_id", F.col("siswa_id").alias("user_id"))
-    if roster is not None:
-        by_pair = (submitted.join(roster.select("user_id", "kelas_id"), "user_id")
-                   .groupBy("tugas_id", "kelas_id").agg(F.collect_set("user_id").alias("_done")))
-        missing = (spread(pairs.join(by_pair, ["tugas_id", "kelas_id"], "left"), "tugas_id", "kelas_id")
-                   .join(roster, "kelas_id")
-                   .where(~F.coalesce(F.array_contains("_done", F.col("user_id")), F.lit(False))))
-    else:
-        missing = pairs.join(placed, "kelas_id").join(submitted, ["tugas_id", "user_id"], "left_anti")
+    missing = pairs.join(placed, "kelas_id").join(submitted, ["tugas_id", "user_id"], "left_anti")
     missing = missing.select("tugas_id", F.lit("belum_kumpul").alias("status"), F.col("user_id").alias("id"),
                              "name", "kelas", F.lit(None).cast("string").alias("file_path"),
                              F.lit(None).cast("int").alias("nilai"))
@@ -191,16 +170,12 @@ def _student_assignments(t: Tables, student_ids: DataFrame | None = None) -> Dat
     assignment AND student, kept in the ON clause; duplicate submissions of
     one pair repeat the row, as in the reference).
 
-    Same plan choice as :func:`submission_status`: with a roster that passes
-    the size check, rows that have a submission are built from the
-    submissions (small), and the assignment x roster expansion -- produced
-    map-side against the broadcast roster, never shuffled -- only keeps the
-    students not in the pair's submitter list; otherwise the expansion is
-    left-joined to the submissions through a shuffle.
+    The expansion joins on the class, where a hot class is split by the skew
+    join, and meets the submissions on (assignment, student).
     """
     sd = (keyed(t.siswa_details, "user_id", student_ids).where(F.col("kelas_id").isNotNull())
           .select(F.col("user_id").alias("siswa_id"), "kelas_id").distinct())
-    kelas = t.dim("kelas").select(F.col("id").alias("kelas_id"), "nama_kelas")
+    kelas = t.kelas.select(F.col("id").alias("kelas_id"), "nama_kelas")
     authors = t.users.select(F.col("id").alias("created_by"), F.col("name").alias("guru"))
     tasks = (t.tugas.select(F.col("id").alias("tugas_id"), "judul", "deskripsi", "deadline", "created_at",
                             "file_path", "created_by")
@@ -208,23 +183,9 @@ def _student_assignments(t: Tables, student_ids: DataFrame | None = None) -> Dat
              .join(t.tugas_kelas.select("tugas_id", "kelas_id"), "tugas_id")
              .join(kelas, "kelas_id"))
     subs = t.pengumpulan_tugas.select("tugas_id", "siswa_id", "nilai", F.col("file_path").alias("file_kumpul"))
-    out = ["siswa_id", F.col("tugas_id").alias("id"), "judul", "deskripsi", "deadline", "created_at",
-           "file_path", "guru", "nama_kelas", "nilai", "file_kumpul"]
-    roster = _roster_plan_ok(t, sd, f"class_roster:{student_ids is None}")
-    if roster is None:
-        return tasks.join(sd, "kelas_id").join(subs, ["tugas_id", "siswa_id"], "left").select(*out)
-    # Rows with the student's submission(s): small, built from the submissions.
-    placed_subs = subs.join(roster, "siswa_id")                         # (t, u, k, grade, file)
-    matched = tasks.join(placed_subs, ["tugas_id", "kelas_id"]).select(*out)
-    # Rows without one: the pair carries its submitters' ids and the roster
-    # expansion keeps only the others (NULL grade and file).
-    by_pair = placed_subs.groupBy("tugas_id", "kelas_id").agg(F.collect_set("siswa_id").alias("_done"))
-    unmatched = (spread(tasks.join(by_pair, ["tugas_id", "kelas_id"], "left"), "tugas_id", "kelas_id")
-                 .join(roster, "kelas_id")
-                 .where(~F.coalesce(F.array_contains("_done", F.col("siswa_id")), F.lit(False)))
-                 .select(*out[:9], F.lit(None).cast("int").alias("nilai"),
-                         F.lit(None).cast("string").alias("file_kumpul")))
-    return matched.unionByName(unmatched)
+    return (tasks.join(sd, "kelas_id").join(subs, ["tugas_id", "siswa_id"], "left")
+            .select("siswa_id", F.col("tugas_id").alias("id"), "judul", "deskripsi", "deadline", "created_at",
+                    "file_path", "guru", "nama_kelas", "nilai", "file_kumpul"))
 
 
 def student_assignment_stats(t: Tables, student_ids: DataFrame | None = None) -> DataFrame:

@@ -33,37 +33,6 @@ class Tables:
         out.__dict__["changed"] = set(self.__dict__.get("changed", set())) | set(frames)
         return out
 
-    def max_class_size(self) -> int:
-        """Largest number of detail rows in one class (one small aggregate,
-        computed once per bundle); plans use it to bound per-class lists."""
-        cache = self.__dict__.setdefault("_stats", {})
-        if "max_class_size" not in cache:
-            from pyspark.sql import functions as F
-            r = (self.frames["siswa_details"].where(F.col("kelas_id").isNotNull())
-                 .groupBy("kelas_id").count().agg(F.max("count")).first()[0])
-            cache["max_class_size"] = int(r or 0)
-        return cache["max_class_size"]
-
-    def small(self, key: str, df: DataFrame, max_rows: int | None = None) -> DataFrame | None:
-        """``broadcast(df)`` when it has at most ``max_rows`` rows, else None
-        (the caller then takes its shuffle plan).  Checked once per key."""
-        from pyspark.sql import functions as F
-        from kelasflow.functions.joins import MAX_BROADCAST_ROWS
-        cache = self.__dict__.setdefault("_small", {})
-        if key not in cache:
-            limit = max_rows or MAX_BROADCAST_ROWS
-            cache[key] = df.limit(limit + 1).count() <= limit
-        return F.broadcast(df) if cache[key] else None
-
-    def dim(self, name: str) -> DataFrame:
-        """A dimension table, broadcast when its row count is under the limit
-        (checked once per bundle with a bounded count)."""
-        from kelasflow.functions.joins import sized_broadcast
-        cache = self.__dict__.setdefault("_dims", {})
-        if name not in cache:
-            cache[name] = sized_broadcast(self.frames[name])
-        return cache[name]
-
 
 def conform(df: DataFrame, name: str) -> DataFrame:
     """Project/cast ``df`` to the declared schema of table ``name``."""

@@ -7,7 +7,11 @@ prefix followed by its own CTEs and final SELECT.
 FIXTURE_CTES = """
 nsup AS (SELECT count(*) AS n FROM supplier),
 ncust AS (SELECT count(*) AS n FROM customer),
-kelas AS (SELECT CAST(n_nationkey AS INTEGER) AS id, n_name AS nama_kelas FROM nation),
+nclass AS (SELECT count(DISTINCT c_custkey // 50) AS n FROM customer),
+kelas AS (SELECT CAST(n_nationkey AS INTEGER) AS id, n_name AS nama_kelas FROM nation
+          UNION ALL
+          SELECT id, 'KELAS_' || CAST(id AS VARCHAR)
+          FROM (SELECT DISTINCT CAST(25 + c_custkey // 50 AS INTEGER) AS id FROM customer)),
 users AS (
   SELECT c.c_custkey AS id, c.c_name AS name, lower(c.c_name) || '@siswa.example.org' AS email,
          'siswa' AS role, CAST(NULL AS VARCHAR) AS foto, o.created_at
@@ -24,7 +28,8 @@ users AS (
 siswa_details AS (
   SELECT c_custkey AS id, c_custkey AS user_id, c_mktsegment AS jurusan,
          lpad(CAST(c_custkey AS VARCHAR), 10, '0') AS nisn,
-         CASE WHEN c_custkey % 20 = 0 THEN NULL ELSE CAST(c_nationkey AS INTEGER) END AS kelas_id
+         CASE WHEN c_custkey % 20 = 0 THEN NULL WHEN c_custkey % 25 = 1 THEN 0
+              ELSE CAST(25 + c_custkey // 50 AS INTEGER) END AS kelas_id
   FROM customer WHERE c_custkey % 10 <> 9
 ),
 guru_details AS (
@@ -34,7 +39,8 @@ guru_details AS (
   WHERE s.s_suppkey % 10 <> 9
 ),
 guru_kelas AS (
-  SELECT s.s_suppkey * 100 + n.n_nationkey AS id, s.s_suppkey AS guru_id, CAST(n.n_nationkey AS INTEGER) AS kelas_id
+  SELECT s.s_suppkey * 100 + n.n_nationkey AS id, s.s_suppkey AS guru_id,
+         CAST(25 + (s.s_suppkey + n.n_nationkey) % (SELECT n FROM nclass) AS INTEGER) AS kelas_id
   FROM supplier s, nation n
   WHERE (s.s_suppkey + n.n_nationkey) % 8 = 0 AND s.s_suppkey % 10 NOT IN (8, 9)
 ),
@@ -47,7 +53,8 @@ courses AS (
     ON l.l_partkey = p.p_partkey
 ),
 course_kelas AS (
-  SELECT p.p_partkey * 100 + n.n_nationkey AS id, p.p_partkey AS course_id, CAST(n.n_nationkey AS INTEGER) AS kelas_id
+  SELECT p.p_partkey * 100 + n.n_nationkey AS id, p.p_partkey AS course_id,
+         CAST(25 + (p.p_partkey + n.n_nationkey) % (SELECT n FROM nclass) AS INTEGER) AS kelas_id
   FROM part p, nation n WHERE (p.p_partkey + n.n_nationkey) % 12 = 0
 ),
 course_enrollments AS (
@@ -62,10 +69,12 @@ tugas AS (
   FROM orders
 ),
 tugas_kelas AS (
-  SELECT o.o_orderkey AS tugas_id, CAST(c.c_nationkey AS INTEGER) AS kelas_id
+  SELECT o.o_orderkey AS tugas_id, CAST(25 + c.c_custkey // 50 AS INTEGER) AS kelas_id
   FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey
   UNION
-  SELECT o_orderkey, CAST(o_orderkey % 25 AS INTEGER) FROM orders
+  SELECT o_orderkey, CAST(25 + o_orderkey % (SELECT n FROM nclass) AS INTEGER) FROM orders
+  UNION
+  SELECT o_orderkey, 0 FROM orders WHERE o_orderkey < 200
 ),
 pengumpulan_tugas AS (
   SELECT ((l.l_orderkey * 8 + l.l_linenumber) * 100000 + l.l_partkey) * 10000 + l.l_suppkey AS id,
@@ -90,7 +99,8 @@ diskusi AS (
   FROM conversations WHERE turn = 0
 ),
 diskusi_kelas AS (
-  SELECT c.conv_id * 100 + n.n_nationkey AS id, c.conv_id AS diskusi_id, CAST(n.n_nationkey AS INTEGER) AS kelas_id
+  SELECT c.conv_id * 100 + n.n_nationkey AS id, c.conv_id AS diskusi_id,
+         CAST(25 + (c.conv_id + n.n_nationkey) % (SELECT n FROM nclass) AS INTEGER) AS kelas_id
   FROM conversations c, nation n
   WHERE c.turn = 0 AND c.conv_id % 20 <> 19 AND (c.conv_id + n.n_nationkey) % 10 = 0
 ),

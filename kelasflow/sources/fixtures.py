@@ -1,10 +1,12 @@
 """Test mapping: derive the learning schema from the supplied TPC-H-ish tables.
 
 This only re-shapes rows into the schema the operators expect (see
-FIXTURES.md); it does none of an operator's work.  Scalar counts (number of
-suppliers / customers) are scalar subqueries, and every "pair with a class"
-rule ``(key + class) % m = 0`` is written as an equi-join on ``class % m``
-against the 25-row nation table, so no cross join appears anywhere.
+FIXTURES.md); it does none of an operator's work.  Scalar counts (suppliers,
+customers, classes) are scalar subqueries, and every "pair with a class"
+rule ``(key + n) % m = 0`` is written as an equi-join on ``n % m`` against
+the 25-row nation table, so no cross join appears anywhere.  Classes grow
+with the customers, about 50 students each; class 0 is a hot one that holds
+a twenty-fifth of all students and has few assignments.
 """
 
 from __future__ import annotations
@@ -16,6 +18,9 @@ from kelasflow.sources.catalog import Tables, conform
 
 TEACHER_ID_OFFSET = 10_000_000
 ADMIN_ID = 20_000_000
+CLASS_SIZE = 50
+FIRST_CLASS = 25            # ids below it are the nations' classes
+HOT_CLASS_ORDERS = 200       # orders below it are assigned to class 0, too
 EPOCH_2024 = "TIMESTAMP_NTZ'2024-01-01 00:00:00'"
 
 
@@ -40,7 +45,15 @@ def fixture_tables(spark: SparkSession, sf_dir: str) -> Tables:
     nsup = supplier.agg(F.count(F.lit(1))).scalar()
     ncust = customer.agg(F.count(F.lit(1))).scalar()
 
-    kelas = nation.select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("nama_kelas"))
+    own_class = F.expr(f"CAST({FIRST_CLASS} + c_custkey div {CLASS_SIZE} AS INT)")
+    grown = customer.select(own_class.alias("id")).distinct()
+    nclass = customer.agg(F.count_distinct(F.expr(f"c_custkey div {CLASS_SIZE}"))).scalar()
+    kelas = nation.select(F.col("n_nationkey").cast("int").alias("id"), F.col("n_name").alias("nama_kelas")).unionByName(
+        grown.select("id", F.concat(F.lit("KELAS_"), F.col("id").cast("string")).alias("nama_kelas")))
+
+    def dealt(key):
+        """Class of a (key, nation) pair."""
+        return ((F.col(key) + F.col("n_nationkey")) % nclass + FIRST_CLASS).cast("int")
 
     first_order = orders.groupBy("o_custkey").agg(F.min("o_orderdate").alias("created_at"))
     students = (customer.join(first_order, customer.c_custkey == first_order.o_custkey, "left")
@@ -65,7 +78,8 @@ def fixture_tables(spark: SparkSession, sf_dir: str) -> Tables:
                              F.col("c_mktsegment").alias("jurusan"),
                              F.lpad(F.col("c_custkey").cast("string"), 10, "0").alias("nisn"),
                              F.when(F.col("c_custkey") % 20 == 0, F.lit(None))
-                              .otherwise(F.col("c_nationkey")).alias("kelas_id")))
+                              .when(F.col("c_custkey") % 25 == 1, F.lit(0))
+                              .otherwise(own_class).alias("kelas_id")))
 
     guru_details = (supplier.where(F.col("s_suppkey") % 10 != 9)
                     .join(nation, supplier.s_nationkey == nation.n_nationkey)
@@ -77,7 +91,7 @@ def fixture_tables(spark: SparkSession, sf_dir: str) -> Tables:
     guru_kelas = (_pair_with_nation(supplier.where(~(F.col("s_suppkey") % 10).isin(8, 9)).select("s_suppkey"),
                                     "s_suppkey", 8, nation)
                   .select((F.col("s_suppkey") * 100 + F.col("n_nationkey")).alias("id"),
-                          F.col("s_suppkey").alias("guru_id"), F.col("n_nationkey").alias("kelas_id")))
+                          F.col("s_suppkey").alias("guru_id"), dealt("s_suppkey").alias("kelas_id")))
 
     part_first_ship = lineitem.groupBy("l_partkey").agg(F.min("l_shipdate").alias("created_at"))
     courses = (part.join(part_first_ship, part.p_partkey == part_first_ship.l_partkey, "left")
@@ -91,7 +105,7 @@ def fixture_tables(spark: SparkSession, sf_dir: str) -> Tables:
 
     course_kelas = (_pair_with_nation(part.select("p_partkey"), "p_partkey", 12, nation)
                     .select((F.col("p_partkey") * 100 + F.col("n_nationkey")).alias("id"),
-                            F.col("p_partkey").alias("course_id"), F.col("n_nationkey").alias("kelas_id")))
+                            F.col("p_partkey").alias("course_id"), dealt("p_partkey").alias("kelas_id")))
 
     course_enrollments = (lineitem.where(F.col("l_partkey") % 50 != 0)
                           .join(orders, lineitem.l_orderkey == orders.o_orderkey)
@@ -107,9 +121,12 @@ def fixture_tables(spark: SparkSession, sf_dir: str) -> Tables:
                           (F.col("o_orderdate") - F.expr("INTERVAL 14 DAYS")).alias("created_at"))
 
     by_customer = (orders.join(customer, orders.o_custkey == customer.c_custkey)
-                   .select(F.col("o_orderkey").alias("tugas_id"), F.col("c_nationkey").cast("int").alias("kelas_id")))
-    by_key = orders.select(F.col("o_orderkey").alias("tugas_id"), (F.col("o_orderkey") % 25).cast("int").alias("kelas_id"))
-    tugas_kelas = by_customer.union(by_key).distinct()
+                   .select(F.col("o_orderkey").alias("tugas_id"), own_class.alias("kelas_id")))
+    by_key = orders.select(F.col("o_orderkey").alias("tugas_id"),
+                           (F.col("o_orderkey") % nclass + FIRST_CLASS).cast("int").alias("kelas_id"))
+    hot = orders.where(F.col("o_orderkey") < HOT_CLASS_ORDERS).select(F.col("o_orderkey").alias("tugas_id"),
+                                                                      F.lit(0).alias("kelas_id"))
+    tugas_kelas = by_customer.union(by_key).union(hot).distinct()
 
     pengumpulan_tugas = (lineitem.join(orders, lineitem.l_orderkey == orders.o_orderkey)
                          .select((((F.col("l_orderkey") * 8 + F.col("l_linenumber")) * 100000 + F.col("l_partkey"))
@@ -139,7 +156,7 @@ def fixture_tables(spark: SparkSession, sf_dir: str) -> Tables:
     diskusi_kelas = (_pair_with_nation(openers.where(F.col("conv_id") % 20 != 19).select("conv_id"),
                                        "conv_id", 10, nation)
                      .select((F.col("conv_id") * 100 + F.col("n_nationkey")).alias("id"),
-                             F.col("conv_id").alias("diskusi_id"), F.col("n_nationkey").alias("kelas_id")))
+                             F.col("conv_id").alias("diskusi_id"), dealt("conv_id").alias("kelas_id")))
     chat_diskusi = (conversations.where(F.col("turn") >= 1)
                     .select((F.col("conv_id") * 100 + F.col("turn")).alias("id"),
                             F.col("conv_id").alias("diskusi_id"),

@@ -22,7 +22,9 @@ from kelasflow.operators import progress as P
 from kelasflow.session import checkpoint_root
 from kelasflow.sources.catalog import Tables
 
-RUN_TIMEOUT_S = 1800
+# Submissions are stored in this many folders by a hash of the assignment; a
+# micro-batch reads (S03) or rewrites (S05) only the folders it names.
+BUCKETS = 64
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -46,15 +48,14 @@ def source(spark: SparkSession, path: str, schema, max_files: int | None = None)
     return r.parquet(path)
 
 
-def run(query_builder, timeout: int = RUN_TIMEOUT_S) -> None:
-    """Start a stream writer, drain the available input, wait for the end."""
+def run(query_builder) -> None:
+    """Start a stream writer, drain the available input and wait until all of
+    it is processed, however long that takes; a failed query raises."""
     q = query_builder.trigger(availableNow=True).start()
     try:
-        q.awaitTermination(timeout)
-        if q.exception():
-            raise q.exception()
+        q.awaitTermination()        # raises the query's exception
     finally:
-        if q.isActive:
+        if q.isActive:              # only when the wait itself was interrupted
             q.stop()
 
 
@@ -73,22 +74,19 @@ def _write_batch(path: str) -> Callable[[DataFrame, int], None]:
     return write
 
 
-def _children(spark: SparkSession, root: str) -> set[str]:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(root)
-    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return {st.getPath().getName() for st in fs.listStatus(p)} if fs.exists(p) else set()
+def _bucket():
+    return F.pmod(F.hash(F.col("tugas_id").cast("bigint")), F.lit(BUCKETS)).alias("_bucket")
 
 
-def _versions(spark: SparkSession, root: str) -> list[int]:
-    """Snapshot versions present under ``root`` (folders named ``v<n>``)."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(root)
-    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(p):
-        return []
-    names = [st.getPath().getName() for st in fs.listStatus(p)]
-    return sorted(int(n[1:]) for n in names if n.startswith("v") and n[1:].lstrip("-").isdigit())
+def _named_buckets(batch: DataFrame) -> list[int]:
+    """The buckets whose assignments a batch names; at most BUCKETS values."""
+    return [r[0] for r in batch.select(_bucket()).distinct().collect()]
+
+
+def _write_buckets(df: DataFrame, path: str) -> None:
+    """Replace the buckets present in ``df``; the others stay as they are."""
+    (df.withColumn("_bucket", _bucket()).write.mode("overwrite")
+     .option("partitionOverwriteMode", "dynamic").partitionBy("_bucket").parquet(path))
 
 
 # ------------------------------------------------------------- S01 daily count
@@ -143,17 +141,25 @@ def run_first_wins(spark: SparkSession, t: Tables, req_path: str, snap_path: str
     """Each micro-batch is applied with the batch job W10 against the
     submissions accepted so far (initial snapshot + earlier batches, read
     back from storage so lineage stays short).  The rule has no time bound,
-    so state is the submission table itself rather than a state store."""
-    t.pengumpulan_tugas.write.parquet(f"{snap_path}/base")
+    so state is the submission table itself rather than a state store.
+
+    Accepted rows of a batch are stored under ``_batch=<id>``, by bucket of
+    the assignment; a batch reads only the buckets that it names, of earlier
+    batches only, so a retried batch does not see its own output.  Ids follow
+    the largest one stored.
+    """
+    schema_out = t.pengumpulan_tugas.schema
+    (t.pengumpulan_tugas.withColumn("_bucket", _bucket()).write.partitionBy("_bucket")
+     .parquet(f"{snap_path}/_batch=-1"))
+    columns = [F.col(f.name).cast(f.dataType).alias(f.name) for f in schema_out]
 
     def apply(batch: DataFrame, batch_id: int) -> None:
-        # Earlier batches only: a retried batch must not see its own output.
-        done = [f"{snap_path}/base"] + [f"{snap_path}/b{i}" for i in range(batch_id)
-                                        if f"b{i}" in _children(spark, snap_path)]
-        current = spark.read.parquet(*done)
-        ch = W.submit_first_wins(t.replace(pengumpulan_tugas=current), batch)
-        new_rows = ch.tables.pengumpulan_tugas.join(current.select("id"), "id", "left_anti")
-        new_rows.write.mode("overwrite").parquet(f"{snap_path}/b{batch_id}")
+        stored = spark.read.parquet(snap_path).where(F.col("_batch") < batch_id)
+        current = stored.where(F.col("_bucket").isin(_named_buckets(batch))).select(*columns)
+        top = stored.agg(F.coalesce(F.max("id"), F.lit(0)).alias("id")).first()[0]
+        ch = W.submit_first_wins(t.replace(pengumpulan_tugas=current), batch, after=top)
+        (ch.emitted["pengumpulan_tugas"].withColumn("_bucket", _bucket()).write.mode("overwrite")
+         .partitionBy("_bucket").parquet(f"{snap_path}/_batch={batch_id}"))
         (ch.emitted["accepted"].select("request_id", F.lit("accepted").alias("outcome"))
          .unionByName(ch.rejects.withColumnRenamed("reason", "outcome"))
          .write.mode("overwrite").parquet(f"{out}/_batch={batch_id}"))
@@ -163,6 +169,11 @@ def run_first_wins(spark: SparkSession, t: Tables, req_path: str, snap_path: str
     return spark.read.parquet(out).drop("_batch")
 
 
+def stored_submissions(spark: SparkSession, snap_path: str, schema) -> DataFrame:
+    """The submission table that S03 has built so far."""
+    return spark.read.parquet(snap_path).select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema])
+
+
 # --------------------------------------------- S04 live assignment progress
 def run_live_progress(spark: SparkSession, t: Tables, sub_path: str, out: str, ckpt: str, schema,
                       max_files: int | None = None) -> DataFrame:
@@ -182,21 +193,22 @@ def run_live_progress(spark: SparkSession, t: Tables, sub_path: str, out: str, c
 # ------------------------------------------------ S05 change-request apply
 def run_grade_requests(spark: SparkSession, t: Tables, req_path: str, snap_root: str, ckpt: str, schema,
                        max_files: int | None = None) -> DataFrame:
-    """Grade requests applied batch by batch with W11.  Each batch writes a
-    new snapshot version and the next batch reads it back, cutting lineage
-    (with a table format this would be a MERGE of the touched rows)."""
-    t.pengumpulan_tugas.write.parquet(f"{snap_root}/v-1")
+    """Grade requests applied batch by batch with W11.  The table is stored by
+    bucket of the assignment; a batch reads and replaces only the buckets
+    that it names.  Setting a grade twice is setting it once, so a retried
+    batch does no harm."""
+    _write_buckets(t.pengumpulan_tugas, snap_root)
+    columns = t.pengumpulan_tugas.columns
 
     def apply(batch: DataFrame, batch_id: int) -> None:
-        # Micro-batch ids are consecutive, so the input version is id - 1;
-        # a retried batch re-reads the same input and overwrites its output.
-        current = spark.read.parquet(f"{snap_root}/v{batch_id - 1}")
+        current = (spark.read.parquet(snap_root).where(F.col("_bucket").isin(_named_buckets(batch)))
+                   .select(*columns))
         ch = W.post_grades(t.replace(pengumpulan_tugas=current), batch)
-        ch.tables.pengumpulan_tugas.write.mode("overwrite").parquet(f"{snap_root}/v{batch_id}")
+        _write_buckets(ch.tables.pengumpulan_tugas, snap_root)
 
     run(source(spark, req_path, schema, max_files).writeStream
         .option("checkpointLocation", ckpt).foreachBatch(apply))
-    return spark.read.parquet(f"{snap_root}/v{max(_versions(spark, snap_root))}")
+    return spark.read.parquet(snap_root).select(*columns)
 
 
 def first_wins_within(requests: DataFrame, bound: str = "7 days") -> DataFrame:
