@@ -17,3 +17,4 @@ DAYS_CARD = 7
 TOP_LOGS = 5
 TOP_DAYS = 7
 FILE_BASE_URL = "https://files.example.org/"
+SUBJECT = "ASIA"

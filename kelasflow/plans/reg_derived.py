@@ -2,7 +2,8 @@
 
 from kelasflow.operators import derived_views as V
 from kelasflow.plans import params as X
-from kelasflow.plans.reg_progress import _PROGRESS_SQL
+from kelasflow.plans.reg_progress import _PROGRESS_SQL, STUDENT_CARDS_SQL
+from kelasflow.plans.reg_roster import _STUDENTS, STUDENT_SEARCH_SQL
 from kelasflow.plans.registry import register
 
 
@@ -11,34 +12,24 @@ def _initials(col):
 
 
 @register("u01_u09_u16_student_cards", f"""
-SELECT u.id, u.name, {_initials('u.name')} AS initials,
-       coalesce(nullif(sd.nisn, ''), '-') AS nisn, coalesce(nullif(sd.jurusan, ''), '-') AS jurusan,
-       coalesce(nullif(k.nama_kelas, ''), '-') AS kelas, coalesce(nullif(k.nama_kelas, ''), u.email) AS label
-FROM users u LEFT JOIN siswa_details sd ON sd.user_id = u.id LEFT JOIN kelas k ON k.id = sd.kelas_id
-WHERE u.role = 'siswa'
+SELECT id, name, {_initials('name')} AS initials, coalesce(nullif(nisn, ''), '-') AS nisn,
+       coalesce(nullif(jurusan, ''), '-') AS jurusan, coalesce(nullif(kelas, ''), '-') AS kelas,
+       coalesce(nullif(kelas, ''), email) AS label
+FROM ({_STUDENTS.format(cond='')})
 """)
 def u01(t):
     return V.student_cards(t)
 
 
 @register("u01_u02_teacher_cards", f"""
-SELECT u.id, u.name, {_initials('u.name')} AS initials, string_split(coalesce(gd.mapel, ''), ',') AS subjects
-FROM users u LEFT JOIN guru_details gd ON gd.user_id = u.id LEFT JOIN guru_kelas gk ON gk.guru_id = gd.id
-LEFT JOIN kelas k ON k.id = gk.kelas_id
-WHERE u.role = 'guru'
-GROUP BY u.id, u.name, u.email, gd.nip, gd.mapel
+SELECT id, name, {_initials('name')} AS initials, string_split(coalesce(mapel, ''), ',') AS subjects
+FROM (SELECT user_id AS id, mapel FROM guru_details) RIGHT JOIN (SELECT id, name FROM users WHERE role = 'guru') USING (id)
 """)
 def u02(t):
     return V.teacher_cards(t)
 
 
-@register("u10_student_search_count", f"""
-SELECT count(*) AS total FROM users u LEFT JOIN siswa_details sd ON sd.user_id = u.id
-LEFT JOIN kelas k ON k.id = sd.kelas_id
-WHERE u.role = 'siswa' AND (u.name ILIKE '%{X.STUDENT_KEYWORD}%' OR u.email ILIKE '%{X.STUDENT_KEYWORD}%'
-  OR sd.nisn ILIKE '%{X.STUDENT_KEYWORD}%' OR sd.jurusan ILIKE '%{X.STUDENT_KEYWORD}%'
-  OR k.nama_kelas ILIKE '%{X.STUDENT_KEYWORD}%')
-""")
+@register("u10_student_search_count", f"SELECT count(*) AS total FROM ({STUDENT_SEARCH_SQL})")
 def u10(t):
     return V.search_count(t, X.STUDENT_KEYWORD)
 
@@ -61,15 +52,7 @@ SELECT siswa_id, id, nilai, file_kumpul,
             ELSE 'Pending' END AS status,
        CASE WHEN nilai IS NOT NULL THEN CAST(nilai AS VARCHAR) || '/100' ELSE '-' END AS nilai_text
 FROM a
-""", ctes="""a AS (
-SELECT sd.siswa_id, t.id, pt.nilai, pt.file_path AS file_kumpul
-FROM (SELECT DISTINCT user_id AS siswa_id, kelas_id FROM siswa_details WHERE kelas_id IS NOT NULL) sd
-JOIN tugas_kelas tk ON tk.kelas_id = sd.kelas_id
-JOIN tugas t ON t.id = tk.tugas_id
-JOIN kelas k ON k.id = tk.kelas_id
-JOIN users u ON u.id = t.created_by
-LEFT JOIN pengumpulan_tugas pt ON pt.tugas_id = t.id AND pt.siswa_id = sd.siswa_id
-)""")
+""", ctes=f"a AS ({STUDENT_CARDS_SQL})")
 def u05(t):
     return V.student_assignment_status(t)
 

@@ -116,5 +116,8 @@ chat_diskusi AS (
 
 def with_fixtures(body: str, ctes: str = "") -> str:
     """Oracle text: fixture CTEs, optional extra CTEs, then ``body``."""
+    body = body.strip()
+    if body.startswith("WITH"):         # a body with CTEs of its own
+        body = f"SELECT * FROM ({body})"
     extra = f",\n{ctes.strip().rstrip(',')}" if ctes.strip() else ""
-    return f"WITH {FIXTURE_CTES.strip()}{extra}\n{body.strip()}"
+    return f"WITH {FIXTURE_CTES.strip()}{extra}\n{body}"
