@@ -1,6 +1,11 @@
 """Registered integrity audits."""
 
+import re
+
+from pyspark.sql import functions as F
+
 from kelasflow.operators import audit as AU
+from kelasflow.plans import params as X
 from kelasflow.plans.registry import register
 
 
@@ -61,6 +66,22 @@ _RULES_SQL = [
 ]
 
 
+# The same audit after classes and teachers went without a cascade: class 26
+# and the teachers of one subject are gone, what refers to them is not.
+_GONE = f"""
+kelas_left AS (SELECT * FROM kelas WHERE id <> 26),
+users_left AS (SELECT * FROM users WHERE id NOT IN (SELECT user_id FROM guru_details WHERE mapel = '{X.SUBJECT}'))
+"""
+
+
+@register("a02_orphan_audit_after_loss", re.sub(
+    r"FROM (kelas|users) p", r"FROM \1_left p", re.sub(r"FROM (kelas|users) c", r"FROM \1_left c", _orphan_sql())),
+    ctes=_GONE)
+def a02_loss(t):
+    lost = t.guru_details.where(F.col("mapel") == X.SUBJECT).select(F.col("user_id").alias("id"))
+    return AU.orphans(t.replace(kelas=t.kelas.where(F.col("id") != 26), users=t.users.join(lost, "id", "left_anti")))
+
+
 @register("a03_domain_audit", "\nUNION ALL\n".join(
     f"SELECT '{name}' AS rule, count(*) FILTER (WHERE {cond}) AS violations FROM {table}"
     for table, name, cond in _RULES_SQL))

@@ -399,35 +399,332 @@ def w15(t):
     return ch.emitted["activity_logs"].select("id", "user_id", "action")
 
 
-# Every student / teacher re-saves the profile form with the
-# values they have now; people without a detail row get one inserted.
+# Save requests made of the verifications and assignments, several
+# per person, with values that others hold, values claimed twice, new values,
+# new classes and people who do not exist.
+def _claim_ctes(src: str, out: str, col: str, held: str, reason: str) -> str:
+    """CTEs ``<out>_c`` (verdict per request of ``src``) and ``<out>`` (those that pass)."""
+    return f"""
+{out}_k AS (SELECT r.*, lower({col}) AS k, EXISTS (SELECT 1 FROM ({held}) h WHERE h.k = lower(r.{col}) AND h.holder <> r.user_id)
+                   AS taken FROM {src} r),
+{out}_o AS (SELECT k, arg_min(user_id, request_id) AS owner FROM {out}_k WHERE NOT taken AND k IS NOT NULL GROUP BY k),
+{out}_c AS (SELECT {out}_k.*, CASE WHEN taken THEN '{reason}' WHEN owner <> user_id THEN '{reason}_in_batch' END AS verdict
+            FROM {out}_k LEFT JOIN {out}_o USING (k)),
+{out} AS (SELECT * EXCLUDE (k, taken, verdict) FROM {out}_c WHERE verdict IS NULL)
+"""
+
+
+_W02_REQ = f"""
+req AS (SELECT id AS request_id, user_id + CASE WHEN id % 7 = 0 THEN 5000000 ELSE 0 END AS user_id,
+               'Siswa ' || CAST(id AS VARCHAR) AS name,
+               CASE WHEN id % 3 = 0 THEN 'Siswa' || CAST(id % 900 AS VARCHAR) || '@siswa.example.org' END AS email,
+               lpad(CAST(id % 4000 AS VARCHAR), 10, '0') AS nisn, status AS jurusan,
+               ' kelas_' || CAST(25 + id % 60 AS VARCHAR) AS kelas FROM verifications),
+known AS (SELECT * FROM req WHERE user_id IN (SELECT id FROM users)),
+{_claim_ctes("known", "mailed", "email", "SELECT id AS holder, lower(email) AS k FROM users", "email_taken")},
+{_claim_ctes("mailed", "valid", "nisn", "SELECT user_id AS holder, lower(nisn) AS k FROM siswa_details", "nisn_taken")},
+won AS (SELECT max(request_id) AS request_id FROM valid GROUP BY user_id),
+lst AS (SELECT * FROM valid WHERE request_id IN (SELECT request_id FROM won)),
+fresh AS (SELECT lower(trim(kelas)) AS k FROM lst WHERE lower(trim(kelas)) NOT IN (SELECT lower(nama_kelas) FROM kelas) GROUP BY 1),
+room AS (SELECT id, lower(nama_kelas) AS k FROM kelas
+         UNION ALL SELECT (SELECT max(id) FROM kelas) + row_number() OVER (ORDER BY k), k FROM fresh),
+placed AS (SELECT lst.*, room.id AS kelas_id FROM lst LEFT JOIN room ON room.k = lower(trim(lst.kelas)))
+"""
+
+
+def _student_saves(t):
+    i = F.col("id")
+    text = i.cast("string")
+    return t.verifications.select(
+        i.alias("request_id"), (F.col("user_id") + F.when(i % 7 == 0, 5_000_000).otherwise(0)).alias("user_id"),
+        F.concat(F.lit("Siswa "), text).alias("name"),
+        F.when(i % 3 == 0, F.concat(F.lit("Siswa"), (i % 900).cast("string"), F.lit("@siswa.example.org"))).alias("email"),
+        F.lpad((i % 4000).cast("string"), 10, "0").alias("nisn"), F.col("status").alias("jurusan"),
+        F.concat(F.lit(" kelas_"), (i % 60 + 25).cast("string")).alias("kelas"))
+
+
+def _upsert_outcomes(ch):
+    done = ch.emitted["accepted"].select("request_id", F.lit("accepted").alias("outcome"))
+    return done.unionByName(ch.rejects.withColumnRenamed("reason", "outcome"))
+
+
+_OUTCOMES = """
+SELECT request_id, 'unknown_user' AS outcome FROM req WHERE user_id NOT IN (SELECT id FROM users)
+UNION ALL SELECT request_id, verdict FROM mailed_c WHERE verdict IS NOT NULL
+UNION ALL SELECT request_id, verdict FROM valid_c WHERE verdict IS NOT NULL
+UNION ALL SELECT request_id, CASE WHEN request_id IN (SELECT request_id FROM won) THEN 'accepted' ELSE 'superseded' END
+FROM valid
+"""
+
+
+@register("w02_student_upsert_outcomes", _OUTCOMES, ctes=_W02_REQ)
+def w02_outcomes(t):
+    return _upsert_outcomes(W.student_upsert(t, _student_saves(t)))
+
+
 @register("w02_student_profile_upsert", """
-SELECT sd.id, sd.user_id, sd.jurusan, sd.nisn, sd.kelas_id FROM siswa_details sd
+SELECT d.id, d.user_id, coalesce(p.jurusan, d.jurusan) AS jurusan, coalesce(p.nisn, d.nisn) AS nisn,
+       CASE WHEN p.request_id IS NULL THEN d.kelas_id ELSE p.kelas_id END AS kelas_id
+FROM siswa_details d LEFT JOIN placed p USING (user_id)
 UNION ALL
-SELECT coalesce((SELECT max(id) FROM siswa_details), 0) + row_number() OVER (ORDER BY u.id), u.id,
-       NULL, NULL, NULL
-FROM users u WHERE u.role = 'siswa' AND NOT EXISTS (SELECT 1 FROM siswa_details s WHERE s.user_id = u.id)
-""")
+SELECT (SELECT max(id) FROM siswa_details) + row_number() OVER (ORDER BY request_id), user_id, jurusan, nisn, kelas_id
+FROM placed ANTI JOIN siswa_details USING (user_id)
+""", ctes=_W02_REQ)
 def w02(t):
-    k = t.kelas.select(F.col("id").alias("kelas_id"), F.col("nama_kelas").alias("kelas"))
-    sd = t.siswa_details.select("user_id", "nisn", "jurusan", "kelas_id").join(k, "kelas_id", "left")
-    req = (t.users.where(F.col("role") == "siswa").select(F.col("id").alias("user_id"))
-           .join(sd, "user_id", "left")
-           .select(F.col("user_id").alias("request_id"), "user_id", "nisn", "jurusan", "kelas"))
-    ch = W.student_upsert(t, req)
-    return ch.tables.siswa_details.select("id", "user_id", "jurusan", "nisn", "kelas_id")
+    return W.student_upsert(t, _student_saves(t)).tables.siswa_details.select("id", "user_id", "jurusan", "nisn",
+                                                                             "kelas_id")
+
+
+@register("w02_student_upsert_users", """
+SELECT u.id, coalesce(l.name, u.name) AS name, coalesce(l.email, u.email) AS email
+FROM users u LEFT JOIN lst l ON l.user_id = u.id
+""", ctes=_W02_REQ)
+def w02_users(t):
+    return W.student_upsert(t, _student_saves(t)).tables.users.select("id", "name", "email")
+
+
+_W05_REQ = f"""
+req AS (SELECT id AS request_id, created_by + CASE WHEN id % 11 = 0 THEN 5000000 ELSE 0 END AS user_id,
+               'Guru ' || CAST(id AS VARCHAR) AS name, 'GURU' || CAST(id % 150 AS VARCHAR) || '@example.org' AS email,
+               lpad(CAST(id % 130 AS VARCHAR), 18, '0') AS nip, deskripsi AS mapel,
+               CASE WHEN id % 2 = 0 THEN 'kelas_25, KELAS_' || CAST(25 + id % 40 AS VARCHAR) END AS kelas FROM tugas),
+known AS (SELECT * FROM req WHERE user_id IN (SELECT id FROM users)),
+{_claim_ctes("known", "mailed", "email", "SELECT id AS holder, lower(email) AS k FROM users", "email_taken")},
+{_claim_ctes("mailed", "valid", "nip", "SELECT user_id AS holder, lower(nip) AS k FROM guru_details", "nip_taken")},
+won AS (SELECT max(request_id) AS request_id FROM valid GROUP BY user_id),
+lst AS (SELECT * FROM valid WHERE request_id IN (SELECT request_id FROM won)),
+detail AS (
+  SELECT d.id, d.user_id, coalesce(l.mapel, d.mapel) AS mapel, coalesce(l.nip, d.nip) AS nip
+  FROM guru_details d LEFT JOIN lst l USING (user_id)
+  UNION ALL
+  SELECT (SELECT max(id) FROM guru_details) + row_number() OVER (ORDER BY request_id), user_id, mapel, nip
+  FROM lst ANTI JOIN guru_details USING (user_id))
+"""
 
 
-@register("w05_teacher_profile_upsert", """
-SELECT gd.id, gd.user_id, gd.mapel, gd.nip FROM guru_details gd
+def _teacher_saves(t):
+    i = F.col("id")
+    return t.tugas.select(
+        i.alias("request_id"), (F.col("created_by") + F.when(i % 11 == 0, 5_000_000).otherwise(0)).alias("user_id"),
+        F.concat(F.lit("Guru "), i.cast("string")).alias("name"),
+        F.concat(F.lit("GURU"), (i % 150).cast("string"), F.lit("@example.org")).alias("email"),
+        F.lpad((i % 130).cast("string"), 18, "0").alias("nip"), F.col("deskripsi").alias("mapel"),
+        F.when(i % 2 == 0, F.concat(F.lit("kelas_25, KELAS_"), (i % 40 + 25).cast("string"))).alias("kelas"))
+
+
+@register("w05_teacher_upsert_outcomes", _OUTCOMES, ctes=_W05_REQ)
+def w05_outcomes(t):
+    return _upsert_outcomes(W.teacher_upsert(t, _teacher_saves(t)))
+
+
+@register("w05_teacher_profile_upsert", "SELECT * FROM detail", ctes=_W05_REQ)
+def w05(t):
+    return W.teacher_upsert(t, _teacher_saves(t)).tables.guru_details.select("id", "user_id", "mapel", "nip")
+
+
+@register("w05_teacher_upsert_users", """
+SELECT u.id, coalesce(l.name, u.name) AS name, coalesce(l.email, u.email) AS email
+FROM users u LEFT JOIN lst l ON l.user_id = u.id
+""", ctes=_W05_REQ)
+def w05_users(t):
+    return W.teacher_upsert(t, _teacher_saves(t)).tables.users.select("id", "name", "email")
+
+
+@register("w05_teacher_upsert_classes", """
+SELECT guru_id, kelas_id FROM guru_kelas WHERE guru_id NOT IN (SELECT id FROM listed)
+UNION ALL SELECT DISTINCT listed.id, kelas.id FROM listed, kelas
+WHERE list_contains(list_transform(string_split(lower(listed.kelas), ','), lambda x: trim(x)), lower(nama_kelas))
+""", ctes=_W05_REQ + ", listed AS (SELECT detail.id, lst.kelas FROM lst JOIN detail USING (user_id) WHERE lst.kelas IS NOT NULL)")
+def w05_classes(t):
+    return W.teacher_upsert(t, _teacher_saves(t)).tables.guru_kelas.select("guru_id", "kelas_id")
+
+
+# The table that W10 leaves behind; request ids here overlap the stored ids.
+@register("w10_stored_submissions", f"""
+SELECT id, tugas_id, siswa_id, nilai, dikumpulkan_at FROM existing
 UNION ALL
-SELECT coalesce((SELECT max(id) FROM guru_details), 0) + row_number() OVER (ORDER BY u.id), u.id, NULL, NULL
-FROM users u WHERE u.role = 'guru' AND NOT EXISTS (SELECT 1 FROM guru_details g WHERE g.user_id = u.id)
+SELECT (SELECT max(id) FROM existing) + row_number() OVER (ORDER BY request_id), tugas_id, siswa_id, NULL, submitted_at
+FROM (SELECT tugas_id, siswa_id, min(submitted_at) AS submitted_at, arg_min(request_id, (submitted_at, request_id)) AS request_id
+      FROM req ANTI JOIN existing USING (tugas_id, siswa_id) GROUP BY ALL)
+""", ctes=f"""
+existing AS (SELECT * FROM pengumpulan_tugas WHERE dikumpulkan_at < TIMESTAMP '{SUBMIT_CUTOFF}'),
+req AS (SELECT id - (SELECT min(id) FROM existing) AS request_id, tugas_id, siswa_id, dikumpulkan_at AS submitted_at
+        FROM pengumpulan_tugas WHERE dikumpulkan_at >= TIMESTAMP '{SUBMIT_CUTOFF}')
 """)
-def w05(t):
-    gd = t.guru_details.select("user_id", "nip", "mapel")
-    req = (t.users.where(F.col("role") == "guru").select(F.col("id").alias("user_id"), "name", "email")
-           .join(gd, "user_id", "left")
-           .select(F.col("user_id").alias("request_id"), "user_id", "name", "email", "nip", "mapel"))
-    ch = W.teacher_upsert(t, req)
-    return ch.tables.guru_details.select("id", "user_id", "mapel", "nip")
+def w10_stored(t):
+    snap, reqs = _submit_split(t)
+    low = snap.pengumpulan_tugas.agg(F.min("id")).scalar()
+    ch = W.submit_first_wins(snap, reqs.withColumn("request_id", F.col("request_id") - low))
+    return ch.tables.pengumpulan_tugas.select("id", "tugas_id", "siswa_id", "nilai", "dikumpulkan_at")
+
+
+# W12 / W13 with owners: every submission asks, in the name of a teacher, to
+# edit its assignment (or one of the courses) together with its classes.
+_EDIT_REQ = """
+req AS (SELECT id AS request_id, tugas_id AS id, 10000000 + siswa_id % 3 + (SELECT min(created_by) FROM tugas) % 100 AS owner_id,
+               'Judul ' || CAST(id AS VARCHAR) AS judul,
+               CASE WHEN id % 2 = 0 THEN 'KELAS_' || CAST(25 + siswa_id % 40 AS VARCHAR) || ',tidak ada' END AS kelas
+        FROM pengumpulan_tugas),
+ok AS (SELECT req.* FROM req SEMI JOIN (SELECT id, created_by AS owner_id FROM tugas) USING (id, owner_id)),
+lst AS (SELECT * FROM ok WHERE request_id IN (SELECT max(request_id) FROM ok GROUP BY id))
+"""
+
+
+def _assignment_edits(t):
+    low = t.tugas.agg(F.min("created_by")).scalar()
+    return t.pengumpulan_tugas.select(
+        F.col("id").alias("request_id"), F.col("tugas_id").alias("id"),
+        (F.lit(10_000_000) + F.col("siswa_id") % 3 + low % 100).alias("owner_id"),
+        F.concat(F.lit("Judul "), F.col("id").cast("string")).alias("judul"),
+        F.when(F.col("id") % 2 == 0, F.concat(F.lit("KELAS_"), (F.col("siswa_id") % 40 + 25).cast("string"),
+                                              F.lit(",tidak ada"))).alias("kelas"))
+
+
+@register("w12_owner_checked_assignment_edit", """
+SELECT tugas.id, coalesce(lst.judul, tugas.judul) AS judul, deskripsi, deadline, created_by
+FROM tugas LEFT JOIN lst ON lst.id = tugas.id
+""", ctes=_EDIT_REQ)
+def w12_assignment(t):
+    ch = W.update_owned(t, "tugas", _assignment_edits(t))
+    return ch.tables.tugas.select("id", "judul", "deskripsi", "deadline", "created_by")
+
+
+@register("w12_assignment_edit_classes", """
+SELECT tugas_id, kelas_id FROM tugas_kelas WHERE tugas_id NOT IN (SELECT id FROM lst WHERE kelas IS NOT NULL)
+UNION ALL SELECT lst.id, kelas.id FROM lst, kelas WHERE nama_kelas = string_split(lst.kelas, ',')[1]
+""", ctes=_EDIT_REQ)
+def w12_assignment_classes(t):
+    return W.update_owned(t, "tugas", _assignment_edits(t)).tables.tugas_kelas.select("tugas_id", "kelas_id")
+
+
+@register("w12_assignment_edit_outcomes", """
+SELECT request_id, CASE WHEN request_id IN (SELECT request_id FROM lst) THEN 'accepted' ELSE 'superseded' END AS outcome
+FROM ok
+UNION ALL SELECT request_id, 'not_owner_or_missing' FROM req WHERE request_id NOT IN (SELECT request_id FROM ok)
+""", ctes=_EDIT_REQ)
+def w12_assignment_outcomes(t):
+    return _upsert_outcomes(W.update_owned(t, "tugas", _assignment_edits(t)))
+
+
+# Courses: every enrolment asks for a new description in a teacher's name; the
+# class names come as an array.
+_COURSE_REQ = """
+req AS (SELECT course_id * 1000000 + student_id AS request_id, course_id AS id, 10000000 + student_id % 100 AS owner_id,
+               'Isi ' || CAST(student_id AS VARCHAR) AS description,
+               ['KELAS_' || CAST(25 + student_id % 30 AS VARCHAR), ' kelas_26 '] AS kelas FROM course_enrollments),
+ok AS (SELECT req.* FROM req SEMI JOIN (SELECT id, created_by AS owner_id FROM courses) USING (id, owner_id)),
+lst AS (SELECT * FROM ok WHERE request_id IN (SELECT max(request_id) FROM ok GROUP BY id)),
+links AS (SELECT DISTINCT lst.id AS course_id, kelas.id AS kelas_id FROM lst, kelas
+          WHERE list_contains(list_transform(lst.kelas, lambda x: lower(trim(x))), lower(nama_kelas)))
+"""
+
+
+def _course_edits(t):
+    return t.course_enrollments.select(
+        (F.col("course_id") * 1_000_000 + F.col("student_id")).alias("request_id"), F.col("course_id").alias("id"),
+        (F.lit(10_000_000) + F.col("student_id") % 100).alias("owner_id"),
+        F.concat(F.lit("Isi "), F.col("student_id").cast("string")).alias("description"),
+        F.array(F.concat(F.lit("KELAS_"), (F.col("student_id") % 30 + 25).cast("string")), F.lit(" kelas_26 "))
+        .alias("kelas"))
+
+
+@register("w12_owner_checked_course_edit", """
+SELECT courses.id, name, coalesce(lst.description, courses.description) AS description, created_by
+FROM courses LEFT JOIN lst ON lst.id = courses.id
+""", ctes=_COURSE_REQ)
+def w12_course(t):
+    return W.update_owned(t, "courses", _course_edits(t)).tables.courses.select("id", "name", "description", "created_by")
+
+
+@register("w12_course_edit_classes", """
+SELECT course_id, kelas_id FROM course_kelas WHERE course_id NOT IN (SELECT id FROM lst)
+UNION ALL SELECT course_id, kelas_id FROM links
+""", ctes=_COURSE_REQ)
+def w12_course_classes(t):
+    return W.update_owned(t, "courses", _course_edits(t)).tables.course_kelas.select("course_id", "kelas_id")
+
+
+# W07 for courses: enrolments ask for courses; the list is empty, unknown or known.
+_NEW_COURSES = """
+req AS (SELECT course_id * 1000000 + student_id AS request_id, 'Kursus ' || CAST(student_id AS VARCHAR) AS name,
+               10000000 + student_id % 120 AS created_by,
+               CASE student_id % 3 WHEN 0 THEN [' '] WHEN 1 THEN ['tidak ada'] ELSE ['kelas_25', 'KELAS_26', ''] END AS kelas
+        FROM course_enrollments),
+bad AS (SELECT request_id, CASE WHEN created_by NOT IN (SELECT id FROM users) THEN 'unknown_author'
+                                WHEN kelas = [' '] THEN 'no_class' END AS reason FROM req),
+acc AS (SELECT req.*, (SELECT max(id) FROM courses) + row_number() OVER (ORDER BY request_id) AS new_id
+        FROM req JOIN bad USING (request_id) WHERE reason IS NULL)
+"""
+
+
+def _course_requests(t):
+    s = F.col("student_id")
+    return t.course_enrollments.select(
+        (F.col("course_id") * 1_000_000 + s).alias("request_id"), F.concat(F.lit("Kursus "), s.cast("string")).alias("name"),
+        (F.lit(10_000_000) + s % 120).alias("created_by"),
+        F.when(s % 3 == 0, F.array(F.lit(" "))).when(s % 3 == 1, F.array(F.lit("tidak ada")))
+        .otherwise(F.array(F.lit("kelas_25"), F.lit("KELAS_26"), F.lit(""))).alias("kelas"))
+
+
+@register("w07_create_courses", """
+SELECT request_id, new_id, NULL AS reason FROM acc
+UNION ALL SELECT request_id, NULL, reason FROM bad WHERE reason IS NOT NULL
+""", ctes=_NEW_COURSES)
+def w07_courses(t):
+    ch = W.create_with_classes(t, "courses", _course_requests(t), APPLY_AT)
+    ok = ch.emitted["accepted"].select("request_id", F.col("id").alias("new_id"), F.lit(None).cast("string").alias("reason"))
+    return ok.unionByName(ch.rejects.select("request_id", F.lit(None).cast("bigint").alias("new_id"), "reason"))
+
+
+@register("w07_create_course_classes", """
+SELECT request_id, new_id AS course_id, kelas.id AS kelas_id FROM acc, kelas
+WHERE len(acc.kelas) = 3 AND lower(nama_kelas) IN ('kelas_25', 'kelas_26')
+""", ctes=_NEW_COURSES)
+def w07_course_classes(t):
+    return W.create_with_classes(t, "courses", _course_requests(t), APPLY_AT).emitted["links"]
+
+
+# W13 with owners: the teachers named by the submissions delete assignments.
+@register("w13_owned_assignment_delete", """
+SELECT 'request' AS what, request_id AS id, CASE WHEN request_id IN (SELECT request_id FROM ok) THEN 'accepted'
+       ELSE 'not_owner_or_missing' END AS detail FROM req
+UNION ALL SELECT 'tugas', id, judul FROM tugas WHERE id NOT IN (SELECT id FROM ok)
+UNION ALL SELECT 'tugas_kelas', tugas_id, CAST(kelas_id AS VARCHAR) FROM tugas_kelas WHERE tugas_id NOT IN (SELECT id FROM ok)
+UNION ALL SELECT 'pengumpulan_tugas', id, file_path FROM pengumpulan_tugas WHERE tugas_id NOT IN (SELECT id FROM ok)
+""", ctes=_EDIT_REQ)
+def w13_owned(t):
+    ch = W.delete_owned(t, "tugas", _assignment_edits(t).select("request_id", "id", "owner_id"))
+    n = ch.tables
+    out = _upsert_outcomes(ch).select(F.lit("request").alias("what"), F.col("request_id").alias("id"),
+                                      F.col("outcome").alias("detail"))
+    for name, key, text in (("tugas", "id", "judul"), ("tugas_kelas", "tugas_id", "kelas_id"),
+                            ("pengumpulan_tugas", "id", "file_path")):
+        out = out.unionByName(n[name].select(F.lit(name).alias("what"), F.col(key).cast("bigint").alias("id"),
+                                             F.col(text).cast("string").alias("detail")))
+    return out
+
+
+# W13 contents: the rows that hang on the deleted teachers, table by table.
+@register("w13_delete_cascade_rows", """
+SELECT 'courses' AS what, c.id, CASE WHEN del.id IS NULL THEN CAST(c.created_by AS VARCHAR) END AS detail
+FROM courses c LEFT JOIN del ON del.id = c.created_by
+UNION ALL SELECT 'tugas', id, judul FROM tugas WHERE created_by NOT IN (SELECT id FROM del)
+UNION ALL SELECT 'diskusi', id, judul FROM diskusi WHERE created_by NOT IN (SELECT id FROM del)
+UNION ALL SELECT 'guru_details', id, nip FROM guru_details WHERE user_id NOT IN (SELECT id FROM del)
+UNION ALL SELECT 'chat_diskusi', c.id, CAST(c.user_id AS VARCHAR) FROM chat_diskusi c
+WHERE c.user_id NOT IN (SELECT id FROM del)
+  AND c.diskusi_id NOT IN (SELECT id FROM diskusi WHERE created_by IN (SELECT id FROM del))
+""", ctes="""
+del AS (SELECT u.id FROM users u WHERE u.role = 'guru' AND NOT EXISTS (
+          SELECT 1 FROM guru_details g JOIN guru_kelas gk ON gk.guru_id = g.id WHERE g.user_id = u.id))
+""")
+def w13_rows(t):
+    n = W.delete_cascade(t, {"users": _idle_teachers(t)}).tables
+    parts = [n[name].select(F.lit(name).alias("what"), F.col("id").cast("bigint").alias("id"),
+                            F.col(text).cast("string").alias("detail"))
+             for name, text in (("courses", "created_by"), ("tugas", "judul"), ("diskusi", "judul"),
+                                ("guru_details", "nip"), ("chat_diskusi", "user_id"))]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out

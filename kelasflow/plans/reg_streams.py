@@ -2,12 +2,18 @@
 input rows in a parquet folder, drains it with ``availableNow`` and returns
 what the sink holds; the oracle is the batch twin's SQL."""
 
+from pyspark.sql import functions as F
+
 from kelasflow.plans import reg_changes as RC
 from kelasflow.plans.reg_progress import _PROGRESS_SQL
 from kelasflow.plans.registry import register, register_twin
 from kelasflow.streaming import streams as S
 
 
+# Every stream reads its input in several micro-batches.
+FILES, FILES_PER_BATCH = 6, 2
+
+
 def _dirs(t, name):
     base = S.scratch(t.spark, name)
     return {k: f"{base}/{k}" for k in ("in", "out", "ckpt", "snap")}
@@ -18,8 +24,9 @@ SELECT CAST(created_at AS DATE) AS tanggal, count(*) AS total FROM activity_logs
 """)
 def s01(t):
     d = _dirs(t, "s01")
-    S.stage(t.activity_logs, d["in"])
-    return S.run_daily_activity(t.spark, d["in"], d["out"], d["ckpt"], t.activity_logs.schema)
+    S.stage(t.activity_logs, d["in"], FILES)
+    return S.run_daily_activity(t.spark, d["in"], d["out"], d["ckpt"], t.activity_logs.schema, FILES_PER_BATCH,
+                                lateness="60 days")        # files arrive in no order of time
 
 
 @register("s02_message_feed_stream", """
@@ -28,16 +35,37 @@ FROM chat_diskusi c JOIN users u ON u.id = c.user_id WHERE coalesce(c.isi, '') <
 """)
 def s02(t):
     d = _dirs(t, "s02")
-    S.stage(t.chat_diskusi, d["in"])
-    return S.run_message_feed(t.spark, t, d["in"], d["out"], d["ckpt"], t.chat_diskusi.schema)
+    S.stage(t.chat_diskusi, d["in"], FILES)
+    return S.run_message_feed(t.spark, t, d["in"], d["out"], d["ckpt"], t.chat_diskusi.schema, FILES_PER_BATCH)
 
 
-@register_twin("s03_submit_first_wins_stream", "w10_submit_first_wins")
-def s03(t):
+def _first_wins(t, *keys):
     d = _dirs(t, "s03")
     snap, reqs = RC._submit_split(t)
-    S.stage(reqs, d["in"])
-    return S.run_first_wins(t.spark, snap, d["in"], d["snap"], d["out"], d["ckpt"], reqs.schema)
+    S.stage(reqs, d["in"], FILES, *keys)
+    out = S.run_first_wins(t.spark, snap, d["in"], d["snap"], d["out"], d["ckpt"], reqs.schema, FILES_PER_BATCH)
+    return out, S.stored_submissions(t.spark, d["snap"], t.pengumpulan_tugas.schema)
+
+
+# The requests of an assignment arrive together: outcomes are those of the batch job.
+@register_twin("s03_submit_first_wins_stream", "w10_submit_first_wins")
+def s03(t):
+    return _first_wins(t, "tugas_id")[0]
+
+
+# The requests of a pair arrive in different micro-batches: one of them is stored.
+@register("s03_stored_submissions", f"""
+SELECT tugas_id, siswa_id, count(*) AS n_rows, count(*) AS n_ids FROM existing GROUP BY ALL
+UNION ALL SELECT tugas_id, siswa_id, 1, 1 FROM req ANTI JOIN existing USING (tugas_id, siswa_id) GROUP BY ALL
+""", ctes=f"""
+existing AS (SELECT * FROM pengumpulan_tugas WHERE dikumpulkan_at < TIMESTAMP '{RC.SUBMIT_CUTOFF}'),
+req AS (SELECT tugas_id, siswa_id FROM pengumpulan_tugas WHERE dikumpulkan_at >= TIMESTAMP '{RC.SUBMIT_CUTOFF}')
+""")
+def s03_stored(t):
+    stored = _first_wins(t)[1]
+    mine = stored.groupBy("id").agg(F.count(F.lit(1)).alias("_n")).where("_n = 1")      # ids given twice do not count
+    return (stored.join(mine, "id", "left").groupBy("tugas_id", "siswa_id")
+            .agg(F.count(F.lit(1)).alias("n_rows"), F.count("_n").alias("n_ids")))
 
 
 @register("s04_live_assignment_progress", """
@@ -46,14 +74,14 @@ SELECT id, jumlah_kumpul, jumlah_siswa FROM p
 def s04(t):
     d = _dirs(t, "s04")
     subs = t.pengumpulan_tugas.select("id", "tugas_id")
-    S.stage(subs, d["in"])
-    return S.run_live_progress(t.spark, t, d["in"], d["out"], d["ckpt"], subs.schema)
+    S.stage(subs, d["in"], FILES)
+    return S.run_live_progress(t.spark, t, d["in"], d["out"], d["ckpt"], subs.schema, FILES_PER_BATCH)
 
 
 @register_twin("s05_grade_requests_stream", "w11_post_grades")
 def s05(t):
     d = _dirs(t, "s05")
     reqs = RC._grade_requests(t)
-    S.stage(reqs, d["in"])
-    snap = S.run_grade_requests(t.spark, t, d["in"], d["snap"], d["ckpt"], reqs.schema)
+    S.stage(reqs, d["in"], FILES, "tugas_id")      # a pair's requests arrive together
+    snap = S.run_grade_requests(t.spark, t, d["in"], d["snap"], d["ckpt"], reqs.schema, FILES_PER_BATCH)
     return snap.select("id", "tugas_id", "siswa_id", "nilai")

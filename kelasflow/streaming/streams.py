@@ -34,10 +34,10 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/kelasflow/{name}/{uuid.uuid4().hex}"
 
 
-def stage(df: DataFrame, path: str, n_files: int | None = None) -> str:
+def stage(df: DataFrame, path: str, n_files: int | None = None, *keys: str) -> str:
     """Land rows as parquet files a stream can pick up (test stand-in for
-    the upstream feed)."""
-    (df.repartition(n_files) if n_files else df).write.parquet(path)
+    the upstream feed); rows of equal ``keys`` land in one file."""
+    (df.repartition(n_files, *keys) if n_files else df).write.parquet(path)
     return path
 
 
@@ -109,10 +109,10 @@ def daily_activity(logs: DataFrame, lateness: str = "1 day") -> DataFrame:
 
 
 def run_daily_activity(spark: SparkSession, logs_path: str, out: str, ckpt: str,
-                       schema, max_files: int | None = None) -> DataFrame:
+                       schema, max_files: int | None = None, lateness: str = "1 day") -> DataFrame:
     """Run S01 in update mode; every micro-batch's changed days are appended
     with the batch id and the latest value per day is the answer."""
-    stream = daily_activity(source(spark, logs_path, schema, max_files).select("created_at"))
+    stream = daily_activity(source(spark, logs_path, schema, max_files).select("created_at"), lateness)
     run(stream.writeStream.outputMode("update").option("checkpointLocation", ckpt)
         .foreachBatch(_write_batch(out)))
     return latest_per_key(spark.read.parquet(out), ["tanggal"], ["total"])
