@@ -9,11 +9,11 @@ from tests.conftest import ROOT, SF001
 
 
 def test_bench_prints_one_json_line():
-    env = dict(os.environ, BENCH_SF_DIR=SF001, BENCH_CPUS="2", BENCH_RUNS="1", BENCH_AS_CODED_BUDGET="5")
+    env = dict(os.environ, BENCH_SF_DIR=SF001, BENCH_CPUS="2", BENCH_RUNS="1", BENCH_ONLY="q25,q31,w10")
     out = subprocess.run([sys.executable, "bench.py"], cwd=ROOT, env=env, capture_output=True, text=True,
                          timeout=900)
     lines = [ln for ln in out.stdout.splitlines() if ln.startswith("{")]
     assert out.returncode == 0 and len(lines) == 1, out.stderr[-2000:]
     d = json.loads(lines[0])
     assert d["unit"] == "sec" and d["sf"] == 0.001 and d["value"] > 0
-    assert "q25_assignment_progress" in d["queries"] and "q25_as_coded_plan" in d["queries"]
+    assert "q25_assignment_progress" in d["queries"] and "w10_submit_first_wins" in d["queries"]

@@ -1,11 +1,8 @@
-"""The roster-expansion plans and their shuffle fallbacks give the same rows
-(the fallback is what a cluster takes when the size checks fail)."""
+"""The roster expansions (missing lists, student cards) on duplicate rows."""
 
-import pytest
-
-from kelasflow.operators import courses, progress
+from kelasflow.operators import progress
 from kelasflow.sources.catalog import from_rows
-from tests.conftest import rows, ts
+from tests.conftest import ts
 from tests.test_edge_cases import school
 
 
@@ -17,20 +14,6 @@ def with_dups(spark):
     return t.replace(pengumpulan_tugas=from_rows(spark, **extra).pengumpulan_tugas)
 
 
-@pytest.mark.parametrize("op", ["status", "assignments", "materials"])
-def test_roster_plan_equals_shuffle_plan(spark, monkeypatch, op):
-    fn = {"status": progress.submission_status, "assignments": progress.student_assignments,
-          "materials": courses.student_materials}[op]
-    fast = rows(fn(with_dups(spark)))
-    monkeypatch.setattr(progress, "MAX_ROSTER_ROWS", 0)
-    monkeypatch.setattr(progress, "MAX_CLASS_LIST", -1)
-    slow_t = with_dups(spark)
-    slow_t.__dict__["_small"] = {k: False for k in ("placed_students", "class_roster:True",
-                                                    "material_roster:True")}
-    slow = rows(fn(slow_t))
-    assert fast == slow and len(fast) > 0
-
-
 def test_multi_class_student_gets_one_row_per_class(spark):
     t = with_dups(spark)
     got = [(r.id, r.nama_kelas, r.nilai) for r in progress.student_assignments(t).where("siswa_id = 2").collect()]

@@ -37,8 +37,8 @@ def brute(det, br, sb, users):
 
 
 @settings(max_examples=6, deadline=None)
-@given(details, bridge, subs, st.booleans())
-def test_status_matches_brute_force(spark, det, br, sb, fallback):
+@given(details, bridge, subs)
+def test_status_matches_brute_force(spark, det, br, sb):
     users = set(range(1, 6))                        # student 6 and 7 have no user row
     t = from_rows(
         spark,
@@ -49,8 +49,6 @@ def test_status_matches_brute_force(spark, det, br, sb, fallback):
         tugas_kelas=list(br),
         pengumpulan_tugas=[(i, tt, u, f"f{i}", None, ts(2024, 1, 2)) for i, (tt, u) in enumerate(sb)],
     )
-    if fallback:                                    # force the shuffle plan
-        t.__dict__["_small"] = {"placed_students": False}
     got = sorted((tuple(r) for r in progress.submission_status(t)
                   .select("tugas_id", "status", "id", "name", "kelas", "file_path", "nilai").collect()), key=repr)
     assert got == brute(det, br, sb, users)

@@ -30,8 +30,8 @@ def brute(det, br, sb):
 
 
 @settings(max_examples=6, deadline=None)
-@given(details, bridge, subs, st.booleans())
-def test_student_assignments_match_brute_force(spark, det, br, sb, fallback):
+@given(details, bridge, subs)
+def test_student_assignments_match_brute_force(spark, det, br, sb):
     t = from_rows(
         spark,
         users=[(9, "G9", "g9@x", "guru", None, ts(2024, 1, 1)), (8, "G8", "g8@x", "guru", None, ts(2024, 1, 1))],
@@ -41,8 +41,6 @@ def test_student_assignments_match_brute_force(spark, det, br, sb, fallback):
         tugas_kelas=list(br),
         pengumpulan_tugas=[(i, tt, u, f"f{i}", n, ts(2024, 1, 2)) for i, (tt, u, n) in enumerate(sb)],
     )
-    if fallback:                                    # force the shuffle plan
-        t.__dict__["_small"] = {"class_roster:True": False}
     got = sorted((tuple(r) for r in progress.student_assignments(t)
                   .select("siswa_id", "id", "guru", "nama_kelas", "nilai", "file_kumpul").collect()), key=repr)
     assert got == brute(det, br, sb)
