@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kelasflow.llm import text as T
@@ -45,14 +45,17 @@ def _profile(docs: DataFrame) -> DataFrame:
         names = ["id", "n", "digest", "keys", "counter", "count"]
         for b in batches:
             n, digest, keys = [], [], []
-            for s in _sets(_column(b, "text")):
-                n.append(len(s))
-                # two independent sums over the mixed elements: 128 bits for the set
-                digest.append(np.array([T.mix(s).sum(dtype=np.uint64), T.mix(s ^ salts[0]).sum(dtype=np.uint64),
-                                        len(s)], np.uint64).tobytes())
-                keys.append([int(T.mix(T.mix(s ^ x).min()[None] + np.uint64(k))[0].view(np.int64))
-                             for k, x in enumerate(salts)] if len(s) else [])
-                np.add.at(counters, (s >> np.uint64(64 - COUNTERS)).astype(np.int64), 1)
+            for c in T.chunks(_column(b, "text")):
+                sets = T.shingle_sets(c, SHINGLE)
+                tops = (np.concatenate(sets) >> np.uint64(64 - COUNTERS)).astype(np.int64)
+                counters += np.bincount(tops, minlength=1 << COUNTERS)
+                for s in sets:
+                    n.append(len(s))
+                    # two sums over differently mixed elements and the size: 128 bits and more for the set
+                    digest.append(np.array([T.mix(s).sum(dtype=np.uint64), T.mix(s ^ salts[0]).sum(dtype=np.uint64),
+                                            len(s)], np.uint64).tobytes())
+                    keys.append([int(T.mix(T.mix(s ^ x).min()[None] + np.uint64(k))[0].view(np.int64))
+                                 for k, x in enumerate(salts)] if len(s) else [])
             m = len(n)
             yield pa.RecordBatch.from_arrays(
                 [_column(b, "id"), pa.array(n, pa.int64()), pa.array(digest, pa.binary()),
@@ -67,32 +70,46 @@ def _profile(docs: DataFrame) -> DataFrame:
 
 
 class Bloom:
-    """A filter of fixed size over ids: never refuses one of them, lets few others pass."""
-
-    def __init__(self, ids: DataFrame, id_col: str = "id"):
-        size = 1 << BLOOM_BITS
-        h = F.xxhash64(id_col)
-        bits = ids.select(F.explode(F.array(F.pmod(h, F.lit(size)), F.pmod(F.shiftright(h, 23), F.lit(size)))).alias("p"))
-        words = (bits.groupBy(F.shiftright("p", 6).alias("w"))
-                 .agg(F.expr("bit_or(shiftleft(1L, cast(pmod(p, 64) AS int)))").alias("b"))
-                 .toPandas())       # at most size / 64 rows
-        table = np.zeros(size // 64, np.uint64)
+    """A filter of fixed size over numbers: never refuses one of them, lets few
+    others pass.  It decides what is worth sending on, never the result: an
+    exact join follows wherever it is used."""
+
+    def __init__(self, rows: DataFrame, col: str = "id"):
+        def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                at = np.unique(np.concatenate(Bloom.places(b.column(0))))
+                word, start = np.unique(at >> 6, return_index=True)
+                ones = np.bitwise_or.reduceat(np.uint64(1) << (at & 63).astype(np.uint64), start) if len(at) else at
+                yield pa.RecordBatch.from_arrays([pa.array(word), _longs(ones)], names=["w", "b"])
+
+        words = (rows.select(col).mapInArrow(bits, "w long, b long").groupBy("w").agg(F.bit_or("b").alias("b"))
+                 .toPandas())       # at most 2**BLOOM_BITS / 64 rows
+        table = np.zeros((1 << BLOOM_BITS) // 64, np.uint64)
         table[words["w"].to_numpy(np.int64)] = words["b"].to_numpy(np.int64).view(np.uint64)
-        self.shared = ids.sparkSession.sparkContext.broadcast(table)
+        self.shared = rows.sparkSession.sparkContext.broadcast(table)
 
-    def may_hold(self, col: Column) -> Column:
-        shared, size = self.shared, np.int64(1 << BLOOM_BITS)
+    @staticmethod
+    def places(values: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        h = T.mix(values.to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64))
+        low = np.uint64((1 << BLOOM_BITS) - 1)
+        return (h & low).astype(np.int64), ((h >> np.uint64(32)) & low).astype(np.int64)
 
-        @F.arrow_udf("boolean")
-        def test(hashes: Iterator[pa.Array]) -> Iterator[pa.Array]:
-            table = shared.value
-            for x in hashes:
-                h = x.to_numpy(zero_copy_only=False).astype(np.int64)
-                good = np.ones(len(h), bool)
-                for p in (h & (size - 1), (h >> np.int64(23)) & (size - 1)):
-                    good &= (table[p >> 6] >> (p & 63).astype(np.uint64)) & np.uint64(1) != 0
-                yield pa.array(good)
-        return test(F.xxhash64(col))
+    def test(self, values: pa.Array) -> np.ndarray:
+        """Which of the values may be held; called in tasks."""
+        good = np.ones(len(values), bool)
+        for p in Bloom.places(values):
+            good &= (self.shared.value[p >> 6] >> (p & 63).astype(np.uint64)) & np.uint64(1) != 0
+        return good
+
+
+def _sieved(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The documents with the given ids, few others left over before the join."""
+    bloom = Bloom(ids)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array(bloom.test(_column(b, "id"))))
+    return docs.mapInArrow(work, "id long, text string")
 
 
 def _runs(batches: Iterator[pa.RecordBatch], keys: list[str], load) -> Iterator[tuple[dict, list]]:
@@ -136,29 +153,36 @@ def _copies(docs: DataFrame, sets: DataFrame) -> DataFrame:
     """Similar pairs among documents that share a least hash, verified.
 
     Gathers what is plainly alike, so that the exact search can leave it
-    alone.  A key's documents are cut into blocks by a hash; a block gives at
-    most one pair less than documents.
+    alone.  A tile's documents are cut into blocks by hashes; a block gives
+    at most one pair less than documents.
     """
     rows = sets.select("id", F.explode("keys").alias("key"))
-    many = rows.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
-    blocks = F.ceil(F.col("m") / BLOCK)
-    places = materialize(rows.join(many, "key").select(
-        "id", "key", F.pmod(F.xxhash64("id", "key"), blocks).alias("block")), "copy-keys")
-    own = places.groupBy("id").agg(F.collect_list(F.struct("key", "block")).alias("places"))
-    texts = docs.where(Bloom(places).may_hold(F.col("id"))).join(own, "id")
+    many = (rows.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("id").alias("tile")).where("m > 1")
+            .select("key", "tile"))
+    # keys with the same smallest id lead to the same tile: their documents go there once
+    members = materialize(rows.join(many, "key").select("tile", "id").distinct(), "copy-tiles")
+    size = members.groupBy("tile").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
+    # a tile of several blocks is cut in two ways, so that the blocks hang together
+    cut = F.when(F.col("blocks") > 1, F.array(F.pmod(F.xxhash64("id", "tile"), F.col("blocks")),
+                                              F.pmod(F.xxhash64("tile", "id"), F.col("blocks")) + F.col("blocks")))
+    places = materialize(members.join(size, "tile").select(
+        "id", "tile", F.explode(F.coalesce(cut, F.array(F.lit(0).cast("long")))).alias("block")), "copy-places")
+    own = places.groupBy("id").agg(F.collect_list(F.struct("tile", "block")).alias("places"))
+    texts = _sieved(docs, places).join(own, "id")
 
     def load(b: pa.RecordBatch) -> list:
         return list(zip(_column(b, "id").to_pylist(), _sets(_column(b, "text"))))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, members in _runs(batches, ["key", "block"], load):
+        for _, members in _runs(batches, ["tile", "block"], load):
             if len(members) > 1:
                 links = tiles.spanning_links([s for _, s in members])
                 if links:
                     yield _pairs([(members[i][0], members[j][0]) for i, j in links])
 
-    spread = texts.select("id", "text", F.explode("places").alias("p")).select("p.key", "p.block", "id", "text")
-    return (spread.repartition("key", "block").sortWithinPartitions("key", "block", "id").mapInArrow(work, "a long, b long"))
+    spread = texts.select("id", "text", F.explode("places").alias("p")).select("p.tile", "p.block", "id", "text")
+    return (spread.repartition("tile", "block").sortWithinPartitions("tile", "block", "id")
+            .mapInArrow(work, "a long, b long"))
 
 
 def _prefixes(docs: DataFrame, counters: np.ndarray, wanted: Bloom | None) -> DataFrame:
@@ -188,25 +212,27 @@ def _prefixes(docs: DataFrame, counters: np.ndarray, wanted: Bloom | None) -> Da
                 else:
                     some = s
                 tokens.append(some)
-                owners.append(np.full(k, i))
-                sizes.append(np.full(k, n))
+                owners.append(np.full(k, i, np.int64))
+                sizes.append(np.full(k, n, np.int64))
             if tokens:
-                yield pa.RecordBatch.from_arrays(
-                    [_longs(np.concatenate(tokens)), pa.array(np.concatenate(owners).astype(np.int64)),
-                     pa.array(np.concatenate(sizes).astype(np.int64))], names=["token", "id", "n"])
+                out = pa.RecordBatch.from_arrays(
+                    [_longs(np.concatenate(tokens)), pa.array(np.concatenate(owners)), pa.array(np.concatenate(sizes))],
+                    names=["token", "id", "n"])
+                yield out if wanted is None else out.filter(pa.array(wanted.test(out.column(0))))
 
-    rows = docs.mapInArrow(work, "token long, id long, n long")
-    return rows if wanted is None else rows.where(wanted.may_hold(F.col("token")))
+    return docs.mapInArrow(work, "token long, id long, n long")
 
 
 def _crossing(docs: DataFrame, sets: DataFrame, comps: DataFrame, counters: np.ndarray) -> DataFrame:
     """Similar pairs of documents of different components, verified: every one
     that exists, but for several between the same two components.
 
-    Of all prefix tokens those go on that two components share.  A token's
-    documents are laid out in size bands whose widths are a factor of 1.25:
-    similar sets are in the same band or in neighbouring ones.  Tiles with
-    many members are cut into blocks and compared block by block.
+    Of all prefix tokens those go on that two components share.  Tokens with
+    the same smallest document make one tile, so a document comes to a tile
+    once, however many tokens lead there.  Tiles are laid out in size bands
+    a factor of 1.25 wide: similar sets are in the same band or in
+    neighbouring ones.  Tiles with many members are cut into blocks and
+    compared block by block.
     """
     first = materialize(
         _prefixes(docs, counters, None).groupBy("token").agg(F.min("id").alias("lo"), F.max("id").alias("hi"))
@@ -215,27 +241,27 @@ def _crossing(docs: DataFrame, sets: DataFrame, comps: DataFrame, counters: np.n
     rows = materialize(_prefixes(docs, counters, Bloom(first, "token")).join(first, "token", "left_semi"), "prefixes")
     own = rows.join(comps, "id", "left").withColumn("component", F.coalesce("component", "id"))
     own = materialize(own.select("token", "id", "n", "component"), "prefix-components")
-    apart = (own.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
-             .where("lo < hi").select("token"))
+    apart = (own.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"),
+                                      F.min("id").alias("tile")).where("lo < hi").select("token", "tile"))
+    rows = materialize(own.join(apart, "token").select("tile", "id", "n", "component").distinct(), "crossing")
+    if not rows.take(1):
+        return rows.select(F.col("id").alias("a"), F.col("id").alias("b")).where("false")
     # log() is exact enough but at the edges of bands; a set near an edge goes to both sides
     edge = F.log(F.col("n").cast("double")) / F.log(F.lit(1.25))
     near = F.array_distinct(F.array(F.floor(edge - 1e-6).cast("long"), F.floor(edge + 1e-6).cast("long")))
-    rows = materialize(own.join(apart, "token"), "crossing")
-    if not rows.take(1):
-        return rows.select(F.col("id").alias("a"), F.col("id").alias("b")).where("false")
     spread = rows.withColumn("band", F.explode(near)).select(
-        "token", "id", "component",
+        "tile", "id", "component",
         F.explode(F.array(F.struct(F.col("band").alias("band"), F.lit(0).alias("next")),
                           F.struct((F.col("band") - 1).alias("band"), F.lit(1).alias("next")))).alias("t")).select(
-        "token", "id", "component", "t.*")
-    # tiles without two components, or without a member of the band itself, have nothing to compare
-    sized = (spread.groupBy("token", "band").agg(F.count(F.lit(1)).alias("m"), F.min("next").alias("own"),
-                                                 F.min("component").alias("lo"), F.max("component").alias("hi"))
-             .where("lo < hi AND own = 0").select("token", "band", F.ceil(F.col("m") / BLOCK).alias("blocks")))
-    placed = spread.join(sized, ["token", "band"]).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
+        "tile", "id", "component", "t.*")
+    # bands without two components, or without a member of their own, have nothing to compare
+    sized = (spread.groupBy("tile", "band").agg(F.count(F.lit(1)).alias("m"), F.min("next").alias("own"),
+                                                F.min("component").alias("lo"), F.max("component").alias("hi"))
+             .where("lo < hi AND own = 0").select("tile", "band", F.ceil(F.col("m") / BLOCK).alias("blocks")))
+    placed = spread.join(sized, ["tile", "band"]).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other")
-    placed = placed.select("token", "band", "next", "id", "component", "block", other).select(
-        "token", "band", "next", "id", "component", "block", F.least("block", "other").alias("i"),
+    placed = placed.select("tile", "band", "next", "id", "component", "block", other).select(
+        "tile", "band", "next", "id", "component", "block", F.least("block", "other").alias("i"),
         F.greatest("block", "other").alias("j"))
     maps = _bitmaps(docs, rows.select("id").distinct())
     full = placed.join(maps, "id")
@@ -247,7 +273,7 @@ def _crossing(docs: DataFrame, sets: DataFrame, comps: DataFrame, counters: np.n
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: set[tuple[int, int]] = set()
-        for _, ms in _runs(batches, ["token", "band", "i", "j"], load):
+        for _, ms in _runs(batches, ["tile", "band", "i", "j"], load):
             if len(ms) > 1:
                 ids = [m[0] for m in ms]
                 for x, y in tiles.crossing_candidates(
@@ -262,20 +288,23 @@ def _crossing(docs: DataFrame, sets: DataFrame, comps: DataFrame, counters: np.n
             yield _pairs(sorted(found))
 
     candidates = materialize(
-        full.repartition("token", "band", "i", "j").sortWithinPartitions("token", "band", "i", "j", "id")
+        full.repartition("tile", "band", "i", "j").sortWithinPartitions("tile", "band", "i", "j", "id")
         .mapInArrow(work, "a long, b long").distinct(), "candidates")
     return _verified(docs, candidates)
 
 
 def _bitmaps(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """(id, n, map) of the documents with the given ids."""
+    bloom = Bloom(ids)
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
+            b = b.filter(pa.array(bloom.test(_column(b, "id"))))
             sets = list(_sets(_column(b, "text")))
             yield pa.RecordBatch.from_arrays(
                 [_column(b, "id"), pa.array([len(s) for s in sets], pa.int64()),
                  pa.array([tiles.bitmap(s).tobytes() for s in sets], pa.binary())], names=["id", "n", "map"])
-    made = docs.where(Bloom(ids).may_hold(F.col("id"))).mapInArrow(work, "id long, n long, map binary")
+    made = docs.mapInArrow(work, "id long, n long, map binary")
     return made.join(ids, "id", "left_semi").dropDuplicates(["id"])
 
 
@@ -283,13 +312,16 @@ def _verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     """The pairs whose sets are similar, by intersecting their sorted hashes."""
     ids = materialize(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "verify-ids")
 
+    bloom = Bloom(ids)
+
     def arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
+            b = b.filter(pa.array(bloom.test(_column(b, "id"))))
             yield pa.RecordBatch.from_arrays(
                 [_column(b, "id"), pa.array([s.tobytes() for s in _sets(_column(b, "text"))], pa.binary())],
                 names=["id", "hashes"])
 
-    made = (docs.where(Bloom(ids).may_hold(F.col("id"))).mapInArrow(arrays, "id long, hashes binary")
+    made = (docs.mapInArrow(arrays, "id long, hashes binary")
             .join(ids, "id", "left_semi").dropDuplicates(["id"]))
     made = materialize(made, "verify-sets")
 
