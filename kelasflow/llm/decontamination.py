@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -227,8 +226,3 @@ def cut_spans(docs: DataFrame, bench: DataFrame, text_col: str = "text", **optio
             .alias("text")),
         lambda acc: F.concat(acc["text"], text.substr(acc["upto"] + 1, F.length(text))))
     return found.withColumn(text_col, F.when(F.size("_kf_runs") > 0, cut).otherwise(text)).select(*docs.columns)
-
-
-def items_digest(items: list[str]) -> str:
-    """Digest of item ids sorted as strings, comma-joined."""
-    return hashlib.sha256(",".join(sorted(items)).encode()).hexdigest()

@@ -26,7 +26,6 @@ _LOWER = (_b >= 97) & (_b <= 122)
 _DIGIT = (_b >= 48) & (_b <= 57)
 _SPACE = ~T.NOT_SPACE
 _HIGH = _b >= 128
-_LEAD = (_b & 0xC0) != 0x80
 _STOP = (_b == 46) | (_b == 44) | (_b == 59) | (_b == 58)
 _LOUD = (_b == 33) | (_b == 63)
 _MARK = ~(_UPPER | _LOWER | _DIGIT | _SPACE | _HIGH | _STOP | _LOUD) & (_b >= 32)
