@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kelasflow.llm.common import materialize, text_of
@@ -35,6 +35,15 @@ SHAPE = {
     "card": r"^[0-9](-?[0-9]){12,18}$",
     "phone": r"^\+?[0-9]([-.]?[0-9]){6,14}$",
 }
+# Cards and phones are also written in groups: as many digits as the kind can have, with the base's own separators
+# between them; longest from the left, and no group of digits is cut.
+GROUPED = {
+    "card": r"(?<![A-Za-z0-9@_%])[0-9](?:[\x20-]?+[0-9]){12,18}(?![A-Za-z0-9@_%])",
+    "phone": (r"(?<![A-Za-z0-9@_%])(?:\((?=\+?[0-9]{1,15}\)))?\+?(?:\((?=[0-9]{1,15}\)))?"
+              r"[0-9](?:[\x20().-]*+[0-9]){6,14}(?![A-Za-z0-9@_%])"),
+}
+GROUPED_HINT = {"card": r"[0-9](?:[\x20-]?+[0-9]){12}", "phone": r"[0-9](?:[\x20().-]*+[0-9]){6}"}
+GROUPED_DIGITS = {"card": (13, 19), "phone": (7, 15)}
 CONTEXT_CHARS = 64
 ROUNDS = 3
 MIN_CONFIDENCE = 0.6
@@ -118,6 +127,26 @@ def _context(text: Column, start: Column) -> Column:
     return F.array_join(F.slice(before, -F.least(F.lit(2), F.size(before)), F.lit(2)), " ")
 
 
+def _overlaps(a: Column, b: Column) -> Column:
+    return (a["start"] < b["end"]) & (b["start"] < a["end"])
+
+
+def _grouped(text: Column, kind: str, taken: Column) -> Column:
+    """Matches of GROUPED, as find_all gives them; of a match that runs into
+    ``taken`` spans, what stands before the first and after the last of them."""
+    def pieces(m: Column) -> Column:
+        over = F.filter(taken, lambda b: _overlaps(b, m))
+        first = F.coalesce(F.array_min(F.transform(over, lambda b: b["start"])), m["end"])
+        last = F.coalesce(F.array_max(F.transform(over, lambda b: b["end"])), m["end"])
+        head = F.regexp_replace(m["value"].substr(F.lit(1), first - m["start"]), r"(?<![\x20().-])[\x20().-]++$", "")
+        tail = F.regexp_replace(m["value"].substr(last - m["start"] + 1, F.greatest(F.lit(0), m["end"] - last)),
+                                r"^[\x20).-]+", "")
+        return F.array(F.struct(m["start"].alias("start"), (m["start"] + F.length(head)).alias("end"), head.alias("value")),
+                       F.struct((m["end"] - F.length(tail)).alias("start"), m["end"].alias("end"), tail.alias("value")))
+    found = F.flatten(F.transform(find_all(text, GROUPED[kind], GROUPED_HINT[kind]), pieces))
+    return F.filter(found, lambda m: F.length(_digits(m["value"])).between(*GROUPED_DIGITS[kind]))
+
+
 def contextual_patterns(edges: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """rank, context, confidence and seeds from the pattern-instance graph.
 
@@ -149,12 +178,15 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Base matches are leftmost and non-overlapping per kind; those that fail
     their check are dropped without another try.  Each base match is a seed:
-    the two words before it make a pattern of its kind.  Candidates, runs of
-    identifier characters of a kind's shape that the base did not accept,
-    are instances of the patterns they stand in.  Patterns of at least
-    ``min_seeds`` distinct seeds whose confidence reaches ``min_confidence``
-    discover the candidates that stand in them and overlap no base span of
-    the document.  Null texts are empty; rows that repeat an id and its text
+    the two words before it make a pattern of its kind.  Candidates are runs
+    of identifier characters of a kind's shape that the base did not accept
+    and, for cards and phones, groups of digits with the base's separators
+    (blanks and brackets among them; digits of neighbouring numbers are
+    taken along up to the kind's most).  They are instances of the patterns
+    they stand in.  Patterns of at least ``min_seeds`` distinct seeds whose
+    confidence reaches ``min_confidence`` discover the candidates that stand
+    in them and overlap no base span of the document; one within another of
+    its kind is not given.  Null texts are empty; rows that repeat an id and its text
     get the same spans each; a null id is an id like others.  An empty table
     gives no rows; other columns are not read.  Texts are read whole.
 
@@ -169,7 +201,7 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     found = find_all(F.col("text"), CANDIDATE, "[0-9@]")
 
     def free(m: Column) -> Column:
-        return ~F.exists("full", lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"]))
+        return ~F.exists("full", lambda b: _overlaps(b, m))
     shaped = F.filter(found, lambda m: reduce(lambda c, k: c | m["value"].rlike(SHAPE[k]), KINDS, F.lit(False)))
     with_free = based.withColumn("free", shaped).withColumn("free", F.filter("free", free))
 
@@ -179,7 +211,10 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             m["value"].alias("value"), F.lit(seed).alias("seed"), m["start"].alias("start"), m["end"].alias("end")))
 
     def refused(rank: int, kind: str) -> Column:
-        return instances(F.filter("free", lambda m: m["value"].rlike(SHAPE[kind])), F.lit(rank), False)
+        runs = F.filter("free", lambda m: m["value"].rlike(SHAPE[kind]))
+        if kind in GROUPED:
+            runs = F.array_union(runs, _grouped(F.col("text"), kind, F.col("full")))
+        return instances(runs, F.lit(rank), False)
     seeds = instances(F.col("full"), None, True)
     others = F.flatten(F.array(*[refused(i, k) for i, k in enumerate(KINDS)]))
     base = F.transform("full", lambda b: F.struct(b["start"].alias("start"), b["rank"].alias("rank"),
@@ -192,7 +227,11 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     good = (contextual_patterns(edges, rounds)
             .where((F.col("confidence") >= min_confidence) & (F.col("seeds") >= min_seeds))
             .select("rank", "context"))
-    new = (inst.where(~F.col("seed")).join(good, ["rank", "context"])
+    hits = (inst.where(~F.col("seed")).join(good, ["rank", "context"])
+            .select("id", "text_key", "rank", "start", "end").distinct())
+    earlier = (Window.partitionBy("id", "text_key", "rank").orderBy("start", F.desc("end"))
+               .rowsBetween(Window.unboundedPreceding, -1))
+    new = (hits.withColumn("_upto", F.coalesce(F.max("end").over(earlier), F.lit(-1))).where("_upto < end")
            .groupBy("id", "text_key")
            .agg(F.collect_set(F.struct("start", "rank", "end")).alias("more")))
     out = read.select("id", "text_key", "base").alias("r").join(

@@ -238,6 +238,20 @@ def test_contexts_discover_what_the_base_refuses(spark):
     assert all(set(map(tuple, r.base)) <= set(map(tuple, r.spans)) for r in got.values())
 
 
+def test_contexts_discover_grouped_phones_and_cards(spark):
+    cards = [c for c in (f"4111 1111 1111 {n:04d}" for n in range(1111, 1400)) if luhn(c.replace(" ", ""))]
+    texts = [f"call me +1 (974) 555-{3400 + i} ok" for i in range(20)] + [f"card number {c} ok" for c in cards]
+    cases = {"call me (974) 555-3436 ok": (8, 3, 22), "call me 974 555 3436.": (8, 3, 20),
+             "call me 555-3436 ok": (8, 3, 16),
+             "call me 974 555 3436 (10.0.0.1)": (8, 3, 20), "card number 4111 1111 1111 1112 ok": (12, 2, 31)}
+    none = ["the word (974) 555-3436 ok", "call me 12 ok", "call me 97" + "4" * 20, "1 (" + " " * 50_000 + "5) " * 20_000]
+    got = {r.doc_id: r for r in pii.find_pii(frame(spark, texts + list(cases) + none)).collect()}
+    for i, (t, want) in enumerate(cases.items(), len(texts)):
+        assert [tuple(s) for s in got[i].spans if s not in got[i].base] == [want], t
+        assert [tuple(s) for s in got[i].base] == base_pii(t), t
+    assert not any(got[len(texts) + len(cases) + i].spans for i in range(len(none)))
+
+
 # ------------------------------------------------------------------ op2
 def test_chats_survive_the_round_trip(spark):
     rng = random.Random(5)
