@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 import math
 import re
 from collections.abc import Iterator
@@ -23,9 +24,11 @@ DICTIONARY = 20_000             # most frequent words of the corpus
 MAX_TRAIN = 20_000              # labelled findings that the forest is fitted on
 NEIGHBOUR_PRIOR = 5.0           # findings' worth of the overall rate in a word's rate
 THRESHOLD = 0.5
+STRETCH = 256                   # characters within which findings are looked for around a candidate
 FEATURES = ("length", "turns", "digits", "uppers", "hex_share", "surprise", "coverage", "assigned", "quoted",
             "path_depth", "path_rate", "before_rate", "after_rate")
 _WORD = re.compile(r"[a-z]+")
+_log = logging.getLogger(__name__)
 
 
 def dictionary(docs: DataFrame, text_col: str = "text", words: int = DICTIONARY) -> list[tuple[str, int]]:
@@ -103,8 +106,8 @@ def candidates(docs: DataFrame, lexicon: Lexicon, id_col: str = "doc_id", text_c
     """One row per candidate: id, path, start, end (code points), value_hash,
     before, after and x, the features of the string itself.
 
-    A candidate is a run of 16 or more of ``A-Za-z0-9+/=_.-`` that has a
-    digit; ``before`` and ``after`` are the neighbouring words.
+    A candidate is a run of 16 or more of ``A-Za-z0-9+/=_.-``; ``before``
+    and ``after`` are the neighbouring words.
     """
     shared = docs.sparkSession.sparkContext.broadcast(lexicon)
     found_type = "array<struct<start:int,end:int,before:string,after:string,x:array<double>>>"
@@ -119,8 +122,6 @@ def candidates(docs: DataFrame, lexicon: Lexicon, id_col: str = "doc_id", text_c
             for t in col:
                 text, rows = t.as_py() or "", []
                 for m in CANDIDATE.finditer(text):
-                    if not any(c.isdigit() for c in m.group()):
-                        continue
                     left = text[max(0, m.start() - 80):m.start()].split()
                     right = text[m.end():m.end() + 80].split()
                     # an assignment's name is the word before, also where it is written without spaces
@@ -138,6 +139,23 @@ def candidates(docs: DataFrame, lexicon: Lexicon, id_col: str = "doc_id", text_c
     return rows.select("id", "path", F.inline("found"))
 
 
+def _labels(found: DataFrame, known: DataFrame) -> DataFrame:
+    """id, start, end and label of the candidates that labelled findings
+    overlap; 1 if one of these is a secret.  Both sides are laid out in
+    stretches of text, so only what is near one another is compared."""
+    def laid(rows: DataFrame, start: str, end: str) -> DataFrame:
+        first, last = F.floor(F.col(start) / STRETCH), F.floor((F.col(end) - 1) / STRETCH)
+        return rows.where(F.col(start) < F.col(end)).withColumn("stretch", F.explode(F.sequence(first, last)))
+    places = laid(found.select("id", "start", "end").distinct(), "start", "end")
+    marks = laid(known.select("id", F.col("start").alias("_s"), F.col("end").alias("_e"), "label"), "_s", "_e")
+    pairs = materialize(places.join(marks, ["id", "stretch"]).where("start < _e AND _s < end")
+                        .select("id", "start", "end", "_s", "_e", "label").distinct(), "overlaps")
+    lost = known.count() - pairs.select("id", "_s", "_e").distinct().count()
+    if lost:
+        _log.warning("%d labelled findings overlap no candidate and are not trained on", lost)
+    return pairs.groupBy("id", "start", "end").agg(F.max("label").alias("label"))
+
+
 def _rates(train: DataFrame, col: str, overall: float) -> DataFrame:
     return train.groupBy(col).agg(F.sum("label").alias("_pos"), F.count(F.lit(1)).alias("_all")).select(
         col, "_pos", "_all")
@@ -149,8 +167,10 @@ def scan(docs: DataFrame, findings: DataFrame, id_col: str = "doc_id", text_col:
     """Every candidate with its score: id_col, path, start, end, score, secret.
 
     ``findings`` (id_col, start, end, label 1 = secret) are findings that
-    someone has labelled; at most about ``max_train`` of those that are
-    candidates, chosen by a hash of place and id, train a random forest on length,
+    someone has labelled; a candidate that one overlaps has its label, or
+    that of a secret among several.  Findings that overlap none are counted
+    in a warning.  At most about ``max_train`` labelled candidates,
+    chosen by a hash of place and id, train a random forest on length,
     character transitions, dictionary coverage, path and neighbouring words
     (smoothed share of secrets among the training findings with that word,
     leaving the finding itself out; never more words than findings, so they
@@ -163,9 +183,10 @@ def scan(docs: DataFrame, findings: DataFrame, id_col: str = "doc_id", text_col:
     found = materialize(candidates(docs, lexicon, id_col, text_col, path_col), "candidates")
     known = findings.select(F.col(id_col).alias("id"), F.col("start").cast("int").alias("start"),
                             F.col("end").cast("int").alias("end"), F.col("label").cast("int").alias("label"))
-    known = known.groupBy("id", "start", "end").agg(F.max("label").alias("label"))
-    labelled = found.join(known, ["id", "start", "end"]).dropDuplicates(["id", "start", "end"])
-    n = known.count()
+    known = materialize(known.groupBy("id", "start", "end").agg(F.max("label").alias("label")), "known-findings")
+    labels = materialize(_labels(found, known), "labels")
+    labelled = found.join(labels, ["id", "start", "end"]).dropDuplicates(["id", "start", "end"])
+    n = labels.count()
     place = F.pmod(F.xxhash64("id", "start"), F.lit(1 << 40)) / float(1 << 40)
     labelled = materialize(labelled.where(place < max_train / n) if n > max_train else labelled, "findings")
     total, secrets = labelled.agg(F.count(F.lit(1)), F.sum("label")).first()
