@@ -148,19 +148,21 @@ def _grouped(text: Column, kind: str, taken: Column) -> Column:
 
 
 def contextual_patterns(edges: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """rank, context, confidence and seeds from the pattern-instance graph.
+    """rank, context, confidence and support from the pattern-instance graph.
 
     ``edges`` has one row per (rank, context, value) with ``n`` occurrences
     and ``seed``, whether the base accepts the value.  A seed is worth 1.  A
     pattern's confidence is the mean worth of what stands in it, smoothed
     towards 0; the worth of another instance is that of at least one of its
-    patterns being right.  ``rounds`` passes settle both.
+    patterns being right.  A pattern's support is the worth of its distinct
+    values together, so confirmed instances carry new patterns.  ``rounds``
+    passes settle all.
     """
     worth = edges.withColumn("worth", F.col("seed").cast("double"))
     for k in range(rounds):
         patterns = worth.groupBy("rank", "context").agg(
             (F.sum(F.col("worth") * F.col("n")) / (F.sum("n") + SMOOTHING)).alias("confidence"),
-            F.count(F.when(F.col("seed"), 1)).alias("seeds"))
+            F.sum("worth").alias("support"))
         if k == rounds - 1:
             return patterns
         doubt = F.log1p(-F.least(F.col("confidence"), F.lit(0.999)))
@@ -183,7 +185,8 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     and, for cards and phones, groups of digits with the base's separators
     (blanks and brackets among them; digits of neighbouring numbers are
     taken along up to the kind's most).  They are instances of the patterns
-    they stand in.  Patterns of at least ``min_seeds`` distinct seeds whose
+    they stand in.  Patterns whose distinct values are worth
+    ``min_seeds`` seeds, discovered ones by their worth, and whose
     confidence reaches ``min_confidence`` discover the candidates that stand
     in them and overlap no base span of the document; one within another of
     its kind is not given.  Null texts are empty; rows that repeat an id and its text
@@ -225,7 +228,7 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     edges = materialize(inst.where("context <> ''").groupBy("rank", "context", "value", "seed")
                         .agg(F.count(F.lit(1)).alias("n")), "pii-edges")
     good = (contextual_patterns(edges, rounds)
-            .where((F.col("confidence") >= min_confidence) & (F.col("seeds") >= min_seeds))
+            .where((F.col("confidence") >= min_confidence) & (F.col("support") >= min_seeds))
             .select("rank", "context"))
     hits = (inst.where(~F.col("seed")).join(good, ["rank", "context"])
             .select("id", "text_key", "rank", "start", "end").distinct())

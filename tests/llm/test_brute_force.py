@@ -252,6 +252,14 @@ def test_contexts_discover_grouped_phones_and_cards(spark):
     assert not any(got[len(texts) + len(cases) + i].spans for i in range(len(none)))
 
 
+def test_discovered_values_carry_new_contexts(spark):
+    texts = [f"my mail is u{i}@example.org ok" for i in range(30)]
+    texts += [f"my mail is boss{i}@localhost ok" for i in range(6)] + [f"write to boss{i}@localhost ok" for i in range(6)]
+    texts += ["write to guest@localhost ok", "the word guest2@localhost ok"]
+    got = {r.doc_id: [tuple(s) for s in r.spans] for r in pii.find_pii(frame(spark, texts)).collect()}
+    assert got[42] == [(9, 0, 24)] and not got[43]
+
+
 # ------------------------------------------------------------------ op2
 def test_chats_survive_the_round_trip(spark):
     rng = random.Random(5)
