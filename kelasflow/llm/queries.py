@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kelasflow.llm import chat_format, decontamination, exact_dedup, language_id, mixing, near_dup, pii, quality, secret_scan, url_filter
+from kelasflow.llm import chat_format, decontamination, exact_dedup, language_id, mixing, near_dup, pii, quality
+from kelasflow.llm import queries_audit, secret_scan, url_filter
 from kelasflow.llm.common import id_bucket, table, text_of
 
 
@@ -220,6 +221,7 @@ QUERIES = {
     "op8_quality": op8_quality,
     "op9_url_filter": op9_url_filter,
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
+    **queries_audit.QUERIES,
 }
 
 ORACLE_SQL = {
@@ -227,4 +229,5 @@ ORACLE_SQL = {
     "op5_ngram_jaccard": OP5_SQL,
     "op6_exact_dedup": OP6_SQL,
     "op10_benchmark_decontamination": OP10_SQL,
+    **queries_audit.ORACLE_SQL,
 }
