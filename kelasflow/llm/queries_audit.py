@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from kelasflow.llm import divergence
+from kelasflow.llm import divergence, periodic_runs
 from kelasflow.llm.common import table
 
 
@@ -44,6 +45,37 @@ QUALIFY part = 'pair' OR row_number() OVER w <= 10
 """
 
 
-QUERIES = {"op11_source_divergence": op11_source_divergence}
+def with_repetitions(docs: DataFrame) -> DataFrame:
+    """doc_id and text; in a tenth of the documents, by a hash of the id, the
+    words from some place on repeat the first of them.  Null text is empty, a
+    null id hashes as the empty string."""
+    h = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
+    text = F.coalesce(F.col("text"), F.lit(""))
+    words = F.when(h % 10 == 0, F.regexp_extract_all(text, F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)))
+    parts = (docs.select("doc_id", text.alias("text"), F.floor(h / 10).alias("_g"), words.alias("_w"))
+             .select("doc_id", "text", "_g", "_w", F.size("_w").cast("long").alias("_n")))
+    parts = parts.select("doc_id", "text", "_w", "_n", F.when(F.col("_n") > 0, F.col("_g") % F.col("_n")).alias("_a"), "_g")
+    parts = parts.withColumn("_p", F.expr("1 + (_n - _a) div (3 + _g % 8)"))
+    again = F.expr("array_join(concat(slice(_w, 1, cast(_a as int)), slice(flatten(array_repeat("
+                   "slice(_w, cast(_a + 1 as int), cast(_p as int)), cast((_n - _a + _p - 1) div _p as int))),"
+                   " 1, cast(_n - _a as int))), ' ')")
+    return parts.select("doc_id", F.when(F.col("_n") > 0, again).otherwise(F.col("text")).alias("text"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of every whole text, some of them given repetitions first."""
+    found = periodic_runs.find_runs(with_repetitions(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat_ws(
+        ",", r["start"].cast("string"), r["length"].cast("string"), r["period"].cast("string"))), "\n")
+    listed = F.when(F.size("runs") > 0, F.concat(lines, F.lit("\n"))).otherwise("")
+    best = F.col("strongest")
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), *[best[c].alias(c) for c in ("start", "length", "period")],
+        F.expr("1000 * strongest.length div strongest.period").alias("exponent_milli"),
+        F.sha2(listed.cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"))
+
+
+QUERIES = {"op11_source_divergence": op11_source_divergence, "op13_periodic_runs": op13_periodic_runs}
 
 ORACLE_SQL = {"op11_source_divergence": OP11_SQL}
