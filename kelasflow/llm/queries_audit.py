@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kelasflow.llm import divergence, periodic_runs
+from kelasflow.llm import divergence, html_extract, periodic_runs
 from kelasflow.llm.common import table
 
 
@@ -45,6 +45,11 @@ QUALIFY part = 'pair' OR row_number() OVER w <= 10
 """
 
 
+def op12_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every whole page."""
+    return html_extract.extract_text(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
 def with_repetitions(docs: DataFrame) -> DataFrame:
     """doc_id and text; in a tenth of the documents, by a hash of the id, the
     words from some place on repeat the first of them.  Null text is empty, a
@@ -76,6 +81,7 @@ def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"))
 
 
-QUERIES = {"op11_source_divergence": op11_source_divergence, "op13_periodic_runs": op13_periodic_runs}
+QUERIES = {"op11_source_divergence": op11_source_divergence, "op12_html_extraction": op12_html_extraction,
+           "op13_periodic_runs": op13_periodic_runs}
 
 ORACLE_SQL = {"op11_source_divergence": OP11_SQL}
