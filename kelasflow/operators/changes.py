@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from kelasflow.functions.ids import assign_ids, next_id
 from kelasflow.operators.activity import ntz
+from kelasflow.operators.claims import BEFORE, settle_claims
 from kelasflow.schema import ROLES
 from kelasflow.sources.catalog import Tables
 
@@ -125,33 +126,28 @@ def _existing(req: DataFrame, col: str, parent: DataFrame, reason: str) -> tuple
     return req.join(ids, col, "left_semi"), _reject(req.join(ids, col, "left_anti"), reason)
 
 
-def _unique_claims(req: DataFrame, held: DataFrame, col: str, reason: str) -> tuple[DataFrame, list[DataFrame]]:
-    """Refuse claims of a unique value that another user holds.
-
-    ``held`` has (_holder, _key), compared lower-cased.  A value held in the
-    snapshot by another user is ``<reason>``; within the batch the user of
-    the first request for a value may have it, other users' requests are
-    ``<reason>_in_batch``.  NULL claims nothing.
-    """
-    r = req.withColumn("_key", F.lower(F.col(col).cast("string")))
-    taken = r.join(held, "_key").where(F.col("_holder") != F.col("user_id")).select("request_id").distinct()
-    r = r.join(taken, "request_id", "left_anti")
-    owner = r.where(F.col("_key").isNotNull()).groupBy("_key").agg(F.min_by("user_id", "request_id").alias("_owner"))
-    late = r.join(owner, "_key").where(F.col("_owner") != F.col("user_id")).select("request_id").distinct()
-    return (_cut(r.join(late, "request_id", "left_anti").drop("_key")),
-            [_reject(taken, reason), _reject(late, f"{reason}_in_batch")])
+def _settled(req: DataFrame, held: dict[str, DataFrame], keeps_on_null: frozenset[str] = frozenset(),
+             user: str = "user_id") -> tuple[DataFrame, DataFrame]:
+    """(requests that get the unique values they claim, rejects of the
+    others), as if they came one by one (:func:`claims.settle_claims`)."""
+    verdicts = settle_claims(req.select("request_id", F.col(user).alias("user_id"), *held), held, keeps_on_null)
+    judged = req.join(verdicts, "request_id")
+    refused = judged.where(F.col("reason").isNotNull())
+    return _cut(judged.where(F.col("reason").isNull()).drop("reason")), _reject(refused, F.col("reason"))
 
 
 def _held(df: DataFrame, holder: str, col: str) -> DataFrame:
-    return df.where(F.col(col).isNotNull()).select(F.col(holder).alias("_holder"), F.lower(col).alias("_key"))
+    return df.select(F.col(holder).alias("user_id"), F.col(col).alias("key"))
 
 
-def _updated_users(t: Tables, last: DataFrame) -> DataFrame:
-    """``users`` with name and e-mail of the accepted requests; NULL keeps the old value."""
-    given = [c for c in ("name", "email") if c in last.columns]
+def _updated_users(t: Tables, accepted: DataFrame) -> DataFrame:
+    """``users`` with name and e-mail of the accepted requests: of each the
+    last that is not NULL; without one the old value stays."""
+    given = [c for c in ("name", "email") if c in accepted.columns]
     if not given:
         return t.users
-    r = last.select(F.col("user_id").alias("id"), *[F.col(c).alias(f"_{c}") for c in given])
+    last = [F.max(F.when(F.col(c).isNotNull(), F.struct("request_id", c)))[c].alias(f"_{c}") for c in given]
+    r = accepted.groupBy(F.col("user_id").alias("id")).agg(*last)
     return t.users.join(r, "id", "left").select(
         *[F.coalesce(f"_{c}", c).alias(c) if c in given else F.col(c) for c in t.users.columns])
 
@@ -161,21 +157,19 @@ def student_upsert(t: Tables, requests: DataFrame) -> Change:
     """Requests ``(request_id, user_id, nisn, jurusan, kelas)``; the
     self-service form also sends ``name`` and ``email``.
 
-    Requests are validated first: the user must exist, and neither NISN nor
-    e-mail may be another user's, in the snapshot or by an earlier request
-    of the batch.  Of a user's valid requests the last one wins.  A user with
-    detail rows has all of them updated; others get a new row.  Name and
-    e-mail of the user row follow, NULL keeps the old value.
+    The batch has the outcome of its requests one by one: the user must
+    exist, and neither e-mail nor NISN may be another user's at that point;
+    an accepted request frees what its user held before.  Of a user's
+    accepted requests the last one stands (the others are ``superseded``).  A
+    user with detail rows has all of them updated; others get a new row.  Of
+    name and e-mail the last value that is not NULL stands.
     """
     ok, unknown = _existing(requests, "user_id", t.users, "unknown_user")
-    rejects = [unknown]
-    if "email" in requests.columns:
-        ok, refused = _unique_claims(ok, _held(t.users, "id", "email"), "email", "email_taken")
-        rejects += refused
-    ok, refused = _unique_claims(ok, _held(t.siswa_details, "user_id", "nisn"), "nisn", "nisn_taken")
-    rejects += refused
+    held = {"email": _held(t.users, "id", "email")} if "email" in requests.columns else {}
+    held["nisn"] = _held(t.siswa_details, "user_id", "nisn")
+    ok, refused = _settled(ok, held, frozenset(["email"]))
     last, superseded = _latest(ok, ["user_id"])
-    rejects.append(_reject(superseded, "superseded"))
+    rejects = [unknown, refused, _reject(superseded, "superseded")]
     last = _cut(last)
     kelas, resolved = find_or_create_classes(t, last)
     resolved = resolved.select("user_id", F.col("nisn").alias("_nisn"), F.col("jurusan").alias("_jurusan"),
@@ -188,7 +182,7 @@ def student_upsert(t: Tables, requests: DataFrame) -> Change:
     inserts = assign_ids(resolved.join(sd.select("user_id"), "user_id", "left_anti"), ["request_id"], next_id(sd))
     inserted = inserts.select("id", "user_id", F.col("_jurusan").alias("jurusan"), F.col("_nisn").alias("nisn"),
                               F.col("_kelas_id").alias("kelas_id"))
-    return Change(t.replace(siswa_details=updated.unionByName(inserted), kelas=kelas, users=_updated_users(t, last)),
+    return Change(t.replace(siswa_details=updated.unionByName(inserted), kelas=kelas, users=_updated_users(t, ok)),
                   _cut(_union(rejects)), {"accepted": last.select("request_id", "user_id")})
 
 
@@ -196,28 +190,18 @@ def student_upsert(t: Tables, requests: DataFrame) -> Change:
 def _create_users(t: Tables, requests: DataFrame, role: Column, unique_detail: tuple[str, str] | None,
                   as_of: dt.datetime) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Shared part of the create jobs: returns (accepted + new user id, new
-    users rows, rejects)."""
-    req = requests.withColumn("_email", F.lower("email")).withColumn("_role", role)
-    taken = t.users.select(F.lower("email").alias("_email"))
-    rej = [_reject(req.join(taken, "_email", "left_semi"), "email_taken")]
-    ok = req.join(taken, "_email", "left_anti")
+    users rows, rejects).  Every request is a person of its own; a refused
+    one takes nothing."""
+    nobody = F.lit(BEFORE).alias("user_id")         # holders in the snapshot need no name: none of them asks
+    held = {"email": t.users.select(nobody, F.col("email").alias("key"))}
     if unique_detail:
         table, col = unique_detail
-        held = t[table].select(F.col(col).alias("_held")).where(F.col("_held").isNotNull())
-        clash = ok.join(held, ok[col] == held._held, "left_semi")
-        rej.append(_reject(clash, f"{col}_taken"))
-        ok = ok.join(clash.select("request_id"), "request_id", "left_anti")
-    ok, dup = _first(ok, ["_email"], ["request_id"])
-    rej.append(_reject(dup, "email_taken_in_batch"))
-    if unique_detail:
-        col = unique_detail[1]
-        keep, dup2 = _first(ok.where(F.col(col).isNotNull()), [col], ["request_id"])
-        ok = keep.unionByName(ok.where(F.col(col).isNull()))
-        rej.append(_reject(dup2, f"{col}_taken_in_batch"))
+        held[col] = t[table].select(nobody, F.col(col).alias("key"))
+    ok, refused = _settled(requests.withColumn("_role", role), held, user="request_id")
     ok = _cut(assign_ids(ok, ["request_id"], next_id(t.users), name="user_id"))
     users = ok.select(F.col("user_id").alias("id"), "name", "email", F.col("_role").alias("role"),
                       F.lit(None).cast("string").alias("foto"), ntz(as_of).alias("created_at"))
-    return ok, users, _cut(_union(rej))
+    return ok, users, _cut(refused)
 
 
 def _verifications(t: Tables, ok: DataFrame, status: str, as_of: dt.datetime) -> DataFrame:
@@ -233,7 +217,7 @@ def _logs(t: Tables, rows: DataFrame, action: Column, as_of: dt.datetime) -> Dat
 
 def student_create(t: Tables, requests: DataFrame, as_of: dt.datetime) -> Change:
     """Requests ``(request_id, name, email, nisn, jurusan, kelas)``: reject a
-    known e-mail or NISN (also within the batch, first request wins);
+    known e-mail or NISN (also one that an earlier accepted request took);
     otherwise add the user, an *approved* verification and a detail row
     (class found or created)."""
     ok, users, rejects = _create_users(t, requests, F.lit("siswa"), ("siswa_details", "nisn"), as_of)
@@ -284,15 +268,16 @@ def teacher_upsert(t: Tables, requests: DataFrame) -> Change:
     """Requests ``(request_id, user_id, name, email, nip, mapel)``, and
     optionally ``kelas`` (array or CSV).
 
-    Validated as in :func:`student_upsert`, with e-mail and NIP as the unique
-    values; of a user's valid requests the last one wins.  Name and e-mail
-    are updated (NULL keeps the old value), detail rows updated or inserted.
+    Settled one by one as in :func:`student_upsert`, with e-mail and NIP as
+    the unique values; of a user's accepted requests the last one stands, of
+    name and e-mail the last that is not NULL.  Detail rows are updated or
+    inserted.
     With ``kelas`` not NULL the class list of the teacher is replaced, for
     accepted requests only.
     """
     ok, unknown = _existing(requests, "user_id", t.users, "unknown_user")
-    ok, by_mail = _unique_claims(ok, _held(t.users, "id", "email"), "email", "email_taken")
-    ok, by_nip = _unique_claims(ok, _held(t.guru_details, "user_id", "nip"), "nip", "nip_taken")
+    ok, refused = _settled(ok, {"email": _held(t.users, "id", "email"), "nip": _held(t.guru_details, "user_id", "nip")},
+                           frozenset(["email"]))
     last, superseded = _latest(ok, ["user_id"])
     last = _cut(last)
     d = last.select("user_id", F.col("nip").alias("_nip"), F.col("mapel").alias("_mapel"), "request_id")
@@ -303,13 +288,13 @@ def teacher_upsert(t: Tables, requests: DataFrame) -> Change:
                    F.when(hit, F.col("_nip")).otherwise(F.col("nip")).alias("nip")))
     ins = assign_ids(d.join(gd.select("user_id"), "user_id", "left_anti"), ["request_id"], next_id(gd))
     ins = ins.select("id", "user_id", F.col("_mapel").alias("mapel"), F.col("_nip").alias("nip"))
-    new = t.replace(users=_updated_users(t, last), guru_details=upd.unionByName(ins))
+    new = t.replace(users=_updated_users(t, ok), guru_details=upd.unionByName(ins))
     if "kelas" in requests.columns:
         lists = (last.where(F.col("kelas").isNotNull())
                  .join(new.guru_details.select(F.col("id").alias("guru_id"), "user_id"), "user_id")
                  .select("request_id", "guru_id", "kelas"))
         new = replace_bridge(new, "guru_kelas", lists).tables
-    return Change(new, _cut(_union([unknown, *by_mail, *by_nip, _reject(superseded, "superseded")])),
+    return Change(new, _cut(_union([unknown, refused, _reject(superseded, "superseded")])),
                   {"accepted": last.select("request_id", "user_id")})
 
 

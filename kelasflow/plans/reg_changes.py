@@ -191,31 +191,64 @@ def _outcomes(ch, id_col):
                                             F.lit(None).cast("bigint").alias("new_id")))
 
 
+def _replay_ctes(src: str, kinds: list[tuple[str, str, bool]]) -> str:
+    """CTEs that replay the requests of ``src`` (request_id, user_id, one column
+    per kind) on what ``held`` holds: ``verdicts`` has '' or the refusal.
+
+    ``kinds``: name, SELECT of (u, key) held, whether a NULL keeps the old
+    value.  A step decides every open request that is the first of its user,
+    of the values it claims and of those its user holds; the keyed state has
+    the holder of a value (h), the value of a user (u) and the verdicts (r).
+    """
+    claims = " UNION ALL ".join(
+        f"SELECT request_id AS t, user_id AS u, '{k}' AS kind, {i} AS nr, lower({k}) AS key FROM {src}"
+        + (f" WHERE {k} IS NOT NULL" if keeps else "") for i, (k, _, keeps) in enumerate(kinds))
+    held = " UNION ALL ".join(f"SELECT '{k}' AS kind, u, lower(key) AS key FROM ({sql})" for k, sql, _ in kinds)
+    return f"""
+claims AS MATERIALIZED ({claims}),
+held AS (SELECT * FROM ({held}) WHERE key IS NOT NULL AND (kind, key) IN (SELECT kind, key FROM claims)
+         UNION SELECT * FROM ({held}) WHERE key IS NOT NULL AND (kind, u) IN (SELECT kind, u FROM claims)),
+replay(k, who, word) USING KEY (k) AS (
+  SELECT 'h|' || kind || '|' || key, u, 'taken' FROM held
+  UNION ALL SELECT 'u|' || kind || '|' || u, u, key FROM held
+  UNION
+  (WITH open AS (SELECT * FROM claims WHERE 'r|' || t NOT IN (SELECT k FROM recurring.replay)),
+   own AS (SELECT o.*, s.word AS had FROM open o LEFT JOIN recurring.replay s ON s.k = 'u|' || o.kind || '|' || o.u),
+   res AS (SELECT t, 'U' || u AS r FROM open UNION SELECT t, kind || key FROM open WHERE key IS NOT NULL
+           UNION SELECT t, kind || had FROM own WHERE had IS NOT NULL),
+   late AS (SELECT DISTINCT t FROM (SELECT t, min(t) OVER (PARTITION BY r) AS m FROM res) WHERE m < t),
+   now AS (SELECT o.*, s.word AS how, s.who FROM own o LEFT JOIN recurring.replay s ON s.k = 'h|' || o.kind || '|' || o.key
+           WHERE o.t NOT IN (SELECT t FROM late)),
+   ver AS (SELECT t, coalesce(arg_min(kind || '_' || how, nr) FILTER (who IS NOT NULL AND who <> u), '') AS reason
+           FROM now GROUP BY t),
+   chg AS (SELECT now.* FROM now JOIN ver USING (t) WHERE reason = '' AND had IS DISTINCT FROM now.key)
+   SELECT 'r|' || t, t, reason FROM ver
+   UNION ALL SELECT 'h|' || kind || '|' || had, NULL, 'free' FROM chg WHERE had IS NOT NULL
+   UNION ALL SELECT 'h|' || kind || '|' || key, u, 'taken_in_batch' FROM chg WHERE key IS NOT NULL
+   UNION ALL SELECT 'u|' || kind || '|' || u, u, key FROM chg)),
+verdicts AS (SELECT request_id, coalesce(replay.word, '') AS reason FROM {src} LEFT JOIN replay ON k = 'r|' || request_id)
+"""
+
+
 def _create_sql(req_cte: str, kind: str, admin_rule: bool = False,
-                detail: str | None = None, held_sql: str | None = None) -> tuple[str, str]:
-    """(body, ctes) of the oracle shared by the create jobs: refusals against
-    the snapshot (admin role, known e-mail, held detail key), then the first
-    request per e-mail and per detail key within the batch; new ids =
-    snapshot max + rank of request id."""
-    rules = (["WHEN r.role = 'admin' THEN 'admin_not_allowed'"] if admin_rule else []) + \
-        ["WHEN lower(r.email) IN (SELECT lower(email) FROM snap) THEN 'email_taken'"] + \
-        ([f"WHEN r.{detail} IN ({held_sql}) THEN '{detail}_taken'"] if detail else [])
-    rn2 = (f"CASE WHEN {detail} IS NULL THEN 1 ELSE row_number() OVER (PARTITION BY {detail} "
-           f"ORDER BY request_id) END" if detail else "1")
+                detail: str | None = None, held_sql: str | None = None, snap: str | None = None) -> tuple[str, str]:
+    """(body, ctes) of the oracle shared by the create jobs: the requests are
+    replayed one by one, each a person of its own; new ids = snapshot max +
+    rank of request id."""
     body = """
 SELECT request_id, 'created' AS outcome,
        coalesce((SELECT max(id) FROM snap), 0) + row_number() OVER (ORDER BY request_id) AS new_id
-FROM ok2 WHERE rn2 = 1
-UNION ALL SELECT request_id, reason, NULL FROM cls WHERE reason IS NOT NULL
-UNION ALL SELECT request_id, 'email_taken_in_batch', NULL FROM ok WHERE rn > 1
-""" + (f"UNION ALL SELECT request_id, '{detail}_taken_in_batch', NULL FROM ok2 WHERE rn2 > 1\n" if detail else "")
+FROM verdicts WHERE reason = ''
+UNION ALL SELECT request_id, reason, NULL FROM verdicts WHERE reason <> ''
+""" + ("UNION ALL SELECT request_id, 'admin_not_allowed', NULL FROM req WHERE role = 'admin'\n" if admin_rule else "")
+    kinds = [("email", "SELECT -1 AS u, email AS key FROM snap", True)]
+    if detail:
+        kinds.append((detail, f"SELECT -1 AS u, {detail} AS key FROM ({held_sql})", True))
     ctes = f"""
-snap AS (SELECT * FROM users WHERE created_at < TIMESTAMP '{JOIN_CUTOFF[kind]}'),
+snap AS ({snap or f"SELECT * FROM users WHERE created_at < TIMESTAMP '{JOIN_CUTOFF[kind]}'"}),
 req AS ({req_cte}),
-cls AS (SELECT r.*, CASE {' '.join(rules)} END AS reason FROM req r),
-ok AS (SELECT *, row_number() OVER (PARTITION BY lower(email) ORDER BY request_id) AS rn
-       FROM cls WHERE reason IS NULL),
-ok2 AS (SELECT *, {rn2} AS rn2 FROM ok WHERE rn = 1)
+asked AS (SELECT *, request_id AS user_id FROM req {"WHERE role <> 'admin'" if admin_rule else ""}),
+{_replay_ctes("asked", kinds)}
 """
     return body, ctes
 
@@ -273,6 +306,52 @@ def w04(t):
     return _outcomes(W.teacher_create(snap, req, APPLY_AT), "user_id")
 
 
+# W03 / W04 with clashes: every verification (assignment) asks for a new
+# person; e-mails and numbers repeat within the batch and in the tables, so a
+# value is free again for a later request when the earlier one was refused.
+_NEW_STUDENTS = """
+SELECT id AS request_id, 'Baru ' || id AS name,
+       CASE WHEN id % 5 = 0 THEN 'CUSTOMER#' || lpad(CAST(id % 2000 AS VARCHAR), 9, '0') || '@siswa.example.org'
+            ELSE 'Baru' || (id * 7 % 1900) || '@siswa.example.org' END AS email,
+       CASE WHEN id % 4 <> 0 THEN (CASE WHEN id % 9 = 0 THEN '' ELSE 's' END) || lpad(CAST(id % 3000 AS VARCHAR), 10, '0') END AS nisn
+FROM verifications"""
+_W03_CLASH = _create_sql(_NEW_STUDENTS, "siswa", detail="nisn", held_sql="SELECT nisn FROM siswa_details",
+                         snap="SELECT * FROM users")
+
+
+def _new_students(t):
+    i = F.col("id")
+    return t.verifications.select(
+        i.alias("request_id"), F.concat(F.lit("Baru "), i.cast("string")).alias("name"),
+        F.when(i % 5 == 0, F.concat(F.lit("CUSTOMER#"), F.lpad((i % 2000).cast("string"), 9, "0")))
+        .otherwise(F.concat(F.lit("Baru"), (i * 7 % 1900).cast("string"))).alias("_who"),
+        F.when(i % 4 != 0, F.concat(F.when(i % 9 == 0, "").when(i % 2 == 0, "S").otherwise("s"),
+                                    F.lpad((i % 3000).cast("string"), 10, "0"))).alias("nisn"),
+        F.col("status").alias("jurusan"), F.lit(None).cast("string").alias("kelas")).withColumn(
+        "email", F.concat("_who", F.lit("@siswa.example.org"))).drop("_who")
+
+
+@register("w03_student_create_clashes", _W03_CLASH[0], ctes=_W03_CLASH[1])
+def w03_clashes(t):
+    return _outcomes(W.student_create(t, _new_students(t), APPLY_AT), "user_id")
+
+
+_W04_CLASH = _create_sql("""
+SELECT id AS request_id, 'Guru baru ' || id AS name, 'Supplier#' || lpad(CAST(id % 400 AS VARCHAR), 9, '0') || '@guru.example.org' AS email,
+       lpad(CAST(id * 3 % 700 AS VARCHAR), 18, '0') AS nip FROM tugas""", "guru", detail="nip",
+                         held_sql="SELECT nip FROM guru_details", snap="SELECT * FROM users")
+
+
+@register("w04_teacher_create_clashes", _W04_CLASH[0], ctes=_W04_CLASH[1])
+def w04_clashes(t):
+    i = F.col("id")
+    req = t.tugas.select(
+        i.alias("request_id"), F.concat(F.lit("Guru baru "), i.cast("string")).alias("name"),
+        F.concat(F.lit("Supplier#"), F.lpad((i % 400).cast("string"), 9, "0"), F.lit("@guru.example.org")).alias("email"),
+        F.lpad((i * 3 % 700).cast("string"), 18, "0").alias("nip"), F.col("deskripsi").alias("mapel"))
+    return _outcomes(W.teacher_create(t, req, APPLY_AT), "user_id")
+
+
 # Assignments created after the cutoff arrive as create requests with
 # their class names as one comma-separated field.
 TASK_CUTOFF = "1996-01-01 00:00:00"
@@ -402,18 +481,6 @@ def w15(t):
 # Save requests made of the verifications and assignments, several
 # per person, with values that others hold, values claimed twice, new values,
 # new classes and people who do not exist.
-def _claim_ctes(src: str, out: str, col: str, held: str, reason: str) -> str:
-    """CTEs ``<out>_c`` (verdict per request of ``src``) and ``<out>`` (those that pass)."""
-    return f"""
-{out}_k AS (SELECT r.*, lower({col}) AS k, EXISTS (SELECT 1 FROM ({held}) h WHERE h.k = lower(r.{col}) AND h.holder <> r.user_id)
-                   AS taken FROM {src} r),
-{out}_o AS (SELECT k, arg_min(user_id, request_id) AS owner FROM {out}_k WHERE NOT taken AND k IS NOT NULL GROUP BY k),
-{out}_c AS (SELECT {out}_k.*, CASE WHEN taken THEN '{reason}' WHEN owner <> user_id THEN '{reason}_in_batch' END AS verdict
-            FROM {out}_k LEFT JOIN {out}_o USING (k)),
-{out} AS (SELECT * EXCLUDE (k, taken, verdict) FROM {out}_c WHERE verdict IS NULL)
-"""
-
-
 _W02_REQ = f"""
 req AS (SELECT id AS request_id, user_id + CASE WHEN id % 7 = 0 THEN 5000000 ELSE 0 END AS user_id,
                'Siswa ' || CAST(id AS VARCHAR) AS name,
@@ -421,8 +488,11 @@ req AS (SELECT id AS request_id, user_id + CASE WHEN id % 7 = 0 THEN 5000000 ELS
                lpad(CAST(id % 4000 AS VARCHAR), 10, '0') AS nisn, status AS jurusan,
                ' kelas_' || CAST(25 + id % 60 AS VARCHAR) AS kelas FROM verifications),
 known AS (SELECT * FROM req WHERE user_id IN (SELECT id FROM users)),
-{_claim_ctes("known", "mailed", "email", "SELECT id AS holder, lower(email) AS k FROM users", "email_taken")},
-{_claim_ctes("mailed", "valid", "nisn", "SELECT user_id AS holder, lower(nisn) AS k FROM siswa_details", "nisn_taken")},
+{_replay_ctes("known", [("email", "SELECT id AS u, email AS key FROM users", True),
+                        ("nisn", "SELECT user_id AS u, nisn AS key FROM siswa_details", False)])},
+valid AS (SELECT known.* FROM known JOIN verdicts USING (request_id) WHERE reason = ''),
+said AS (SELECT user_id, arg_max(name, request_id) AS name, arg_max(email, request_id) FILTER (email IS NOT NULL) AS email
+         FROM valid GROUP BY user_id),
 won AS (SELECT max(request_id) AS request_id FROM valid GROUP BY user_id),
 lst AS (SELECT * FROM valid WHERE request_id IN (SELECT request_id FROM won)),
 fresh AS (SELECT lower(trim(kelas)) AS k FROM lst WHERE lower(trim(kelas)) NOT IN (SELECT lower(nama_kelas) FROM kelas) GROUP BY 1),
@@ -450,8 +520,7 @@ def _upsert_outcomes(ch):
 
 _OUTCOMES = """
 SELECT request_id, 'unknown_user' AS outcome FROM req WHERE user_id NOT IN (SELECT id FROM users)
-UNION ALL SELECT request_id, verdict FROM mailed_c WHERE verdict IS NOT NULL
-UNION ALL SELECT request_id, verdict FROM valid_c WHERE verdict IS NOT NULL
+UNION ALL SELECT request_id, reason FROM verdicts WHERE reason <> ''
 UNION ALL SELECT request_id, CASE WHEN request_id IN (SELECT request_id FROM won) THEN 'accepted' ELSE 'superseded' END
 FROM valid
 """
@@ -477,7 +546,7 @@ def w02(t):
 
 @register("w02_student_upsert_users", """
 SELECT u.id, coalesce(l.name, u.name) AS name, coalesce(l.email, u.email) AS email
-FROM users u LEFT JOIN lst l ON l.user_id = u.id
+FROM users u LEFT JOIN said l ON l.user_id = u.id
 """, ctes=_W02_REQ)
 def w02_users(t):
     return W.student_upsert(t, _student_saves(t)).tables.users.select("id", "name", "email")
@@ -489,8 +558,11 @@ req AS (SELECT id AS request_id, created_by + CASE WHEN id % 11 = 0 THEN 5000000
                lpad(CAST(id % 130 AS VARCHAR), 18, '0') AS nip, deskripsi AS mapel,
                CASE WHEN id % 2 = 0 THEN 'kelas_25, KELAS_' || CAST(25 + id % 40 AS VARCHAR) END AS kelas FROM tugas),
 known AS (SELECT * FROM req WHERE user_id IN (SELECT id FROM users)),
-{_claim_ctes("known", "mailed", "email", "SELECT id AS holder, lower(email) AS k FROM users", "email_taken")},
-{_claim_ctes("mailed", "valid", "nip", "SELECT user_id AS holder, lower(nip) AS k FROM guru_details", "nip_taken")},
+{_replay_ctes("known", [("email", "SELECT id AS u, email AS key FROM users", True),
+                        ("nip", "SELECT user_id AS u, nip AS key FROM guru_details", False)])},
+valid AS (SELECT known.* FROM known JOIN verdicts USING (request_id) WHERE reason = ''),
+said AS (SELECT user_id, arg_max(name, request_id) AS name, arg_max(email, request_id) FILTER (email IS NOT NULL) AS email
+         FROM valid GROUP BY user_id),
 won AS (SELECT max(request_id) AS request_id FROM valid GROUP BY user_id),
 lst AS (SELECT * FROM valid WHERE request_id IN (SELECT request_id FROM won)),
 detail AS (
@@ -524,7 +596,7 @@ def w05(t):
 
 @register("w05_teacher_upsert_users", """
 SELECT u.id, coalesce(l.name, u.name) AS name, coalesce(l.email, u.email) AS email
-FROM users u LEFT JOIN lst l ON l.user_id = u.id
+FROM users u LEFT JOIN said l ON l.user_id = u.id
 """, ctes=_W05_REQ)
 def w05_users(t):
     return W.teacher_upsert(t, _teacher_saves(t)).tables.users.select("id", "name", "email")

@@ -120,4 +120,5 @@ def with_fixtures(body: str, ctes: str = "") -> str:
     if body.startswith("WITH"):         # a body with CTEs of its own
         body = f"SELECT * FROM ({body})"
     extra = f",\n{ctes.strip().rstrip(',')}" if ctes.strip() else ""
-    return f"WITH {FIXTURE_CTES.strip()}{extra}\n{body}"
+    recursive = " RECURSIVE" if "USING KEY" in extra else ""
+    return f"WITH{recursive} {FIXTURE_CTES.strip()}{extra}\n{body}"
