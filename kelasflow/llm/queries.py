@@ -128,7 +128,7 @@ FROM n WINDOW w AS (PARTITION BY t)
 # Formats whose findings count as labelled: what fits one of the first is a secret,
 # what fits one of the others is none.
 SECRET_FORMS = (r"AKIA[0-9A-Z]{16}", r"password=[0-9a-f]{12,}", r"(?<=token = \")[0-9a-f]{32,}(?=\")")
-HARMLESS_FORMS = (r"(?<![0-9A-Za-z+/=_.-])[0-9]{16,19}(?![0-9A-Za-z+/=_.-])", r"(?<=@)[a-z0-9-]+(?:\.[a-z0-9-]+)+")
+HARMLESS_FORMS = (r"(?<![0-9A-Za-z+/=_.-])[0-9]{16,19}(?![0-9A-Za-z+/=_.-])", r"(?<=@)[a-z0-9-]++(?:\.[a-z0-9-]++)++")
 
 
 def _labelled_findings(docs: DataFrame) -> DataFrame:

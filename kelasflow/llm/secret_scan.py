@@ -10,7 +10,6 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -18,12 +17,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kelasflow.llm.common import materialize, text_of
+from kelasflow.llm.text import NOT_SPACE, chunks
+from kelasflow.llm.word_codes import runs, word_array
 
 CANDIDATE = re.compile(r"[A-Za-z0-9+/=_.-]{16,}")
 DICTIONARY = 20_000             # most frequent words of the corpus
 MAX_TRAIN = 20_000              # labelled findings that the forest is fitted on
 NEIGHBOUR_PRIOR = 5.0           # findings' worth of the overall rate in a word's rate
 THRESHOLD = 0.5
+COUNT_BYTES = 4 << 20           # text whose words are counted at once
 STRETCH = 256                   # characters within which findings are looked for around a candidate
 FEATURES = ("length", "turns", "digits", "uppers", "hex_share", "surprise", "coverage", "assigned", "quoted",
             "path_depth", "path_rate", "before_rate", "after_rate")
@@ -33,14 +35,21 @@ _log = logging.getLogger(__name__)
 
 def dictionary(docs: DataFrame, text_col: str = "text", words: int = DICTIONARY) -> list[tuple[str, int]]:
     """The most frequent words of 3 to 12 letters a-z, over all texts; ties by
-    the word.  Words are counted per batch before the shuffle."""
+    the word.  Words are counted per bounded run of documents before the
+    shuffle."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            flat = pc.list_flatten(pc.utf8_split_whitespace(pc.ascii_lower(b.column(0).cast(pa.large_string()))))
-            seen = pc.value_counts(flat)
-            word, n = seen.field("values"), seen.field("counts")
-            good = pc.match_substring_regex(word, "^[a-z]{3,12}$")
-            yield pa.RecordBatch.from_arrays([word.filter(good).cast(pa.string()), n.filter(good)], names=["word", "n"])
+            for c in chunks(b.column(0), COUNT_BYTES):
+                start, end, _ = runs(c, c.low, NOT_SPACE)
+                if not len(start):
+                    continue
+                others = np.concatenate([[0], np.cumsum((c.low < 97) | (c.low > 122))])
+                size = end - start
+                good = (others[end] == others[start]) & (size >= 3) & (size <= 12)
+                body = c.low[NOT_SPACE[c.low]][np.repeat(good, size)]
+                seen = word_array(body, size[good]).value_counts()
+                yield pa.RecordBatch.from_arrays([seen.field("values").cast(pa.large_string()).cast(pa.string()),
+                                                  seen.field("counts")], names=["word", "n"])
 
     counted = (docs.select(text_of(text_col).alias("t")).mapInArrow(count, "word string, n long")
                .groupBy("word").agg(F.sum("n").alias("n")))

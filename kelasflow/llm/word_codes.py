@@ -19,13 +19,16 @@ def runs(c: Chunk, data: np.ndarray, allowed: np.ndarray) -> tuple[np.ndarray, n
     return start, end, np.searchsorted(c.ends, start, "left")
 
 
+def word_array(body: np.ndarray, size: np.ndarray) -> pa.Array:
+    """Words of the given sizes that stand one after another in ``body``."""
+    offsets = np.zeros(len(size) + 1, np.int64)
+    np.cumsum(size, out=offsets[1:])
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(size),
+                                            [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(body))])
+
+
 def encode(data: np.ndarray, allowed: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, pa.Array]:
     """(number of each word, the distinct words): equal numbers are equal
     bytes.  ``start`` and ``end`` are all runs of ``allowed`` bytes in ``data``."""
-    offsets = np.zeros(len(start) + 1, np.int64)
-    np.cumsum(end - start, out=offsets[1:])
-    body = np.ascontiguousarray(data[allowed[data]])
-    words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(start),
-                                             [None, pa.py_buffer(offsets), pa.py_buffer(body)])
-    coded = words.dictionary_encode()
+    coded = word_array(data[allowed[data]], end - start).dictionary_encode()
     return coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary
