@@ -31,7 +31,7 @@ CANDIDATE = r"(?:\G|(?<![A-Za-z0-9@._%+-]))[A-Za-z._%+-]*+[0-9@][A-Za-z0-9@._%+-
 # The shape that a candidate needs to be taken for a kind that the base missed.
 SHAPE = {
     "email": r"^[^@]+@[^@]+$",
-    "ip": r"^[0-9]+(\.[0-9]+){3,}$",
+    "ip": r"^[0-9]++(?:\.[0-9]++){3,}+$",
     "card": r"^[0-9](-?[0-9]){12,18}$",
     "phone": r"^\+?[0-9]([-.]?[0-9]){6,14}$",
 }
@@ -45,6 +45,7 @@ GROUPED = {
 GROUPED_HINT = {"card": r"[0-9](?:[\x20-]?+[0-9]){12}", "phone": r"[0-9](?:[\x20().-]*+[0-9]){6}"}
 GROUPED_DIGITS = {"card": (13, 19), "phone": (7, 15)}
 CONTEXT_CHARS = 64
+PIECE = 512
 ROUNDS = 3
 MIN_CONFIDENCE = 0.6
 MIN_SEEDS = 3
@@ -120,24 +121,48 @@ def span_text(spans: Column) -> Column:
         ":", F.element_at(kinds, s["rank"] + 1), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def _context(text: Column, start: Column) -> Column:
-    """The last two words before a place, lower-cased, from a bounded stretch of text."""
+def _context(pieces: Column, start: Column) -> Column:
+    """The last two words before a place, lower-cased, from a bounded stretch of
+    the text, which comes in pieces of PIECE characters."""
     begin = F.greatest(F.lit(0), start - CONTEXT_CHARS)
-    before = F.split(F.trim(F.regexp_replace(F.lower(text.substr(begin + 1, start - begin)), r"\s+", " ")), " ")
+    at = F.floor(begin / PIECE).cast("int")
+    near = F.concat(F.coalesce(F.get(pieces, at), F.lit("")), F.coalesce(F.get(pieces, at + 1), F.lit("")))
+    near = near.substr(begin - at * PIECE + 1, start - begin)
+    before = F.split(F.trim(F.regexp_replace(F.lower(near), r"\s+", " ")), " ")
     return F.array_join(F.slice(before, -F.least(F.lit(2), F.size(before)), F.lit(2)), " ")
 
 
-def _overlaps(a: Column, b: Column) -> Column:
-    return (a["start"] < b["end"]) & (b["start"] < a["end"])
+def _below(values: Column, x: Column) -> Column:
+    """How many numbers of a sorted array are less than ``x``, by bisection."""
+    first = F.struct(F.lit(0).alias("lo"), F.size(values).alias("hi"))
 
+    def halve(acc: Column, _: Column) -> Column:
+        mid = F.shiftright(acc["lo"] + acc["hi"], 1)
+        less = F.get(values, mid) < x
+        return F.when(acc["lo"] < acc["hi"], F.struct(
+            F.when(less, mid + 1).otherwise(acc["lo"]).alias("lo"),
+            F.when(less, acc["hi"]).otherwise(mid).alias("hi"))).otherwise(acc)
+    steps = F.sequence(F.lit(0), F.ceil(F.log2(F.size(values) + F.lit(1.0))).cast("int"))
+    return F.aggregate(steps, first, halve)["lo"]
 
-def _grouped(text: Column, kind: str, taken: Column) -> Column:
+
+def _met(taken: list[tuple[Column, Column]], m: Column) -> list[tuple[Column, Column, Column]]:
+    """Per kind, with the starts and ends of its spans (sorted, not
+    overlapping): whether some overlap ``m``, the first start, the last end."""
+    out = []
+    for starts, ends in taken:
+        lo, hi = _below(ends, m["start"] + 1), _below(starts, m["end"])
+        out.append((lo < hi, F.when(lo < hi, F.get(starts, lo)), F.when(lo < hi, F.get(ends, hi - 1))))
+    return out
+
+
+def _grouped(text: Column, kind: str, taken: list[tuple[Column, Column]]) -> Column:
     """Matches of GROUPED, as find_all gives them; of a match that runs into
     ``taken`` spans, what stands before the first and after the last of them."""
     def pieces(m: Column) -> Column:
-        over = F.filter(taken, lambda b: _overlaps(b, m))
-        first = F.coalesce(F.array_min(F.transform(over, lambda b: b["start"])), m["end"])
-        last = F.coalesce(F.array_max(F.transform(over, lambda b: b["end"])), m["end"])
+        met = _met(taken, m)
+        first = F.coalesce(F.least(*[a for _, a, _ in met]), m["end"])
+        last = F.coalesce(F.greatest(*[b for _, _, b in met]), m["end"])
         head = F.regexp_replace(m["value"].substr(F.lit(1), first - m["start"]), r"(?<![\x20().-])[\x20().-]++$", "")
         tail = F.regexp_replace(m["value"].substr(last - m["start"] + 1, F.greatest(F.lit(0), m["end"] - last)),
                                 r"^[\x20).-]+", "")
@@ -203,21 +228,36 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # a candidate is kept once for each kind whose shape it has and whose base refused it
     found = find_all(F.col("text"), CANDIDATE, "[0-9@]")
 
-    def free(m: Column) -> Column:
-        return ~F.exists("full", lambda b: _overlaps(b, m))
+    # starts and ends per kind, in order; the text in pieces, so that a place is found without reading up to it
+    def of_rank(i: int) -> Column:
+        return F.filter("full", lambda b: b["rank"] == i)
+
+    def of_shape(kind: str) -> Column:
+        return F.filter("free", lambda m: m["value"].rlike(SHAPE[kind]))
+    based = based.withColumns({f"start{i}": F.transform(of_rank(i), lambda b: b["start"]) for i in range(len(KINDS))})
+    based = based.withColumns({f"end{i}": F.transform(of_rank(i), lambda b: b["end"]) for i in range(len(KINDS))})
+    taken = [(F.col(f"start{i}"), F.col(f"end{i}")) for i in range(len(KINDS))]
     shaped = F.filter(found, lambda m: reduce(lambda c, k: c | m["value"].rlike(SHAPE[k]), KINDS, F.lit(False)))
-    with_free = based.withColumn("free", shaped).withColumn("free", F.filter("free", free))
+    with_free = based.withColumn("free", shaped).withColumn(
+        "free", F.filter("free", lambda m: ~reduce(lambda c, x: c | x[0], _met(taken, m), F.lit(False))))
+    with_free = with_free.withColumns({f"run_{k}": of_shape(k) for k in KINDS}).withColumns({
+        **{f"run_start_{k}": F.transform(f"run_{k}", lambda m: m["start"]) for k in GROUPED},
+        **{f"group_{k}": _grouped(F.col("text"), k, taken) for k in GROUPED},
+        "pieces": F.regexp_extract_all("text", F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))})
 
     def instances(spans: Column, rank: Column | None, seed: bool) -> Column:
         return F.transform(spans, lambda m: F.struct(
-            (m["rank"] if rank is None else rank).alias("rank"), _context(F.col("text"), m["start"]).alias("context"),
+            (m["rank"] if rank is None else rank).alias("rank"), _context(F.col("pieces"), m["start"]).alias("context"),
             m["value"].alias("value"), F.lit(seed).alias("seed"), m["start"].alias("start"), m["end"].alias("end")))
 
     def refused(rank: int, kind: str) -> Column:
-        runs = F.filter("free", lambda m: m["value"].rlike(SHAPE[kind]))
-        if kind in GROUPED:
-            runs = F.array_union(runs, _grouped(F.col("text"), kind, F.col("full")))
-        return instances(runs, F.lit(rank), False)
+        own = F.col(f"run_{kind}")
+        if kind in GROUPED:             # a group of digits that is a run itself is not another instance
+            def again(m: Column) -> Column:
+                same = F.get(own, _below(F.col(f"run_start_{kind}"), m["start"]))
+                return F.coalesce((same["start"] == m["start"]) & (same["end"] == m["end"]), F.lit(False))
+            own = F.concat(own, F.filter(f"group_{kind}", lambda m: ~again(m)))
+        return instances(own, F.lit(rank), False)
     seeds = instances(F.col("full"), None, True)
     others = F.flatten(F.array(*[refused(i, k) for i, k in enumerate(KINDS)]))
     base = F.transform("full", lambda b: F.struct(b["start"].alias("start"), b["rank"].alias("rank"),
