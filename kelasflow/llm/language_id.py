@@ -12,12 +12,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kelasflow.llm.common import text_of
+from kelasflow.llm.common import materialize, text_of
 
 UNKNOWN = "und"
 PROFILE = 300               # most frequent n-grams of a document or a language
 MAX_TRAIN = 1_500           # documents per language that a profile is counted from
-MAX_LANGUAGES = 1_000       # the most frequent labels; bounds the broadcast profiles
 CHARS_AT_ONCE = 1 << 18
 _BITS = 21                  # a code point needs 21 bits: three fill an n-gram code
 
@@ -90,42 +89,44 @@ def _runs(col: pa.Array) -> Iterator[list[str]]:
 
 @dataclass
 class Profiles:
-    """Ranks of every profile n-gram: one row per n-gram, one column per language."""
+    """The languages that have each n-gram in their profile, and its rank there:
+    n-gram i has the entries first[i] .. first[i + 1] - 1."""
 
     langs: list[str]
     grams: np.ndarray           # sorted
-    ranks: np.ndarray           # PROFILE where a language does not have the n-gram
+    first: np.ndarray
+    lang: np.ndarray            # index into langs, per entry
+    rank: np.ndarray
 
     def distances(self, doc: np.ndarray) -> np.ndarray:
         """Sum over the document's n-grams of how far each is out of its place
         in a language's profile; one that is not there counts PROFILE."""
         at = np.searchsorted(self.grams, doc)
         at[at == len(self.grams)] = 0
-        there = self.grams[at] == doc
-        far = np.full((len(doc), len(self.langs)), PROFILE, np.int64)
-        far[there] = np.minimum(np.abs(self.ranks[at[there]] - np.flatnonzero(there)[:, None]), PROFILE)
-        far[there] = np.where(self.ranks[at[there]] >= PROFILE, PROFILE, far[there])
-        return far.sum(axis=0)
+        place = np.flatnonzero(self.grams[at] == doc) if len(self.grams) else np.zeros(0, np.int64)
+        at = at[place]
+        size = self.first[at + 1] - self.first[at]
+        entry = np.repeat(self.first[at] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+        near = PROFILE - np.minimum(np.abs(self.rank[entry] - np.repeat(place, size)), PROFILE)
+        saved = np.bincount(self.lang[entry], near, len(self.langs)).astype(np.int64)
+        return PROFILE * len(doc) - saved
 
 
 def train(docs: DataFrame, may_learn: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
-          max_train: int = MAX_TRAIN, profile: int = PROFILE, max_languages: int = MAX_LANGUAGES) -> Profiles:
+          max_train: int = MAX_TRAIN, profile: int = PROFILE) -> Profiles:
     """Profiles of the labels of documents that satisfy ``may_learn`` (a
     condition on the columns ``id`` and ``lang``) and have a label.
 
     Of each language about ``max_train`` documents are counted, chosen by a
     hash of text and id without a shuffle of texts; whole texts are counted.
-    Ties of frequency go by the n-gram's code.
+    Ties of frequency go by the n-gram's code.  Every label has a profile;
+    the model, which is broadcast, takes some ten kilobytes a label.
     """
     own = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text"), F.col(lang_col).alias("lang"))
     own = own.where(F.col("lang").isNotNull()).where(may_learn)
-    counts = own.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()
-    if not counts:
-        return Profiles([], np.zeros(0, np.int64), np.zeros((0, 0), np.int64))
-    share = F.element_at(F.create_map(*[x for r in counts for x in (
-        F.lit(r["lang"]), F.lit(min(1.0, max_train / r["count"])))]), F.col("lang"))
+    counts = materialize(own.groupBy("lang").agg(F.count(F.lit(1)).alias("_docs")), "labels")     # one row a label
     place = F.pmod(F.xxhash64("text", "id"), F.lit(1 << 40)) / float(1 << 40)
-    sample = own.where(F.col("lang").isin([r["lang"] for r in counts])).where(place < share).select("lang", "text")
+    sample = own.join(counts, "lang").where(place < max_train / F.col("_docs")).select("lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -144,12 +145,12 @@ def train(docs: DataFrame, may_learn: Column, id_col: str = "doc_id", text_col:
     ranked = (sample.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
               .withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram")) - 1)
               .where(F.col("rank") < profile).select("lang", "gram", "rank").toPandas())
-    langs = sorted(r["lang"] for r in counts)
-    grams = np.unique(ranked["gram"].to_numpy(np.int64))
-    ranks = np.full((len(grams), len(langs)), profile, np.int64)
+    langs = sorted(r["lang"] for r in counts.select("lang").collect())
     col = {lang: i for i, lang in enumerate(langs)}
-    ranks[np.searchsorted(grams, ranked["gram"].to_numpy(np.int64)), [col[x] for x in ranked["lang"]]] = ranked["rank"]
-    return Profiles(langs, grams, ranks)
+    entry, lang = ranked["gram"].to_numpy(np.int64), np.array([col[x] for x in ranked["lang"]], np.int64)
+    order = np.lexsort((lang, entry))
+    grams, first = np.unique(entry[order], return_index=True)
+    return Profiles(langs, grams, np.append(first, len(entry)), lang[order], ranked["rank"].to_numpy(np.int64)[order])
 
 
 def _predict_udf(shared):
