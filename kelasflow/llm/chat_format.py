@@ -94,19 +94,19 @@ def format_chats(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "t
     that only stops too early has none).  Conversations are formatted either
     way.  A null text or role is an empty one; turns of equal number go by
     role, then text; repeated rows are turns of their own; a null turn comes
-    first; null ids are one conversation.  Turns are rendered before they
-    are gathered, and a conversation is gathered only as the one row that it
-    becomes.  An empty table gives no rows; other columns are not read.
+    first; null ids are one conversation.  Turns are put in order by the
+    text as it is and then escaped; a conversation is gathered only as the
+    one row that it becomes.  An empty table gives no rows; other columns are not read.
     """
     t = template
     role, text = F.coalesce(F.col(role_col), F.lit("")), F.coalesce(F.col(text_col), F.lit(""))
     # roles without own markers carry their names; the empty name is one, too
     seg = turns.select(
         F.col(conv_col).alias("_c"),
-        F.struct(F.col(turn_col).alias("turn"), role.alias("role"), escape(text, t).alias("text")).alias("_s"))
+        F.struct(F.col(turn_col).alias("turn"), role.alias("role"), text.alias("text")).alias("_s"))
     both = seg.groupBy("_c").agg(F.array_sort(F.collect_list("_s")).alias("_t"))
     segments = F.transform("_t", lambda s: F.struct(
-        s["role"].alias("role"), _opening(s["role"], t).alias("opening"), s["text"].alias("text"),
+        s["role"].alias("role"), _opening(s["role"], t).alias("opening"), escape(s["text"], t).alias("text"),
         _closing(s["role"], t).alias("closing"), s["role"].isin(*t.loss).alias("loss")))
     out = both.select("_c", segments.alias("segments"))
     walked = _walk(F.transform("segments", lambda s: s["role"]), t)
