@@ -31,43 +31,40 @@ from kelasflow.functions.shared import materialize
 BEFORE = -(1 << 63)             # the turn of what the snapshot holds
 
 
-def _until(events: DataFrame, name: str) -> DataFrame:
-    """Events (kind, user_id, turn, key) with the turn of the same user's next
-    event of that kind with another value; null if there is none.  A user's
-    own requests are put in order, nothing else is gathered."""
-    order = Window.partitionBy("kind", "user_id").orderBy("turn")
-    later = Window.partitionBy("kind", "user_id").orderBy(F.desc("turn")).rowsBetween(Window.unboundedPreceding, -1)
-    other = F.row_number().over(order).eqNullSafe(1) | ~F.col("key").eqNullSafe(F.lag("key").over(order))
-    return (events.withColumn("_changes", other)
-            .withColumn(name, F.last(F.when(F.col("_changes"), F.col("turn")), ignorenulls=True).over(later)))
-
-
-def _first_other(events: DataFrame, held: DataFrame, name: str) -> DataFrame:
-    """What the snapshot holds with the turn of its holder's first event of another value."""
-    ends = _until(events, "_next").drop("_changes")
-    first = ends.groupBy("kind", "user_id").agg(F.min_by(F.struct("turn", "key", "_next"), "turn").alias("_f"))
-    same = F.col("_f.key").eqNullSafe(F.col("key"))
-    return held.join(first, ["kind", "user_id"], "left").withColumn(
-        name, F.when(same, F.col("_f._next")).otherwise(F.col("_f.turn"))).drop("_f")
-
-
-def _holds(held: DataFrame, accepted: DataFrame, undecided: DataFrame | None) -> DataFrame:
-    """Holds (kind, key, holder, since, freed, maybe): ``freed`` is the turn
-    of the accepted event that ends one, ``maybe`` that of the first that could."""
-    taken = _until(accepted, "freed").where("_changes").drop("_changes")        # a value claimed again is one hold
-    sure = _first_other(accepted, held, "freed").unionByName(taken)
-    if undecided is None:
-        out = sure.withColumn("maybe", F.col("freed"))
-    else:
-        both = accepted.unionByName(undecided)
-        ends = _first_other(both, held, "maybe").unionByName(
-            _until(both, "maybe").drop("_changes"))
-        out = sure.join(ends.withColumnRenamed("key", "_k"), ["kind", "user_id", "turn"], "left").where(
-            F.col("_k").eqNullSafe(F.col("key"))).drop("_k")
+def _holds(state: DataFrame, held: DataFrame) -> DataFrame:
+    """Holds (kind, key, holder, since, freed, maybe): ``freed`` is the turn of
+    the accepted event of the same user and kind that ends one with another
+    value, ``maybe`` that of the first, accepted or open, that could.
+
+    ``state`` has the events (kind, user_id, turn, key, ok; ok null while
+    open), ``held`` what the snapshot holds.  A user's own events are put in
+    order, nothing else is gathered.  A value claimed again is one hold.
+    """
+    user = Window.partitionBy("kind", "user_id")
+    earlier = user.orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
+    later = user.orderBy(F.desc("turn")).rowsBetween(Window.unboundedPreceding, -1)
+    asked = F.col("turn") > BEFORE
+    value = F.struct("key")
+    rows = state.where("ok OR ok IS NULL").unionByName(held.withColumn("ok", F.lit(True)))
+    before = F.last(F.when(asked, value), ignorenulls=True).over(earlier)
+    kept = F.last(F.when(asked & F.col("ok"), value), ignorenulls=True).over(earlier)
+
+    def differs(previous: Column) -> Column:
+        return asked & (previous.isNull() | ~previous["key"].eqNullSafe(F.col("key")))
+    rows = rows.withColumns({"_open": differs(before), "_sure": differs(kept) & F.coalesce("ok", F.lit(False))})
+    rows = rows.withColumns({n: F.last(F.when(F.col(c), F.col("turn")), ignorenulls=True).over(later)
+                             for n, c in (("maybe", "_open"), ("freed", "_sure"))})
+    # what the snapshot holds ends with its holder's first event, or the one after if that has the same value
+    rows = rows.withColumns({f"{n}_next": F.last(F.when(F.col(c), F.struct("key", n)), ignorenulls=True).over(later)
+                             for n, c in (("maybe", "_open"), ("freed", "_sure"))})
     far = F.lit((1 << 63) - 1)
-    return out.where("key IS NOT NULL").select(
-        "kind", "key", F.col("user_id").alias("holder"), F.col("turn").alias("since"),
-        F.coalesce("freed", far).alias("freed"), F.coalesce("maybe", far).alias("maybe"))
+
+    def end(name: str) -> Column:
+        then = F.col(f"{name}_next")
+        same = ~asked & then["key"].eqNullSafe(F.col("key"))
+        return F.coalesce(F.when(same, then[name]).otherwise(F.col(name)), far).alias(name)
+    return rows.where((F.col("_sure") | ~asked) & F.col("key").isNotNull()).select(
+        "kind", "key", F.col("user_id").alias("holder"), F.col("turn").alias("since"), end("freed"), end("maybe"))
 
 
 def _met(claims: DataFrame, holds: DataFrame) -> DataFrame:
@@ -116,21 +113,18 @@ def settle_claims(requests: DataFrame, held: dict[str, DataFrame],
     near = snapshot.join(wanted, ["kind", "key"], "left_semi").unionByName(snapshot.join(people, ["kind", "user_id"], "left_semi"))
     before = materialize(near.distinct().select("kind", "user_id", F.lit(BEFORE).alias("turn"), "key"), "held")
 
-    accepted, undecided, refused = events.where("false"), events, []
-    while not undecided.isEmpty():
-        met = _met(undecided, _holds(before, accepted, undecided)).select("turn", (F.col("maybe") > F.col("turn")).alias("_sure"))
+    state = events.withColumn("ok", F.lit(None).cast("boolean"))
+    while not state.where("ok IS NULL").isEmpty():
+        undecided = state.where("ok IS NULL").drop("ok")
+        met = _met(undecided, _holds(state, before)).select("turn", (F.col("maybe") > F.col("turn")).alias("_sure"))
         rivals = _earlier_rivals(undecided).select("turn", F.lit(False).alias("_sure"))
-        open_ = met.unionByName(rivals).groupBy("turn").agg(F.max("_sure").alias("_sure"))
-        # true: accepted; false: refused; null: another round
-        ok = F.when(F.col("_sure").isNull(), True).when(F.col("_sure"), False)
-        settled = materialize(undecided.join(open_, "turn", "left").withColumn("_ok", ok).drop("_sure"), "round")
-        accepted = accepted.unionByName(settled.where("_ok").drop("_ok"))
-        refused.append(settled.where("NOT _ok").drop("_ok"))
-        undecided = settled.where("_ok IS NULL").drop("_ok")
+        waits = met.unionByName(rivals).groupBy("turn").agg(F.max("_sure").alias("_sure"))
+        # accepted without a hold or a rival in the way, refused by a sure hold, else open for another round
+        now = F.when(F.col("_sure").isNull(), True).when(F.col("_sure"), False)
+        state = materialize(state.join(waits, "turn", "left").withColumn("ok", F.coalesce("ok", now)).drop("_sure"), "round")
 
     rank = F.create_map(*[x for i, k in enumerate(kinds) for x in (F.lit(k), F.lit(i))])
-    why = _met(reduce(DataFrame.unionByName, refused, events.where("false")), _holds(before, accepted, None))
-    why = why.groupBy("turn").agg(
+    why = _met(state.where("NOT ok").drop("ok"), _holds(state, before)).groupBy("turn").agg(
         F.min_by(_reason(), F.struct(F.element_at(rank, F.col("kind")), "since")).alias("reason"))
     turns = requests.select(F.col("request_id").cast("bigint").alias("turn"))
     return materialize(turns.join(why, "turn", "left").select(F.col("turn").alias("request_id"), "reason"), "verdicts")

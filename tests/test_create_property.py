@@ -10,30 +10,23 @@ from kelasflow.sources.catalog import from_rows
 from tests.conftest import ts
 
 email = st.sampled_from(["a@x", "A@X", "b@x", "c@x", "old@x"])
-nisn = st.one_of(st.none(), st.sampled_from(["1", "2", "held"]))
+nisn = st.one_of(st.none(), st.sampled_from(["1", "2", "s9", "S9", "HELD"]))
 
 
 def brute(reqs):
-    taken_e, held = {"old@x"}, {"held"}
-    out, seen_e, seen_n, ok = {}, set(), set(), []
+    """The requests one by one: a refused one takes neither e-mail nor number."""
+    emails, numbers = {"old@x": ""}, {"held": ""}
+    out, ok = {}, []
     for rid, e, n in sorted(reqs):
-        if e.lower() in taken_e:
-            out[rid] = "email_taken"
-        elif n is not None and n in held:
-            out[rid] = "nisn_taken"
-    for rid, e, n in sorted(reqs):
-        if rid in out:
-            continue
-        if e.lower() in seen_e:
-            out[rid] = "email_taken_in_batch"
-            continue
-        seen_e.add(e.lower())
-        if n is not None and n in seen_n:
-            out[rid] = "nisn_taken_in_batch"
-            continue
-        if n is not None:
-            seen_n.add(n)
-        ok.append(rid)
+        if e.lower() in emails:
+            out[rid] = "email_taken" + emails[e.lower()]
+        elif n is not None and n.lower() in numbers:
+            out[rid] = "nisn_taken" + numbers[n.lower()]
+        else:
+            emails[e.lower()] = "_in_batch"
+            if n is not None:
+                numbers[n.lower()] = "_in_batch"
+            ok.append(rid)
     for i, rid in enumerate(ok):
         out[rid] = 100 + i + 1          # max user id 100 + rank
     return out
