@@ -21,9 +21,10 @@ def _keys(docs: DataFrame, id_col: str, norm: Column, hash_of: Callable[[Column]
 
 
 def _shared_ids(keys: DataFrame) -> DataFrame:
-    """Ids of the rows whose hash another row has, too; written, so that its
-    size is known to the plans that read it."""
-    shared = keys.groupBy("_h").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_h")
+    """Ids of the rows whose hash another row has, too.  Hashes and ids are
+    written, so that their sizes are known to the plans that read them and a
+    hash of very many rows is joined, not gathered."""
+    shared = materialize(keys.groupBy("_h").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_h"), "shared-hashes")
     return materialize(keys.join(shared, "_h", "left_semi").select("_id").distinct(), "shared-ids")
 
 
