@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from kelasflow.plans import reg_changes as RC
 from kelasflow.plans.reg_progress import _PROGRESS_SQL
 from kelasflow.plans.registry import register, register_twin
+from kelasflow.streaming import first_wins, grades
 from kelasflow.streaming import streams as S
 
 
@@ -19,14 +20,15 @@ def _dirs(t, name):
     return {k: f"{base}/{k}" for k in ("in", "out", "ckpt", "snap")}
 
 
+# The files arrive in no order of time: most rows are late and correct closed days.
 @register("s01_daily_activity_stream", """
 SELECT CAST(created_at AS DATE) AS tanggal, count(*) AS total FROM activity_logs GROUP BY 1
 """)
 def s01(t):
     d = _dirs(t, "s01")
     S.stage(t.activity_logs, d["in"], FILES)
-    return S.run_daily_activity(t.spark, d["in"], d["out"], d["ckpt"], t.activity_logs.schema, FILES_PER_BATCH,
-                                lateness="60 days")        # files arrive in no order of time
+    return S.run_daily_counts(t.spark, d["in"], d["out"], d["ckpt"], t.activity_logs.schema,
+                              FILES_PER_BATCH).select("tanggal", "total")
 
 
 @register("s02_message_feed_stream", """
@@ -43,8 +45,8 @@ def _first_wins(t, *keys):
     d = _dirs(t, "s03")
     snap, reqs = RC._submit_split(t)
     S.stage(reqs, d["in"], FILES, *keys)
-    out = S.run_first_wins(t.spark, snap, d["in"], d["snap"], d["out"], d["ckpt"], reqs.schema, FILES_PER_BATCH)
-    return out, S.stored_submissions(t.spark, d["snap"], t.pengumpulan_tugas.schema)
+    out = first_wins.run_first_wins(t.spark, snap, d["in"], d["snap"], d["out"], d["ckpt"], reqs.schema, FILES_PER_BATCH)
+    return out, first_wins.stored_submissions(t.spark, d["snap"], t.pengumpulan_tugas.schema)
 
 
 # The requests of an assignment arrive together: outcomes are those of the batch job.
@@ -83,5 +85,6 @@ def s05(t):
     d = _dirs(t, "s05")
     reqs = RC._grade_requests(t)
     S.stage(reqs, d["in"], FILES, "tugas_id")      # a pair's requests arrive together
-    snap = S.run_grade_requests(t.spark, t, d["in"], d["snap"], d["ckpt"], reqs.schema, FILES_PER_BATCH)
+    snap = grades.run_grade_requests(t.spark, t, d["in"], d["snap"], d["ckpt"], reqs.schema, FILES_PER_BATCH,
+                                     compact_every=2)
     return snap.select("id", "tugas_id", "siswa_id", "nilai")

@@ -17,16 +17,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kelasflow.operators import changes as W
 from kelasflow.operators import progress as P
 from kelasflow.session import checkpoint_root
 from kelasflow.sources.catalog import Tables
 
-# Submissions are stored in this many folders by a hash of the assignment; a
-# micro-batch reads (S03) or rewrites (S05) only the folders it names.
-BUCKETS = 64
-
-
 def scratch(spark: SparkSession, name: str) -> str:
     """A fresh folder under the cluster's checkpoint dir (a local temp dir is
     installed only when the session names none, i.e. in local tests)."""
@@ -74,21 +68,6 @@ def _write_batch(path: str) -> Callable[[DataFrame, int], None]:
     return write
 
 
-def _bucket():
-    return F.pmod(F.hash(F.col("tugas_id").cast("bigint")), F.lit(BUCKETS)).alias("_bucket")
-
-
-def _named_buckets(batch: DataFrame) -> list[int]:
-    """The buckets whose assignments a batch names; at most BUCKETS values."""
-    return [r[0] for r in batch.select(_bucket()).distinct().collect()]
-
-
-def _write_buckets(df: DataFrame, path: str) -> None:
-    """Replace the buckets present in ``df``; the others stay as they are."""
-    (df.withColumn("_bucket", _bucket()).write.mode("overwrite")
-     .option("partitionOverwriteMode", "dynamic").partitionBy("_bucket").parquet(path))
-
-
 # ------------------------------------------------------------- S01 daily count
 def daily_activity(logs: DataFrame, lateness: str = "1 day") -> DataFrame:
     """Streaming count of log rows per calendar day.  Rows later than the
@@ -118,6 +97,37 @@ def run_daily_activity(spark: SparkSession, logs_path: str, out: str, ckpt: str,
     return latest_per_key(spark.read.parquet(out), ["tanggal"], ["total"])
 
 
+def run_daily_counts(spark: SparkSession, logs_path: str, out: str, ckpt: str, schema,
+                     max_files: int | None = None, lateness: str = "1 day") -> DataFrame:
+    """S01 without loss: (tanggal, total, late) per calendar day.
+
+    Every micro-batch adds the counts of its days under ``<out>/days``.  A row
+    more than ``lateness`` behind the newest row of earlier batches is late:
+    its day was closed.  Late rows are kept under ``<out>/late``, and their
+    counts correct the closed days; nothing is dropped.  Each batch writes
+    its own folders with overwrite and reads those of earlier batches only,
+    so a retried batch replaces its output.
+    """
+    days, late = f"{out}/days", f"{out}/late"
+
+    def apply(batch: DataFrame, batch_id: int) -> None:
+        newest = None
+        if batch_id:
+            newest = spark.read.parquet(days).where(F.col("_batch") < batch_id).agg(F.max("newest")).first()[0]
+        closed = F.lit(newest) - F.expr(f"INTERVAL {lateness}") if newest is not None else F.lit(None)
+        rows = batch.withColumn("_late", F.coalesce(F.col("created_at") < closed, F.lit(False)))
+        rows.where("_late").drop("_late").write.mode("overwrite").parquet(f"{late}/_batch={batch_id}")
+        (rows.groupBy(F.to_date("created_at").alias("tanggal"))
+         .agg(F.count(F.lit(1)).alias("total"), F.count(F.when(F.col("_late"), 1)).alias("late"),
+              F.max("created_at").alias("newest"))
+         .write.mode("overwrite").parquet(f"{days}/_batch={batch_id}"))
+
+    run(source(spark, logs_path, schema, max_files).writeStream
+        .option("checkpointLocation", ckpt).foreachBatch(apply))
+    return (spark.read.parquet(days).groupBy("tanggal")
+            .agg(F.sum("total").alias("total"), F.sum("late").alias("late")))
+
+
 # --------------------------------------------------------- S02 message feed
 def message_feed(messages: DataFrame, users: DataFrame) -> DataFrame:
     """Stream-static join: each new non-blank message with the sender's name
@@ -135,45 +145,6 @@ def run_message_feed(spark: SparkSession, t: Tables, msg_path: str, out: str, ck
     return spark.read.parquet(out)
 
 
-# ------------------------------------------------ S03 first-write-wins stream
-def run_first_wins(spark: SparkSession, t: Tables, req_path: str, snap_path: str, out: str, ckpt: str,
-                   schema, max_files: int | None = None) -> DataFrame:
-    """Each micro-batch is applied with the batch job W10 against the
-    submissions accepted so far (initial snapshot + earlier batches, read
-    back from storage so lineage stays short).  The rule has no time bound,
-    so state is the submission table itself rather than a state store.
-
-    Accepted rows of a batch are stored under ``_batch=<id>``, by bucket of
-    the assignment; a batch reads only the buckets that it names, of earlier
-    batches only, so a retried batch does not see its own output.  Ids follow
-    the largest one stored.
-    """
-    schema_out = t.pengumpulan_tugas.schema
-    (t.pengumpulan_tugas.withColumn("_bucket", _bucket()).write.partitionBy("_bucket")
-     .parquet(f"{snap_path}/_batch=-1"))
-    columns = [F.col(f.name).cast(f.dataType).alias(f.name) for f in schema_out]
-
-    def apply(batch: DataFrame, batch_id: int) -> None:
-        stored = spark.read.parquet(snap_path).where(F.col("_batch") < batch_id)
-        current = stored.where(F.col("_bucket").isin(_named_buckets(batch))).select(*columns)
-        top = stored.agg(F.coalesce(F.max("id"), F.lit(0)).alias("id")).first()[0]
-        ch = W.submit_first_wins(t.replace(pengumpulan_tugas=current), batch, after=top)
-        (ch.emitted["pengumpulan_tugas"].withColumn("_bucket", _bucket()).write.mode("overwrite")
-         .partitionBy("_bucket").parquet(f"{snap_path}/_batch={batch_id}"))
-        (ch.emitted["accepted"].select("request_id", F.lit("accepted").alias("outcome"))
-         .unionByName(ch.rejects.withColumnRenamed("reason", "outcome"))
-         .write.mode("overwrite").parquet(f"{out}/_batch={batch_id}"))
-
-    run(source(spark, req_path, schema, max_files).writeStream
-        .option("checkpointLocation", ckpt).foreachBatch(apply))
-    return spark.read.parquet(out).drop("_batch")
-
-
-def stored_submissions(spark: SparkSession, snap_path: str, schema) -> DataFrame:
-    """The submission table that S03 has built so far."""
-    return spark.read.parquet(snap_path).select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema])
-
-
 # --------------------------------------------- S04 live assignment progress
 def run_live_progress(spark: SparkSession, t: Tables, sub_path: str, out: str, ckpt: str, schema,
                       max_files: int | None = None) -> DataFrame:
@@ -190,27 +161,7 @@ def run_live_progress(spark: SparkSession, t: Tables, sub_path: str, out: str, c
             .select("id", F.coalesce("jumlah_kumpul", F.lit(0)).alias("jumlah_kumpul"), "jumlah_siswa"))
 
 
-# ------------------------------------------------ S05 change-request apply
-def run_grade_requests(spark: SparkSession, t: Tables, req_path: str, snap_root: str, ckpt: str, schema,
-                       max_files: int | None = None) -> DataFrame:
-    """Grade requests applied batch by batch with W11.  The table is stored by
-    bucket of the assignment; a batch reads and replaces only the buckets
-    that it names.  Setting a grade twice is setting it once, so a retried
-    batch does no harm."""
-    _write_buckets(t.pengumpulan_tugas, snap_root)
-    columns = t.pengumpulan_tugas.columns
-
-    def apply(batch: DataFrame, batch_id: int) -> None:
-        current = (spark.read.parquet(snap_root).where(F.col("_bucket").isin(_named_buckets(batch)))
-                   .select(*columns))
-        ch = W.post_grades(t.replace(pengumpulan_tugas=current), batch)
-        _write_buckets(ch.tables.pengumpulan_tugas, snap_root)
-
-    run(source(spark, req_path, schema, max_files).writeStream
-        .option("checkpointLocation", ckpt).foreachBatch(apply))
-    return spark.read.parquet(snap_root).select(*columns)
-
-
+# ----------------------------------------------------- S03, bounded variant
 def first_wins_within(requests: DataFrame, bound: str = "7 days") -> DataFrame:
     """S03, bounded variant: keep the first arrival of each (assignment,
     student) pair among requests no further apart than ``bound`` in event

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from kelasflow import session
 from kelasflow.functions.ids import assign_ids
 from kelasflow.operators import audit, changes
-from kelasflow.streaming import streams
+from kelasflow.streaming import first_wins, streams
 from tests.conftest import rows, ts
 from tests.test_edge_cases import school
 
@@ -144,11 +144,11 @@ def test_first_wins_stream_stores_what_it_accepts(spark, tmp_path):
     sub = "request_id long, tugas_id long, siswa_id long, file_path string, submitted_at timestamp_ntz"
     req = [(i, 503 + i % 2, 1 + i % 3, f"f{i}", ts(2024, 3, 5)) for i in range(1, 30)] + [(1000, 500, 1, "z", ts(2024, 3, 5))]
     src = streams.stage(spark.createDataFrame(req, sub), str(tmp_path / "in"), 5)
-    out = streams.run_first_wins(spark, t, src, str(tmp_path / "snap"), str(tmp_path / "out"), str(tmp_path / "c"),
-                                 spark.createDataFrame([], sub).schema, 1)
+    out = first_wins.run_first_wins(spark, t, src, str(tmp_path / "snap"), str(tmp_path / "out"), str(tmp_path / "c"),
+                                    spark.createDataFrame([], sub).schema, 1)
     got = dict(rows(out))
     assert len(got) == 30 and sum(v == "accepted" for v in got.values()) == 6
     assert got[1000] == "already_submitted"
-    stored = streams.stored_submissions(spark, str(tmp_path / "snap"), t.pengumpulan_tugas.schema)
+    stored = first_wins.stored_submissions(spark, str(tmp_path / "snap"), t.pengumpulan_tugas.schema)
     assert stored.count() == 5 + 6 and stored.select("id").distinct().count() == 11
     assert stored.where("tugas_id >= 503").select("tugas_id", "siswa_id").distinct().count() == 6

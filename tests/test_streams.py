@@ -1,12 +1,17 @@
 """Streams over several micro-batches equal their batch twins (or follow
 arrival order where that is the rule)."""
 
+import datetime as dt
+import random
 import time
 
+import pytest
 from pyspark.sql import functions as F
 
 from kelasflow.operators import activity
+from kelasflow.operators import changes as W
 from kelasflow.sources.catalog import from_rows
+from kelasflow.streaming import first_wins, grades
 from kelasflow.streaming import streams as S
 from tests.conftest import rows, ts
 from tests.test_edge_cases import school
@@ -39,7 +44,7 @@ def test_first_wins_across_batches_follows_arrival(spark):
                                 (13, 504, 2, "d", ts(2024, 3, 5))], schema)
     base = S.scratch(spark, "t-s03")
     land(spark, [b1, b2], f"{base}/in")
-    out = S.run_first_wins(spark, t, f"{base}/in", f"{base}/snap", f"{base}/out", f"{base}/ck", b1.schema,
+    out = first_wins.run_first_wins(spark, t, f"{base}/in", f"{base}/snap", f"{base}/out", f"{base}/ck", b1.schema,
                            max_files=1)
     assert dict(rows(out)) == {10: "accepted", 11: "already_submitted", 12: "accepted", 13: "duplicate_in_batch"}
 
@@ -51,7 +56,7 @@ def test_grade_stream_later_batch_wins(spark):
     b2 = spark.createDataFrame([(2, 500, 2, 75), (3, 502, 1, 88)], schema)
     base = S.scratch(spark, "t-s05")
     land(spark, [b1, b2], f"{base}/in")
-    snap = S.run_grade_requests(spark, t, f"{base}/in", f"{base}/snap", f"{base}/ck", b1.schema, max_files=1)
+    snap = grades.run_grade_requests(spark, t, f"{base}/in", f"{base}/snap", f"{base}/ck", b1.schema, max_files=1)
     g = {r.id: r.nilai for r in snap.collect()}
     assert g[2] == 75 and g[4] == 88 and g[1] == 0
 
@@ -85,5 +90,83 @@ def test_daily_activity_drops_rows_behind_the_watermark(spark):
     base = S.scratch(spark, "t-s01-late")
     land(spark, [b1, b2, b3], f"{base}/in")
     got = dict(rows(S.run_daily_activity(spark, f"{base}/in", f"{base}/out", f"{base}/ck", schema, max_files=1)))
-    import datetime as dt
     assert got == {dt.date(2024, 1, 1): 1, dt.date(2024, 1, 4): 1, dt.date(2024, 1, 5): 2}
+
+
+def files(spark, path, rows, schema, n):
+    """``rows`` as ``n`` files, in this order."""
+    for i in range(n):
+        spark.createDataFrame(rows[i::n], schema).coalesce(1).write.mode("append").parquet(path)
+
+
+def test_files_in_no_order_over_120_days_lose_no_row(spark):
+    rnd = random.Random(4)
+    logs = [(i, 1, "x", ts(2024, 1, 1) + dt.timedelta(days=rnd.randrange(120), hours=rnd.randrange(24))) for i in range(300)]
+    t = from_rows(spark, activity_logs=logs)
+    base = S.scratch(spark, "t-s01-any")
+    files(spark, f"{base}/in", logs, t.activity_logs.schema, 5)
+    got = S.run_daily_counts(spark, f"{base}/in", f"{base}/out", f"{base}/ck", t.activity_logs.schema, 1, "2 days")
+    assert rows(got.select("tanggal", "total")) == rows(activity.daily_usage(t, 1000))
+    late = spark.read.parquet(f"{base}/out/late")
+    assert got.agg(F.sum("late")).first()[0] == late.count() > 0
+    newest = {}                         # a late row lies behind the newest of the batches before its own
+    for b, at in spark.read.parquet(f"{base}/out/days").select("_batch", "newest").collect():
+        newest[b] = max(at, newest.get(b, at))
+    for r in late.collect():
+        assert r.created_at < max(v for b, v in newest.items() if b < r._batch) - dt.timedelta(days=2)
+
+
+def submissions(rnd, n, first=0):
+    return [(first + i, rnd.choice([500, 501, 502, 503, 999]), rnd.choice([1, 2, 3, 4, 77]), f"f{i}",
+             ts(2024, 3, 1) + dt.timedelta(minutes=rnd.randrange(9))) for i in range(n)]
+
+
+def test_first_wins_over_many_batches_and_a_restart_equals_w10(spark):
+    t = school(spark)
+    schema = "request_id long, tugas_id long, siswa_id long, file_path string, submitted_at timestamp_ntz"
+    rnd = random.Random(6)
+    base = S.scratch(spark, "t-s03-many")
+    batches = [submissions(rnd, 2, 100 + 10 * i) for i in range(10)]
+    args = (f"{base}/in", f"{base}/snap", f"{base}/out", f"{base}/ck")
+    want, now = {}, t
+    for i, batch in enumerate(batches):
+        req = spark.createDataFrame(batch, schema)
+        ch = W.submit_first_wins(now, req)
+        want |= {r.request_id: r.reason for r in ch.rejects.collect()}
+        want |= {r.request_id: "accepted" for r in ch.emitted["accepted"].collect()}
+        now = t.replace(pengumpulan_tugas=spark.createDataFrame(
+            ch.tables.pengumpulan_tugas.collect(), t.pengumpulan_tugas.schema))
+        req.coalesce(1).write.mode("append").parquet(f"{base}/in")
+        if i in (4, 9):                 # the stream stops and starts again in between
+            got = first_wins.run_first_wins(spark, t, *args, req.schema, max_files=1)
+    assert {r.request_id: r.outcome for r in got.collect()} == want
+    stored = first_wins.stored_submissions(spark, args[1], t.pengumpulan_tugas.schema)
+    assert rows(stored.select("id", "tugas_id", "siswa_id")) == rows(now.pengumpulan_tugas.select("id", "tugas_id", "siswa_id"))
+
+
+@pytest.mark.parametrize("dies_in", ["publish", "write"])
+def test_grades_survive_a_run_that_dies_while_it_compacts(spark, monkeypatch, dies_in):
+    t = school(spark)
+    schema = "request_id long, tugas_id long, siswa_id long, nilai int"
+    base = S.scratch(spark, "t-s05-dies")
+    reqs = [(1, 500, 2, 60), (2, 502, 1, 70), (3, 500, 2, None), (4, 999, 1, 5), (5, 502, 1, 88), (6, 500, 1, 11)]
+    for r in reqs:
+        spark.createDataFrame([r], schema).coalesce(1).write.mode("append").parquet(f"{base}/in")
+        time.sleep(1.1)
+    args = (f"{base}/in", f"{base}/store", f"{base}/ck", spark.createDataFrame([], schema).schema)
+
+    def dies(*_):
+        raise OSError("lost")
+    real = grades.publish
+    grades.start_store(t, args[1])
+    monkeypatch.setattr(grades, "publish" if dies_in == "publish" else "compact", dies)
+    with pytest.raises(Exception, match="lost"):
+        grades.run_grade_requests(spark, t, *args, max_files=1, compact_every=2)
+    got = {r.id: r.nilai for r in grades.stored_grades(spark, args[1], t.pengumpulan_tugas.schema).collect()}
+    assert got[2] == 60 and len(got) == t.pengumpulan_tugas.count()         # what came before is there
+    monkeypatch.undo()
+    assert grades.publish is real
+    got = grades.run_grade_requests(spark, t, *args, max_files=1, compact_every=2)
+    want = W.post_grades(t, spark.createDataFrame(reqs, schema)).tables.pengumpulan_tugas
+    assert rows(got.select("id", "nilai")) == rows(want.select("id", "nilai"))
+    assert grades.published(spark, args[1])[0] >= 1
