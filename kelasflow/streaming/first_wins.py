@@ -9,10 +9,8 @@ and nothing else; the stored table is not read again.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from contextlib import contextmanager
 
-import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,8 +21,7 @@ from kelasflow.streaming.streams import run, source
 
 STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-OUTCOMES = ("tugas_id bigint, siswa_id bigint, request_id bigint, file_path string, submitted_at timestamp_ntz, "
-            "outcome string")
+PAIR = ["tugas_id", "siswa_id"]
 
 
 @contextmanager
@@ -38,22 +35,18 @@ def _rocksdb(spark: SparkSession):
         spark.conf.set(STATE_STORE, old) if old else spark.conf.unset(STATE_STORE)
 
 
-def _settle(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-    """Outcomes of one pair's requests in one micro-batch."""
-    rows = pd.concat(list(frames), ignore_index=True)
-    taken = state.exists or bool(rows["stored"].any())
-    asked = rows[~rows["stored"]].sort_values(["submitted_at", "request_id"], na_position="first")
-    valid = asked["reason"].isna()
-    outcome = asked["reason"].where(~valid, "already_submitted" if taken else "duplicate_in_batch")
-    if not taken and valid.any():
-        outcome[valid.idxmax()] = "accepted"
-        taken = True
-    if taken and not state.exists:
-        state.update((True,))
-    if len(asked):
-        yield pd.DataFrame({"tugas_id": pd.array([key[0]] * len(asked), "Int64"),
-                            "siswa_id": pd.array([key[1]] * len(asked), "Int64"), "request_id": asked["request_id"],
-                            "file_path": asked["file_path"], "submitted_at": asked["submitted_at"], "outcome": outcome})
+def _judged(rows: DataFrame) -> DataFrame:
+    """The requests of a micro-batch with their outcome.  ``rows`` has them
+    (kind ``request``), the pairs that the state sees for the first time
+    (``new``) and, in the first batch, what the table holds (``seed``)."""
+    requests = rows.where("kind = 'request'").drop("kind")
+    fresh = rows.where("kind = 'new'").select(*PAIR).join(rows.where("kind = 'seed'").select(*PAIR), PAIR, "left_anti")
+    first = (requests.where("reason IS NULL").join(fresh, PAIR, "left_semi").groupBy(*PAIR)
+             .agg(F.min(F.struct("submitted_at", "request_id"))["request_id"].alias("_first")))
+    outcome = (F.when(F.col("reason").isNotNull(), F.col("reason")).when(F.col("_first").isNull(), "already_submitted")
+               .when(F.col("request_id") == F.col("_first"), "accepted").otherwise("duplicate_in_batch"))
+    return requests.join(first, PAIR, "left").select(*PAIR, "request_id", "file_path", "submitted_at",
+                                                     outcome.alias("outcome"))
 
 
 def _written(spark: SparkSession, path: str) -> bool:
@@ -82,31 +75,35 @@ def run_first_wins(spark: SparkSession, t: Tables, req_path: str, snap_path: str
         (spark.read.parquet(seed).agg(F.coalesce(F.max("id"), F.lit(0)).cast("bigint").alias("top"))
          .write.mode("overwrite").parquet(f"{marks}/_batch=-1"))
     null = F.lit(None)
-    stored = spark.readStream.schema(t.pengumpulan_tugas.schema).parquet(seed).select(
-        "tugas_id", "siswa_id", null.cast("bigint").alias("request_id"), null.cast("string").alias("file_path"),
-        null.cast("timestamp_ntz").alias("submitted_at"), F.lit(True).alias("stored"), null.cast("string").alias("reason"))
+    stored = spark.readStream.schema(t.pengumpulan_tugas.schema).parquet(seed).select(*PAIR)
     tasks = t.tugas.select(F.col("id").alias("tugas_id"), F.lit(True).alias("_task"))
     people = t.users.select(F.col("id").alias("siswa_id"), F.lit(True).alias("_person"))
     reason = F.when(F.col("_task").isNull(), "unknown_assignment").when(F.col("_person").isNull(), "unknown_student")
     asked = (source(spark, req_path, schema, max_files).join(tasks, "tugas_id", "left").join(people, "siswa_id", "left")
-             .select("tugas_id", "siswa_id", "request_id", "file_path", F.col("submitted_at").cast("timestamp_ntz"),
-                     F.lit(False).alias("stored"), reason.alias("reason")))
-    outcomes = (stored.unionByName(asked).groupBy("tugas_id", "siswa_id")
-                .applyInPandasWithState(_settle, OUTCOMES, "taken boolean", "append", "NoTimeout"))
+             .select(*PAIR, "request_id", "file_path", F.col("submitted_at").cast("timestamp_ntz"), reason.alias("reason")))
+    new = stored.unionByName(asked.where("reason IS NULL").select(*PAIR)).dropDuplicates(PAIR)      # the state
+
+    def marked(pairs: DataFrame, kind: str) -> DataFrame:
+        return pairs.select(*PAIR, null.cast("bigint").alias("request_id"), null.cast("string").alias("file_path"),
+                            null.cast("timestamp_ntz").alias("submitted_at"), null.cast("string").alias("reason"),
+                            F.lit(kind).alias("kind"))
+    rows = (asked.withColumn("kind", F.lit("request")).unionByName(marked(new, "new"))
+            .unionByName(marked(stored, "seed")))
 
     def apply(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{out}/_batch={batch_id}")
+        batch.write.mode("overwrite").parquet(f"{out}-rows/_batch={batch_id}")
+        _judged(spark.read.parquet(f"{out}-rows/_batch={batch_id}")).write.mode("overwrite").parquet(f"{out}/_batch={batch_id}")
         won = spark.read.parquet(f"{out}/_batch={batch_id}").where("outcome = 'accepted'")
         top = spark.read.parquet(marks).where(F.col("_batch") < batch_id).agg(F.max("top")).first()[0]
-        rows = assign_ids(won, ["request_id"], F.lit(top)).select(
+        accepted = assign_ids(won, ["request_id"], F.lit(top)).select(
             "id", "tugas_id", "siswa_id", "file_path", null.cast("int").alias("nilai"),
             F.col("submitted_at").alias("dikumpulkan_at"))
-        rows.write.mode("overwrite").parquet(f"{snap_path}/_batch={batch_id}")
+        accepted.write.mode("overwrite").parquet(f"{snap_path}/_batch={batch_id}")
         (won.agg((F.count(F.lit(1)) + top).cast("bigint").alias("top"))
          .write.mode("overwrite").parquet(f"{marks}/_batch={batch_id}"))
 
     with _rocksdb(spark):
-        run(outcomes.writeStream.outputMode("append").option("checkpointLocation", ckpt).foreachBatch(apply))
+        run(rows.writeStream.outputMode("append").option("checkpointLocation", ckpt).foreachBatch(apply))
     return spark.read.parquet(out).select("request_id", "outcome")
 
 
