@@ -417,8 +417,8 @@ def submit_first_wins(t: Tables, requests: DataFrame, after: int | None = None)
     known, nobody = _existing(known, "siswa_id", t.users, "unknown_student")
     # only the pairs asked for are looked up in the table, whichever side Spark moves
     have = t.pengumpulan_tugas.select(*key).join(known.select(*key).distinct(), key, "left_semi").distinct()
-    dup_old = known.join(have, key, "left_semi")
-    fresh = known.join(have, key, "left_anti")
+    judged = _cut(known.join(have.withColumn("_has", F.lit(True)), key, "left"))     # one pass over the table
+    dup_old, fresh = judged.where("_has").drop("_has"), judged.where("_has IS NULL").drop("_has")
     win, dup_new = _first(fresh, key, ["submitted_at", "request_id"])
     ided = _cut(assign_ids(win, ["request_id"], next_id(t.pengumpulan_tugas) if after is None else F.lit(after)))
     rows = ided.select("id", "tugas_id", "siswa_id", "file_path",
