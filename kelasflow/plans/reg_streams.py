@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from kelasflow.plans import reg_changes as RC
 from kelasflow.plans.reg_progress import _PROGRESS_SQL
 from kelasflow.plans.registry import register, register_twin
-from kelasflow.streaming import first_wins, grades
+from kelasflow.streaming import first_wins, grades, live_progress
 from kelasflow.streaming import streams as S
 
 
@@ -80,6 +80,29 @@ def s04(t):
     return S.run_live_progress(t.spark, t, d["in"], d["out"], d["ckpt"], subs.schema, FILES_PER_BATCH)
 
 
+# A fifth of the students leave their class for the next one, a seventh join a
+# further class, while the submissions come in.
+_MOVES = """
+moved AS (
+  SELECT user_id, kelas_id FROM siswa_details WHERE kelas_id IS NOT NULL AND user_id % 5 <> 2
+  UNION SELECT user_id, kelas_id + 1 FROM siswa_details WHERE kelas_id IS NOT NULL AND (user_id % 5 = 2 OR user_id % 7 = 3))
+"""
+
+
+@register("s04_live_progress_with_moves", """
+SELECT id, jumlah_kumpul, jumlah_siswa FROM p
+""", ctes=_MOVES + f", p AS ({_PROGRESS_SQL.format(cond='').replace('siswa_details', 'moved')})")
+def s04_moves(t):
+    d = _dirs(t, "s04m")
+    subs = t.pengumpulan_tugas.select("id", "tugas_id")
+    S.stage(subs, d["in"], FILES)
+    own = t.siswa_details.where("kelas_id IS NOT NULL").select("user_id", "kelas_id")
+    joins = own.where("user_id % 5 = 2 OR user_id % 7 = 3").withColumn("kelas_id", F.col("kelas_id") + 1)
+    moves = (joins.withColumn("delta", F.lit(1)).unionByName(own.where("user_id % 5 = 2").withColumn("delta", F.lit(-1))))
+    S.stage(moves, d["snap"], FILES)
+    return live_progress.run_progress(t.spark, t, d["in"], d["snap"], d["out"], d["ckpt"], subs.schema, FILES_PER_BATCH)
+
+
 @register_twin("s05_grade_requests_stream", "w11_post_grades")
 def s05(t):
     d = _dirs(t, "s05")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from kelasflow.operators import activity
 from kelasflow.operators import changes as W
 from kelasflow.sources.catalog import from_rows
-from kelasflow.streaming import first_wins, grades
+from kelasflow.streaming import first_wins, grades, live_progress
 from kelasflow.streaming import streams as S
 from tests.conftest import rows, ts
 from tests.test_edge_cases import school
@@ -170,3 +170,26 @@ def test_grades_survive_a_run_that_dies_while_it_compacts(spark, monkeypatch, di
     want = W.post_grades(t, spark.createDataFrame(reqs, schema)).tables.pengumpulan_tugas
     assert rows(got.select("id", "nilai")) == rows(want.select("id", "nilai"))
     assert grades.published(spark, args[1])[0] >= 1
+
+
+def test_progress_follows_students_who_change_class(spark):
+    """After each micro-batch the counts are those of the batch query."""
+    from kelasflow.operators import progress
+    t = school(spark)
+    base = S.scratch(spark, "t-s04-moves")
+    subs = t.pengumpulan_tugas.select("id", "tugas_id")
+    # 3 joins XII A; 1 moves to XII B; 2, in both, leaves XII A; 1 leaves XII B and 3 joins it, too
+    batches = [[(3, 1, 1)], [(1, 1, -1), (1, 2, 1)], [(2, 1, -1)], [(1, 2, -1), (3, 2, 1), (3, 9, 1)]]
+    member, seen = {(1, 1), (2, 1), (2, 2)}, []
+    for i, moves in enumerate(batches):
+        spark.createDataFrame(moves, live_progress.MOVES).coalesce(1).write.mode("append").parquet(f"{base}/moves")
+        some = subs.where(F.col("id") % 4 == i)
+        some.coalesce(1).write.mode("append").parquet(f"{base}/in")
+        got = live_progress.run_progress(spark, t, f"{base}/in", f"{base}/moves", f"{base}/out", f"{base}/ck", subs.schema)
+        for user, kelas, delta in moves:
+            (member.add if delta > 0 else member.remove)((user, kelas))
+        seen += [r.id for r in some.collect()]
+        now = t.replace(pengumpulan_tugas=t.pengumpulan_tugas.where(F.col("id").isin(seen)),
+                        siswa_details=spark.createDataFrame([(k, u, "J", None, c) for k, (u, c) in enumerate(sorted(member))],
+                                                            t.siswa_details.schema))
+        assert rows(got) == rows(progress.assignment_progress(now).select("id", "jumlah_kumpul", "jumlah_siswa"))
