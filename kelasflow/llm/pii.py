@@ -80,27 +80,25 @@ def _valid(kind: str, s: Column) -> Column:
 def find_all(text: Column, pattern: str, hint: str | None = None) -> Column:
     """Leftmost non-overlapping matches: array of struct(start, end, value),
     in code points, end exclusive.  The text between matches gives their
-    places; they are summed in blocks, so thousands of matches in a text
-    cost about as much each as one."""
+    places; they are summed in one pass and gathered in blocks, so thousands
+    of matches in a text cost about as much each as one."""
     p = F.lit(pattern)
     pairs = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, p, F.lit(0)).alias("value"))
     pairs = F.filter(pairs, lambda x: x["value"].isNotNull())
     empty = F.array().cast("array<struct<start:int,end:int,value:string>>")
 
+    nested = F.array().cast("array<array<struct<start:int,end:int,value:string>>>")
+
     def one(acc: Column, x: Column) -> Column:
         start = acc["at"] + F.length(x["gap"])
         end = start + F.length(x["value"])
-        return F.struct(end.alias("at"), F.array_append(acc["out"], F.struct(
-            start.alias("start"), end.alias("end"), x["value"].alias("value"))).alias("out"))
+        block = F.array_append(acc["block"], F.struct(start.alias("start"), end.alias("end"), x["value"].alias("value")))
+        full = F.size(acc["block"]) >= BLOCK - 1
+        return F.struct(end.alias("at"), F.when(full, empty).otherwise(block).alias("block"),
+                        F.when(full, F.array_append(acc["done"], block)).otherwise(acc["done"]).alias("done"))
 
-    def block(acc: Column, xs: Column) -> Column:
-        inner = F.aggregate(xs, F.struct(acc["at"].alias("at"), empty.alias("out")), one)
-        return F.struct(inner["at"].alias("at"), F.array_append(acc["out"], inner["out"]).alias("out"))
-
-    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(pairs) - 1) / BLOCK).cast("int")),
-                         lambda b: F.slice(pairs, b * BLOCK + 1, F.lit(BLOCK)))
-    nested = F.array().cast("array<array<struct<start:int,end:int,value:string>>>")
-    found = F.flatten(F.aggregate(blocks, F.struct(F.lit(0).alias("at"), nested.alias("out")), block)["out"])
+    found = F.aggregate(pairs, F.struct(F.lit(0).alias("at"), empty.alias("block"), nested.alias("done")), one,
+                        lambda acc: F.flatten(F.array_append(acc["done"], acc["block"])))
     wanted = text.rlike(hint) if hint else F.lit(True)
     return F.when(wanted & (F.size(pairs) > 0), found).otherwise(empty)
 
