@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kelasflow.llm import text as T
@@ -17,6 +17,7 @@ from kelasflow.llm.components import components
 SHINGLE = 5
 KEYS = 3                    # least hashes per document that bring copies together first
 BLOCK = 512                 # members of a tile compared at once; larger tiles are cut into blocks
+BLOCK_ELEMENTS = 1 << 21    # shingles of a block's sets together, about: long sets make blocks of fewer
 COUNTERS = 18               # bits: counters that order shingles by how often they occur
 BLOOM_BITS = 23
 _GOLDEN = 0x9E3779B97F4A7C15
@@ -156,12 +157,13 @@ def _copies(docs: DataFrame, sets: DataFrame) -> DataFrame:
     alone.  A tile's documents are cut into blocks by hashes; a block gives
     at most one pair less than documents.
     """
-    rows = sets.select("id", F.explode("keys").alias("key"))
+    rows = sets.select("id", "n", F.explode("keys").alias("key"))
     many = (rows.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("id").alias("tile")).where("m > 1")
             .select("key", "tile"))
     # keys with the same smallest id lead to the same tile: their documents go there once
-    members = materialize(rows.join(many, "key").select("tile", "id").distinct(), "copy-tiles")
-    size = members.groupBy("tile").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
+    members = materialize(rows.join(many, "key").select("tile", "id", "n").distinct(), "copy-tiles")
+    size = members.groupBy("tile").agg(
+        F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("n") / BLOCK_ELEMENTS)).alias("blocks"))
     # a tile of several blocks is cut in two ways, so that the blocks hang together
     cut = F.when(F.col("blocks") > 1, F.array(F.pmod(F.xxhash64("id", "tile"), F.col("blocks")),
                                               F.pmod(F.xxhash64("tile", "id"), F.col("blocks")) + F.col("blocks")))
@@ -185,9 +187,9 @@ def _copies(docs: DataFrame, sets: DataFrame) -> DataFrame:
             .mapInArrow(work, "a long, b long"))
 
 
-def _prefixes(docs: DataFrame, counters: np.ndarray, wanted: Bloom | None) -> DataFrame:
+def _prefixes(docs: DataFrame, counters: np.ndarray, ids: Bloom, wanted: Bloom | None) -> DataFrame:
     """(token, id, n): the shingles of each document that a similar document
-    must share one of.  Sets of Jaccard 0.8 or more share one of their first
+    must share one of, for the documents that ``ids`` lets through.  Sets of Jaccard 0.8 or more share one of their first
     n - ceil(0.8 n) + 1 elements in any order common to all; in this one
     shingles on rarely hit counters come first, so what many documents share
     comes last.  The counters decide cost only, never the result."""
@@ -196,9 +198,9 @@ def _prefixes(docs: DataFrame, counters: np.ndarray, wanted: Bloom | None) -> Da
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = shared.value
         for b in batches:
-            ids = _column(b, "id").to_numpy(zero_copy_only=False)
+            b = b.filter(pa.array(ids.test(_column(b, "id"))))
             tokens, owners, sizes = [], [], []
-            for i, s in zip(ids, _sets(_column(b, "text"))):
+            for i, s in zip(_column(b, "id").to_numpy(zero_copy_only=False), _sets(_column(b, "text"))):
                 n = len(s)
                 if not n:
                     continue
@@ -223,29 +225,17 @@ def _prefixes(docs: DataFrame, counters: np.ndarray, wanted: Bloom | None) -> Da
     return docs.mapInArrow(work, "token long, id long, n long")
 
 
-def _crossing(docs: DataFrame, sets: DataFrame, comps: DataFrame, counters: np.ndarray) -> DataFrame:
-    """Similar pairs of documents of different components, verified: every one
-    that exists, but for several between the same two components.
+def _placed(rows: DataFrame) -> DataFrame:
+    """(tile, band, i, j, next, block, id, component): the members of the
+    tiles of ``rows`` (tile, id, n, component), laid out in cells of two
+    blocks (``i`` and ``j``) that are compared with each other.
 
-    Of all prefix tokens those go on that two components share.  Tokens with
-    the same smallest document make one tile, so a document comes to a tile
-    once, however many tokens lead there.  Tiles are laid out in size bands
-    a factor of 1.25 wide: similar sets are in the same band or in
-    neighbouring ones.  Tiles with many members are cut into blocks and
-    compared block by block.
+    Tiles are cut into size bands a factor of 1.25 wide: similar sets are in
+    the same band or in neighbouring ones.  Blocks go by component: one with
+    more members than a block holds gets blocks of its own, which never meet
+    each other, and the others share blocks.  So m near copies that meet one
+    foreign set are laid out once each, and not m / BLOCK times.
     """
-    first = materialize(
-        _prefixes(docs, counters, None).groupBy("token").agg(F.min("id").alias("lo"), F.max("id").alias("hi"))
-        .where("lo < hi").select("token"), "shared-tokens")
-    # the tokens that two documents share: the rest is not shuffled again
-    rows = materialize(_prefixes(docs, counters, Bloom(first, "token")).join(first, "token", "left_semi"), "prefixes")
-    own = rows.join(comps, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    own = materialize(own.select("token", "id", "n", "component"), "prefix-components")
-    apart = (own.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"),
-                                      F.min("id").alias("tile")).where("lo < hi").select("token", "tile"))
-    rows = materialize(own.join(apart, "token").select("tile", "id", "n", "component").distinct(), "crossing")
-    if not rows.take(1):
-        return rows.select(F.col("id").alias("a"), F.col("id").alias("b")).where("false")
     # log() is exact enough but at the edges of bands; a set near an edge goes to both sides
     edge = F.log(F.col("n").cast("double")) / F.log(F.lit(1.25))
     near = F.array_distinct(F.array(F.floor(edge - 1e-6).cast("long"), F.floor(edge + 1e-6).cast("long")))
@@ -254,88 +244,124 @@ def _crossing(docs: DataFrame, sets: DataFrame, comps: DataFrame, counters: np.n
         F.explode(F.array(F.struct(F.col("band").alias("band"), F.lit(0).alias("next")),
                           F.struct((F.col("band") - 1).alias("band"), F.lit(1).alias("next")))).alias("t")).select(
         "tile", "id", "component", "t.*")
+    # what a block holds: BLOCK sets, and fewer where the sets are long
+    room = F.greatest(F.lit(1), F.least(F.lit(BLOCK), F.floor(F.lit(BLOCK_ELEMENTS) / F.pow(F.lit(1.25), F.col("band") + 2))))
+    each = materialize(spread.groupBy("tile", "band", "component").agg(F.count(F.lit(1)).alias("m"),
+                                                                       F.min("next").alias("own"))
+                       .withColumn("many", F.when(F.col("m") > room, F.ceil(F.col("m") / room)).otherwise(F.lit(0))),
+                       "tile-components")
     # bands without two components, or without a member of their own, have nothing to compare
-    sized = (spread.groupBy("tile", "band").agg(F.count(F.lit(1)).alias("m"), F.min("next").alias("own"),
-                                                F.min("component").alias("lo"), F.max("component").alias("hi"))
-             .where("lo < hi AND own = 0").select("tile", "band", F.ceil(F.col("m") / BLOCK).alias("blocks")))
-    placed = spread.join(sized, ["tile", "band"]).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
-    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other")
-    placed = placed.select("tile", "band", "next", "id", "component", "block", other).select(
+    sized = (each.groupBy("tile", "band")
+             .agg(F.sum(F.when(F.col("many") == 0, F.col("m")).otherwise(0)).alias("few"), F.sum("many").alias("apart"),
+                  F.min("own").alias("own"), F.min("component").alias("lo"), F.max("component").alias("hi"))
+             .where("lo < hi AND own = 0")
+             .select("tile", "band", F.ceil(F.col("few") / room).alias("bins"), "apart"))
+    # the blocks of large components stand behind the shared ones, in the order of the components
+    before = Window.partitionBy("tile", "band").orderBy("component").rowsBetween(Window.unboundedPreceding, -1)
+    large = each.where("many > 0").select("tile", "band", "component", "many",
+                                          F.coalesce(F.sum("many").over(before), F.lit(0)).alias("first"))
+    mine = (spread.join(sized, ["tile", "band"]).join(large, ["tile", "band", "component"], "left")
+            .withColumn("first", F.col("first") + F.col("bins"))
+            .withColumn("block", F.coalesce(F.col("first") + F.pmod(F.xxhash64("id"), F.col("many")),
+                                            F.pmod(F.xxhash64("component"), F.col("bins")))))
+    blocks = F.sequence(F.lit(0).cast("long"), F.col("bins") + F.col("apart") - 1)
+    met = F.filter(blocks, lambda x: F.col("first").isNull() | (x < F.col("first"))
+                   | (x >= F.col("first") + F.col("many")))
+    return mine.select("tile", "band", "next", "id", "component", "block", F.explode(met).alias("other")).select(
         "tile", "band", "next", "id", "component", "block", F.least("block", "other").alias("i"),
         F.greatest("block", "other").alias("j"))
-    maps = _bitmaps(docs, rows.select("id").distinct())
-    full = placed.join(maps, "id")
 
-    def load(b: pa.RecordBatch) -> list:
-        return list(zip(_column(b, "id").to_pylist(), _column(b, "n").to_pylist(), _column(b, "map").to_pylist(),
-                        _column(b, "component").to_pylist(), _column(b, "next").to_pylist(),
-                        _column(b, "block").to_pylist()))
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: set[tuple[int, int]] = set()
-        for _, ms in _runs(batches, ["tile", "band", "i", "j"], load):
-            if len(ms) > 1:
-                ids = [m[0] for m in ms]
-                for x, y in tiles.crossing_candidates(
-                        np.array([m[1] for m in ms]), [np.frombuffer(m[2], np.uint64) for m in ms],
-                        np.array([m[3] for m in ms]), np.array([m[4] for m in ms]), np.array([m[5] for m in ms])):
-                    if ids[x] != ids[y]:
-                        found.add((min(ids[x], ids[y]), max(ids[x], ids[y])))
-            if len(found) > 50_000:
-                yield _pairs(sorted(found))
-                found.clear()
-        if found:
-            yield _pairs(sorted(found))
-
-    candidates = materialize(
-        full.repartition("tile", "band", "i", "j").sortWithinPartitions("tile", "band", "i", "j", "id")
-        .mapInArrow(work, "a long, b long").distinct(), "candidates")
-    return _verified(docs, candidates)
-
-
-def _bitmaps(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """(id, n, map) of the documents with the given ids."""
-    bloom = Bloom(ids)
+_CELL = ["tile", "band", "i", "j"]
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            b = b.filter(pa.array(bloom.test(_column(b, "id"))))
-            sets = list(_sets(_column(b, "text")))
-            yield pa.RecordBatch.from_arrays(
-                [_column(b, "id"), pa.array([len(s) for s in sets], pa.int64()),
-                 pa.array([tiles.bitmap(s).tobytes() for s in sets], pa.binary())], names=["id", "n", "map"])
-    made = docs.mapInArrow(work, "id long, n long, map binary")
-    return made.join(ids, "id", "left_semi").dropDuplicates(["id"])
 
+def _cells(batches: Iterator[pa.RecordBatch], load) -> Iterator[tuple[dict, list, list, tuple]]:
+    """Per cell of two members or more: key, ids, what ``load`` made, and (component, next, block) arrays."""
+    def members(b: pa.RecordBatch) -> list:
+        return list(zip(_column(b, "id").to_pylist(), load(b), _column(b, "component").to_pylist(),
+                        _column(b, "next").to_pylist(), _column(b, "block").to_pylist()))
+    for key, ms in _runs(batches, _CELL, members):
+        if len(ms) > 1:
+            yield key, [m[0] for m in ms], [m[1] for m in ms], tuple(np.array([m[k] for m in ms]) for k in (2, 3, 4))
+
+
+def _crossing(docs: DataFrame, comps: DataFrame, counters: np.ndarray) -> DataFrame:
+    """Links between the components of ``comps`` (id, component), which has
+    one document per set: verified pairs of similar documents that connect
+    whatever similarity connects.
+
+    Of all prefix tokens those go on that two components share.  Tokens with
+    the same smallest document make one tile, so a document comes to a tile
+    once, however many tokens lead there.  In each cell of a tile bitmaps
+    rule pairs out; the sets that are left over meet once more in the same
+    cell, where pairs are intersected until their components hang together.
+    No pair leaves a task but the links: at most one less than the cell has
+    components.
+    """
+    reps = Bloom(comps)
+    first = materialize(
+        _prefixes(docs, counters, reps, None).groupBy("token").agg(F.min("id").alias("lo"), F.max("id").alias("hi"))
+        .where("lo < hi").select("token"), "shared-tokens")
+    # the tokens that two documents share: the rest is not shuffled again
+    rows = _prefixes(docs, counters, reps, Bloom(first, "token")).join(first, "token", "left_semi")
+    own = materialize(rows.join(comps, "id").select("token", "id", "n", "component"), "prefix-components")
+    apart = (own.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"),
+                                      F.min("id").alias("tile")).where("lo < hi").select("token", "tile"))
+    rows = materialize(own.join(apart, "token").select("tile", "id", "n", "component").distinct(), "crossing")
+    if not rows.take(1):
+        return rows.select(F.col("id").alias("a"), F.col("id").alias("b")).where("false")
+    placed = materialize(_placed(rows), "cells")
+
+    def load_maps(b: pa.RecordBatch) -> list:
+        return [(n, np.frombuffer(m, np.uint64)) for n, m in
+                zip(_column(b, "n").to_pylist(), _column(b, "bytes").to_pylist())]
 
-def _verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs whose sets are similar, by intersecting their sorted hashes."""
-    ids = materialize(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "verify-ids")
+    def rule_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, ids, maps, (group, band, block) in _cells(batches, load_maps):
+            left = tiles.crossing_members(np.array([n for n, _ in maps]), [m for _, m in maps], group, band, block)
+            if len(left):
+                k = len(left)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(k, key[c], np.int64)) for c in _CELL]
+                    + [pa.array([ids[x] for x in left], pa.int64()), pa.array(group[left].astype(np.int64)),
+                       pa.array(band[left].astype(np.int32)), pa.array(block[left].astype(np.int64))],
+                    names=[*_CELL, "id", "component", "next", "block"])
 
+    def in_cells(frame: DataFrame, made: DataFrame) -> DataFrame:
+        return frame.join(made, "id").repartition(*_CELL).sortWithinPartitions(*_CELL, "id")
+
+    maps = _of_sets(docs, rows.select("id").distinct(), lambda s: tiles.bitmap(s).tobytes())
+    left = materialize(in_cells(placed, maps).mapInArrow(
+        rule_out, "tile long, band long, i long, j long, id long, component long, next int, block long"), "cells-left")
+
+    def load_sets(b: pa.RecordBatch) -> list:
+        return [np.frombuffer(x, np.uint64) for x in _column(b, "bytes").to_pylist()]
+
+    def intersect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, ids, sets, (group, band, block) in _cells(batches, load_sets):
+            links = tiles.crossing_links(sets, group, band, block)
+            if links:
+                yield _pairs([(ids[x], ids[y]) for x, y in links])
+
+    sets = _of_sets(docs, left.select("id").distinct(), lambda s: s.tobytes())
+    return in_cells(left, sets).mapInArrow(intersect, "a long, b long")
+
+
+def _of_sets(docs: DataFrame, ids: DataFrame, make) -> DataFrame:
+    """(id, n, bytes): size and ``make`` of the set of each document with one of the ids."""
     bloom = Bloom(ids)
 
-    def arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             b = b.filter(pa.array(bloom.test(_column(b, "id"))))
+            n, made = [], []
+            for s in _sets(_column(b, "text")):
+                n.append(len(s))
+                made.append(make(s))
             yield pa.RecordBatch.from_arrays(
-                [_column(b, "id"), pa.array([s.tobytes() for s in _sets(_column(b, "text"))], pa.binary())],
-                names=["id", "hashes"])
-
-    made = (docs.mapInArrow(arrays, "id long, hashes binary")
-            .join(ids, "id", "left_semi").dropDuplicates(["id"]))
-    made = materialize(made, "verify-sets")
-
-    @F.arrow_udf("boolean")
-    def similar(xs: pa.Array, ys: pa.Array) -> pa.Array:
-        out = []
-        for x, y in zip(xs, ys):
-            x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
-            out.append(bool(tiles.enough(tiles.overlap(x, y), len(x) + len(y))))
-        return pa.array(out, pa.bool_())
-
-    left = made.select(F.col("id").alias("a"), F.col("hashes").alias("x"))
-    right = made.select(F.col("id").alias("b"), F.col("hashes").alias("y"))
-    return pairs.join(left, "a").join(right, "b").where(similar("x", "y")).select("a", "b")
+                [_column(b, "id"), pa.array(n, pa.int64()), pa.array(made, pa.binary())], names=["id", "n", "bytes"])
+    made = docs.mapInArrow(work, "id long, n long, bytes binary")
+    return made.join(ids, "id", "left_semi").dropDuplicates(["id", "n", "bytes"])
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -355,7 +381,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     in tiles and joined; prefix tokens shared by different components lead
     to size-banded tiles where bitmaps rule pairs out; the rest is
     intersected exactly.  Copies are never expanded into pairs: a tile gives
-    a spanning forest, and pairs within a component are not looked at again.
+    a spanning forest, pairs within a component are not looked at again, and
+    two components are intersected in a cell only until one pair links them.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text"))
     known = rows.where(F.col("id").isNotNull())
@@ -365,16 +392,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     counters = np.zeros(1 << COUNTERS, np.int64)        # at most 2**COUNTERS rows, whatever the corpus
     counters[counts["counter"].to_numpy(np.int64)] = counts["count"]
     full = profile.where("n > 0 AND id IS NOT NULL")
-    same = materialize(full.groupBy("digest").agg(F.min("id").alias("rep"), F.first("keys").alias("keys")), "set-classes")
-    copies = _copies(known, same.select(F.col("rep").alias("id"), "keys"))
+    same = materialize(full.groupBy("digest").agg(F.min("id").alias("rep"), F.first("n").alias("n"),
+                                                 F.first("keys").alias("keys")), "set-classes")
+    copies = _copies(known, same.select(F.col("rep").alias("id"), "n", "keys"))
     near = materialize(components(copies), "copies")
     to_rep = materialize(full.join(same.select("digest", "rep"), "digest").select("id", "rep").distinct(), "to-rep")
     comps = to_rep.join(near.select(F.col("id").alias("rep"), "component"), "rep", "left").select(
         "id", F.coalesce("component", "rep").alias("component"))
     comps = materialize(comps.groupBy("id").agg(F.min("component").alias("component")), "components")
-    moved = comps.where("id <> component")
-    links = _crossing(known, same, moved, counters)
-    name = moved.select("id", "component")
+    # of equal sets one document stands for all from here on
+    links = _crossing(known, comps.join(same.select(F.col("rep").alias("id")).distinct(), "id", "left_semi"), counters)
+    name = comps.where("id <> component")
     of = (links.join(name.select(F.col("id").alias("a"), F.col("component").alias("ca")), "a", "left")
           .join(name.select(F.col("id").alias("b"), F.col("component").alias("cb")), "b", "left")
           .select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")))

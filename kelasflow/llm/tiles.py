@@ -63,9 +63,9 @@ class Tile:
         self.of_width = {int(w): np.flatnonzero(width == w) for w in np.unique(width)}
         self.stacked = {w: np.stack([self.maps[i] for i in at]) for w, at in self.of_width.items()}
 
-    def before(self, i: int, allowed: np.ndarray | None = None) -> Iterator[tuple[int, int]]:
-        """(j, bound) for the sets before ``i`` (of those ``allowed``) that
-        could still be similar to it."""
+    def against(self, i: int, allowed: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(js, bounds) of the sets before ``i`` (of those ``allowed``) that
+        could still be similar to it, a pair of arrays per width of bitmap."""
         n = int(self.sizes[i])
         low = int(np.searchsorted(self.sizes[:i], -(-4 * n // 5), "left"))
         for w, at in self.of_width.items():
@@ -82,7 +82,12 @@ class Tile:
             ny = self.sizes[js]
             bound = overlap_bound(fold(self.maps[i], words), n, fold(maps, words), ny)
             good = enough(bound, n + ny)
-            yield from zip(js[good].tolist(), bound[good].tolist())
+            yield js[good], bound[good]
+
+    def before(self, i: int, allowed: np.ndarray | None = None) -> Iterator[tuple[int, int]]:
+        """The same, pair by pair."""
+        for js, bound in self.against(i, allowed):
+            yield from zip(js.tolist(), bound.tolist())
 
 
 class Forest:
@@ -118,25 +123,53 @@ def spanning_links(sets: list[np.ndarray]) -> list[tuple[int, int]]:
     return out
 
 
-def crossing_candidates(sizes: np.ndarray, maps: list[np.ndarray], group: np.ndarray, band: np.ndarray,
-                        block: np.ndarray) -> Iterator[tuple[int, int]]:
-    """Pairs that the bitmaps do not rule out, of members of different groups.
+def _may_meet(i: int, group: np.ndarray, band: np.ndarray, block: np.ndarray, two: bool) -> np.ndarray:
+    """Members that member ``i`` is to be compared with.
 
-    A tile holds the sets of a band and of the next one (``band`` 0 and 1):
-    pairs within the next band belong to that band's own tile.  A tile cut
-    into blocks comes once per pair of blocks: of two blocks only pairs
-    across are asked for.
-    """
+    A cell holds sets of a band and of the next one (``band`` 0 and 1): pairs
+    within the next band belong to that band's own cells.  In a cell of two
+    blocks only pairs across are asked for; each block has its own cell."""
+    allowed = group != group[i]
+    if band[i]:
+        allowed &= band == 0
+    if two:
+        allowed &= block != block[i]
+    return allowed
+
+
+def crossing_members(sizes: np.ndarray, maps: list[np.ndarray], group: np.ndarray, band: np.ndarray,
+                     block: np.ndarray) -> np.ndarray:
+    """Members of a cell that the bitmaps leave with a partner in another group."""
     tile = Tile(sizes, maps)
     order = tile.order
     group, band, block = group[order], band[order], block[order]
     two = bool((block != block[0]).any())
+    left = np.zeros(len(order), bool)
     for i in range(1, len(order)):
-        allowed = group != group[i]
-        if band[i]:
-            allowed &= band == 0
-        if two:
-            allowed &= block != block[i]
+        allowed = _may_meet(i, group, band, block, two)
         if allowed[:i].any():
-            for j, _ in tile.before(i, allowed):
-                yield int(order[i]), int(order[j])
+            for js, _ in tile.against(i, allowed):
+                left[js] = True
+                left[i] |= bool(len(js))
+    return np.sort(order[left])
+
+
+def crossing_links(sets: list[np.ndarray], group: np.ndarray, band: np.ndarray, block: np.ndarray
+                   ) -> list[tuple[int, int]]:
+    """Pairs of similar sets that connect the groups which similarity connects
+    in the cell: at most one less than groups."""
+    tile = Tile(np.array([len(s) for s in sets]), [bitmap(s) for s in sets])
+    order, out = tile.order, []
+    group, band, block = group[order].copy(), band[order], block[order]
+    two = bool((block != block[0]).any())
+    for i in range(1, len(order)):
+        allowed = _may_meet(i, group, band, block, two)
+        if not allowed[:i].any():
+            continue
+        x = sets[order[i]]
+        for j, _ in sorted(tile.before(i, allowed), key=lambda jb: -jb[1]):
+            y = sets[order[j]]
+            if group[i] != group[j] and enough(overlap(x, y), len(x) + len(y)):
+                group[group == group[j]] = group[i]         # one group from now on
+                out.append((int(order[i]), int(order[j])))
+    return out

@@ -181,6 +181,31 @@ def test_blocks_and_counters_do_not_change_the_result(spark, monkeypatch):
     assert [got[i] for i in range(len(texts))] == components(texts)
 
 
+def test_copies_that_meet_a_foreign_set_are_laid_out_once(spark):
+    """20,000 members of one component and one foreign set in a tile: linear rows, and each meets the foreign one."""
+    rows = spark.range(20_001).select(F.lit(0).cast("long").alias("tile"), "id", F.lit(100).cast("long").alias("n"),
+                                      F.when(F.col("id") < 20_000, 0).otherwise(20_000).cast("long").alias("component"))
+    placed = near_dup._placed(rows)
+    assert placed.count() <= 3 * 20_001
+    cells = placed.groupBy("tile", "band", "i", "j").agg(
+        F.collect_set("id").alias("ids"), F.max((F.col("id") == 20_000)).alias("foreign"), F.count(F.lit(1)).alias("m"))
+    got = cells.where("foreign").select(F.explode("ids").alias("id")).distinct().count()
+    assert got == 20_001
+    assert cells.agg(F.max("m")).first()[0] < 2_000
+
+
+def test_linked_classes_without_a_common_least_hash(spark, monkeypatch):
+    """Two groups of near copies that only the crossing search can join: one link per cell joins them."""
+    base = [f"w{i}" for i in range(120)]
+    near = lambda words, at, tag: " ".join(words[:at] + [tag] + words[at + 1:])
+    other = base[:60] + ["x"] + base[61:]
+    texts = [near(base, 3, f"a{i}") for i in range(60)] + [near(other, 110, f"b{i}") for i in range(60)]
+    monkeypatch.setattr(near_dup, "KEYS", 1)
+    monkeypatch.setattr(near_dup, "BLOCK", 16)
+    got = {r.doc_id: r.component_id for r in near_dup.near_duplicates(frame(spark, texts)).collect()}
+    assert [got[i] for i in range(len(texts))] == [c for _, c in components(texts)]
+
+
 def test_near_duplicates_go_but_one(spark):
     docs = spark.createDataFrame([(5, "a b c d e f g"), (3, "A b c d e f g"), (9, "q"), (None, "x y"), (7, None), (8, "")],
                                  "doc_id long, text string")
