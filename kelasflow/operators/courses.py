@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kelasflow.functions.aggregates import sorted_list
+from kelasflow.functions.expansion import expand
 from kelasflow.functions.predicates import contains_ci, keyed
 from kelasflow.sources.catalog import Tables
 
@@ -135,8 +136,9 @@ def student_materials(t: Tables, student_ids: DataFrame | None = None, ordered:
     c = (t.courses.join(a, "created_by")
          .select(F.col("id").alias("course_id"), "name", "description", "file_path", "created_at",
                  F.date_format("created_at", "dd-MM-yyyy").alias("tanggal_upload"), "guru"))
-    # a class with very many students or courses is split by the skew join
-    joined = sd.join(t.course_kelas.select("course_id", "kelas_id"), "kelas_id").join(c, "course_id")
+    # a class with very many students or courses is cut into parts; the courses join before the expansion
+    linked = t.course_kelas.select("course_id", "kelas_id").join(c, "course_id")
+    joined = expand(sd, linked, "kelas_id", t.siswa_details if student_ids is None else sd, t.course_kelas)
     out = (joined
            .select("siswa_id", F.col("course_id").alias("id"), "name", "description", "file_path",
                    "tanggal_upload", "guru", "created_at"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kelasflow.functions.aggregates import sorted_list
+from kelasflow.functions.expansion import expand
 from kelasflow.functions.predicates import keyed
 from kelasflow.sources.catalog import Tables
 
@@ -57,6 +58,7 @@ def student_threads(t: Tables, student_ids: DataFrame | None = None) -> DataFram
     k = t.kelas.select(F.col("id").alias("kelas_id"), "nama_kelas")
     a = t.users.select(F.col("id").alias("created_by"), F.col("name").alias("guru"))
     d = t.diskusi.join(a, "created_by")
-    return (sd.join(t.diskusi_kelas.select("diskusi_id", "kelas_id"), "kelas_id").join(k, "kelas_id")
-            .join(d, F.col("diskusi_id") == d.id)
+    posted = (t.diskusi_kelas.select("diskusi_id", "kelas_id").join(k, "kelas_id")
+              .join(d, F.col("diskusi_id") == d.id))
+    return (expand(sd, posted, "kelas_id", t.siswa_details if student_ids is None else sd, t.diskusi_kelas)
             .select("siswa_id", "id", "judul", "isi", "created_by", "created_at", "guru", "nama_kelas"))

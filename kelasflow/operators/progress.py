@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kelasflow.functions.aggregates import sorted_array, sorted_list
+from kelasflow.functions.expansion import expand
 from kelasflow.functions.predicates import keyed
 from kelasflow.sources.catalog import Tables
 
@@ -129,10 +130,9 @@ def submission_status(t: Tables, teacher_ids: DataFrame | None = None) -> DataFr
     no missing list at all.
 
     The missing list is assignment x class roster.  It is expanded on the
-    class and anti-joined with the submissions on (assignment, student), a
-    key that no single row makes hot; a class with very many students or
-    assignments is split by the skew join, and Spark decides from measured
-    sizes whether a side is broadcast.
+    class, where a class that makes very many rows is cut into parts
+    (:func:`expand`), and anti-joined with the submissions on (assignment,
+    student), a key that no single row makes hot.
     """
     tg = keyed(t.tugas, "created_by", teacher_ids).select(F.col("id").alias("tugas_id"))
     kelas = t.kelas.select(F.col("id").alias("kelas_id"), F.col("nama_kelas").alias("kelas"))
@@ -150,7 +150,8 @@ def submission_status(t: Tables, teacher_ids: DataFrame | None = None) -> DataFr
     pairs = (t.tugas_kelas.join(tg, "tugas_id", "left_semi").select("tugas_id", "kelas_id")
              .join(null_sub, "tugas_id", "left_anti"))
     submitted = subs.where(F.col("siswa_id").isNotNull()).select("tugas_id", F.col("siswa_id").alias("user_id"))
-    missing = pairs.join(placed, "kelas_id").join(submitted, ["tugas_id", "user_id"], "left_anti")
+    listed = expand(pairs, placed, "kelas_id", t.tugas_kelas, t.siswa_details)
+    missing = listed.join(submitted, ["tugas_id", "user_id"], "left_anti")
     missing = missing.select("tugas_id", F.lit("belum_kumpul").alias("status"), F.col("user_id").alias("id"),
                              "name", "kelas", F.lit(None).cast("string").alias("file_path"),
                              F.lit(None).cast("int").alias("nilai"))
@@ -170,8 +171,9 @@ def _student_assignments(t: Tables, student_ids: DataFrame | None = None) -> Dat
     assignment AND student, kept in the ON clause; duplicate submissions of
     one pair repeat the row, as in the reference).
 
-    The expansion joins on the class, where a hot class is split by the skew
-    join, and meets the submissions on (assignment, student).
+    The expansion joins on the class, where a class that makes very many rows
+    is cut into parts (:func:`expand`), and meets the submissions on
+    (assignment, student).
     """
     sd = (keyed(t.siswa_details, "user_id", student_ids).where(F.col("kelas_id").isNotNull())
           .select(F.col("user_id").alias("siswa_id"), "kelas_id").distinct())
@@ -182,8 +184,9 @@ def _student_assignments(t: Tables, student_ids: DataFrame | None = None) -> Dat
              .join(authors, "created_by")
              .join(t.tugas_kelas.select("tugas_id", "kelas_id"), "tugas_id")
              .join(kelas, "kelas_id"))
+    rows = expand(tasks, sd, "kelas_id", t.tugas_kelas, t.siswa_details if student_ids is None else sd)
     subs = t.pengumpulan_tugas.select("tugas_id", "siswa_id", "nilai", F.col("file_path").alias("file_kumpul"))
-    return (tasks.join(sd, "kelas_id").join(subs, ["tugas_id", "siswa_id"], "left")
+    return (rows.join(subs, ["tugas_id", "siswa_id"], "left")
             .select("siswa_id", F.col("tugas_id").alias("id"), "judul", "deskripsi", "deadline", "created_at",
                     "file_path", "guru", "nama_kelas", "nilai", "file_kumpul"))
 

@@ -28,7 +28,7 @@ users AS (
 siswa_details AS (
   SELECT c_custkey AS id, c_custkey AS user_id, c_mktsegment AS jurusan,
          lpad(CAST(c_custkey AS VARCHAR), 10, '0') AS nisn,
-         CASE WHEN c_custkey % 20 = 0 THEN NULL WHEN c_custkey % 25 = 1 THEN 0
+         CASE WHEN c_custkey % 20 = 0 THEN NULL WHEN c_custkey % (SELECT n FROM nclass) = 1 THEN 0
               ELSE CAST(25 + c_custkey // 50 AS INTEGER) END AS kelas_id
   FROM customer WHERE c_custkey % 10 <> 9
 ),
@@ -40,7 +40,8 @@ guru_details AS (
 ),
 guru_kelas AS (
   SELECT s.s_suppkey * 100 + n.n_nationkey AS id, s.s_suppkey AS guru_id,
-         CAST(25 + (s.s_suppkey + n.n_nationkey) % (SELECT n FROM nclass) AS INTEGER) AS kelas_id
+         CASE WHEN s.s_suppkey % 3 = 0 AND n.n_nationkey < 8 THEN 0
+              ELSE CAST(25 + (s.s_suppkey + n.n_nationkey) % (SELECT n FROM nclass) AS INTEGER) END AS kelas_id
   FROM supplier s, nation n
   WHERE (s.s_suppkey + n.n_nationkey) % 8 = 0 AND s.s_suppkey % 10 NOT IN (8, 9)
 ),
@@ -54,7 +55,8 @@ courses AS (
 ),
 course_kelas AS (
   SELECT p.p_partkey * 100 + n.n_nationkey AS id, p.p_partkey AS course_id,
-         CAST(25 + (p.p_partkey + n.n_nationkey) % (SELECT n FROM nclass) AS INTEGER) AS kelas_id
+         CASE WHEN p.p_partkey % 3 = 0 AND n.n_nationkey < 12 THEN 0
+              ELSE CAST(25 + (p.p_partkey + n.n_nationkey) % (SELECT n FROM nclass) AS INTEGER) END AS kelas_id
   FROM part p, nation n WHERE (p.p_partkey + n.n_nationkey) % 12 = 0
 ),
 course_enrollments AS (
@@ -74,7 +76,7 @@ tugas_kelas AS (
   UNION
   SELECT o_orderkey, CAST(25 + o_orderkey % (SELECT n FROM nclass) AS INTEGER) FROM orders
   UNION
-  SELECT o_orderkey, 0 FROM orders WHERE o_orderkey < 200
+  SELECT o_orderkey, 0 FROM orders WHERE o_orderkey % 3 = 0
 ),
 pengumpulan_tugas AS (
   SELECT ((l.l_orderkey * 8 + l.l_linenumber) * 100000 + l.l_partkey) * 10000 + l.l_suppkey AS id,
@@ -100,7 +102,8 @@ diskusi AS (
 ),
 diskusi_kelas AS (
   SELECT c.conv_id * 100 + n.n_nationkey AS id, c.conv_id AS diskusi_id,
-         CAST(25 + (c.conv_id + n.n_nationkey) % (SELECT n FROM nclass) AS INTEGER) AS kelas_id
+         CASE WHEN c.conv_id % 3 = 0 AND n.n_nationkey < 10 THEN 0
+              ELSE CAST(25 + (c.conv_id + n.n_nationkey) % (SELECT n FROM nclass) AS INTEGER) END AS kelas_id
   FROM conversations c, nation n
   WHERE c.turn = 0 AND c.conv_id % 20 <> 19 AND (c.conv_id + n.n_nationkey) % 10 = 0
 ),

@@ -5,8 +5,9 @@ FIXTURES.md); it does none of an operator's work.  Scalar counts (suppliers,
 customers, classes) are scalar subqueries, and every "pair with a class"
 rule ``(key + n) % m = 0`` is written as an equi-join on ``n % m`` against
 the 25-row nation table, so no cross join appears anywhere.  Classes grow
-with the customers, about 50 students each; class 0 is a hot one that holds
-a twenty-fifth of all students and has few assignments.
+with the customers, about 50 students each; class 0 is a hot one at every
+scale: as many students, but a third of all assignments, courses, threads
+and teachers.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ TEACHER_ID_OFFSET = 10_000_000
 ADMIN_ID = 20_000_000
 CLASS_SIZE = 50
 FIRST_CLASS = 25            # ids below it are the nations' classes
-HOT_CLASS_ORDERS = 200       # orders below it are assigned to class 0, too
+HOT_SHARE = 3               # one in so many assignments, courses, threads goes to class 0
 EPOCH_2024 = "TIMESTAMP_NTZ'2024-01-01 00:00:00'"
 
 
@@ -51,9 +52,11 @@ def fixture_tables(spark: SparkSession, sf_dir: str) -> Tables:
     kelas = nation.select(F.col("n_nationkey").cast("int").alias("id"), F.col("n_name").alias("nama_kelas")).unionByName(
         grown.select("id", F.concat(F.lit("KELAS_"), F.col("id").cast("string")).alias("nama_kelas")))
 
-    def dealt(key):
-        """Class of a (key, nation) pair."""
-        return ((F.col(key) + F.col("n_nationkey")) % nclass + FIRST_CLASS).cast("int")
+    def dealt(key, modulus):
+        """Class of a (key, nation) pair; one pair of every third key goes to the hot class."""
+        hot = (F.col(key) % HOT_SHARE == 0) & (F.col("n_nationkey") < modulus)
+        return F.when(hot, F.lit(0)).otherwise(
+            ((F.col(key) + F.col("n_nationkey")) % nclass + FIRST_CLASS).cast("int"))
 
     first_order = orders.groupBy("o_custkey").agg(F.min("o_orderdate").alias("created_at"))
     students = (customer.join(first_order, customer.c_custkey == first_order.o_custkey, "left")
@@ -78,7 +81,7 @@ def fixture_tables(spark: SparkSession, sf_dir: str) -> Tables:
                              F.col("c_mktsegment").alias("jurusan"),
                              F.lpad(F.col("c_custkey").cast("string"), 10, "0").alias("nisn"),
                              F.when(F.col("c_custkey") % 20 == 0, F.lit(None))
-                              .when(F.col("c_custkey") % 25 == 1, F.lit(0))
+                              .when(F.col("c_custkey") % nclass == 1, F.lit(0))
                               .otherwise(own_class).alias("kelas_id")))
 
     guru_details = (supplier.where(F.col("s_suppkey") % 10 != 9)
@@ -91,7 +94,7 @@ def fixture_tables(spark: SparkSession, sf_dir: str) -> Tables:
     guru_kelas = (_pair_with_nation(supplier.where(~(F.col("s_suppkey") % 10).isin(8, 9)).select("s_suppkey"),
                                     "s_suppkey", 8, nation)
                   .select((F.col("s_suppkey") * 100 + F.col("n_nationkey")).alias("id"),
-                          F.col("s_suppkey").alias("guru_id"), dealt("s_suppkey").alias("kelas_id")))
+                          F.col("s_suppkey").alias("guru_id"), dealt("s_suppkey", 8).alias("kelas_id")))
 
     part_first_ship = lineitem.groupBy("l_partkey").agg(F.min("l_shipdate").alias("created_at"))
     courses = (part.join(part_first_ship, part.p_partkey == part_first_ship.l_partkey, "left")
@@ -105,7 +108,7 @@ def fixture_tables(spark: SparkSession, sf_dir: str) -> Tables:
 
     course_kelas = (_pair_with_nation(part.select("p_partkey"), "p_partkey", 12, nation)
                     .select((F.col("p_partkey") * 100 + F.col("n_nationkey")).alias("id"),
-                            F.col("p_partkey").alias("course_id"), dealt("p_partkey").alias("kelas_id")))
+                            F.col("p_partkey").alias("course_id"), dealt("p_partkey", 12).alias("kelas_id")))
 
     course_enrollments = (lineitem.where(F.col("l_partkey") % 50 != 0)
                           .join(orders, lineitem.l_orderkey == orders.o_orderkey)
@@ -124,8 +127,8 @@ def fixture_tables(spark: SparkSession, sf_dir: str) -> Tables:
                    .select(F.col("o_orderkey").alias("tugas_id"), own_class.alias("kelas_id")))
     by_key = orders.select(F.col("o_orderkey").alias("tugas_id"),
                            (F.col("o_orderkey") % nclass + FIRST_CLASS).cast("int").alias("kelas_id"))
-    hot = orders.where(F.col("o_orderkey") < HOT_CLASS_ORDERS).select(F.col("o_orderkey").alias("tugas_id"),
-                                                                      F.lit(0).alias("kelas_id"))
+    hot = orders.where(F.col("o_orderkey") % HOT_SHARE == 0).select(F.col("o_orderkey").alias("tugas_id"),
+                                                                    F.lit(0).alias("kelas_id"))
     tugas_kelas = by_customer.union(by_key).union(hot).distinct()
 
     pengumpulan_tugas = (lineitem.join(orders, lineitem.l_orderkey == orders.o_orderkey)
@@ -156,7 +159,7 @@ def fixture_tables(spark: SparkSession, sf_dir: str) -> Tables:
     diskusi_kelas = (_pair_with_nation(openers.where(F.col("conv_id") % 20 != 19).select("conv_id"),
                                        "conv_id", 10, nation)
                      .select((F.col("conv_id") * 100 + F.col("n_nationkey")).alias("id"),
-                             F.col("conv_id").alias("diskusi_id"), dealt("conv_id").alias("kelas_id")))
+                             F.col("conv_id").alias("diskusi_id"), dealt("conv_id", 10).alias("kelas_id")))
     chat_diskusi = (conversations.where(F.col("turn") >= 1)
                     .select((F.col("conv_id") * 100 + F.col("turn")).alias("id"),
                             F.col("conv_id").alias("diskusi_id"),
