@@ -13,8 +13,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kelasflow.functions.aggregates import sorted_array, sorted_list
-from kelasflow.functions.expansion import expand
+from kelasflow.functions.expansion import expand_without
 from kelasflow.functions.predicates import keyed
+from kelasflow.functions.shared import materialize
 from kelasflow.sources.catalog import Tables
 
 TUGAS_COLS = ["id", "judul", "deskripsi", "deadline", "created_at", "file_path", "created_by"]
@@ -130,9 +131,9 @@ def submission_status(t: Tables, teacher_ids: DataFrame | None = None) -> DataFr
     no missing list at all.
 
     The missing list is assignment x class roster.  It is expanded on the
-    class, where a class that makes very many rows is cut into parts
-    (:func:`expand`), and anti-joined with the submissions on (assignment,
-    student), a key that no single row makes hot.
+    class, where a class that makes very many rows is cut into parts, and
+    each assignment brings the list of those of the class who submitted
+    (:func:`expand_without`), so its rows are not shuffled again.
     """
     tg = keyed(t.tugas, "created_by", teacher_ids).select(F.col("id").alias("tugas_id"))
     kelas = t.kelas.select(F.col("id").alias("kelas_id"), F.col("nama_kelas").alias("kelas"))
@@ -140,18 +141,18 @@ def submission_status(t: Tables, teacher_ids: DataFrame | None = None) -> DataFr
     placed = (t.siswa_details.select("user_id", "kelas_id")
               .join(kelas, "kelas_id").join(people, "user_id"))          # student x class x name
 
-    subs = t.pengumpulan_tugas.join(tg, "tugas_id", "left_semi")
-    done = (subs.select("tugas_id", F.col("siswa_id").alias("user_id"), "file_path", "nilai")
-            .join(placed, "user_id")
+    # read three times below
+    subs = materialize(t.pengumpulan_tugas.join(tg, "tugas_id", "left_semi")
+                       .select("tugas_id", F.col("siswa_id").alias("user_id"), "file_path", "nilai"), "submitted")
+    done = (subs.join(placed, "user_id")
             .select("tugas_id", F.lit("sudah_kumpul").alias("status"), F.col("user_id").alias("id"),
                     "name", "kelas", "file_path", "nilai"))
 
-    null_sub = subs.where(F.col("siswa_id").isNull()).select("tugas_id")
+    null_sub = subs.where(F.col("user_id").isNull()).select("tugas_id")
     pairs = (t.tugas_kelas.join(tg, "tugas_id", "left_semi").select("tugas_id", "kelas_id")
              .join(null_sub, "tugas_id", "left_anti"))
-    submitted = subs.where(F.col("siswa_id").isNotNull()).select("tugas_id", F.col("siswa_id").alias("user_id"))
-    listed = expand(pairs, placed, "kelas_id", t.tugas_kelas, t.siswa_details)
-    missing = listed.join(submitted, ["tugas_id", "user_id"], "left_anti")
+    submitted = subs.select("tugas_id", "user_id").join(placed.select("user_id", "kelas_id").distinct(), "user_id")
+    missing = expand_without(pairs, placed, "kelas_id", "tugas_id", "user_id", submitted, t.tugas_kelas, t.siswa_details)
     missing = missing.select("tugas_id", F.lit("belum_kumpul").alias("status"), F.col("user_id").alias("id"),
                              "name", "kelas", F.lit(None).cast("string").alias("file_path"),
                              F.lit(None).cast("int").alias("nilai"))
@@ -171,9 +172,10 @@ def _student_assignments(t: Tables, student_ids: DataFrame | None = None) -> Dat
     assignment AND student, kept in the ON clause; duplicate submissions of
     one pair repeat the row, as in the reference).
 
-    The expansion joins on the class, where a class that makes very many rows
-    is cut into parts (:func:`expand`), and meets the submissions on
-    (assignment, student).
+    The rows with a submission are found from the submissions; the others are
+    expanded on the class, where a class that makes very many rows is cut into
+    parts and each assignment brings the list of those who submitted
+    (:func:`expand_without`), so the expansion is not shuffled again.
     """
     sd = (keyed(t.siswa_details, "user_id", student_ids).where(F.col("kelas_id").isNotNull())
           .select(F.col("user_id").alias("siswa_id"), "kelas_id").distinct())
@@ -182,13 +184,18 @@ def _student_assignments(t: Tables, student_ids: DataFrame | None = None) -> Dat
     tasks = (t.tugas.select(F.col("id").alias("tugas_id"), "judul", "deskripsi", "deadline", "created_at",
                             "file_path", "created_by")
              .join(authors, "created_by")
-             .join(t.tugas_kelas.select("tugas_id", "kelas_id"), "tugas_id")
-             .join(kelas, "kelas_id"))
-    rows = expand(tasks, sd, "kelas_id", t.tugas_kelas, t.siswa_details if student_ids is None else sd)
+             .join(t.tugas_kelas.select("tugas_id", "kelas_id"), "tugas_id"))
     subs = t.pengumpulan_tugas.select("tugas_id", "siswa_id", "nilai", F.col("file_path").alias("file_kumpul"))
-    return (rows.join(subs, ["tugas_id", "siswa_id"], "left")
-            .select("siswa_id", F.col("tugas_id").alias("id"), "judul", "deskripsi", "deadline", "created_at",
-                    "file_path", "guru", "nama_kelas", "nilai", "file_kumpul"))
+    assigned = t.tugas_kelas.select("tugas_id", "kelas_id").distinct()
+    own = materialize(subs.join(sd, "siswa_id").join(assigned, ["tugas_id", "kelas_id"]), "own")    # read twice below
+    with_sub = tasks.join(own, ["tugas_id", "kelas_id"]).join(kelas, "kelas_id")
+    rest = expand_without(tasks, sd.join(kelas, "kelas_id"), "kelas_id", "tugas_id", "siswa_id",
+                          own.select("tugas_id", "kelas_id", "siswa_id"), t.tugas_kelas,
+                          t.siswa_details if student_ids is None else sd)
+    without = rest.withColumns({"nilai": F.lit(None).cast("int"), "file_kumpul": F.lit(None).cast("string")})
+    return with_sub.unionByName(without.select(*with_sub.columns)).select(
+        "siswa_id", F.col("tugas_id").alias("id"), "judul", "deskripsi", "deadline", "created_at",
+        "file_path", "guru", "nama_kelas", "nilai", "file_kumpul")
 
 
 def student_assignment_stats(t: Tables, student_ids: DataFrame | None = None) -> DataFrame:

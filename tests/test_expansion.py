@@ -66,3 +66,31 @@ def test_cut_classes_do_not_change_the_queries(spark, monkeypatch):
     plain = totals()
     monkeypatch.setattr(expansion, "CELL_ROWS", 50)
     assert totals() == plain
+
+
+def test_left_out_pairs_equal_an_anti_join(spark, monkeypatch):
+    tasks, people = school(spark)
+    odd = spark.createDataFrame([(1, None), (2, 7), (2, 7), (3, 999)], "task long, k long")
+    a = tasks.limit(900).unionByName(odd)
+    pairs = a.join(people, "k").where("(task + person) % 3 = 0").select("task", "k", "person")
+    want = sorted(tuple(r) for r in a.join(people, "k").join(pairs.distinct(), ["task", "k", "person"], "left_anti")
+                  .select("k", "task", "person").collect())
+    for cell, slice_ in ((1 << 20, 1 << 9), (40, 7), (1, 1)):
+        monkeypatch.setattr(expansion, "CELL_ROWS", cell)
+        monkeypatch.setattr(expansion, "LIST_ROWS", slice_)
+        got = expansion.expand_without(a, people, "k", "task", "person", pairs.unionByName(pairs))
+        assert sorted(tuple(r) for r in got.select("k", "task", "person").collect()) == want
+
+
+def _shuffle_keys(df):
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return [line for line in plan.splitlines() if "hashpartitioning" in line]
+
+
+def test_listed_classes_are_not_shuffled_by_assignment_and_student(spark):
+    """The rows of the expansion outgrow the tables: no exchange is keyed by (assignment, student)."""
+    t = fixture_tables(spark, SF001)
+    for df, pair in ((progress.submission_status(t), ("tugas_id", "user_id")),
+                     (progress.student_assignments(t), ("tugas_id", "siswa_id"))):
+        keys = _shuffle_keys(df)
+        assert keys and not [k for k in keys if all(f"{c}#" in k.split("hashpartitioning(")[1].split(")")[0] for c in pair)]
