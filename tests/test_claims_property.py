@@ -1,10 +1,11 @@
-"""Unique claims settled in rounds against a replay of the requests one by one."""
+"""Unique claims settled in windows against a replay of the requests one by one."""
 
 import random
 
 import pytest
 
 from kelasflow.operators import changes as W
+from kelasflow.operators import claims
 from kelasflow.operators.claims import settle_claims
 from kelasflow.sources.catalog import from_rows
 from tests.conftest import ts
@@ -86,3 +87,28 @@ def test_a_save_after_somebody_elses_refused_one(spark):
 
 def test_no_requests(spark):
     assert verdicts(spark, [], {1: ["a"]}, {1: ["b"]}) == {}
+
+
+def chained(n, users=23, emails=15, numbers=13):
+    """Requests of few users for fewer values: nearly each outcome hangs on the one before."""
+    rnd = random.Random(5)
+    return [(i, rnd.randrange(users), f"e{rnd.randrange(emails)}", f"n{rnd.randrange(numbers)}") for i in range(n)]
+
+
+def test_a_long_chain_takes_few_rounds(spark, monkeypatch):
+    """Every round writes frames: their number must not follow the length of the chain."""
+    written = []
+    real = claims.materialize
+    monkeypatch.setattr(claims, "materialize", lambda df, name: written.append(name) or real(df, name))
+    requests, world = chained(2_000), Replay(email={}, nisn={})
+    assert verdicts(spark, requests, {}, {}) == {r[0]: world.ask(*r[1:]) for r in requests}
+    assert len(written) < 15
+
+
+@pytest.mark.parametrize("window", [7, 64])
+def test_windows_hand_on_what_is_held(spark, monkeypatch, window):
+    monkeypatch.setattr(claims, "WINDOW", window)
+    requests = chained(100) + [(1_000 + i, 100 + i, f"e{i % 15}" if i % 2 else None, f"n{i % 13}") for i in range(60)]
+    email, nisn = {3: ["E1"], 200: ["e2"], 201: ["e3"]}, {4: ["n1", "n2"], 200: ["n3"]}
+    world = Replay(email=email, nisn=nisn)
+    assert verdicts(spark, requests, email, nisn) == {r[0]: world.ask(*r[1:]) for r in requests}
