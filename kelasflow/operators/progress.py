@@ -110,6 +110,20 @@ def assignment_progress(t: Tables, kind: str | None = None, as_of: dt.date | Non
     return out.orderBy("created_by", F.col("created_at").desc(), "id") if ordered else out
 
 
+def students_reached(t: Tables) -> DataFrame:
+    """(tugas_id, n): distinct students in the classes of every assignment
+    with at least one, as :func:`assignment_progress` counts them, without
+    the lists and the submissions."""
+    pairs = assigned_pairs(t)
+    class_size, multi = class_membership(t)
+    single = (pairs.join(class_size, "kelas_id", "left").groupBy("tugas_id")
+              .agg(F.sum(F.coalesce("n_single", F.lit(0))).alias("n_single")))
+    multi_n = (pairs.join(multi, "kelas_id").select("tugas_id", "user_id").distinct()
+               .groupBy("tugas_id").agg(F.count(F.lit(1)).alias("n_multi")))
+    return (t.tugas.select(F.col("id").alias("tugas_id")).join(single, "tugas_id").join(multi_n, "tugas_id", "left")
+            .select("tugas_id", (F.col("n_single") + F.coalesce("n_multi", F.lit(0))).cast("bigint").alias("n")))
+
+
 def assignment_classes(t: Tables, teacher_ids: DataFrame | None = None) -> DataFrame:
     """Every assignment with the sorted array of its class names (empty if none)."""
     tg = keyed(t.tugas, "created_by", teacher_ids)

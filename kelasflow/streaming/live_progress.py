@@ -3,9 +3,10 @@
 Counts per assignment are maintained by signed deltas.  A micro-batch of
 submissions adds to the assignments that it names.  A micro-batch of moves
 (user, class, +1 or -1) is joined with the memberships of the users that it
-names: the (assignment, student) pairs they had before count -1, those they
-have after it +1, so a student of several classes counts once per assignment
-and a move inside an assignment changes nothing.  Every batch writes its own
+names: the set of classes that a user had before counts -1, the one they have
+after it +1.  Equal sets are added up first, so the classes are expanded to
+their assignments once per set, not per student; an assignment counts once for
+a set, and a move inside an assignment changes nothing.  Every batch writes its own
 folders with overwrite and reads those of earlier batches only, so a retried
 batch replaces its deltas.
 """
@@ -16,6 +17,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kelasflow.functions.shared import materialize
 from kelasflow.operators import progress as P
 from kelasflow.sources.catalog import Tables
 from kelasflow.streaming.streams import run, source
@@ -35,7 +37,7 @@ def start_progress(t: Tables, root: str) -> None:
         (t.siswa_details.where("kelas_id IS NOT NULL").select("user_id", "kelas_id").distinct()
          .withColumn("delta", F.lit(1).cast("bigint")).write.mode("overwrite").parquet(f"{root}/members/_batch=-1"))
         spark.createDataFrame([], COUNT).write.mode("overwrite").parquet(f"{root}/received/_batch=-1")
-        (P.assignment_progress(t).select(F.col("id").alias("tugas_id"), F.col("jumlah_siswa").alias("n"))
+        (P.students_reached(t)
          .write.mode("overwrite").parquet(f"{root}/students/_batch=-1"))
 
 
@@ -56,9 +58,18 @@ def add_batch(t: Tables, root: str, batch: DataFrame, batch_id: int) -> None:
     moved = members.where(F.col("_batch") == batch_id).select("user_id").distinct()
     theirs = members.join(moved, "user_id", "left_semi").groupBy("user_id", "kelas_id").agg(
         F.sum(F.when(F.col("_batch") < batch_id, F.col("delta")).otherwise(0)).alias("before"), F.sum("delta").alias("after"))
-    pairs = theirs.join(_classes(t), "kelas_id").groupBy("tugas_id", "user_id").agg(
-        F.max((F.col("before") > 0).cast("bigint")).alias("before"), F.max((F.col("after") > 0).cast("bigint")).alias("after"))
-    (pairs.groupBy("tugas_id").agg(F.sum(F.col("after") - F.col("before")).alias("n")).where("n <> 0")
+    # students of the same classes count alike: a set of classes stands for all of them
+    sets = theirs.groupBy("user_id").agg(F.array_sort(F.collect_list(F.when(F.col("before") > 0, F.col("kelas_id")))).alias("before"),
+                                         F.array_sort(F.collect_list(F.when(F.col("after") > 0, F.col("kelas_id")))).alias("after"))
+    weights = (sets.select(F.inline(F.array(F.struct(F.col("before").alias("classes"), F.lit(-1).alias("w")),
+                                            F.struct(F.col("after").alias("classes"), F.lit(1).alias("w")))))
+               .where("size(classes) > 0").groupBy("classes").agg(F.sum("w").alias("w")).where("w <> 0"))
+    weights = materialize(weights.withColumn("kelas_id", F.explode("classes")), "weights")
+    links = weights.join(_classes(t), "kelas_id")
+    # an assignment counts once for a set, however many of its classes it is given to
+    once = links.where("size(classes) > 1").groupBy("tugas_id", "classes").agg(F.max("w").alias("w")).select("tugas_id", "w")
+    (links.where("size(classes) = 1").select("tugas_id", "w").unionByName(once)
+     .groupBy("tugas_id").agg(F.sum("w").alias("n")).where("n <> 0")
      .write.mode("overwrite").parquet(f"{root}/students/_batch={batch_id}"))
 
 
