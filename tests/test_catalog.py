@@ -2,6 +2,8 @@
 
 import uuid
 
+from pyspark.sql import functions as F
+
 from kelasflow.schema import SCHEMAS
 from kelasflow.sources.catalog import read_tables, write_tables
 from kelasflow.plans.tables import tables_for
@@ -50,3 +52,18 @@ def test_filters_and_pruning_reach_the_parquet_scan(spark):
     assert "GreaterThanOrEqual(created_at,2024-01-30T00:00)" in p
     assert "ReadSchema: struct<role:string>" in p              # only the column the count needs
     assert "BatchEvalPython" not in p and "ArrowEvalPython" not in p
+
+
+def test_the_join_of_items_and_orders_has_tasks_of_bounded_size(spark, monkeypatch):
+    """More partitions for more rows, not those that the session asks for."""
+    from kelasflow.sources import fixtures
+    monkeypatch.setattr(fixtures, "ROWS_PER_TASK", 100)
+    orders = spark.range(1500).select(F.col("id").alias("o_orderkey"), (F.col("id") % 7).alias("o_custkey"))
+    items = orders.select(F.col("o_orderkey").alias("l_orderkey"), F.explode(F.sequence(F.lit(1), F.lit(4))).alias("l_linenumber"))
+    a, b = fixtures._dealt_by_order(items, orders)
+    joined = a.join(b, a.l_orderkey == b.o_orderkey)
+    assert joined.count() == 6000
+    most = joined.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
+    assert most <= 3 * 100
+    monkeypatch.setattr(fixtures, "ROWS_PER_TASK", 10_000)
+    assert fixtures._dealt_by_order(items, orders) == (items, orders)
