@@ -144,6 +144,44 @@ def test_first_wins_over_many_batches_and_a_restart_equals_w10(spark):
     assert rows(stored.select("id", "tugas_id", "siswa_id")) == rows(now.pengumpulan_tugas.select("id", "tugas_id", "siswa_id"))
 
 
+REQUESTS = "request_id long, tugas_id long, siswa_id long, file_path string, submitted_at timestamp_ntz"
+
+
+def test_first_wins_sends_only_pairs_through_the_state(spark):
+    """Of a micro-batch the stream writes its new pairs and the names of its
+    files: no request goes through a join before the state or is written twice."""
+    t = school(spark)
+    base = S.scratch(spark, "t-s03-narrow")
+    reqs = [(i, 500 + i % 5, 1 + i % 3, f"f{i}", ts(2024, 3, 5, i % 24)) for i in range(40)]
+    files(spark, f"{base}/in", reqs, REQUESTS, 4)
+    first_wins.run_first_wins(spark, t, f"{base}/in", f"{base}/snap", f"{base}/out", f"{base}/ck",
+                              spark.createDataFrame([], REQUESTS).schema, max_files=2)
+    written = spark.read.parquet(f"{base}/out-rows")
+    assert not {"request_id", "file_path", "submitted_at"} & set(written.columns)
+    named = [r.file for r in written.where("kind = 'file'").collect()]
+    assert len(named) == len(set(named)) == 4
+    assert written.where("kind = 'new'").count() <= t.pengumpulan_tugas.count() + 15
+
+
+def test_a_refused_pair_is_free_when_its_assignment_comes(spark):
+    t = school(spark)
+    stored = t.pengumpulan_tugas.collect() + [(90, 999, 2, "x", None, ts(2024, 3, 1))]      # of an assignment not there
+    t = t.replace(pengumpulan_tugas=spark.createDataFrame(stored, t.pengumpulan_tugas.schema))
+    late = t.tugas.limit(1).withColumn("id", F.lit(999).cast("bigint"))
+    base = S.scratch(spark, "t-s03-refused")
+    args = (f"{base}/in", f"{base}/snap", f"{base}/out", f"{base}/ck", spark.createDataFrame([], REQUESTS).schema)
+    runs = [(t, [[(100, 999, 1, "a", ts(2024, 3, 5)), (101, 999, 2, "b", ts(2024, 3, 5)), (102, None, 1, "c", ts(2024, 3, 5))]]),
+            (t.replace(tugas=t.tugas.unionByName(late)),
+             [[(103, 999, 1, "d", ts(2024, 3, 7)), (104, 999, 1, "e", ts(2024, 3, 6)), (105, 999, 2, "f", ts(2024, 3, 6))],
+              [(106, 999, 1, "g", ts(2024, 3, 1))]])]
+    for tables, batches in runs:
+        land(spark, [spark.createDataFrame(b, REQUESTS) for b in batches], args[0])
+        got = first_wins.run_first_wins(spark, tables, *args, max_files=1)
+    assert dict(rows(got)) == {100: "unknown_assignment", 101: "unknown_assignment", 102: "unknown_assignment",
+                               103: "duplicate_in_batch", 104: "accepted", 105: "already_submitted",
+                               106: "already_submitted"}
+
+
 @pytest.mark.parametrize("dies_in", ["publish", "write"])
 def test_grades_survive_a_run_that_dies_while_it_compacts(spark, monkeypatch, dies_in):
     t = school(spark)
